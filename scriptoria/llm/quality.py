@@ -96,7 +96,7 @@ def default_rules() -> list[Rule]:
     return [
         Rule("too_short", lambda t, w: F.size(w) < 10),
         Rule("repeats", lambda t, w: 100 * n_repeat_words(w) > 20 * F.size(w)),
-        Rule("symbols", lambda t, w: n_symbols(t) * 2 > F.size(w)),
+        Rule("symbols", lambda t, w: n_symbols(t) * 4 > F.size(w)),
         Rule("word_length", lambda t, w: (chars(w) > 20 * F.size(w)) | (chars(w) < 2 * F.size(w))),
         Rule("dup_lines", lambda t, w: n_dup_lines(t) * 2 > F.size(F.split(t, "\n"))),
     ]
@@ -108,7 +108,7 @@ def feature_rules() -> list[Rule]:
     return [
         Rule("too_short", lambda t, w: c("n_words") < 10),
         Rule("repeats", lambda t, w: 100 * c("n_repeat_words") > 20 * c("n_words")),
-        Rule("symbols", lambda t, w: c("n_symbols") * 2 > c("n_words")),
+        Rule("symbols", lambda t, w: c("n_symbols") * 4 > c("n_words")),
         Rule("word_length", lambda t, w: (c("word_chars") > 20 * c("n_words")) | (c("word_chars") < 2 * c("n_words"))),
         Rule("dup_lines", lambda t, w: c("n_dup_lines") * 10 > c("n_words")),
     ]

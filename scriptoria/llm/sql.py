@@ -27,7 +27,7 @@ OP4 = f"""
 WITH {MEASURED},
 base AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM measured)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT (base_failed OR n_symbols * 2 > n_words OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR n_dup_lines * 10 > n_words) AS kept
+  NOT (base_failed OR n_symbols * 4 > n_words OR word_chars > 20 * n_words OR word_chars < 2 * n_words OR n_dup_lines * 10 > n_words) AS kept
 FROM base
 """
 
