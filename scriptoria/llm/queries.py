@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import fingerprint, licences, mixing, pieces, quality, token_count, toxicity
+from scriptoria.llm import fingerprint, licences, mixing, pieces, quality, substrings, token_count, toxicity
 from scriptoria.llm.sql import ORACLES
 
 #: Name of the piece model that the queries use; ``public_tokenizers.path`` gives its place.
@@ -42,6 +42,11 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = crc_mod("doc_id", 3) == 1
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_mixing": op3_mixing,
         "op4_quality": op4_quality,
+        "op5_substrings": op5_substrings,
         "op6_toxicity": op6_toxicity,
         "op7_licences": op7_licences,
         "op8_fingerprints": op8_fingerprints,

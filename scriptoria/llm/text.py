@@ -80,13 +80,40 @@ def window_hashes(hashes: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
 
 
 def chunks_for(docs: DataFrame, text: str = "text", chunk_bytes: int = 8 << 20, least: int = 12) -> int:
-    """How many chunks of about ``chunk_bytes`` of text the table makes: one scan of one column."""
+    """How many chunks of about ``chunk_bytes`` of text the table makes: one scan of one column.
+
+    Chunks exchange blocks with as many buckets, so beyond a quarter of a terabyte they grow with the
+    root of the table; blocks then stay large enough to ship well.
+    """
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
-    return max(least, math.ceil(total / chunk_bytes))
+    return max(least, math.ceil(total / max(chunk_bytes, 16 * math.isqrt(total))))
 
 
 def with_chunk(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and chunk, dealt by chunk. A chunk is a bounded set of documents chosen by hash, so
+    """``docs`` with chunk (int), dealt by chunk. A chunk is a bounded set of documents chosen by hash, so
     copies of one text spread over all chunks, and what a chunk asks of other chunks it asks once."""
     key = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(n)).cast("int")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("chunk")).repartition(n, "chunk")
+    return docs.withColumn("chunk", key).repartition(n, "chunk")
+
+
+def unique_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values ascending, where each begins in the sorting order, and that order."""
+    order = np.argsort(h, kind="stable")
+    s = h[order]
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.empty(0, np.int64)
+    return s[first], first, order
+
+
+def by_bucket(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order that groups hashes by bucket, ascending within each, and the n + 1 cuts between buckets."""
+    bucket = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
+    order = np.argsort(h, kind="stable")  # a bucket is a range of hashes
+    return order, np.searchsorted(bucket[order], np.arange(n + 1))
+
+
+def shared_folder(spark) -> None:
+    """The cluster's spark.checkpoint.dir stays; only where none is set, as in tests, a local one is made."""
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
