@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import fingerprint, licences, mixing, pieces, quality, substrings, token_count, toxicity
+from scriptoria.llm import fingerprint, licences, mixing, near_dedup, pieces, quality, substrings, token_count, toxicity
 from scriptoria.llm.sql import ORACLES
 
 #: Name of the piece model that the queries use; ``public_tokenizers.path`` gives its place.
@@ -29,6 +29,10 @@ def crc_mod(column: str, n: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(documents(spark, sf_dir))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(documents(spark, sf_dir))
     first = F.get("positions", F.lit(0))
@@ -80,6 +84,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op3_mixing": op3_mixing,
         "op4_quality": op4_quality,
         "op5_substrings": op5_substrings,
