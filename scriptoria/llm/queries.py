@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import fingerprint, licences, mixing, near_dedup, pieces, quality, substrings, token_count, toxicity
+from scriptoria.llm import brown, fingerprint, licences, mixing, near_dedup, pieces, quality, substrings, token_count, toxicity
 from scriptoria.llm.sql import ORACLES
 
 #: Name of the piece model that the queries use; ``public_tokenizers.path`` gives its place.
@@ -33,6 +33,14 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(documents(spark, sf_dir))
 
 
+def op2_brown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(crc_mod("doc_id", 7) == 2, F.lit(False))
+    docs = documents(spark, sf_dir).select("doc_id", held_out.alias("held_out"), "text")
+    model, counts = brown.train(docs.filter(~F.col("held_out")).select("text"))
+    scored = brown.score(docs, model, counts)
+    return scored.withColumn("perplexity", brown.perplexity(F.col("score"), F.col("n_tokens")))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mix(documents(spark, sf_dir))
     first = F.get("positions", F.lit(0))
@@ -85,6 +93,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
+        "op2_brown": op2_brown,
         "op3_mixing": op3_mixing,
         "op4_quality": op4_quality,
         "op5_substrings": op5_substrings,
