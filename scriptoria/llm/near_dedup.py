@@ -311,5 +311,8 @@ def _verified(d: DataFrame, near: DataFrame, shared, threshold: float) -> DataFr
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the documents of a class but its least id; rows that repeat that id and text fold into one."""
-    kept = near_classes(docs, id_col, text_col, threshold).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_kept"))).drop("_kept").dropDuplicates([id_col])
+    no_id = F.lit((1 << 63) - 1)
+    kept = near_classes(docs, id_col, text_col, threshold).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", no_id).alias("_key")).distinct()
+    # one key for join and fold: the texts are shuffled once
+    keyed = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), no_id))
+    return keyed.join(kept, "_key").dropDuplicates(["_key"]).select(*docs.columns)
