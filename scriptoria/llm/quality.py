@@ -19,7 +19,7 @@ from scriptoria.llm.text import let, words
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
 #: Documents of the sample on which costs and rejections are estimated.
-SAMPLE_DOCS = 1_000
+SAMPLE_DOCS = 500
 
 
 def n_symbols(text: Column) -> Column:
@@ -117,14 +117,15 @@ def feature_rules() -> list[Rule]:
 def order_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[Rule]:
     """``rules`` by rejections per second on a sample of at most ``sample_docs`` rows, best first.
 
-    The sample is the first rows of the scan: a limit stops reading early, and an unlucky sample only
-    costs time. An empty table keeps the order given.
+    The sample is the first rows of the scan, taken once: a limit stops reading early, and an unlucky
+    sample only costs time. An empty table keeps the order given.
     """
-    sample = docs.limit(sample_docs)
+    first = docs.limit(sample_docs).collect()
+    if not first:
+        return list(rules)
+    sample = docs.sparkSession.createDataFrame(first, docs.schema)
     fails = [_failing(text_col, lambda t, w, r=r: r.fails(t, w)) for r in rules]
     counts = sample.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f).alias(f"r{i}") for i, f in enumerate(fails)]).first()
-    if not counts["n"]:
-        return list(rules)
     spent = []
     for f in fails:
         began = time.monotonic()
