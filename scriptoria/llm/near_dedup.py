@@ -207,20 +207,33 @@ def _contract(classes: DataFrame, links: DataFrame) -> DataFrame:
             return classes.join(label, F.col("cls") == F.col("v"), "left").select("id", F.coalesce("l", "cls").alias("cls"))
 
 
+#: Texts that no id of their own names get ids from here on, made from their digest.
+UNNAMED = 1 << 62
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row a row of ``docs``: doc_id, class_id (the least doc_id of the class) and n_links.
 
     n_links counts verified links between different texts that the document's text has; copies share it.
-    Null texts are empty, empty texts are copies of each other, and a null id is a class member like any
-    other but never lends its name unless the whole class has none. Rows with one id and different texts
-    follow the least of their texts' classes. Extra columns are not read; an empty table gives no rows.
+    Null texts are empty, and empty texts are copies of each other. A null id is a class member like any
+    other, but a class without an id is named by a digest (``UNNAMED`` or more); so is the class of a text
+    whose every id already stands for another text. Extra columns are not read; an empty table gives no rows.
     """
+    found = _text_classes(docs, id_col, text_col, threshold)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, class_id long, n_links long")
+    signed, of_text = found
+    return signed.select("id", "digest").join(of_text, "digest").select(F.col("id").alias("doc_id"), F.col("cls").alias("class_id"), "n_links")
+
+
+def _text_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame] | None:
+    """(id, digest) of every row, and (digest, rep, node, cls, n_links) of every distinct text; None if ``docs`` is empty."""
     spark = docs.sparkSession
     shared_folder(spark)
-    d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_docs = d.count()
     if not n_docs:
-        return spark.createDataFrame([], "doc_id long, class_id long, n_links long")
+        return None
     idf = document_frequencies(d.select("text"), n_docs)
     shared = spark.sparkContext.broadcast(idf)
 
@@ -233,16 +246,18 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pd.Series(out, dtype=object)
 
     # copies first: a text's digest stands for it, and its least id represents it
-    signed = d.select("id", F.md5(F.col("text").cast("binary")).alias("digest"), signature("text").alias("sig")).checkpoint()
+    signed = d.select("id", digest_of("text").alias("digest"), signature("text").alias("sig")).checkpoint()
     texts = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
-    # one id may stand for several texts; they are one class then
-    reps = texts.groupBy(F.col("rep").alias("id")).agg(F.min("sig").alias("sig"), F.min("digest").alias("digest"))
+    # a node is named by its least id, unless that is null or the least id of another text with a lesser digest
+    own = F.shiftrightunsigned(F.xxhash64("digest"), 2).bitwiseOR(F.lit(UNNAMED))
+    of_id = Window.partitionBy(F.coalesce("rep", own)).orderBy("digest")
+    nodes = texts.withColumn("id", F.when(F.col("rep").isNotNull() & (F.row_number().over(of_id) == 1), F.col("rep")).otherwise(own)).checkpoint()
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.concat(F.lpad(k.cast("string"), 2, "0"), F.hex(F.substring("sig", k * 2 * ROWS + 1, F.lit(2 * ROWS)))))
-    member = reps.select("id", "sig", "digest", F.explode(bands).alias("band"))
+    member = nodes.select("id", "sig", F.explode(bands).alias("band"))
     sizes = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     member = member.join(sizes.select("band"), "band").checkpoint()
 
-    classes = reps.select("id", F.col("id").alias("cls")).checkpoint()
+    classes = nodes.select("id", F.col("id").alias("cls")).checkpoint()
     links = None
     pivots, tried = 1, 0
     while True:
@@ -261,7 +276,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             known = links.select("pivot", "id").union(links.select(F.col("id").alias("pivot"), F.col("pivot").alias("id")))
             near = near.join(known, ["pivot", "id"], "left_anti")
         near = near.checkpoint()
-        found = _verified(d, near, shared, threshold).checkpoint()
+        found = _verified(d, nodes.select("id", "digest"), near, shared, threshold).checkpoint()
         links = found if links is None else links.union(found)
         cls = classes.select(F.col("id").alias("k"), F.col("cls").alias("c"))
         of = found.filter("linked").join(cls, F.col("pivot") == F.col("k")).select("id", F.col("c").alias("a")).join(cls, F.col("id") == F.col("k")).select("a", F.col("c").alias("b"))
@@ -273,11 +288,12 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         linked = links.filter("linked").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
         counts = linked.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    rep = classes.join(counts, "id", "left").select(F.col("id").alias("rep"), "cls", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    of_text = texts.select("digest", "rep").join(rep, "rep").select("digest", "cls", "n_links")
-    no_id = (1 << 63) - 1
-    named = lambda c: F.when(F.col(c) != no_id, F.col(c))
-    return signed.select("id", "digest").join(of_text, "digest").select(named("id").alias("doc_id"), named("cls").alias("class_id"), "n_links")
+    of_node = classes.join(counts, "id", "left").select("id", "cls", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return signed.select("id", "digest"), nodes.select("id", "digest", "rep").join(of_node, "id").select("digest", "rep", F.col("id").alias("node"), "cls", "n_links")
+
+
+def digest_of(text_col: str):
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
 
 
 @F.pandas_udf(IntegerType())
@@ -292,11 +308,12 @@ def _agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
 FEW_IDS = 200_000
 
 
-def _verified(d: DataFrame, near: DataFrame, shared, threshold: float) -> DataFrame:
+def _verified(d: DataFrame, nodes: DataFrame, near: DataFrame, shared, threshold: float) -> DataFrame:
     """pivot, id, linked for the pairs ``near`` (pivot, id): the weighted Jaccard of the whole texts."""
     ids = near.select(F.explode(F.array("pivot", "id")).alias("id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
-    text = d.join(ids, "id").groupBy("id").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
+    few = ids.count() <= FEW_IDS
+    wanted = nodes.join(F.broadcast(ids) if few else ids, "id")
+    text = d.select("text", digest_of("text").alias("digest")).join(F.broadcast(wanted) if few else wanted, "digest").groupBy("id").agg(F.first("text").alias("text"))
     # members first, then pivots: a hot pivot's text meets its members' in a join that AQE splits
     both = near.join(text.select("id", F.col("text").alias("a")), "id").join(text.select(F.col("id").alias("pivot"), F.col("text").alias("b")), "pivot")
 
@@ -310,9 +327,11 @@ def _verified(d: DataFrame, near: DataFrame, shared, threshold: float) -> DataFr
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents of a class but its least id; rows that repeat that id and text fold into one."""
-    no_id = F.lit((1 << 63) - 1)
-    kept = near_classes(docs, id_col, text_col, threshold).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.coalesce("doc_id", no_id).alias("_key")).distinct()
+    """``docs`` with one row of each class: of its text with the least id, the row of that id (one of them, if it repeats)."""
+    found = _text_classes(docs, id_col, text_col, threshold)
+    if found is None:
+        return docs
+    kept = found[1].filter("node = cls").select(F.col("digest").alias("_digest"), F.col("rep").alias("_rep"))
     # one key for join and fold: the texts are shuffled once
-    keyed = docs.withColumn("_key", F.coalesce(F.col(id_col).cast("long"), no_id))
-    return keyed.join(kept, "_key").dropDuplicates(["_key"]).select(*docs.columns)
+    keyed = docs.withColumn("_digest", digest_of(text_col))
+    return keyed.join(kept, "_digest").filter(F.col(id_col).cast("long").eqNullSafe(F.col("_rep"))).dropDuplicates(["_digest"]).select(*docs.columns)

@@ -98,12 +98,12 @@ def default_rules() -> list[Rule]:
         Rule("repeats", lambda t, w: 100 * n_repeat_words(w) > 20 * F.size(w)),
         Rule("symbols", lambda t, w: n_symbols(t) * 4 > F.size(w)),
         Rule("word_length", lambda t, w: (chars(w) > 20 * F.size(w)) | (chars(w) < 2 * F.size(w))),
-        Rule("dup_lines", lambda t, w: n_dup_lines(t) * 2 > F.size(F.split(t, "\n"))),
+        Rule("dup_lines", lambda t, w: n_dup_lines(t) * 10 > F.size(w)),
     ]
 
 
 def feature_rules() -> list[Rule]:
-    """The same rules where ``features`` has already measured the texts; dup_lines counts against words."""
+    """The same rules where ``features`` has already measured the texts."""
     c = F.col
     return [
         Rule("too_short", lambda t, w: c("n_words") < 10),

@@ -187,12 +187,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     n = chunks_for(docs, text_col, chunk_bytes)
-    extra = [f for f in docs.schema.fields if f.name not in (text_col, "kept_text", "n_words", "n_removed", "chunk")]
-    d = docs.select(*[F.col(f.name) for f in extra], F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.col(text_col).alias("_text"))
+    extra = [f for f in docs.schema.fields if f.name not in (text_col, "kept_text", "n_words", "n_removed")]
+    # the others travel under numbers, so that no name of theirs can clash
+    d = docs.select(*[F.col(f.name).alias(f"_{k}") for k, f in enumerate(extra)], F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.col(text_col).alias("_text"))
     x = with_chunk(d, n, "_id", "_text")
-    out = StructType([*extra, StructField("kept_text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
+    out = StructType([*[StructField(f"_{k}", f.dataType) for k, f in enumerate(extra)], StructField("kept_text", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
     asked = x.groupBy("chunk").applyInPandas(lambda pdf: _probe(pdf, block, n), "bucket int, chunk int, found binary")
     hits = asked.groupBy("bucket").applyInPandas(_repeated, "chunk int, bucket int, found binary")
     windows = x.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(lambda a, b: _extend(a, b, block, n), "bucket int, chunk int, found binary, ids binary")
     late = windows.groupBy("bucket").applyInPandas(_earlier, "chunk int, found binary")
-    return x.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInPandas(lambda a, b: _remove(a, b, block), out)
+    kept = x.groupBy("chunk").cogroup(late.groupBy("chunk")).applyInPandas(lambda a, b: _remove(a, b, block), out)
+    return kept.select(*[F.col(f"_{k}").alias(f.name) for k, f in enumerate(extra)], "kept_text", "n_words", "n_removed")
