@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 BINS, TERMS, FACTORS = 1 << 18, 4096, 8
 #: The most labelled rows that fitting reads, chosen by a hash of their id.
 TRAIN_DOCS = 20_000
-#: A bin must stand in so many training texts.
-LEAST_DOCS = 4
+#: A bin must stand in so many training texts, and tell the labels apart by so much (log likelihood ratio).
+LEAST_DOCS, LEAST_GAIN = 4, 4.0
+#: What a toxic text weighs in fitting; they are the fewer.
+POSITIVE = 2.0
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -58,7 +60,7 @@ def text_terms(text: str | None, known: WordTerms) -> list[int]:
     return sorted(out)
 
 
-def fit(rows: list[tuple[int, list[int]]], n_terms: int, factors: int = FACTORS, steps: int = 250, rate: float = 0.05, decay: float = 2e-3, seed: int = 7) -> dict[str, np.ndarray]:
+def fit(rows: list[tuple[int, list[int]]], n_terms: int, factors: int = FACTORS, steps: int = 250, rate: float = 0.05, decay: float = 0.3, positive: float = POSITIVE, seed: int = 7) -> dict[str, np.ndarray]:
     """Full-batch Adam on the logistic loss; rows are (label, term numbers) of a bounded sample."""
     y = np.array([r[0] for r in rows], np.float32)
     sizes = np.array([len(r[1]) for r in rows], np.int64)
@@ -84,7 +86,7 @@ def fit(rows: list[tuple[int, list[int]]], n_terms: int, factors: int = FACTORS,
         v = p["v"][idx]
         sums = per_doc(v)
         z = p["w0"] + per_doc(p["w"][idx]) + 0.5 * (sums**2 - per_doc(v**2)).sum(1)
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * np.where(y > 0, positive, 1.0) / len(y)
         e = err[doc]
         g = {"w0": np.array([err.sum()]), "w": per_term(e) + decay * p["w"] / len(y), "v": per_term(e[:, None] * (sums[doc] - v)) + decay * p["v"] / len(y)}
         for k in p:
@@ -127,7 +129,7 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, terms: int = TERMS)
     a, b = table["n1"].to_numpy(float), table["n0"].to_numpy(float)
     e1 = (a + b) * s1 / max(s0 + s1, 1)
     gain = a * np.log(np.maximum(a, 0.5) / np.maximum(e1, 1e-9)) + b * np.log(np.maximum(b, 0.5) / np.maximum(a + b - e1, 1e-9))
-    best = table.assign(gain=np.nan_to_num(gain)).sort_values(["gain", "bin"], ascending=[False, True]).head(terms)
+    best = table.assign(gain=np.nan_to_num(gain)).query("gain > @LEAST_GAIN").sort_values(["gain", "bin"], ascending=[False, True]).head(terms)
     selected = {int(x): i for i, x in enumerate(best["bin"])}
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
