@@ -60,39 +60,37 @@ def text_terms(text: str | None, known: WordTerms) -> list[int]:
     return sorted(out)
 
 
-def fit(rows: list[tuple[int, list[int]]], n_terms: int, factors: int = FACTORS, steps: int = 250, rate: float = 0.05, decay: float = 0.3, positive: float = POSITIVE, seed: int = 7) -> dict[str, np.ndarray]:
-    """Full-batch Adam on the logistic loss; rows are (label, term numbers) of a bounded sample."""
-    y = np.array([r[0] for r in rows], np.float32)
-    sizes = np.array([len(r[1]) for r in rows], np.int64)
-    idx = np.fromiter((i for r in rows for i in r[1]), np.int64, int(sizes.sum()))
-    doc = np.repeat(np.arange(len(rows)), sizes)
-    ends = np.concatenate([[0], np.cumsum(sizes)])
-    order = np.argsort(idx, kind="stable")
-    edge = np.searchsorted(idx[order], np.arange(n_terms + 1))
-
-    def per_doc(values: np.ndarray) -> np.ndarray:
-        total = np.concatenate([np.zeros((1, *values.shape[1:]), np.float64), np.cumsum(values, 0, dtype=np.float64)])
-        return total[ends[1:]] - total[ends[:-1]]
-
-    def per_term(values: np.ndarray) -> np.ndarray:
-        total = np.concatenate([np.zeros((1, *values.shape[1:]), np.float64), np.cumsum(values[order], 0, dtype=np.float64)])
-        return total[edge[1:]] - total[edge[:-1]]
+def fit(y: np.ndarray, found: list[np.ndarray], n_terms: int, factors: int = FACTORS, steps: int = 400, batch: int = 1024, rate: float = 0.05, decay: float = 0.3, positive: float = POSITIVE, seed: int = 7) -> dict[str, np.ndarray]:
+    """Adam on the logistic loss by batches, with a falling rate; ``found`` has each text's term numbers.
 
+    Rows are a bounded sample and a batch's arrays are small, whatever their number.
+    """
     rng = np.random.default_rng(seed)
-    rate0 = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
-    p = {"w0": np.array([np.log(rate0 / (1 - rate0))]), "w": np.zeros(n_terms), "v": rng.normal(0, 0.02, (n_terms, factors))}
+    share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
+    p = {"w0": np.array([np.log(share / (1 - share))]), "w": np.zeros(n_terms), "v": rng.normal(0, 0.02, (n_terms, factors))}
     m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+    queue = np.empty(0, np.int64)
     for t in range(1, (steps if len(y) else 0) + 1):
+        if len(queue) < min(batch, len(y)):
+            queue = rng.permutation(len(y))
+        rows, queue = queue[:batch], queue[batch:]
+        sizes = np.array([len(found[i]) for i in rows])
+        idx = np.concatenate([found[i] for i in rows]).astype(np.int64)
+        doc = np.repeat(np.arange(len(rows)), sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        total = lambda x: (c := np.concatenate([np.zeros((1, *x.shape[1:])), np.cumsum(x, 0)]))[ends[1:]] - c[ends[:-1]]
         v = p["v"][idx]
-        sums = per_doc(v)
-        z = p["w0"] + per_doc(p["w"][idx]) + 0.5 * (sums**2 - per_doc(v**2)).sum(1)
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * np.where(y > 0, positive, 1.0) / len(y)
+        sums = total(v)
+        z = p["w0"] + total(p["w"][idx]) + 0.5 * (sums**2 - total(v**2)).sum(1)
+        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[rows]) * np.where(y[rows] > 0, positive, 1.0) / len(rows)
         e = err[doc]
-        g = {"w0": np.array([err.sum()]), "w": per_term(e) + decay * p["w"] / len(y), "v": per_term(e[:, None] * (sums[doc] - v)) + decay * p["v"] / len(y)}
+        pull = e[:, None] * (sums[doc] - v)
+        g = {"w0": np.array([err.sum()]), "w": np.bincount(idx, e, n_terms) + decay * p["w"] / len(y)}
+        g["v"] = np.stack([np.bincount(idx, pull[:, k], n_terms) for k in range(factors)], 1) + decay * p["v"] / len(y)
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             s[k] = 0.999 * s[k] + 0.001 * g[k] ** 2
-            p[k] = p[k] - rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-9)
+            p[k] = p[k] - rate * (1 - 0.9 * t / steps) * (m[k] / (1 - 0.9**t)) / (np.sqrt(s[k] / (1 - 0.999**t)) + 1e-9)
     return p
 
 
@@ -105,8 +103,12 @@ def value(model: dict[str, np.ndarray], found: list[int]) -> float:
 
 
 def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, terms: int = TERMS) -> dict:
-    """``labelled``: text, label (0/1; null rows are left out), at most ``train_docs`` rows."""
-    spark_rows = labelled.select("text", "label").filter(F.col("label").isNotNull()).limit(train_docs)
+    """``labelled``: text, label (0/1; null rows are left out). Beyond ``train_docs`` rows a hash of the text
+    chooses about so many, before the terms are counted and wherever the rows lie."""
+    spark_rows = labelled.select("text", "label").filter(F.col("label").isNotNull())
+    share = min(1.0, train_docs / max(spark_rows.count(), 1))
+    if share < 1:
+        spark_rows = spark_rows.filter(F.pmod(F.xxhash64("text", F.lit("fit")), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros((2, BINS), np.int64)
@@ -123,7 +125,7 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, terms: int = TERMS)
     table = c.filter((F.col("n0") + F.col("n1") >= LEAST_DOCS)).toPandas()  # 2**18 rows at most
     size = table[table["bin"] == -1]
     if not len(size):
-        return {"selected": {}, "model": fit([], 0)}
+        return {"selected": {}, "model": fit(np.empty(0), [], 0)}
     s0, s1 = int(size["n0"].iloc[0]), int(size["n1"].iloc[0])
     table = table[table["bin"] >= 0]
     a, b = table["n1"].to_numpy(float), table["n0"].to_numpy(float)
@@ -135,10 +137,12 @@ def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, terms: int = TERMS)
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = WordTerms(selected)
         for pdf in batches:
-            yield pd.DataFrame({"label": pdf["label"].astype("int64"), "terms": [text_terms(t, known) for t in pdf["text"]]})
+            yield pd.DataFrame({"label": pdf["label"].astype("int64"), "terms": [np.array(text_terms(t, known), np.uint16).tobytes() for t in pdf["text"]]})
 
-    rows = [(r["label"], list(r["terms"])) for r in spark_rows.mapInPandas(listed, "label long, terms array<int>").orderBy("label", F.hash("terms")).collect()]
-    return {"selected": selected, "model": fit(rows, len(selected))}
+    rows = spark_rows.mapInPandas(listed, "label long, terms binary").toPandas()  # a bounded number, packed
+    rows = rows.sort_values(["label", "terms"])  # so that reruns see one order
+    found = [np.frombuffer(x, np.uint16) for x in rows["terms"]]
+    return {"selected": selected, "model": fit(rows["label"].to_numpy(float), found, len(selected))}
 
 
 def score(docs: DataFrame, fitted: dict, text_col: str = "text", out_col: str = "score") -> DataFrame:
