@@ -6,7 +6,7 @@ import importlib
 
 from scriptoria.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("catalogue", "changes", "duplicates", "graphs", "identifiers", "retrieval",)
+MODULES = ("catalogue", "changes", "documents", "duplicates", "graphs", "identifiers", "retrieval",)
 
 
 def _load() -> None:
