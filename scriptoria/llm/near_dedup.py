@@ -12,11 +12,12 @@ least ln c - r * (t - beta + 1). Two texts agree in a sample with their weighted
 probability. A shingle's (r, c, beta) come from a table of 65,536 triples that its hash points into.
 
 ``BANDS`` bands of four samples make buckets. Equal texts are one document from the start. Then, in
-rounds, the least (or largest) documents of each bucket are pivots for the other members that are not yet
-in their class; pairs whose signatures agree enough (five standard deviations below 0.8) are verified by
-the weighted Jaccard of the whole texts, and links are joined to classes by distributed label
-contraction. A bucket is done when all members are of one class or every pair across classes was tried:
-pivots quadruple from round to round, so a large group costs a few linear rounds, and no pair is lost.
+rounds, the least documents of each bucket are pivots for the other members that are not yet in their
+class, verified by the weighted Jaccard of the whole texts, and links are joined to classes by distributed
+label contraction. In the first round, of one pivot, only pairs whose signatures agree enough (five
+standard deviations below 0.8) are verified; it joins nearly all. Later rounds meet members and up to
+``MOST_PIVOTS`` pivots in blocks of bounded size. A bucket is done when all members are of one class or
+every member was a pivot, so no link is lost whatever a group's size.
 """
 
 from __future__ import annotations
@@ -30,19 +31,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from scriptoria.llm.text import hash_words, mix, shared_folder, split_words, unique_hashes, window_hashes
+from scriptoria.llm.text import hash_texts, mix, shared_folder, unique_hashes, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 #: Agreeing samples, of 64, below which a pair isn't verified: mean 51.2 and deviation 3.2 at 0.8.
 AGREE = 35
+#: By how much the pivots of a bucket grow from round to round.
+PIVOTS_GROW, MOST_PIVOTS = 64, 1024
+#: Members of a bucket that meet its pivots in one group.
+BLOCK = 512
 #: Rows and cells of the count-min sketch of document frequencies.
 SKETCH_ROWS, CELLS = 2, 1 << 19
 RARE = 0.01
 _TRIPLES = 1 << 16
-#: Words that a task handles together.
-BATCH_WORDS = 400_000
+#: Words that a task handles together; what it computes on then stays in a core's cache.
+BATCH_WORDS = 60_000
 
 
 def _triples() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,26 +71,28 @@ def _draw(index: np.ndarray, ln_w: np.ndarray | float) -> tuple[np.ndarray, np.n
     return _sortable(_LN_C[index] - r * (t - beta + 1)) << np.uint64(32), t.astype(np.int64).astype(np.uint64)
 
 
+#: Bits of a shingle's hash that tell it from others of its text; the rest of a key numbers the text.
+_OWN = np.uint64((1 << 44) - 1)
+
+
 class Shingles:
-    """Distinct shingles of many texts: hash, how often, and the text; ordered by text."""
+    """Distinct shingles of many texts (fewer than 2**20): hash, how often, and the text; ordered by text."""
 
     def __init__(self, texts: list[str | None]):
-        found = [split_words(t) for t in texts]
-        sizes = np.array([len(w) for w in found], np.int64)
-        flat = hash_words([w for ws in found for w in ws])
-        doc = np.repeat(np.arange(len(texts)), sizes)
+        flat, sizes = hash_texts(texts)
+        doc = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
         ends = np.cumsum(sizes)
         h = window_hashes(flat, SHINGLE, 3)
-        at = np.flatnonzero((np.repeat(ends, sizes) - np.arange(len(flat)))[: len(h)] >= SHINGLE) if len(h) else np.empty(0, np.int64)
+        within = doc[SHINGLE - 1 :] == doc[: len(h)]
         short = np.flatnonzero(sizes < SHINGLE)
         one = np.array([int(mix(np.add.reduce(flat[ends[i] - sizes[i] : ends[i]] * (np.arange(1, sizes[i] + 1, dtype=np.uint64) | np.uint64(1)), keepdims=True))[0]) for i in short], np.uint64)
-        h, doc = np.concatenate([h[at], one]), np.concatenate([doc[at], short])
-        key = mix(h ^ mix(doc.astype(np.uint64) + np.uint64(1)))
-        _, first, order = unique_hashes(key)
-        tf = np.diff(np.append(first, len(key)))
-        h, doc = h[order[first]], doc[order[first]]
-        by_doc = np.argsort(doc, kind="stable")
-        self.hash, self.doc, self.tf = h[by_doc], doc[by_doc], tf[by_doc]
+        key = np.concatenate([(doc[: len(h)][within] << np.uint64(44)) | (h[within] >> np.uint64(20)), (short.astype(np.uint64) << np.uint64(44)) | (one >> np.uint64(20))])
+        key.sort()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+        self.tf = np.diff(np.append(first, len(key)))
+        key = key[first]
+        self.doc = (key >> np.uint64(44)).astype(np.int64)
+        self.hash = mix(key & _OWN)
 
 
 def _cells(h: np.ndarray, row: int) -> np.ndarray:
@@ -113,25 +120,34 @@ class Idf:
 
 
 def signatures(s: Shingles, idf: Idf, n: int) -> np.ndarray:
-    """uint16[n, SAMPLES]: a digest of the shingle and t kept in each sample."""
+    """uint16[n, SAMPLES]: a digest of the shingle and t kept in each sample.
+
+    A key is the sortable value above 32 bits of the shingle, xor 32 bits of t.
+    """
     out = np.zeros((n, SAMPLES), np.uint16)
     begins = np.flatnonzero(np.append(True, s.doc[1:] != s.doc[:-1])) if len(s.doc) else np.empty(0, np.int64)
     if not len(begins):
         return out
     ln_w = idf.ln_weight(s.hash, s.tf)
     odd = np.flatnonzero(np.abs(ln_w - idf.light) > 1e-12)
+    ln_odd = ln_w[odd]
     values, ts = _draw(np.arange(_TRIPLES), idf.light)
-    usual = values  # a light shingle's draw depends on the triple alone
-    usual_id = mix(ts)
+    usual = values | (mix(ts) >> np.uint64(32))  # a light shingle's draw depends on the triple alone
+    low = s.hash & np.uint64(0xFFFFFFFF)
+    low_odd = low[odd]
+    index, key = np.empty(len(low), np.uint64), np.empty(len(low), np.uint64)
+    least = np.empty((SAMPLES, len(begins)), np.uint64)
     for j in range(SAMPLES):
-        index = ((s.hash * _A[j]) >> np.uint64(48)).astype(np.int64)
-        ident = s.hash * _B[j]
-        key = usual[index] | ((ident ^ usual_id[index]) >> np.uint64(32))
+        np.multiply(s.hash, _A[j], out=index)
+        np.right_shift(index, np.uint64(48), out=index)
+        at = index.view(np.int64)
+        np.take(usual, at, out=key, mode="clip")
+        np.bitwise_xor(key, low, out=key)
         if len(odd):
-            value, t = _draw(index[odd], ln_w[odd])
-            key[odd] = value | ((ident[odd] ^ mix(t)) >> np.uint64(32))
-        least = np.minimum.reduceat(key, begins)
-        out[s.doc[begins], j] = (mix(least & np.uint64(0xFFFFFFFF)) >> np.uint64(48)).astype(np.uint16)
+            value, t = _draw(at[odd], ln_odd)
+            key[odd] = (value | (mix(t) >> np.uint64(32))) ^ low_odd
+        np.minimum.reduceat(key, begins, out=least[j])
+    out[s.doc[begins]] = (mix((least & np.uint64(0xFFFFFFFF)) * _B[:, None]) >> np.uint64(48)).astype(np.uint16).T
     return out
 
 
@@ -191,19 +207,22 @@ def document_frequencies(texts: DataFrame, n_docs: int) -> Idf:
 def _contract(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``classes`` (id, cls) after ``links`` (a, b of classes): every class gets the least of its component.
 
-    Alternates taking the least neighbour and jumping to the label's label; both shrink distances, so the
-    rounds grow with the logarithm of a chain's length. Only classes that have links take part.
+    A step takes the least label of all neighbours, then that label's label; both shrink distances, so the
+    steps grow with the logarithm of a chain's length. Only classes that have links take part.
     """
     edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    label = edges.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("l")).checkpoint()
-    while True:
+
+    def step(label: DataFrame) -> DataFrame:
         far = edges.join(label, F.col("b") == F.col("v")).groupBy(F.col("a").alias("u")).agg(F.min("l").alias("m"))
         near = label.join(far, F.col("v") == F.col("u"), "left").select("v", F.least("l", F.coalesce("m", "l")).alias("k"), F.col("l").alias("old"))
         up = label.select(F.col("v").alias("u"), F.col("l").alias("m"))
-        nxt = near.join(up, F.col("k") == F.col("u"), "left").select("v", F.least("k", F.coalesce("m", "k")).alias("l"), "old").checkpoint()
-        changed = nxt.filter(F.col("l") != F.col("old")).limit(1).count()
-        label = nxt.select("v", "l")
-        if not changed:
+        return near.join(up, F.col("k") == F.col("u"), "left").select("v", F.least("k", F.coalesce("m", "k")).alias("l"), "old")
+
+    label = edges.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("l"))
+    while True:
+        stepped = step(step(label.select("v", "l"))).checkpoint()
+        label = stepped.select("v", "l")
+        if not stepped.filter(F.col("l") != F.col("old")).limit(1).count():
             return classes.join(label, F.col("cls") == F.col("v"), "left").select("id", F.coalesce("l", "cls").alias("cls"))
 
 
@@ -212,22 +231,21 @@ UNNAMED = 1 << 62
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row a row of ``docs``: doc_id, class_id (the least doc_id of the class) and n_links.
+    """One row a row of ``docs``: doc_id and class_id, the least doc_id of the class.
 
-    n_links counts verified links between different texts that the document's text has; copies share it.
     Null texts are empty, and empty texts are copies of each other. A null id is a class member like any
     other, but a class without an id is named by a digest (``UNNAMED`` or more); so is the class of a text
     whose every id already stands for another text. Extra columns are not read; an empty table gives no rows.
     """
     found = _text_classes(docs, id_col, text_col, threshold)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, class_id long, n_links long")
+        return docs.sparkSession.createDataFrame([], "doc_id long, class_id long")
     signed, of_text = found
-    return signed.select("id", "digest").join(of_text, "digest").select(F.col("id").alias("doc_id"), F.col("cls").alias("class_id"), "n_links")
+    return signed.select("id", "digest").join(of_text, "digest").select(F.col("id").alias("doc_id"), F.col("cls").alias("class_id"))
 
 
 def _text_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame] | None:
-    """(id, digest) of every row, and (digest, rep, node, cls, n_links) of every distinct text; None if ``docs`` is empty."""
+    """(id, digest) of every row, and (digest, rep, node, cls) of every distinct text; None if ``docs`` is empty."""
     spark = docs.sparkSession
     shared_folder(spark)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -258,38 +276,31 @@ def _text_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float)
     member = member.join(sizes.select("band"), "band").checkpoint()
 
     classes = nodes.select("id", F.col("id").alias("cls")).checkpoint()
-    links = None
     pivots, tried = 1, 0
     while True:
         m = member.join(classes, "id")
         open_bands = m.groupBy("band").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count(F.lit(1)).alias("n")).filter("x < y and n > %d" % tried)
-        m = m.join(open_bands.select("band"), "band").select("band", "id", "sig", "cls").checkpoint()
+        m = m.join(open_bands.select("band", "n"), "band").select("band", "id", "sig", "cls", "n").checkpoint()
         if not m.limit(1).count():
             break
         # the filter on the row number keeps a bounded number of rows a band and task before any shuffle
         place = F.row_number().over(Window.partitionBy("band").orderBy("id"))
         chosen = m.withColumn("place", place).filter(F.col("place") <= tried + pivots).filter(F.col("place") > tried)
-        chosen = chosen.select("band", F.col("id").alias("pivot"), F.col("sig").alias("p_sig"), F.col("cls").alias("p_cls"))
-        pairs = m.join(chosen, "band").filter((F.col("p_cls") != F.col("cls")) & (F.col("pivot") != F.col("id")))
-        near = pairs.withColumn("agree", _agreeing("sig", "p_sig")).filter(F.col("agree") >= AGREE).select("pivot", "id").distinct()
-        if links is not None:
-            known = links.select("pivot", "id").union(links.select(F.col("id").alias("pivot"), F.col("pivot").alias("id")))
-            near = near.join(known, ["pivot", "id"], "left_anti")
-        near = near.checkpoint()
-        found = _verified(d, nodes.select("id", "digest"), near, shared, threshold).checkpoint()
-        links = found if links is None else links.union(found)
-        cls = classes.select(F.col("id").alias("k"), F.col("cls").alias("c"))
-        of = found.filter("linked").join(cls, F.col("pivot") == F.col("k")).select("id", F.col("c").alias("a")).join(cls, F.col("id") == F.col("k")).select("a", F.col("c").alias("b"))
-        classes = _contract(classes, of.filter("a <> b").distinct()).checkpoint()
+        if pivots == 1:
+            one = chosen.select("band", F.col("id").alias("pivot"), F.col("sig").alias("p_sig"), F.col("cls").alias("p_cls"))
+            pairs = m.join(one, "band").filter(F.col("p_cls") != F.col("cls"))
+            near = pairs.withColumn("agree", _agreeing("sig", "p_sig")).filter(F.col("agree") >= AGREE).select("pivot", "id").distinct().checkpoint()
+            links = _verified(d, nodes.select("id", "digest"), near, shared, threshold)
+        else:
+            links = _linked_in_blocks(d, nodes.select("id", "digest"), m, chosen, shared, threshold)
+        links = links.checkpoint()
+        if links.limit(1).count():
+            cls = classes.select(F.col("id").alias("k"), F.col("cls").alias("c"))
+            of = links.join(cls, F.col("pivot") == F.col("k")).select("id", F.col("c").alias("a")).join(cls, F.col("id") == F.col("k")).select("a", F.col("c").alias("b"))
+            classes = _contract(classes, of.filter("a <> b").distinct()).checkpoint()
         tried += pivots
-        pivots *= 4
-    if links is None:
-        counts = classes.select("id", F.lit(0).cast("long").alias("n_links")).limit(0)
-    else:
-        linked = links.filter("linked").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        counts = linked.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    of_node = classes.join(counts, "id", "left").select("id", "cls", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return signed.select("id", "digest"), nodes.select("id", "digest", "rep").join(of_node, "id").select("digest", "rep", F.col("id").alias("node"), "cls", "n_links")
+        pivots = min(pivots * PIVOTS_GROW, MOST_PIVOTS)
+    return signed.select("id", "digest"), nodes.select("id", "digest", "rep").join(classes, "id").select("digest", "rep", F.col("id").alias("node"), "cls")
 
 
 def digest_of(text_col: str):
@@ -305,25 +316,93 @@ def _agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
 
 
 #: Up to so many ids are broadcast to filter the texts; more are joined by a shuffle.
-FEW_IDS = 200_000
+FEW_IDS = 50_000
 
 
-def _verified(d: DataFrame, nodes: DataFrame, near: DataFrame, shared, threshold: float) -> DataFrame:
-    """pivot, id, linked for the pairs ``near`` (pivot, id): the weighted Jaccard of the whole texts."""
-    ids = near.select(F.explode(F.array("pivot", "id")).alias("id")).distinct()
+def _texts_of(d: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text for the distinct ``ids`` (id)."""
     few = ids.count() <= FEW_IDS
     wanted = nodes.join(F.broadcast(ids) if few else ids, "id")
-    text = d.select("text", digest_of("text").alias("digest")).join(F.broadcast(wanted) if few else wanted, "digest").groupBy("id").agg(F.first("text").alias("text"))
+    rows = d.select("text", digest_of("text").alias("digest")).join(F.broadcast(wanted) if few else wanted, "digest")
+    return rows.groupBy("id").agg(F.first("text").alias("text"))
+
+
+def _verified(d: DataFrame, nodes: DataFrame, near: DataFrame, shared, threshold: float) -> DataFrame:
+    """Those of the pairs ``near`` (pivot, id) whose whole texts have the weighted Jaccard ``threshold``."""
+    text = _texts_of(d, nodes, near.select(F.explode(F.array("pivot", "id")).alias("id")).distinct())
     # members first, then pivots: a hot pivot's text meets its members' in a join that AQE splits
     both = near.join(text.select("id", F.col("text").alias("a")), "id").join(text.select(F.col("id").alias("pivot"), F.col("text").alias("b")), "pivot")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part in _batched(pdf, "a"):
-                likeness = weighted_jaccard(part["a"].tolist(), part["b"].tolist(), shared.value)
-                yield pd.DataFrame({"pivot": part["pivot"], "id": part["id"], "linked": likeness >= threshold})
+                linked = weighted_jaccard(part["a"].tolist(), part["b"].tolist(), shared.value) >= threshold
+                yield part.loc[linked, ["pivot", "id"]]
+
+    return both.select("pivot", "id", "a", "b").mapInPandas(verify, "pivot long, id long")
+
 
-    return both.select("pivot", "id", "a", "b").mapInPandas(verify, "pivot long, id long, linked boolean")
+def _linked_in_blocks(d: DataFrame, nodes: DataFrame, members: DataFrame, chosen: DataFrame, shared, threshold: float) -> DataFrame:
+    """Links (pivot, id) of members to chosen pivots of their bucket, across classes.
+
+    A bucket's members are dealt to blocks of about ``BLOCK`` by a hash, and its pivots, of which there are
+    ``MOST_PIVOTS`` at most, go to each of them: groups of bounded size, a row a member and not a pair. A
+    block answers with one link for a member and a class of pivots, as more would join the same classes.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = members.select("band", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id", "cls", F.lit(False).alias("pivot"))
+    guests = chosen.select("band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "id", "cls", F.lit(True).alias("pivot"))
+    rows = own.unionByName(guests)
+    text = _texts_of(d, nodes, members.select("id").distinct())
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        p = pdf["pivot"].to_numpy(bool)
+        ids, cls = pdf["id"].to_numpy(np.int64), pdf["cls"].to_numpy(np.int64)
+        across = cls[~p][:, None] != cls[p][None, :]
+        if not across.any():
+            return pd.DataFrame({"pivot": [], "id": []})
+        near = across & (jaccard_matrix(pdf["text"].tolist(), p, shared.value) >= threshold)
+        i, j = near.nonzero()
+        found = pd.DataFrame({"pivot": ids[p][j], "id": ids[~p][i], "cls": cls[p][j]})
+        return found.drop_duplicates(["id", "cls"])[["pivot", "id"]]
+
+    return rows.join(text, "id").groupBy("band", "block").applyInPandas(links, "pivot long, id long").distinct()
+
+
+def jaccard_matrix(texts: list[str], column: np.ndarray, idf: Idf) -> np.ndarray:
+    """Weighted Jaccard of all texts outside ``column`` (rows) with all in it, exactly.
+
+    A shingle that a text holds k times has the levels 1..k, each with what it adds to the weight; so the
+    sum of minima is a product of two matrices over (shingle, level), of which only shared ones count.
+    """
+    s = Shingles(texts)
+    w = np.exp(idf.ln_weight(s.hash, s.tf))
+    total = np.bincount(s.doc, w, len(texts))
+    reps = np.maximum(s.tf, 1)
+    level = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + 1
+    doc, shingle = np.repeat(s.doc, reps), np.repeat(s.hash, reps)
+    unit = np.repeat(w / (1.0 + np.log(s.tf)), reps)
+    adds = unit * np.where(level == 1, 1.0, np.log(level) - np.log(np.maximum(level - 1, 1)))
+    _, first, order = unique_hashes(mix(shingle + level.astype(np.uint64)))
+    size = np.diff(np.append(first, len(order)))
+    rank = np.repeat(np.cumsum(size > 1) - 1, size)
+    shared = np.repeat(size > 1, size)
+    order, rank = order[shared], rank[shared]
+    place = np.where(column, np.cumsum(column) - 1, np.cumsum(~column) - 1)
+    n_rows, n_cols = int((~column).sum()), int(column.sum())
+    both = np.zeros((n_rows, n_cols))
+    step = max(1, 4_000_000 // max(len(texts), 1))
+    cuts = np.searchsorted(rank, np.arange(0, (rank[-1] + 1 if len(rank) else 0) + step, step))
+    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        at, to = doc[order[a:b]], rank[a:b] - k * step
+        root = np.sqrt(adds[order[a:b]])
+        in_col = column[at]
+        x, y = np.zeros((n_rows, step)), np.zeros((n_cols, step))
+        x[place[at[~in_col]], to[~in_col]] = root[~in_col]
+        y[place[at[in_col]], to[in_col]] = root[in_col]
+        both += x @ y.T
+    either = total[~column][:, None] + total[column][None, :] - both
+    return both / np.maximum(either, 1e-300)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

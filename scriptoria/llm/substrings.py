@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.text import by_bucket, chunks_for, hash_words, split_words, unique_hashes, window_hashes, with_chunk
+from scriptoria.llm.text import by_bucket, chunks_for, hash_texts, split_words, unique_hashes, window_hashes, with_chunk
 
 BLOCK = 7
 WINDOW = 2 * BLOCK - 1
@@ -36,13 +36,11 @@ class Chunk:
 
     def __init__(self, texts: list[str | None], ids: np.ndarray, block: int):
         self.block, self.window = block, 2 * block - 1
-        self.words = [split_words(t) for t in texts]
-        sizes = np.array([len(w) for w in self.words], np.int64)
+        flat, sizes = hash_texts(texts)
         self.long = np.flatnonzero(sizes >= self.window)
+        self.hashes = flat[np.repeat(sizes >= self.window, sizes)]
         self.sizes = sizes[self.long]
         self.at = np.cumsum(self.sizes) - self.sizes
-        parts = [hash_words(self.words[i]) for i in self.long]
-        self.hashes = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         self.ids = np.asarray(ids, np.int64)[self.long]
 
     def starts(self, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,8 +162,9 @@ def _remove(docs: pd.DataFrame, late: pd.DataFrame, block: int) -> pd.DataFrame:
     np.add.at(change, start[gone] + c.window, -1)
     covered = np.cumsum(change)[:-1] > 0
     place = {int(i): k for k, i in enumerate(c.long)}
-    kept, removed = [], []
-    for i, words in enumerate(c.words):
+    kept, removed, sizes = [], [], []
+    for i, words in enumerate(map(split_words, docs["_text"])):
+        sizes.append(len(words))
         k = place.get(i)
         out = covered[c.at[k] : c.at[k] + c.sizes[k]] if k is not None else None
         if out is not None and out.any():
@@ -173,7 +172,7 @@ def _remove(docs: pd.DataFrame, late: pd.DataFrame, block: int) -> pd.DataFrame:
         kept.append(b" ".join(words).decode("utf-8", "replace"))
         removed.append(int(out.sum()) if out is not None else 0)
     extra = docs.drop(columns=["_text", "_id", "chunk"])
-    return extra.assign(kept_text=kept, n_words=[len(w) for w in c.words], n_removed=removed)
+    return extra.assign(kept_text=kept, n_words=sizes, n_removed=removed)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, chunk_bytes: int = 8 << 20) -> DataFrame:

@@ -9,7 +9,6 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,25 +31,50 @@ def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 
 
-class WordHashes(dict):
-    """Word (bytes) -> 64-bit hash, remembered within a worker up to a bound."""
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(64).integers(0, 1 << 64, 256, np.uint64)
+_BASE, _INVERSE = np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+#: Bytes that are hashed together.
+BLOCK_BYTES = 1 << 18
+_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    LIMIT = 400_000
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = value
-        return value
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, up to ``n``; longer ones only for a word longer than a block."""
+    if len(_POWERS[0]) <= n:
+        made = [np.cumprod(np.append(np.uint64(1), np.full(max(n, BLOCK_BYTES), x))) for x in (_BASE, _INVERSE)]
+        if n > BLOCK_BYTES:
+            return made
+        _POWERS[:] = made
+    return _POWERS
 
 
-_HASHES = WordHashes()
+def hash_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts in order, and how many words each text has.
 
-
-def hash_words(found: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    A word's hash is a polynomial of random values of its bytes, so it is a difference of prefix sums.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+    if not raw:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    edge = np.diff(_IS_SPACE[data], prepend=True, append=True).nonzero()[0]
+    starts, ends = edge[::2], edge[1::2]
+    doc_ends = np.cumsum([len(r) + 1 for r in raw])
+    sizes = np.diff(np.searchsorted(starts, doc_ends), prepend=0)
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        lo = starts[i]
+        j = max(int(np.searchsorted(ends, lo + BLOCK_BYTES, "right")), i + 1)
+        hi = ends[j - 1]
+        up, down = _powers(int(hi - lo))
+        prefix = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTE[data[lo:hi]] * up[: hi - lo], out=prefix[1:])
+        out[i:j] = (prefix[ends[i:j] - lo] - prefix[starts[i:j] - lo]) * down[starts[i:j] - lo]
+        i = j
+    return mix(out), sizes
 
 
 def split_words(text: str | None) -> list[bytes]:

@@ -146,3 +146,15 @@ def test_hot_groups_of_near_copies(spark):
     got = near_dedup.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["class_id"] for r in got if r["doc_id"] < 600} == {0}
     assert all(r["class_id"] == r["doc_id"] for r in got if r["doc_id"] >= 1000)
+
+
+def test_matrix_is_the_pairwise_likeness():
+    import numpy as np
+
+    texts = ["a b c d e f g h", "a b c d e f g x", "a b c d e a b c d e a b c d e", "a b c d e f g h", "q", "", "a b c d e a b c d e z"]
+    idf = near_dedup.Idf(10, [(np.empty(0, np.int64), np.empty(0))] * 2)
+    column = np.array([False, True, True, True, False, False, False])
+    rows, cols = [t for t, c in zip(texts, column) if not c], [t for t, c in zip(texts, column) if c]
+    got = near_dedup.jaccard_matrix(texts, column, idf)
+    want = np.array([[near_dedup.weighted_jaccard([a], [b], idf)[0] for b in cols] for a in rows])
+    assert np.allclose(got, want) and want.max() == 1.0 and ((want > 0) & (want < 1)).any()
