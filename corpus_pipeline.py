@@ -44,9 +44,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts as sampled piece ids; only what decodes to the very text is passed on, which is every text."""
-    path = tokenizer_path()
-    coded = pieces.decode(pieces.encode(docs, path), path)
-    return coded.filter(F.coalesce("text", F.lit("")) == F.col("decoded")).select(*COLUMNS, "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"))
+    coded = pieces.encode_checked(docs, tokenizer_path())
+    return coded.filter("lossless").select(*COLUMNS, "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"))
 
 
 STAGES = [

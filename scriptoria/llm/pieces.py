@@ -16,9 +16,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from scriptoria.llm.token_count import META, model
 
 LONGEST = 32
 SEGMENT = re.compile(r"\n| {0,15}[^ \n]{1,%d}| {1,16}" % LONGEST)
-#: Lattices that a worker keeps; segments that are sampled together.
-KEPT, LOCKSTEP = 200_000, 250_000
+#: Lattices that a worker keeps; segments that are sampled together; lattices that are built together.
+KEPT, LOCKSTEP, ADDED = 300_000, 60_000, 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,6 +63,9 @@ class Pieces:
             raise ValueError("two beginnings of pieces share a hash")
         self.ids = np.array(list(prefix.values()), np.int64)[order]
         first = min(ids.values())
+        self.table = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.bytes_in = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.bytes_at = np.cumsum(self.bytes_in) - self.bytes_in
         self.weight = 1.0 / np.maximum(np.arange(self.size) - first + 2.0, 2.0) ** theta
         self.least = 1.0 / self.size**theta
 
@@ -73,8 +77,25 @@ class Pieces:
         return h
 
 
+class Growing:
+    """An array that doubles its room when it is full."""
+
+    def __init__(self, dtype: type):
+        self.room, self.n = np.zeros(1024, dtype), 0
+
+    @property
+    def used(self) -> np.ndarray:
+        return self.room[: self.n]
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.n + len(more) > len(self.room):
+            self.room = np.concatenate([self.used, np.zeros(self.n + 2 * len(more), self.room.dtype)])
+        self.room[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
 class Lattices:
-    """Arcs of all known segments, sorted by the node they end at; nodes are numbered over all segments."""
+    """Arcs of all known segments, grouped by the node they end at; nodes are numbered over all segments."""
 
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
@@ -82,16 +103,15 @@ class Lattices:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.start = np.zeros(0, np.int64)  # of a segment: its node 0
-        self.end = np.zeros(0, np.int64)
-        self.cdf = np.zeros(0)  # of an arc: its end node + the share of the node's arcs up to it
-        self.back = np.zeros(0, np.int64)  # of an arc: the node it comes from
-        self.piece = np.zeros(0, np.int64)  # of an arc: its piece, or -1 - code point
-        self.nodes = 0
+        self.start, self.end = Growing(np.int32), Growing(np.int32)  # of a segment: its first and last node
+        self.first = Growing(np.int32)  # of a node: its first arc
+        self.cdf = Growing(np.float64)  # of an arc: the share of its end node's arcs up to it
+        self.back = Growing(np.int32)  # of an arc: the node it comes from
+        self.piece = Growing(np.int32)  # of an arc: its piece, or -1 - code point
 
     def add(self, segments: list[str]) -> None:
         p = self.pieces
-        sizes = np.array([len(s) for s in segments], np.int64)
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
         chars = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         at = np.cumsum(sizes) - sizes
         room = np.repeat(sizes, sizes) - (np.arange(len(chars)) - np.repeat(at, sizes))  # characters to the segment's end
@@ -125,49 +145,60 @@ class Lattices:
         alpha = np.zeros(nodes)
         alpha[node0] = 1.0
         depth = starts - np.repeat(at, sizes)[starts] + lengths
-        by_depth = np.argsort(depth, kind="stable")
+        by_depth = np.argsort(depth.astype(np.int16), kind="stable")
         cuts = np.searchsorted(depth[by_depth], np.arange(1, LONGEST + 18))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # forward filtering, one position of all segments at a time
             if a < b:
                 arcs = by_depth[a:b]
                 np.add.at(alpha, to[arcs], alpha[back[arcs]] * weight[arcs])
-        order = np.lexsort((starts, to))
+        order = np.argsort(to * 64 - lengths)  # a segment has fewer than 64 characters
         back, to, piece = back[order], to[order], piece[order]
         share = alpha[back] * weight[order] / alpha[to]
         total = np.cumsum(share)
         new = np.append(True, to[1:] != to[:-1])
         base = (total - share)[new][np.cumsum(new) - 1]
-        part = np.minimum(total - base, 1.0)
-        part[np.append(new[1:], True)] = 1.0
+        part = total - base
+        part[np.append(new[1:], True)] = 2.0  # the last arc takes what rounding leaves
+        nodes_before, arcs_before = self.first.n, self.cdf.n
         self.number.update(zip(segments, range(len(self.number), len(self.number) + len(segments)), strict=True))
-        self.start = np.concatenate([self.start, node0 + self.nodes])
-        self.end = np.concatenate([self.end, node0 + sizes + self.nodes])
-        self.cdf = np.concatenate([self.cdf, to + self.nodes + part])
-        self.back = np.concatenate([self.back, back + self.nodes])
-        self.piece = np.concatenate([self.piece, piece])
-        self.nodes += nodes
+        self.start.extend(node0 + nodes_before)
+        self.end.extend(node0 + sizes + nodes_before)
+        self.first.extend(np.searchsorted(to, np.arange(nodes)) + arcs_before)
+        self.cdf.extend(part)
+        self.back.extend(back + nodes_before)
+        self.piece.extend(piece)
+
+    def numbers(self, found: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.number.get, found, repeat(-1)), np.int64, len(found))
 
     def sample(self, found: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all segments in order, and how many each segment has. seeds: one a segment."""
-        new = list(dict.fromkeys(s for s in found if s not in self.number))
+        seg = self.numbers(found)
+        unknown = np.flatnonzero(seg < 0)
+        new = list(dict.fromkeys([found[i] for i in unknown.tolist()]))
         if len(self.number) + len(new) > KEPT:
             self.forget()
-            new = list(dict.fromkeys(found))
-        if new:
-            self.add(new)
-        seg = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
-        node, first = self.end[seg], self.start[seg]
+            unknown, new = np.arange(len(found)), list(dict.fromkeys(found))
+        for at in range(0, len(new), ADDED):
+            self.add(new[at : at + ADDED])
+        seg[unknown] = self.numbers([found[i] for i in unknown.tolist()])
+        node, start = self.end.used[seg], self.start.used[seg]
+        first, cdf, back, named = self.first.used, self.cdf.used, self.back.used, self.piece.used
         live, steps = np.arange(len(found)), np.zeros(len(found), np.int64)
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
         while len(live):
             u = (mix(seeds[live] + np.uint64((len(drawn) + 1) * int(_BASE) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            arc = np.searchsorted(self.cdf, node[live] + u, side="right")
-            drawn.append((live, self.piece[arc]))
-            node[live] = self.back[arc]
+            arc = first[node[live]]
+            beyond = np.flatnonzero(cdf[arc] <= u)
+            while len(beyond):
+                arc[beyond] += 1
+                beyond = beyond[cdf[arc[beyond]] <= u[beyond]]
+            drawn.append((live, named[arc]))
+            node[live] = back[arc]
             steps[live] += 1
-            live = live[node[live] != first[live]]
+            live = live[node[live] != start[live]]
         after = np.cumsum(steps)
-        out = np.zeros(int(after[-1]) if len(after) else 0, np.int64)
+        out = np.zeros(int(after[-1]) if len(after) else 0, np.int32)
         for k, (who, piece) in enumerate(drawn):
             out[after[who] - 1 - k] = piece
         return self.spelled(out, steps)
@@ -201,19 +232,16 @@ def seed_of(key: str, seed: int) -> np.uint64:
     return np.uint64(xxhash.xxh3_64_intdigest(f"{seed}:{key}".encode("utf-8", "surrogatepass")))
 
 
-def encode_texts(keys: list[str], texts: list[str | None], path: str, theta: float = 1.0, seed: int = 0) -> list[np.ndarray]:
-    known = lattices(path, theta)
-    done: list[np.ndarray] = []
+def encode_texts(keys: list, texts: list[str | None], known: Lattices, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pieces of consecutive texts in order and how many each text has, about ``LOCKSTEP`` segments at a time."""
     found: list[str] = []
     counts: list[int] = []
     seeds: list[np.ndarray] = []
 
-    def flush() -> None:
-        pieces, sizes = known.sample(found, np.concatenate(seeds) if seeds else np.zeros(0, np.uint64))
-        per_doc = np.add.reduceat(np.append(sizes, 0), np.cumsum([0, *counts[:-1]])) if counts else np.zeros(0, np.int64)
-        per_doc = np.where(np.array(counts) > 0, per_doc, 0)
-        done.extend(np.split(pieces.astype(np.int32), np.cumsum(per_doc)[:-1]))
-        found.clear(), counts.clear(), seeds.clear()
+    def drawn() -> tuple[np.ndarray, np.ndarray]:
+        pieces, sizes = known.sample(found, np.concatenate(seeds))
+        upto = np.append(0, np.cumsum(sizes))[np.cumsum(counts)]
+        return pieces, np.diff(upto, prepend=0)
 
     for key, text in zip(keys, texts, strict=True):
         own = SEGMENT.findall(" " + text) if text else []
@@ -221,10 +249,30 @@ def encode_texts(keys: list[str], texts: list[str | None], path: str, theta: flo
         counts.append(len(own))
         seeds.append(mix(seed_of(key, seed) + np.arange(len(own), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
         if len(found) >= LOCKSTEP:
-            flush()
+            yield drawn()
+            found.clear(), counts.clear(), seeds.clear()
     if counts:
-        flush()
-    return done
+        yield drawn()
+
+
+def decode_texts(ids: np.ndarray, sizes: np.ndarray, pieces: Pieces) -> list[str]:
+    """Texts of consecutive runs of pieces; a text's first byte is the space that encoding puts before it."""
+    n = pieces.bytes_in[ids]
+    after = np.cumsum(n)
+    raw = pieces.table[np.repeat(pieces.bytes_at[ids] - after + n, n) + np.arange(int(after[-1]) if len(n) else 0)].tobytes()
+    cuts = np.append(0, after)[np.append(0, np.cumsum(sizes))].tolist()
+    return [raw[a + 1 : b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _lists(ids: list[np.ndarray], sizes: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes]))
+    flat = np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32, copy=False)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+
+
+def _key(key: Column | str) -> Column:
+    key = F.col(key) if isinstance(key, str) else key
+    return F.coalesce(key.cast("string"), F.lit("null"))
 
 
 def encode(docs: DataFrame, path: str, key: Column | str = "doc_id", text_col: str = "text", out_col: str = "piece_ids", theta: float = 1.0, seed: int = 0) -> DataFrame:
@@ -234,22 +282,49 @@ def encode(docs: DataFrame, path: str, key: Column | str = "doc_id", text_col: s
     equal pieces. Other columns and repeated rows pass unchanged; a clashing ``out_col`` is replaced.
     """
 
-    @F.pandas_udf("array<int>")
-    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<int>")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known = lattices(path, theta)
         for keys, texts in batches:
-            yield pd.Series(encode_texts(keys.tolist(), texts.tolist(), path, theta, seed), dtype=object)
+            ids, sizes = [], []
+            for i, n in encode_texts(keys.to_pylist(), texts.to_pylist(), known, seed):
+                ids.append(i), sizes.append(n)
+            yield _lists(ids, sizes)
 
-    key = F.col(key) if isinstance(key, str) else key
-    return docs.withColumn(out_col, of(F.coalesce(key.cast("string"), F.lit("null")), F.col(text_col)))
+    return docs.withColumn(out_col, of(_key(key), F.col(text_col)))
+
+
+def encode_checked(docs: DataFrame, path: str, key: Column | str = "doc_id", text_col: str = "text", theta: float = 1.0, seed: int = 0) -> DataFrame:
+    """``docs`` with piece_ids as ``encode`` gives them and lossless: whether they decode to the very text.
+
+    Both happen in one worker, so pieces do not travel there twice. Null and empty texts have no pieces and
+    are lossless; clashing columns are replaced.
+    """
+
+    @F.arrow_udf("struct<piece_ids:array<int>,lossless:boolean>")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        known = lattices(path, theta)
+        for keys, texts in batches:
+            whole = texts.to_pylist()
+            ids, sizes, same = [], [], []
+            for i, n in encode_texts(keys.to_pylist(), whole, known, seed):
+                same.extend(back == (text or "") for back, text in zip(decode_texts(i, n, known.pieces), whole[len(same) :], strict=False))
+                ids.append(i), sizes.append(n)
+            yield pa.StructArray.from_arrays([_lists(ids, sizes), pa.array(same, pa.bool_())], ["piece_ids", "lossless"])
+
+    coded = docs.withColumn("piece_ids", of(_key(key), F.col(text_col)))
+    return coded.withColumn("lossless", F.col("piece_ids.lossless")).withColumn("piece_ids", F.col("piece_ids.piece_ids"))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "piece_ids", out_col: str = "decoded") -> DataFrame:
     """``docs`` with ``out_col``: the text of the pieces; no pieces or null give the empty text."""
 
-    @F.pandas_udf("string")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of_id = lattices(path, 1.0).pieces.bytes_of.__getitem__
-        for ids in batches:
-            yield pd.Series([b"".join(map(of_id, x.tolist() if hasattr(x, "tolist") else x))[1:].decode("utf-8", "replace") if x is not None and len(x) else "" for x in ids], dtype=object)
+    @F.arrow_udf("string")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        pieces = lattices(path, 1.0).pieces
+        for lists in batches:
+            ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            yield pa.array(decode_texts(ids, sizes, pieces), pa.string())
 
     return docs.withColumn(out_col, of(F.col(ids_col)))

@@ -77,10 +77,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    coded = pieces.encode(documents(spark, sf_dir).select("doc_id", "text"), path)
-    back = pieces.decode(coded, path)
-    return back.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("lossless"))
+    coded = pieces.encode_checked(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
+    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "lossless")
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

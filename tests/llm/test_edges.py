@@ -44,6 +44,7 @@ OPERATORS = {
     "fingerprint": fingerprint.fingerprint,
     "edited": fingerprint.compare_edited,
     "pieces": lambda d: pieces.decode(pieces.encode(d, path()), path()),
+    "checked": lambda d: pieces.encode_checked(d, path()),
     "counts": lambda d: token_count.count_tokens(d, path()),
 }
 
