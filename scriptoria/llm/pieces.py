@@ -30,7 +30,7 @@ from scriptoria.llm.token_count import META, model
 LONGEST = 32
 SEGMENT = re.compile(r"\n| {0,15}[^ \n]{1,%d}| {1,16}" % LONGEST)
 #: Lattices that a worker keeps; segments that are sampled together; lattices that are built together.
-KEPT, LOCKSTEP, ADDED = 300_000, 60_000, 20_000
+KEPT, LOCKSTEP, ADDED = 150_000, 60_000, 20_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -312,7 +312,8 @@ def encode_checked(docs: DataFrame, path: str, key: Column | str = "doc_id", tex
                 ids.append(i), sizes.append(n)
             yield pa.StructArray.from_arrays([_lists(ids, sizes), pa.array(same, pa.bool_())], ["piece_ids", "lossless"])
 
-    coded = docs.withColumn("piece_ids", of(_key(key), F.col(text_col)))
+    # called so that a filter on lossless is not planned as a second run of the function
+    coded = docs.withColumn("piece_ids", of.asNondeterministic()(_key(key), F.col(text_col)))
     return coded.withColumn("lossless", F.col("piece_ids.lossless")).withColumn("piece_ids", F.col("piece_ids.piece_ids"))
 
 
