@@ -3,23 +3,28 @@
 P(text) is the product over its tokens of P(class | class before) * P(word | class). Tokens are the
 lower-cased (A-Z only) words and one end token; the first token follows an end.
 
-* Word counts cover the whole training table: tasks send packed (hash, count) lists to hash buckets.
-* Units are the commonest words, one each, and for all other words ``SUFFIXES`` groups by their last
-  letters; so any word, known or not, has a unit. Unit bigrams are counted over all training tokens, in a
-  matrix of fixed size.
-* Exchange clustering assigns units to ``CLASSES`` classes: each unit in turn moves to the class where the
-  likelihood of the class bigrams is largest, until a sweep moves none. It works on the fixed-size matrix.
+* Tasks pack the training tokens once: a chunk has its distinct words and the tokens as numbers of these.
+* Word counts cover the whole training table: chunks send packed (hash, count) lists to hash buckets.
+* Seed: units are the commonest words, one each, and for all other words ``SUFFIXES`` groups by their last
+  letters. Exchange clustering assigns units to ``CLASSES`` classes on their bigrams, a matrix of fixed
+  size: each unit in turn moves to the class where the likelihood of the class bigrams is largest, until a
+  sweep moves none.
+* Then every word has a class of its own, held in its bucket. In each of ``ROUNDS`` rounds chunks ask buckets
+  for the classes of their words and send back how often each word stands after and before each class;
+  buckets sum that and move all words to their best classes against the class bigrams of the round. Moves
+  made at once can harm each other, so the classes of the round with the best measured likelihood stay.
+* A word unseen in training has the class of its suffix group.
 * Class transitions are smoothed towards class frequencies. Word emission is discounted absolutely by
   D = n1 / (n1 + 2 n2); what that frees in a class is the probability of an unknown word of the class.
   Probabilities of all known words and one unknown word a class sum to one.
 
 Scoring asks for each distinct word once a chunk of documents: chunks send hashes to the buckets that
-hold the counts and get counts back, so a frequent word costs no more than a rare one.
+hold counts and classes and get these back, so a frequent word costs no more than a rare one.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +42,12 @@ UNITS = TOP + SUFFIXES
 END = b" "
 #: Pseudo-count of class frequencies in a transition.
 KAPPA = 2.0
-#: Distinct words after which a task sends what it has counted.
-FLUSH = 400_000
+#: Distinct words and tokens after which a chunk of the training text is closed.
+MOST_WORDS, MOST_TOKENS = 60_000, 1_000_000
+#: Rounds in which every word may move.
+ROUNDS = 3
+#: Context codes of a word: classes before it, classes after it, itself.
+BEFORE, AFTER, ITSELF = 0, CLASSES, 2 * CLASSES
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -53,32 +62,75 @@ def suffix_group(word: bytes) -> int:
     return xxhash.xxh32_intdigest(word[-3:], seed=5) % SUFFIXES
 
 
-def count_words(texts: DataFrame, n_buckets: int) -> DataFrame:
-    """bucket, hashes, counts, groups (packed, by hash) of all tokens of ``texts`` (text)."""
+def _kept(frame: DataFrame) -> DataFrame:
+    """``frame`` from the shared folder: computed once, and without the plan that made it."""
+    path = f"{frame.sparkSession.sparkContext.getCheckpointDir()}/brown-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+
+class _Numbers(dict):
+    """Word -> place in order of first sight."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = len(self)
+        return len(self) - 1
+
+
+def encode(texts: DataFrame) -> DataFrame:
+    """chunk, hashes (ascending), groups, seq of ``texts`` (text): distinct words, and tokens as their numbers after a first end."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        chunk = TaskContext.get().partitionId() << 32
+        number, flat = _Numbers(), []
 
         def packed() -> pd.DataFrame:
-            words = list(seen)
+            words = list(number)
             h = np.fromiter(map(word_hash, words), np.uint64, len(words))
-            c = np.fromiter(seen.values(), np.int64, len(words))
             g = np.fromiter(map(suffix_group, words), np.uint16, len(words))
-            order, cuts = by_bucket(h, n_buckets)
-            h, c, g = h[order], c[order], g[order]
-            full = np.flatnonzero(np.diff(cuts))
-            parts = [(cuts[b], cuts[b + 1]) for b in full]
-            return pd.DataFrame({"bucket": full, "hashes": [h[a:b].tobytes() for a, b in parts], "counts": [c[a:b].tobytes() for a, b in parts], "groups": [g[a:b].tobytes() for a, b in parts]})
+            order = np.argsort(h, kind="stable")
+            place = np.empty(len(words), np.uint32)
+            place[order] = np.arange(len(words))
+            seq = place[np.array(flat, np.uint32)]
+            seq = seq.astype(np.uint16) if len(words) <= 1 << 16 else seq
+            return pd.DataFrame({"chunk": [chunk], "hashes": [h[order].tobytes()], "groups": [g[order].tobytes()], "seq": [seq.tobytes()], "width": [seq.itemsize]})
 
         for pdf in batches:
             for text in pdf["text"]:
-                seen.update(tokens(text))
-                if len(seen) > FLUSH:
+                if not flat:
+                    flat.append(number[END])
+                flat.extend(map(number.__getitem__, tokens(text)))
+                if len(number) > MOST_WORDS or len(flat) > MOST_TOKENS:
                     yield packed()
-                    seen.clear()
-        if seen:
+                    chunk += 1
+                    number.clear()
+                    flat.clear()
+        if flat:
             yield packed()
 
+    return texts.mapInPandas(pack, "chunk long, hashes binary, groups binary, seq binary, width int")
+
+
+def _seq(seq: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(seq, np.uint16 if width == 2 else np.uint32).astype(np.int64)
+
+
+def count_words(encoded: DataFrame, n_buckets: int) -> DataFrame:
+    """bucket, hashes, counts, groups (packed, by hash) of all tokens of ``encoded``."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x in pdf.itertuples(index=False):
+                h, g = np.frombuffer(x.hashes, np.uint64), np.frombuffer(x.groups, np.uint16)
+                c = np.bincount(_seq(x.seq, x.width)[1:], minlength=len(h))
+                order, cuts = by_bucket(h, n_buckets)
+                h, c, g = h[order], c[order], g[order]
+                full = np.flatnonzero(np.diff(cuts))
+                parts = [(cuts[b], cuts[b + 1]) for b in full]
+                yield pd.DataFrame({"bucket": full, "hashes": [h[a:b].tobytes() for a, b in parts], "counts": [c[a:b].tobytes() for a, b in parts], "groups": [g[a:b].tobytes() for a, b in parts]})
+
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["hashes"]])
         c = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["counts"]])
@@ -90,51 +142,35 @@ def count_words(texts: DataFrame, n_buckets: int) -> DataFrame:
         top = np.lexsort((h, -c))[:TOP]
         return pd.DataFrame(
             {
-                "bucket": [int(pdf["bucket"].iloc[0])], "hashes": [h.tobytes()], "counts": [c.tobytes()],
+                "bucket": [int(pdf["bucket"].iloc[0])], "hashes": [h.tobytes()], "counts": [c.tobytes()], "groups": [g.tobytes()],
                 "n": [int(c.sum())], "types": [len(h)], "ones": [int((c == 1).sum())], "twos": [int((c == 2).sum())],
-                "by_group": [np.bincount(g, minlength=SUFFIXES).tolist()],
-                "top": [[{"h": int(h[i].view(np.int64)), "c": int(c[i]), "g": int(g[i])} for i in top]],
+                "top": [[{"h": int(h[i].view(np.int64)), "c": int(c[i])} for i in top]],
             }
         )
 
-    schema = "bucket int, hashes binary, counts binary, n long, types long, ones long, twos long, by_group array<long>, top array<struct<h:long,c:long,g:int>>"
-    return texts.mapInPandas(count, "bucket int, hashes binary, counts binary, groups binary").groupBy("bucket").applyInPandas(add, schema)
-
+    schema = "bucket int, hashes binary, counts binary, groups binary, n long, types long, ones long, twos long, top array<struct<h:long,c:long>>"
+    return encoded.mapInPandas(count, "bucket int, hashes binary, counts binary, groups binary").groupBy("bucket").applyInPandas(add, schema)
 
-class Units(dict):
-    """Word -> unit, remembered within a task up to a bound."""
 
-    def __init__(self, top: dict[int, int]):
-        super().__init__()
-        self.top = top
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        unit = self.top.get(word_hash(word), -1)
-        unit = unit if unit >= 0 else TOP + suffix_group(word)
-        if len(word) <= 64:
-            self[word] = unit
-        return unit
+def _units(h: np.ndarray, groups: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Seed unit of each word; ``top`` has the hashes of the commonest words in order of their units."""
+    unit = TOP + groups.astype(np.int64)
+    if len(top):
+        order = np.argsort(top)
+        at = np.minimum(np.searchsorted(top[order], h), len(top) - 1)
+        unit = np.where(top[order][at] == h, order[at], unit)
+    return unit
 
 
-def unit_bigrams(texts: DataFrame, top: dict[int, int]) -> np.ndarray:
+def unit_bigrams(encoded: DataFrame, top: np.ndarray) -> np.ndarray:
     """int64[UNITS, UNITS]: how often a unit follows another; rows are summed by Spark, the matrix has a fixed size."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units = Units(top)
-        end = units[END]
         total = np.zeros(UNITS * UNITS, np.int64)
         for pdf in batches:
-            flat: list[int] = [end]
-            for text in pdf["text"]:
-                flat.extend(map(units.__getitem__, tokens(text)))
-                if len(flat) > 1_000_000:
-                    a = np.array(flat, np.int64)
-                    total += np.bincount(a[:-1] * UNITS + a[1:], minlength=UNITS * UNITS)
-                    flat = [end]
-            a = np.array(flat, np.int64)
-            total += np.bincount(a[:-1] * UNITS + a[1:], minlength=UNITS * UNITS)
+            for x in pdf.itertuples(index=False):
+                a = _units(np.frombuffer(x.hashes, np.uint64), np.frombuffer(x.groups, np.uint16), top)[_seq(x.seq, x.width)]
+                total += np.bincount(a[:-1] * UNITS + a[1:], minlength=UNITS * UNITS)
         m = total.reshape(UNITS, UNITS)
         for u in np.flatnonzero(m.any(1)):
             at = np.flatnonzero(m[u])
@@ -147,7 +183,7 @@ def unit_bigrams(texts: DataFrame, top: dict[int, int]) -> np.ndarray:
         return pd.DataFrame({"u": [int(pdf["u"].iloc[0])], "n": [total.tobytes()]})
 
     out = np.zeros((UNITS, UNITS), np.int64)
-    for row in texts.mapInPandas(count, "u int, v binary, n binary").groupBy("u").applyInPandas(add, "u int, n binary").collect():
+    for row in encoded.mapInPandas(count, "u int, v binary, n binary").groupBy("u").applyInPandas(add, "u int, n binary").collect():
         out[row["u"]] = np.frombuffer(row["n"], np.int64)
     return out
 
@@ -156,7 +192,13 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1.0))
 
 
-def exchange(m: np.ndarray, classes: int = CLASSES, sweeps: int = 12) -> np.ndarray:
+def likelihood(g: np.ndarray) -> float:
+    """What the class bigrams add to the log-likelihood; words alone add the same under any classes."""
+    g = g.astype(float)
+    return float(_xlogx(g).sum() - _xlogx(g.sum(1)).sum() - _xlogx(g.sum(0)).sum())
+
+
+def exchange(m: np.ndarray, classes: int = CLASSES) -> np.ndarray:
     """Class of each unit, by exchange on the class-bigram likelihood
 
     sum n(a, b) ln n(a, b) - sum n(a, .) ln n(a, .) - sum n(., b) ln n(., b).
@@ -171,7 +213,8 @@ def exchange(m: np.ndarray, classes: int = CLASSES, sweeps: int = 12) -> np.ndar
     one[np.arange(size), of] = 1
     rows, cols = m @ one, m.T @ one  # counts of a unit before, after each class
     g = one.T @ rows
-    for _ in range(sweeps):
+    least = 1e-12 * _xlogx(m.sum()) + 1e-9  # above what rounding makes, so that sweeps end
+    while True:
         moved = 0
         for u in order:
             own, a = m[u, u], of[u]
@@ -180,17 +223,19 @@ def exchange(m: np.ndarray, classes: int = CLASSES, sweeps: int = 12) -> np.ndar
             r, c = rows[u].copy(), cols[u].copy()
             r[a] -= own
             c[a] -= own
+            # the unit's neighbours stay, so it takes nothing but its own tokens from the marginals
+            left, right, nr, nc = g.sum(1), g.sum(0), r.sum() + own, c.sum() + own
+            left[a] -= nr
+            right[a] -= nc
             g[a] -= r
             g[:, a] -= c
             g[a, a] -= own
             diag = np.diag(g)
             gain = (_xlogx(g + r) - _xlogx(g)).sum(1) + (_xlogx(g + c[:, None]) - _xlogx(g)).sum(0)
             gain += _xlogx(diag + r + c + own) - _xlogx(diag + r) - _xlogx(diag + c) + _xlogx(diag)
-            left, right, nr, nc = g.sum(1), g.sum(0), r.sum() + own, c.sum() + own
-            # what precedes or follows other classes changes no other marginal than the class's own
             gain -= _xlogx(left + nr) - _xlogx(left) + _xlogx(right + nc) - _xlogx(right)
             b = int(np.argmax(gain))
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             g[b] += r
             g[:, b] += c
@@ -207,34 +252,200 @@ def exchange(m: np.ndarray, classes: int = CLASSES, sweeps: int = 12) -> np.ndar
     return of
 
 
+def _seed(table: DataFrame, top: np.ndarray, of: np.ndarray) -> DataFrame:
+    """bucket, hashes, counts, classes: each word in the class of its unit."""
+
+    def seed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            units = [_units(np.frombuffer(h, np.uint64), np.frombuffer(g, np.uint16), top) for h, g in zip(pdf["hashes"], pdf["groups"], strict=True)]
+            yield pdf[["bucket", "hashes", "counts"]].assign(classes=[of[u].astype(np.uint8).tobytes() for u in units])
+
+    return table.select("bucket", "hashes", "counts", "groups").mapInPandas(seed, "bucket int, hashes binary, counts binary, classes binary")
+
+
+def _answered(asked: DataFrame, state: DataFrame) -> DataFrame:
+    return asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(_answer, "chunk long, bucket int, counts binary, classes binary")
+
+
+def _classes(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    return _answer(asked, held)[["chunk", "bucket", "classes"]]
+
+
+def class_contexts(encoded: DataFrame, state: DataFrame, n_buckets: int) -> DataFrame:
+    """A row a bucket: its words by class context (sizes, codes, ns, packed) under the classes of ``state``,
+    and g, the bigrams from any class to the classes of its words."""
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for x in pdf.itertuples(index=False):
+                yield _asked(np.frombuffer(x.hashes, np.uint64), x.chunk, n_buckets)
+
+    def count(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        x = chunk.iloc[0]
+        h, seq = np.frombuffer(x["hashes"], np.uint64), _seq(x["seq"], x["width"])
+        cls = np.concatenate([np.frombuffer(c, np.uint8) for c in answers.sort_values("bucket")["classes"]]).astype(np.int64)
+        left, right, width = seq[:-1], seq[1:], ITSELF + 1
+        own = left == right
+        code = np.where(own, ITSELF, BEFORE + cls[left])
+        total = np.bincount(right * width + code, minlength=len(h) * width)
+        total += np.bincount((left * width + AFTER + cls[right])[~own], minlength=len(h) * width)
+        at = np.flatnonzero(total)
+        word, ns = at // width, total[at]
+        sizes = np.bincount(word, minlength=len(h))
+        order, cuts = by_bucket(h, n_buckets)  # hashes ascend, and so the order is theirs
+        ends = np.append(0, np.cumsum(sizes))[cuts]
+        codes = (at % width).astype(np.uint8)
+        full = np.flatnonzero(np.diff(cuts))
+        return pd.DataFrame(
+            {
+                "bucket": full, "hashes": [h[cuts[b] : cuts[b + 1]].tobytes() for b in full], "sizes": [sizes[cuts[b] : cuts[b + 1]].astype(np.uint8).tobytes() for b in full],
+                "codes": [codes[ends[b] : ends[b + 1]].tobytes() for b in full], "ns": [ns[ends[b] : ends[b + 1]].astype(np.uint32).tobytes() for b in full],
+            }
+        )
+
+    def add(held: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        h, cls = np.frombuffer(held["hashes"].iloc[0], np.uint64), np.frombuffer(held["classes"].iloc[0], np.uint8)
+        width = ITSELF + 1
+        key, ns = [], []
+        for x in parts.itertuples(index=False):
+            word = np.searchsorted(h, np.frombuffer(x.hashes, np.uint64))
+            key.append(np.repeat(word, np.frombuffer(x.sizes, np.uint8)) * width + np.frombuffer(x.codes, np.uint8))
+            ns.append(np.frombuffer(x.ns, np.uint32).astype(np.int64))
+        key, ns = np.concatenate(key), np.concatenate(ns)
+        order = np.argsort(key, kind="stable")
+        key, ns = key[order], ns[order]
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        key, ns = key[at], np.add.reduceat(ns, at)
+        word, code = key // width, key % width
+        g = np.zeros((CLASSES, CLASSES), np.int64)
+        before, own = code < AFTER, code == ITSELF
+        np.add.at(g, (code[before], cls[word[before]]), ns[before])
+        np.add.at(g, (cls[word[own]], cls[word[own]]), ns[own])
+        sizes = np.bincount(word, minlength=len(h)).astype(np.uint8)
+        return held[["bucket", "hashes", "counts", "classes"]].assign(sizes=[sizes.tobytes()], codes=[code.astype(np.uint8).tobytes()], ns=[ns.tobytes()], g=[g.tobytes()])
+
+    asked = encoded.select("chunk", "hashes").mapInPandas(ask, "bucket int, chunk long, asked binary")
+    answers = asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(_classes, "chunk long, bucket int, classes binary")
+    parts = encoded.select("chunk", "hashes", "seq", "width").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(count, "bucket int, hashes binary, sizes binary, codes binary, ns binary")
+    schema = "bucket int, hashes binary, counts binary, classes binary, sizes binary, codes binary, ns binary, g binary"
+    return state.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInPandas(add, schema)
+
+
+def class_bigrams(contexts: DataFrame) -> np.ndarray:
+    """int64[CLASSES, CLASSES] over all buckets; tasks send their sums."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for pdf in batches:
+            for g in pdf["g"]:
+                total += np.frombuffer(g, np.int64)
+        yield pd.DataFrame({"g": [total.tobytes()]})
+
+    rows = contexts.select("g").mapInPandas(add, "g binary").collect()
+    return sum((np.frombuffer(r["g"], np.int64) for r in rows), np.zeros(CLASSES * CLASSES, np.int64)).reshape(CLASSES, CLASSES)
+
+
+def best_classes(cls: np.ndarray, sizes: np.ndarray, codes: np.ndarray, ns: np.ndarray, g: np.ndarray, block: int = 4096) -> np.ndarray:
+    """For each word the class of the greatest likelihood against ``g`` without the word; ties stay.
+
+    As in ``exchange``, but only entries of a word's contexts are looked at, and all words move against the same ``g``.
+    """
+    g = g.astype(float)
+    out = cls.astype(np.int64)
+    ends = np.append(0, np.cumsum(sizes.astype(np.int64)))
+    left, right, diag = g.sum(1), g.sum(0), np.diag(g)
+    lo = 0
+    while lo < len(cls):
+        # words up to a bound of contexts, one at least
+        hi = max(lo + 1, min(lo + block, int(np.searchsorted(ends, ends[lo] + 4 * block, "right")) - 1))
+        a, span = out[lo:hi], slice(ends[lo], ends[hi])
+        word, code, n = np.repeat(np.arange(hi - lo), sizes[lo:hi]), codes[span].astype(np.int64), ns[span].astype(float)
+        each = np.arange(hi - lo)
+        dense = np.zeros((hi - lo, ITSELF + 1))
+        dense[word, code] = n
+        c, r, own = dense[:, BEFORE:AFTER], dense[:, AFTER:ITSELF], dense[:, ITSELF]
+        gain = np.zeros((hi - lo, CLASSES))
+        for from_, matrix, mine, other in ((AFTER, g.T, r, c), (BEFORE, g, c, r)):
+            at = np.flatnonzero((code >= from_) & (code < from_ + CLASSES))
+            w, k, m = word[at], code[at] - from_, n[at, None]
+            base = matrix[k]  # of each class with class k
+            home = a[w] == k  # the word has left its class on both sides
+            base[home] -= other[w[home]]
+            base[np.arange(len(at)), a[w]] -= mine[w, k]
+            base[home, k[home]] -= own[w[home]]
+            np.maximum(base, 0, out=base)
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.empty(0, np.int64)
+            if len(first):
+                gain[w[first]] += np.add.reduceat(_xlogx(base + m) - _xlogx(base), first)
+        d = np.tile(diag, (hi - lo, 1))
+        d[each, a] = np.maximum(d[each, a] - r[each, a] - c[each, a] - own, 0)
+        gain += _xlogx(d + r + c + own[:, None]) - _xlogx(d + r) - _xlogx(d + c) + _xlogx(d)
+        for margin, total in ((left, r.sum(1) + own), (right, c.sum(1) + own)):
+            rest = np.tile(margin, (hi - lo, 1))
+            rest[each, a] = np.maximum(rest[each, a] - total, 0)
+            gain -= _xlogx(rest + total[:, None]) - _xlogx(rest)
+        b = gain.argmax(1)
+        out[lo:hi] = np.where(gain[each, b] > gain[each, a] + 1e-6, b, a)
+        lo = hi
+    return out.astype(np.uint8)
+
+
+def _moved(contexts: DataFrame, g: np.ndarray) -> DataFrame:
+    def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            best = [best_classes(*(np.frombuffer(v, t) for v, t in zip(x, (np.uint8, np.uint8, np.uint8, np.int64), strict=True)), g) for x in pdf[["classes", "sizes", "codes", "ns"]].itertuples(index=False)]
+            yield pdf[["bucket", "hashes", "counts"]].assign(classes=[x.tobytes() for x in best])
+
+    return contexts.select("bucket", "hashes", "counts", "classes", "sizes", "codes", "ns").mapInPandas(move, "bucket int, hashes binary, counts binary, classes binary")
+
+
+def word_classes(encoded: DataFrame, state: DataFrame, n_buckets: int, rounds: int = ROUNDS) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """The classes of the best round, the class bigrams under them, and the likelihood of each round, the seed's first."""
+    best, found = None, []
+    for k in range(rounds + 1):
+        contexts = _kept(class_contexts(encoded, state, n_buckets))
+        g = class_bigrams(contexts)
+        found.append(likelihood(g))
+        if best is None or found[-1] > max(found[:-1]):
+            best = contexts.select("bucket", "hashes", "counts", "classes"), g
+        if k < rounds:
+            state = _kept(_moved(contexts, g))
+        # shuffles of a finished round are dropped when the driver collects the plans that made them
+        encoded.sparkSession.sparkContext._jvm.System.gc()
+    return *best, found
+
+
 def train(texts: DataFrame) -> tuple[dict, DataFrame]:
-    """The model (of fixed size) and the counts by bucket, kept in the cluster's shared folder."""
+    """The model (of fixed size) and counts and classes by bucket, kept in the cluster's shared folder."""
     shared_folder(texts.sparkSession)
     n_buckets = chunks_for(texts)
-    table = count_words(texts, n_buckets).checkpoint()
+    encoded = _kept(encode(texts))
+    table = _kept(count_words(encoded, n_buckets))
     t = table.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in ("n", "types", "ones", "twos")]).first()
     top_rows = table.select(F.inline("top")).orderBy(F.desc("c"), "h").limit(TOP).collect()
-    top = {r["h"] & 0xFFFFFFFFFFFFFFFF: i for i, r in enumerate(top_rows)}
-    types = np.zeros(UNITS)
-    types[: len(top_rows)] = 1
-    for r in table.select(F.posexplode("by_group").alias("g", "k")).groupBy("g").agg(F.sum("k").alias("k")).collect():
-        types[TOP + r["g"]] = r["k"]
-    for r in top_rows:
-        types[TOP + r["g"]] -= 1
-    bigrams = unit_bigrams(texts, top)
-    of = exchange(bigrams)
-    one = np.zeros((UNITS, CLASSES))
-    one[np.arange(UNITS), of] = 1
-    n = one.T @ bigrams @ one
+    top = np.array([r["h"] for r in top_rows], np.int64).view(np.uint64)
+    of = exchange(unit_bigrams(encoded, top))
+    state, n, found = word_classes(encoded, _kept(_seed(table, top, of)), n_buckets)
+    types = np.zeros(CLASSES)
+    for r in state.mapInPandas(_class_sizes, "c int, k long").groupBy("c").agg(F.sum("k").alias("k")).collect():
+        types[r["c"]] = r["k"]
     size = n.sum(0)  # every token follows another
     prior = (size + 1) / (size.sum() + CLASSES)
     step = np.log10((n + KAPPA * prior) / (n.sum(1, keepdims=True) + KAPPA))
     d = t["ones"] / (t["ones"] + 2 * t["twos"]) if t["ones"] else 0.5
     model = {
-        "top": top, "top_counts": {r["h"] & 0xFFFFFFFFFFFFFFFF: r["c"] for r in top_rows}, "class": of, "step": step, "size": size,
-        "free": d * (one.T @ types), "discount": d, "n": t["n"], "types": t["types"], "n_buckets": n_buckets,
+        "unseen": of[TOP:], "step": step, "size": size, "free": d * types, "discount": d, "n": t["n"], "types": t["types"],
+        "n_buckets": n_buckets, "likelihood": found,
     }
-    return model, table.select("bucket", "hashes", "counts")
+    return model, state
+
+
+def _class_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total = np.zeros(CLASSES, np.int64)
+    for pdf in batches:
+        for c in pdf["classes"]:
+            total += np.bincount(np.frombuffer(c, np.uint8), minlength=CLASSES)
+    yield pd.DataFrame({"c": np.arange(CLASSES), "k": total})
 
 
 def _distinct(docs: pd.DataFrame) -> tuple[list[list[bytes]], dict[bytes, int], np.ndarray]:
@@ -246,25 +457,32 @@ def _distinct(docs: pd.DataFrame) -> tuple[list[list[bytes]], dict[bytes, int],
     return found, {words[i]: k for k, i in enumerate(order.tolist())}, h[order]
 
 
-def _ask(docs: pd.DataFrame, n: int) -> pd.DataFrame:
-    _, _, h = _distinct(docs)
+def _asked(h: np.ndarray, chunk: int, n: int) -> pd.DataFrame:
     _, cuts = by_bucket(h, n)
     full = np.flatnonzero(np.diff(cuts))
-    return pd.DataFrame({"bucket": full, "chunk": int(docs["chunk"].iloc[0]), "asked": [h[cuts[b] : cuts[b + 1]].tobytes() for b in full]})
+    return pd.DataFrame({"bucket": full, "chunk": chunk, "asked": [h[cuts[b] : cuts[b + 1]].tobytes() for b in full]})
+
+
+def _ask(docs: pd.DataFrame, n: int) -> pd.DataFrame:
+    return _asked(_distinct(docs)[2], int(docs["chunk"].iloc[0]), n)
 
 
 def _answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+    """Counts (0: unseen) and classes (0 where unseen) of what is asked."""
     h = np.frombuffer(held["hashes"].iloc[0], np.uint64) if len(held) else np.empty(0, np.uint64)
     c = np.frombuffer(held["counts"].iloc[0], np.int64) if len(held) else np.empty(0, np.int64)
-    out = []
+    k = np.frombuffer(held["classes"].iloc[0], np.uint8) if len(held) else np.empty(0, np.uint8)
+    counts, classes = [], []
     for x in asked["asked"]:
         a = np.frombuffer(x, np.uint64)
         if len(h):
             at = np.minimum(np.searchsorted(h, a), len(h) - 1)
-            out.append(np.where(h[at] == a, c[at], 0).tobytes())
+            counts.append(np.where(h[at] == a, c[at], 0).tobytes())
+            classes.append(np.where(h[at] == a, k[at], 0).astype(np.uint8).tobytes())
         else:
-            out.append(np.zeros(len(a), np.int64).tobytes())
-    return pd.DataFrame({"chunk": asked["chunk"], "bucket": asked["bucket"], "counts": out})
+            counts.append(np.zeros(len(a), np.int64).tobytes())
+            classes.append(np.zeros(len(a), np.uint8).tobytes())
+    return pd.DataFrame({"chunk": asked["chunk"], "bucket": asked["bucket"], "counts": counts, "classes": classes})
 
 
 def _score(docs: pd.DataFrame, answers: pd.DataFrame, model: dict) -> pd.DataFrame:
@@ -274,10 +492,11 @@ def _score(docs: pd.DataFrame, answers: pd.DataFrame, model: dict) -> pd.DataFra
     found, number, h = _distinct(docs)
     answers = answers.sort_values("bucket")  # buckets are ranges of hashes, and so are the parts
     count = np.concatenate([np.frombuffer(x, np.int64) for x in answers["counts"]]).astype(float)
-    units = Units(model["top"])
-    cls = np.empty(len(h), np.int64)
+    cls = np.concatenate([np.frombuffer(x, np.uint8) for x in answers["classes"]]).astype(np.int64)
+    known = (count > 0).tolist()
     for w, k in number.items():
-        cls[k] = model["class"][units[w]]
+        if not known[k]:
+            cls[k] = model["unseen"][suffix_group(w)]
     size, d = model["size"][cls], model["discount"]
     emit = np.log10(np.where(count > 0, np.maximum(count - d, 1e-9), model["free"][cls] + 1.0) / (size + 1.0))
     base = np.log10((count + 1.0) / (model["n"] + model["types"] + 1.0))
@@ -308,8 +527,8 @@ def score(docs: DataFrame, model: dict, counts: DataFrame, text_col: str = "text
     x = with_chunk(x, chunks_for(x, "_text"), key, "_text")
     n = model["n_buckets"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    asked = x.groupBy("chunk").applyInPandas(lambda pdf: _ask(pdf, n), "bucket int, chunk int, asked binary")
-    answers = asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInPandas(_answer, "chunk int, bucket int, counts binary")
+    asked = x.groupBy("chunk").applyInPandas(lambda pdf: _ask(pdf, n), "bucket int, chunk long, asked binary")
+    answers = _answered(asked, counts).withColumn("chunk", F.col("chunk").cast("int"))
     out = StructType([*[StructField(f"_{k}", f.dataType) for k, f in enumerate(extra)], *[StructField(k, v) for k, v in added.items()]])
     scored = x.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(lambda a, b: _score(a, b, shared.value), out)
     return scored.select(*[F.col(f"_{k}").alias(f.name) for k, f in enumerate(extra)], *added)
