@@ -35,10 +35,15 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def queue_digest():
+    """Of the whole row: ids may be null or stand over several texts, equal rows are interchangeable."""
+    return F.sha2(F.to_json(F.struct(*COLUMNS)), 256)
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time a document is trained, in training order; ids are distinct since near-dedup."""
-    taken = mixing.plan_mix(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), "positions")
-    timed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id"))).select(*COLUMNS, F.explode("positions").alias("position"))
+    """A row for each time a document is trained, in training order."""
+    plan = mixing.plan_mix(docs, digest=queue_digest(), carry=tuple(COLUMNS))
+    timed = plan.select("row.*", F.explode("positions").alias("position"))
     return timed.orderBy("position", "doc_id").select(*COLUMNS)
 
 

@@ -59,22 +59,26 @@ def position(demand: Column, tilt: Column) -> Column:
     return F.when(tilt == 0, demand).otherwise((root - (1 - tilt)) / (2 * tilt))
 
 
-def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple = WEIGHTS, share: float = SHARE, passes: float = PASSES) -> DataFrame:
+def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple = WEIGHTS, share: float = SHARE, passes: float = PASSES, digest: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, copies (long), taken (long), positions.
 
+    ``digest`` (hexadecimal) fixes the queue instead of the id's, for tables whose ids are null or repeated
+    often; the columns of ``carry`` come along in a struct ``row``, so that no join on ids is needed.
+
     Pass p (0, 1) takes a document whole if the middle of its words stands within the target, so a source
     is off by half a document at most. Null sources are one source, the last; null texts have size 0 and
     null ids a digest of their own; a document of size 0 is taken in the passes that its place falls in.
-    Repeated rows are documents of their own. Extra columns are not read. An empty table gives no rows.
+    Repeated rows are documents of their own. Other columns are not read. An empty table gives no rows.
     """
     d = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("digest"),
+        (F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) if digest is None else digest).alias("digest"),
+        *([F.struct(*carry).alias("row")] if carry else []),
     )
     # md5 ties only for repeated ids; size settles those, and equal rows are interchangeable
     d = d.withColumns({"bucket": F.substring("digest", 1, DIGITS), "no_source": F.col("source").isNull(), "source": F.coalesce("source", F.lit(""))})
     keys = ["no_source", "source"]
-    buckets = d.groupBy(*keys, "bucket").agg(F.sum("size").alias("bucket_size"))
+    buckets = d.drop("row").groupBy(*keys, "bucket").agg(F.sum("size").alias("bucket_size"))
     sizes = buckets.groupBy(*keys).agg(F.sum("bucket_size").alias("source_size"))
     named = sizes.select(F.when(~F.col("no_source"), F.col("source")).alias("source"), "source_size")
     t = targets(named, weights, share, passes).select(F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source"), "source_size", "tilt", "target")
@@ -90,6 +94,7 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         "doc_id", F.when(~F.col("no_source"), F.col("source")).alias("source"), "size", "source_size", "target",
         F.size("taken_at").cast("long").alias("copies"), (F.size("taken_at") * F.col("size")).cast("long").alias("taken"),
         F.transform("taken_at", lambda m: position(m / F.col("target"), F.col("tilt"))).alias("positions"),
+        *(["row"] if carry else []),
     )
 
 
