@@ -40,16 +40,18 @@ _SECOND, _THIRD = _toss_table(128), _toss_table(16)
 _WEIGHTS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def _labels(s: np.ndarray) -> np.ndarray:
-    """Small labels of a sequence in which neighbours differ; the first entry's is arbitrary."""
+def _labels(s: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Small labels of a sequence in which neighbours differ; at documents' edges 0, whatever stands before."""
     x = s[1:] ^ s[:-1]
     low = x & (~x + np.uint64(1))
     at = (np.maximum(np.frexp(low.astype(np.float64))[1], 1) - 1).astype(np.uint64)  # equal neighbours stand at documents' edges only
     label = np.zeros(len(s), np.uint8)
     label[1:] = (np.uint64(2) * at + ((s[1:] >> at) & np.uint64(1))).astype(np.uint8)
+    label[edge] = 0
     for table in (_SECOND, _THIRD):
         after = np.zeros_like(label)
         after[1:] = table[label[:-1], label[1:]]
+        after[edge] = 0
         label = after
     return label
 
@@ -65,7 +67,7 @@ def _parse(s: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s = np.where(run > 1, mix(s + run * np.uint64(0x9E3779B97F4A7C15)), s)
     edge = np.ones(len(s), bool)
     edge[1:] = doc[1:] != doc[:-1]
-    label = _labels(s).astype(np.int16)
+    label = _labels(s, edge).astype(np.int16)
     start = np.zeros(len(s), bool)
     start[1:-1] = (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:])
     # neighbours of a document's edge have no partner on one side
@@ -87,14 +89,11 @@ def _sketch(chars: list[np.ndarray]) -> np.ndarray:
     for level in range(1, LEVELS + 1):
         if not len(s):
             break
-        before = doc
         s, doc = _parse(s, doc)
         if level >= FROM_LEVEL:
             h = mix(s + np.uint64(level))
             keys.append(doc * SLOTS + (h >> np.uint64(58)).astype(np.int64))
             values.append(h & np.uint64(0xFFFFFFFFFFFF))
-        if len(doc) == len(before):
-            break
     out = np.full(len(chars) * SLOTS, 0xFFFFFFFF, np.uint32)
     if keys:
         key, val = np.concatenate(keys), np.concatenate(values)
