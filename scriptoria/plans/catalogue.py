@@ -170,7 +170,7 @@ def findings_by_severity(spark, sf_dir):
     return long.select("venue", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("info", "warning", "error")])
 
 
-@query("asof_label", "J21 J22 R17", """
+@query("asof_label", "J21 J22", """
 WITH l AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'), r AS (SELECT user_id, ts, max(value) AS mark FROM events WHERE event_type = 'click' GROUP BY ALL)
 SELECT event_id, user_id, round(value, 6) AS value, round(mark, 6) AS mark FROM l ASOF LEFT JOIN r USING (user_id, ts)""")
 def asof_label(spark, sf_dir):

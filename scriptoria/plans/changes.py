@@ -13,7 +13,7 @@ ASKED = Fixture("id long, identifier string", [(1, "10.1/a"), (2, "10.1/b"), (3,
 FOUND = Fixture("id long, source string", [(1, "second"), (1, "first"), (2, "third"), (5, "unknown"), (3, "first")])
 
 
-@query("source_precedence", "C1 X9 S17 S18 S19", f"""
+@query("source_precedence", "C1 X9", f"""
 WITH b AS (SELECT id, arg_min(source, list_position(['first', 'second', 'third'], source)) AS source FROM {FOUND.sql} WHERE source IN ('first', 'second', 'third') GROUP BY id)
 SELECT id, CASE WHEN coalesce(trim(identifier), '') <> '' THEN source END AS source, CASE WHEN coalesce(trim(identifier), '') = '' THEN 'no_identifier' WHEN source IS NULL THEN 'not_found' ELSE 'found' END AS status FROM {ASKED.sql} LEFT JOIN b USING (id)""")
 def source_precedence(spark, sf_dir):
@@ -83,7 +83,7 @@ def adopt_memberships(spark, sf_dir):
     return R.upsert(p.filter("paper_id % 3 <> 0").withColumn("note", F.lit("old")), p.filter("paper_id % 4 <> 0").withColumn("note", F.lit("adopted")), ["collection_id", "paper_id"], replace=False)
 
 
-@query("upsert_replace", "K7 K6 C9", """
+@query("upsert_replace", "K7 K6", """
 WITH n AS (SELECT s_suppkey AS id, s_name || '*' AS name FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT 1000000, 'added')
 SELECT id, name FROM n UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT id FROM n)""")
 def upsert_replace(spark, sf_dir):

@@ -92,7 +92,7 @@ def tag_normalize(spark, sf_dir):
 PAGES = Fixture("id long, pages string, title string, authors string, year int", [(1, "12-19", "A long title of more than five words", "Doe, Jane", 2001), (2, "3 – 4", "Über", "", 0), (3, "7", "x", "van Beek, Ko; Roe, R", None)])
 
 
-@query("file_name", "F11 F12 R16", f"""
+@query("file_name", "F11 F12", f"""
 SELECT id, coalesce(nullif(year, 0)::VARCHAR, 'XXXX') || '_' || CASE WHEN authors = '' THEN 'Unknown' ELSE replace(trim(split_part(authors, ',', 1)), ' ', '') END || '_' || array_to_string(list_filter(string_split_regex(regexp_replace(title, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+'), lambda x: x <> '')[1:5], '_') || '.pdf' AS name,
   regexp_replace(pages, '\\s*[-–—]+\\s*', '--', 'g') AS pages FROM {PAGES.sql}""")
 def file_name(spark, sf_dir):
