@@ -11,13 +11,17 @@ Gamma(2, 1) and beta from U(0, 1), takes t = floor(ln w / r + beta) and keeps th
 least ln c - r * (t - beta + 1). Two texts agree in a sample with their weighted Jaccard similarity as
 probability. A shingle's (r, c, beta) come from a table of 65,536 triples that its hash points into.
 
-``BANDS`` bands of four samples make buckets. Equal texts are one document from the start. Then, in
-rounds, the least documents of each bucket are pivots for the other members that are not yet in their
-class, verified by the weighted Jaccard of the whole texts, and links are joined to classes by distributed
-label contraction. In the first round, of one pivot, only pairs whose signatures agree enough (five
-standard deviations below 0.8) are verified; it joins nearly all. Later rounds meet members and up to
-``MOST_PIVOTS`` pivots in blocks of bounded size. A bucket is done when all members are of one class or
-every member was a pivot, so no link is lost whatever a group's size.
+``BANDS`` bands of six samples make buckets: a pair at 0.8 shares one with probability 0.998. Equal texts
+are one document from the start. Two rounds then hold the members of each bucket against one pivot: pairs
+whose signatures agree enough (4.6 standard deviations below 0.8) are verified by the weighted Jaccard of
+the whole texts, and links are joined to classes by distributed label contraction. That joins nearly all. In
+the buckets that still hold several classes a last round meets every pair across classes, again first by
+signature and then by text, in groups bounded in rows and bytes; pairs within a class, which the hot groups
+consist of, are never looked at. So no link within a bucket is lost whatever a group's size.
+
+Why frequencies below a hundredth weigh alike: with plain ln(N / df) the words in which near copies differ
+(df 1) weigh several times what a large group shares, so copies of a frequent text that are alike by 0.8 and
+more fall below 0.8. The README has figures.
 """
 
 from __future__ import annotations
@@ -34,14 +38,12 @@ from pyspark.sql.types import IntegerType
 from scriptoria.llm.text import hash_texts, mix, shared_folder, unique_hashes, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 21, 6
 SAMPLES = BANDS * ROWS
-#: Agreeing samples, of 64, below which a pair isn't verified: mean 51.2 and deviation 3.2 at 0.8.
-AGREE = 35
-#: By how much the pivots of a bucket grow from round to round.
-PIVOTS_GROW, MOST_PIVOTS = 64, 1024
-#: Members of a bucket that meet its pivots in one group.
-BLOCK = 512
+#: Agreeing samples, of 126, below which a pair isn't verified: mean 100.8 and deviation 4.5 at 0.8.
+AGREE = 80
+#: Rows, and bytes of text, of a bucket that meet as many guests in one group.
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 #: Rows and cells of the count-min sketch of document frequencies.
 SKETCH_ROWS, CELLS = 2, 1 << 19
 RARE = 0.01
@@ -228,6 +230,8 @@ def _contract(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 #: Texts that no id of their own names get ids from here on, made from their digest.
 UNNAMED = 1 << 62
+#: Stands for a null id in joins.
+NO_ID = -(1 << 63)
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -264,42 +268,29 @@ def _text_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float)
             yield pd.Series(out, dtype=object)
 
     # copies first: a text's digest stands for it, and its least id represents it
-    signed = d.select("id", digest_of("text").alias("digest"), signature("text").alias("sig")).checkpoint()
-    texts = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
+    signed = d.select("id", digest_of("text").alias("digest"), F.octet_length("text").cast("long").alias("bytes"), signature("text").alias("sig")).checkpoint()
+    texts = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
     # a node is named by its least id, unless that is null or the least id of another text with a lesser digest
     own = F.shiftrightunsigned(F.xxhash64("digest"), 2).bitwiseOR(F.lit(UNNAMED))
     of_id = Window.partitionBy(F.coalesce("rep", own)).orderBy("digest")
     nodes = texts.withColumn("id", F.when(F.col("rep").isNotNull() & (F.row_number().over(of_id) == 1), F.col("rep")).otherwise(own)).checkpoint()
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.concat(F.lpad(k.cast("string"), 2, "0"), F.hex(F.substring("sig", k * 2 * ROWS + 1, F.lit(2 * ROWS)))))
-    member = nodes.select("id", "sig", F.explode(bands).alias("band"))
-    sizes = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    member = member.join(sizes.select("band"), "band").checkpoint()
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * 2 * ROWS + 1, F.lit(2 * ROWS))))
+    member = nodes.select("id", F.explode(bands).alias("band"))
+    shared_bands = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    member = member.join(shared_bands, "band").checkpoint()
 
     classes = nodes.select("id", F.col("id").alias("cls")).checkpoint()
-    pivots, tried = 1, 0
-    while True:
+    for search in (_star, _star, _across):
         m = member.join(classes, "id")
-        open_bands = m.groupBy("band").agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count(F.lit(1)).alias("n")).filter("x < y and n > %d" % tried)
-        m = m.join(open_bands.select("band", "n"), "band").select("band", "id", "sig", "cls", "n").checkpoint()
-        if not m.limit(1).count():
-            break
-        # the filter on the row number keeps a bounded number of rows a band and task before any shuffle
-        place = F.row_number().over(Window.partitionBy("band").orderBy("id"))
-        chosen = m.withColumn("place", place).filter(F.col("place") <= tried + pivots).filter(F.col("place") > tried)
-        if pivots == 1:
-            one = chosen.select("band", F.col("id").alias("pivot"), F.col("sig").alias("p_sig"), F.col("cls").alias("p_cls"))
-            pairs = m.join(one, "band").filter(F.col("p_cls") != F.col("cls"))
-            near = pairs.withColumn("agree", _agreeing("sig", "p_sig")).filter(F.col("agree") >= AGREE).select("pivot", "id").distinct().checkpoint()
-            links = _verified(d, nodes.select("id", "digest"), near, shared, threshold)
-        else:
-            links = _linked_in_blocks(d, nodes.select("id", "digest"), m, chosen, shared, threshold)
-        links = links.checkpoint()
+        # of a bucket's classes the one with most members is its main one; each pair across classes has a member outside it
+        parts = m.groupBy("band", "cls").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+        size = F.struct("n", -F.col("cls"))
+        mains = parts.groupBy("band").agg(F.max_by("cls", size).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("band", "main")
+        links = search(d, nodes, m.join(mains, "band"), shared, threshold).checkpoint()
         if links.limit(1).count():
             cls = classes.select(F.col("id").alias("k"), F.col("cls").alias("c"))
             of = links.join(cls, F.col("pivot") == F.col("k")).select("id", F.col("c").alias("a")).join(cls, F.col("id") == F.col("k")).select("a", F.col("c").alias("b"))
             classes = _contract(classes, of.filter("a <> b").distinct()).checkpoint()
-        tried += pivots
-        pivots = min(pivots * PIVOTS_GROW, MOST_PIVOTS)
     return signed.select("id", "digest"), nodes.select("id", "digest", "rep").join(classes, "id").select("digest", "rep", F.col("id").alias("node"), "cls")
 
 
@@ -315,23 +306,32 @@ def _agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series((u == v).sum(1).astype(np.int32))
 
 
-#: Up to so many ids are broadcast to filter the texts; more are joined by a shuffle.
-FEW_IDS = 50_000
-
-
 def _texts_of(d: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text for the distinct ``ids`` (id)."""
-    few = ids.count() <= FEW_IDS
-    wanted = nodes.join(F.broadcast(ids) if few else ids, "id")
-    rows = d.select("text", digest_of("text").alias("digest")).join(F.broadcast(wanted) if few else wanted, "digest")
-    return rows.groupBy("id").agg(F.first("text").alias("text"))
+    """id, text for the distinct ``ids`` (id): of all copies of a text only the row that names it is moved."""
+    key = F.coalesce(F.col("id"), F.lit(NO_ID)).alias("key")
+    wanted = nodes.join(ids, "id").select(F.col("id").alias("node"), "digest", F.coalesce("rep", F.lit(NO_ID)).alias("key"))
+    rows = d.select("text", digest_of("text").alias("digest"), key).join(wanted.hint("shuffle_hash"), ["digest", "key"])
+    return rows.groupBy(F.col("node").alias("id")).agg(F.first("text").alias("text"))
 
 
-def _verified(d: DataFrame, nodes: DataFrame, near: DataFrame, shared, threshold: float) -> DataFrame:
-    """Those of the pairs ``near`` (pivot, id) whose whole texts have the weighted Jaccard ``threshold``."""
+def _star(d: DataFrame, nodes: DataFrame, members: DataFrame, shared, threshold: float) -> DataFrame:
+    """Links (pivot, id) of the members (band, id, cls, main) to one pivot of their bucket, across classes.
+
+    The pivot is the least id outside the main class. At first all classes are of one member, so the main
+    one is that of the least id; the pivot must then be that id, or the least one would meet nobody.
+    """
+    outside = F.min(F.when(F.col("cls") != F.col("main"), F.col("id")))
+    alone = F.max(F.when(F.col("cls") == F.col("main"), F.col("id"))) == F.min("main")
+    pivots = members.groupBy("band").agg(F.when(alone, F.min("main")).otherwise(outside).alias("pivot"))
+    of = members.select(F.col("id").alias("p"), F.col("cls").alias("p_cls"), F.col("band").alias("p_band"))
+    pivots = pivots.join(of, (F.col("band") == F.col("p_band")) & (F.col("pivot") == F.col("p"))).select("band", "pivot", "p_cls")
+    pairs = members.join(pivots, "band").filter(F.col("p_cls") != F.col("cls")).select("pivot", "id").distinct()
+    sig = nodes.select("id", "sig")
+    both = pairs.join(sig, "id").join(sig.select(F.col("id").alias("pivot"), F.col("sig").alias("p_sig")), "pivot")
+    near = both.withColumn("agree", _agreeing("sig", "p_sig")).filter(F.col("agree") >= AGREE).select("pivot", "id").checkpoint()
     text = _texts_of(d, nodes, near.select(F.explode(F.array("pivot", "id")).alias("id")).distinct())
     # members first, then pivots: a hot pivot's text meets its members' in a join that AQE splits
-    both = near.join(text.select("id", F.col("text").alias("a")), "id").join(text.select(F.col("id").alias("pivot"), F.col("text").alias("b")), "pivot")
+    met = near.join(text.select("id", F.col("text").alias("a")), "id").join(text.select(F.col("id").alias("pivot"), F.col("text").alias("b")), "pivot")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -339,34 +339,65 @@ def _verified(d: DataFrame, nodes: DataFrame, near: DataFrame, shared, threshold
                 linked = weighted_jaccard(part["a"].tolist(), part["b"].tolist(), shared.value) >= threshold
                 yield part.loc[linked, ["pivot", "id"]]
 
-    return both.select("pivot", "id", "a", "b").mapInPandas(verify, "pivot long, id long")
+    return met.select("pivot", "id", "a", "b").mapInPandas(verify, "pivot long, id long")
 
 
-def _linked_in_blocks(d: DataFrame, nodes: DataFrame, members: DataFrame, chosen: DataFrame, shared, threshold: float) -> DataFrame:
-    """Links (pivot, id) of members to chosen pivots of their bucket, across classes.
+def _across(d: DataFrame, nodes: DataFrame, members: DataFrame, shared, threshold: float) -> DataFrame:
+    """All links (pivot, id) across classes in the buckets of ``members`` (band, id, cls, main).
 
-    A bucket's members are dealt to blocks of about ``BLOCK`` by a hash, and its pivots, of which there are
-    ``MOST_PIVOTS`` at most, go to each of them: groups of bounded size, a row a member and not a pair. A
-    block answers with one link for a member and a class of pivots, as more would join the same classes.
+    Members outside the main class are guests; all members meet all guests of their bucket. Members and
+    guests of a large bucket are dealt to blocks by a hash, each of about ``BLOCK`` rows and ``BLOCK_BYTES``
+    of text, and a group has one block of either; small buckets share a group. Groups first compare
+    signatures and name who takes part in any candidate pair; only those bring their texts.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = members.select("band", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id", "cls", F.lit(False).alias("pivot"))
-    guests = chosen.select("band", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "id", "cls", F.lit(True).alias("pivot"))
-    rows = own.unionByName(guests)
-    text = _texts_of(d, nodes, members.select("id").distinct())
+    m = members.join(nodes.select("id", "sig", "bytes"), "id").withColumn("guest", F.col("cls") != F.col("main"))
+    count = lambda rows, total: F.greatest(F.ceil(rows / BLOCK), F.ceil(total / BLOCK_BYTES), F.lit(1)).cast("int")
+    guest = F.col("guest")
+    blocks = m.groupBy("band").agg(
+        count(F.count(F.lit(1)), F.sum("bytes")).alias("rows"), count(F.count_if(guest), F.sum(F.when(guest, F.col("bytes")).otherwise(0))).alias("cols")
+    )
+    packs = max(1, m.count() // BLOCK)
+    m = m.join(blocks, "band")
+    small = (F.col("rows") == 1) & (F.col("cols") == 1)
+    m = m.withColumn("pack", F.when(small, F.pmod(F.xxhash64("band"), F.lit(packs))).otherwise(F.col("band")))
+    at = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    keys = ["pack", "row", "col"]
+    own = m.select("pack", "band", at("rows", 1).alias("row"), every("cols").alias("col"), "id", "cls", "sig", F.lit(False).alias("guest"))
+    guests = m.filter("guest").select("pack", "band", every("rows").alias("row"), at("cols", 2).alias("col"), "id", "cls", "sig", F.lit(True).alias("guest"))
+
+    def taking_part(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = pdf["guest"].to_numpy(bool)
+        found = np.zeros(len(pdf), bool)
+        near = _meeting(pdf, g)
+        if near.any():
+            s = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(-1, SAMPLES)
+            x, y = s[~g].T.copy(), s[g].T.copy()
+            agree = np.zeros(near.shape, np.uint8)
+            for j in range(SAMPLES):
+                agree += x[j][:, None] == y[j][None, :]
+            near &= agree >= AGREE
+            found[~g], found[g] = near.any(1), near.any(0)
+        return pdf.loc[found, [*keys, "band", "id", "cls", "guest"]]
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf["pivot"].to_numpy(bool)
-        ids, cls = pdf["id"].to_numpy(np.int64), pdf["cls"].to_numpy(np.int64)
-        across = cls[~p][:, None] != cls[p][None, :]
-        if not across.any():
-            return pd.DataFrame({"pivot": [], "id": []})
-        near = across & (jaccard_matrix(pdf["text"].tolist(), p, shared.value) >= threshold)
+        g = pdf["guest"].to_numpy(bool)
+        ids = pdf["id"].to_numpy(np.int64)
+        near = _meeting(pdf, g)
+        near &= jaccard_matrix(pdf["text"].tolist(), g, shared.value) >= threshold
         i, j = near.nonzero()
-        found = pd.DataFrame({"pivot": ids[p][j], "id": ids[~p][i], "cls": cls[p][j]})
-        return found.drop_duplicates(["id", "cls"])[["pivot", "id"]]
+        # of a member's links to one class one is enough, as more would join the same classes
+        return pd.DataFrame({"pivot": ids[g][j], "id": ids[~g][i], "cls": pdf["cls"].to_numpy(np.int64)[g][j]}).drop_duplicates(["id", "cls"])[["pivot", "id"]]
 
-    return rows.join(text, "id").groupBy("band", "block").applyInPandas(links, "pivot long, id long").distinct()
+    part = own.unionByName(guests).groupBy(*keys).applyInPandas(taking_part, "pack long, row int, col int, band long, id long, cls long, guest boolean").checkpoint()
+    text = _texts_of(d, nodes, part.select("id").distinct())
+    return part.join(text, "id").groupBy(*keys).applyInPandas(links, "pivot long, id long").distinct()
+
+
+def _meeting(pdf: pd.DataFrame, guest: np.ndarray) -> np.ndarray:
+    """Which rows that are no guests meet which guests: those of their bucket and of another class."""
+    band, cls = pdf["band"].to_numpy(np.int64), pdf["cls"].to_numpy(np.int64)
+    return (band[~guest][:, None] == band[guest][None, :]) & (cls[~guest][:, None] != cls[guest][None, :])
 
 
 def jaccard_matrix(texts: list[str], column: np.ndarray, idf: Idf) -> np.ndarray:
@@ -406,11 +437,22 @@ def jaccard_matrix(texts: list[str], column: np.ndarray, idf: Idf) -> np.ndarray
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class: of its text with the least id, the row of that id (one of them, if it repeats)."""
+    """``docs`` with one row of each class: of its text with the least id, the row of that id (one of them, if it repeats).
+
+    Null texts are empty; a null id is kept if its text has no other. An empty table stays empty. All columns
+    pass, whatever their names. Rows are dealt by digest and id, so the copies of one text spread; what is
+    kept of a class is a digest and an id, and rows are folded only if a pair of these stands twice.
+    """
     found = _text_classes(docs, id_col, text_col, threshold)
     if found is None:
         return docs
-    kept = found[1].filter("node = cls").select(F.col("digest").alias("_digest"), F.col("rep").alias("_rep"))
-    # one key for join and fold: the texts are shuffled once
-    keyed = docs.withColumn("_digest", digest_of(text_col))
-    return keyed.join(kept, "_digest").filter(F.col(id_col).cast("long").eqNullSafe(F.col("_rep"))).dropDuplicates(["_digest"]).select(*docs.columns)
+    signed, of_text = found
+    key = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(NO_ID))
+    kept = of_text.filter("node = cls").select(F.col("digest").alias("d"), key("rep").alias("k")).checkpoint()
+    # the row travels under one name, so that no name of its own can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), digest_of(text_col).alias("digest"), key(id_col).alias("key"))
+    rows = rows.join(kept.hint("shuffle_hash"), (F.col("digest") == F.col("d")) & (F.col("key") == F.col("k")))
+    twice = signed.groupBy("digest", F.coalesce("id", F.lit(NO_ID)).alias("key")).count().filter("count > 1")
+    if twice.limit(1).count():
+        rows = rows.dropDuplicates(["digest", "key"])
+    return rows.select("row.*")
