@@ -68,20 +68,28 @@ def _quoted(text: str) -> str:
 
 
 def canonical_sql(text: str) -> str:
-    t = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(licences.COPYRIGHT_LINE)}, ' ', 'g')"
+    t = f"lower(regexp_replace(coalesce({text}, ''), {_quoted(licences.COPYRIGHT_LINE)}, ' ', 'g'))"
     t = f"' ' || regexp_replace({t}, '[^a-z0-9]+', ' ', 'g') || ' '"
     for other, usual in licences.SPELLINGS.items():
         t = f"replace({t}, ' {other} ', ' {usual} ')"
     return f"trim(regexp_replace({t}, ' +', ' ', 'g'))"
 
 
-KNOWN = " UNION ALL ".join(f"SELECT {_quoted(name)} AS licence, {_quoted(t)} AS t" for name, texts in licences.KNOWN_TEXTS.items() for t in texts)
+KNOWN = " UNION ALL ".join(f"SELECT {_quoted(name)} AS licence, {_quoted(t)} AS t, {whole} AS whole" for name, t, whole in licences.known_texts())
 
 OP7 = f"""
-WITH known AS (SELECT DISTINCT ON (digest) sha256({canonical_sql("t")}) AS digest, licence FROM ({KNOWN})),
-docs AS (SELECT doc_id, {canonical_sql("text")} AS canonical FROM documents)
-SELECT doc_id, length(canonical)::BIGINT AS n_canonical, sha256(canonical) AS digest, licence
-FROM docs LEFT JOIN known ON known.digest = sha256(docs.canonical)
+WITH digests AS (SELECT sha256({canonical_sql("t")}) AS digest, licence, whole FROM ({KNOWN})),
+known AS (SELECT digest, min(licence) AS licence, bool_or(whole) AS whole FROM digests GROUP BY digest HAVING count(DISTINCT licence) = 1),
+docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, {canonical_sql("text")} AS canonical FROM documents),
+lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS part FROM docs),
+blocks AS (SELECT rid, unnest(string_split_regex(text, '{licences.BLANK_LINE}')) AS part FROM docs),
+parts AS (
+  SELECT * FROM lines UNION ALL SELECT * FROM blocks WHERE contains(trim(part, chr(10)), chr(10))
+),
+found AS (SELECT rid, licence FROM parts JOIN known ON known.digest = sha256({canonical_sql("part")}) WHERE regexp_matches(lower(part), '{licences.HINT}')),
+notices AS (SELECT rid, count(*)::BIGINT AS n, string_agg(DISTINCT licence, ',' ORDER BY licence) AS names FROM found GROUP BY rid)
+SELECT doc_id, length(canonical)::BIGINT AS n_canonical, sha256(canonical) AS digest, known.licence, coalesce(notices.n, 0)::BIGINT AS n_notices, coalesce(notices.names, '') AS notices
+FROM docs LEFT JOIN known ON known.digest = sha256(docs.canonical) AND known.whole LEFT JOIN notices USING (rid)
 """
 
 ORACLES = {"op3_mixing": OP3, "op4_quality": OP4, "op7_licences": OP7}
