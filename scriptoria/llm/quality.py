@@ -1,8 +1,9 @@
 """Quality rules as a short-circuit cascade, in DataFrame operations only.
 
 Each rule is a Column that is true where a text fails. A bounded sample tells what a rule costs and how
-often it rejects; rules then run in order of rejections per second inside one CASE, whose later branches
-are not evaluated once one rejects. The order changes the time, never the verdict.
+often it rejects; rules then run in order of rejections per second inside one CASE over the text itself, whose
+later branches are not evaluated once one rejects: a text that is too short is never split into windows. The
+order changes the time, never the verdict. ``features`` measures texts whatever the verdict and stands apart.
 """
 
 from __future__ import annotations
@@ -14,12 +15,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.text import let, words
+from scriptoria.llm.text import fresh, let, words
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
-#: Documents of the sample on which costs and rejections are estimated.
-SAMPLE_DOCS = 500
+#: Documents of the sample on which costs and rejections are estimated; texts of more bytes stay out of it.
+SAMPLE_DOCS, SAMPLE_BYTES = 500, 1 << 16
+#: The share of rows that the sample is drawn from.
+SAMPLE_SHARE = 0.2
 
 
 def n_symbols(text: Column) -> Column:
@@ -60,8 +63,12 @@ def n_repeat_words(found: Column, width: int = WINDOW) -> Column:
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), of whole texts."""
-    text = F.col(text_col)
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), of whole texts.
+
+    Null and blank texts measure 0. Rows pass one by one: repeated rows, other columns and empty tables need no
+    care; columns of the names above are replaced.
+    """
+    text, m = F.col(text_col), fresh(docs, "measured")
     measured = let(
         words(text),
         lambda w: F.struct(
@@ -70,16 +77,16 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
             n_repeat_words(w).alias("n_repeat_words"),
         ),
     )
-    out = docs.withColumn("_m", measured)
+    out = docs.withColumn(m, measured)
     return out.withColumns(
         {
-            "n_words": F.col("_m.n_words"),
-            "word_chars": F.col("_m.word_chars"),
+            "n_words": F.col(f"{m}.n_words"),
+            "word_chars": F.col(f"{m}.word_chars"),
             "n_symbols": n_symbols(text),
             "n_dup_lines": n_dup_lines(text),
-            "n_repeat_words": F.col("_m.n_repeat_words"),
+            "n_repeat_words": F.col(f"{m}.n_repeat_words"),
         }
-    ).drop("_m")
+    ).drop(m)
 
 
 @dataclass(frozen=True)
@@ -102,35 +109,28 @@ def default_rules() -> list[Rule]:
     ]
 
 
-def feature_rules() -> list[Rule]:
-    """The same rules where ``features`` has already measured the texts."""
-    c = F.col
-    return [
-        Rule("too_short", lambda t, w: c("n_words") < 10),
-        Rule("repeats", lambda t, w: 100 * c("n_repeat_words") > 20 * c("n_words")),
-        Rule("symbols", lambda t, w: c("n_symbols") * 4 > c("n_words")),
-        Rule("word_length", lambda t, w: (c("word_chars") > 20 * c("n_words")) | (c("word_chars") < 2 * c("n_words"))),
-        Rule("dup_lines", lambda t, w: c("n_dup_lines") * 10 > c("n_words")),
-    ]
-
-
 def order_rules(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[Rule]:
     """``rules`` by rejections per second on a sample of at most ``sample_docs`` rows, best first.
 
-    The sample is the first rows of the scan, taken once: a limit stops reading early, and an unlucky
-    sample only costs time. An empty table keeps the order given.
+    The sample is drawn from the first files of the scan, as a limit stops reading early, and leaves texts of
+    over ``SAMPLE_BYTES`` out, so it has a bound in bytes; an unlucky one only costs time. A rule is timed after a
+    first run that compiles it. A table too small to be sampled keeps the order given.
     """
-    first = docs.limit(sample_docs).collect()
+    short = docs.select(text_col).filter(F.coalesce(F.octet_length(text_col), F.lit(0)) <= SAMPLE_BYTES)
+    first = short.sample(SAMPLE_SHARE, seed=4).limit(sample_docs).collect()
     if not first:
         return list(rules)
-    sample = docs.sparkSession.createDataFrame(first, docs.schema)
+    sample = docs.sparkSession.createDataFrame(first, short.schema)
     fails = [_failing(text_col, lambda t, w, r=r: r.fails(t, w)) for r in rules]
     counts = sample.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(f).alias(f"r{i}") for i, f in enumerate(fails)]).first()
     spent = []
     for f in fails:
-        began = time.monotonic()
-        sample.agg(F.count_if(f)).first()
-        spent.append(time.monotonic() - began)
+        took = []
+        for _ in range(2):
+            began = time.monotonic()
+            sample.agg(F.count_if(f)).first()
+            took.append(time.monotonic() - began)
+        spent.append(min(took))
     scan = min(spent)
     gain = [(counts[f"r{i}"] + 0.5) / (counts["n"] + 1) / (s - scan + 1e-3) for i, s in enumerate(spent)]
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: -gain[i])]

@@ -48,8 +48,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    judged = quality.cascade(quality.features(docs), quality.feature_rules())
+    # the verdict comes from the cascade over the texts; the measures of every row are the contract's
+    judged = quality.features(quality.cascade(documents(spark, sf_dir).select("doc_id", "text")))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept")
 

@@ -21,6 +21,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: Column) -> Column:
     """array<string>; null and blank texts give an empty array."""
     trimmed = F.trim(F.coalesce(text, F.lit("")), F.lit(SPACES))
@@ -136,8 +144,14 @@ def by_bucket(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shared_folder(spark) -> None:
-    """The cluster's spark.checkpoint.dir stays; only where none is set, as in tests, a local one is made."""
-    if not spark.sparkContext.getCheckpointDir():
+    """The cluster's spark.checkpoint.dir stays; only where none is set, as in tests in one process, a local one is made."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext.setCheckpointDir(folder)
