@@ -1,14 +1,15 @@
 """SentencePiece encoding by forward filtering and backward sampling over the piece lattice.
 
 Every segmentation of a text into pieces has a probability proportional to the product of its pieces'
-weights, ``1 / rank ** theta`` by the piece's place in the model. Forward filtering sums the weights of
-all ways to reach each position; backward sampling then draws, from the end, the piece by which the
-position was reached. Draws come from a hash of the row key, the segment's number and the step, so a
+weights, ``1 / rank ** theta`` by the piece's place in the model: a merge model holds no probabilities, its
+scores are just these places, which follow the pieces' frequencies. Forward filtering sums the weights of
+all ways to reach each position, as logarithms; backward sampling then draws, from the end, the piece by
+which the position was reached. Draws come from a hash of the row key, the segment's number and the step, so a
 document is always cut the same way, however rows are batched or retried, and other keys give other cuts.
 
-Texts are cut into segments (spaces with the word after them, line feeds alone, at most ``LONGEST``
-characters); a lattice is built once a segment and worker, and all segments of a batch are sampled in
-lockstep with numpy. A character that is no piece becomes its UTF-8 bytes' pieces, also a literal U+2581,
+Texts are cut into segments where no piece can cross (``check_cuts``): spaces with the whole word after them,
+line feeds alone. A lattice is built once a segment and worker, and all segments of a batch are sampled in
+lockstep with numpy; memory grows with the longest word by some 200 bytes a character. A character that is no piece becomes its UTF-8 bytes' pieces, also a literal U+2581,
 which would otherwise read back as a space; so decoding returns every text exactly.
 """
 
@@ -25,12 +26,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.llm.text import mix
-from scriptoria.llm.token_count import META, model
+from scriptoria.llm.token_count import META, check_cuts, model
 
-LONGEST = 32
-SEGMENT = re.compile(r"\n| {0,15}[^ \n]{1,%d}| {1,16}" % LONGEST)
-#: Lattices that a worker keeps; segments that are sampled together; lattices that are built together.
-KEPT, LOCKSTEP, ADDED = 150_000, 60_000, 20_000
+SEGMENT = re.compile(r"\n| *[^ \n]+| +")
+#: Arcs that a worker keeps; segments, and characters, that are sampled together; characters whose lattices are built together.
+KEPT, LOCKSTEP, LOCKSTEP_CHARS, ADDED = 3_000_000, 60_000, 1_000_000, 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -38,6 +38,7 @@ class Pieces:
     """Piece texts with spaces for space marks, byte pieces, and hashes of all beginnings of pieces."""
 
     def __init__(self, path: str, theta: float):
+        check_cuts(path)
         sp = model(path)
         self.size = sp.get_piece_size()
         self.bytes_of: list[bytes] = []
@@ -66,8 +67,10 @@ class Pieces:
         self.table = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.bytes_in = np.array([len(x) for x in self.bytes_of], np.int64)
         self.bytes_at = np.cumsum(self.bytes_in) - self.bytes_in
-        self.weight = 1.0 / np.maximum(np.arange(self.size) - first + 2.0, 2.0) ** theta
-        self.least = 1.0 / self.size**theta
+        self.ln_weight = -theta * np.log(np.maximum(np.arange(self.size) - first + 2.0, 2.0))
+        self.ln_least = -theta * np.log(self.size)
+        if self.longest >= 64:
+            raise ValueError("a piece of 64 characters or more")
 
     @staticmethod
     def hash(text: str) -> int:
@@ -138,22 +141,23 @@ class Lattices:
         lone = np.flatnonzero(~single)
         n_bytes = 1 + (chars[lone] >= 0x80) + (chars[lone] >= 0x800) + (chars[lone] >= 0x10000)
         starts, lengths = np.concatenate([*starts, lone]), np.concatenate([*lengths, np.ones(len(lone), np.int64)])
-        weight = np.concatenate([p.weight[np.concatenate(found)] if found else np.zeros(0), p.least ** n_bytes.astype(float)])
+        ln_weight = np.concatenate([p.ln_weight[np.concatenate(found)] if found else np.zeros(0), p.ln_least * n_bytes])
         piece = np.concatenate([*found, -1 - chars[lone].astype(np.int64)])
         back, to = node_of[starts], node_of[starts] + lengths
         nodes = int(len(chars) + len(segments))
+        order = np.argsort(to * 64 - lengths)  # a piece has fewer than 64 characters
+        starts, back, to, piece, ln_weight = starts[order], back[order], to[order], piece[order], ln_weight[order]
+        depth = starts - np.repeat(at, sizes)[starts] + lengths[order]
+        by_depth = np.argsort(depth, kind="stable")  # within a depth arcs stay together by the node they end at
+        cuts = np.append(0, np.cumsum(np.bincount(depth, minlength=2)[1:]))
         alpha = np.zeros(nodes)
-        alpha[node0] = 1.0
-        depth = starts - np.repeat(at, sizes)[starts] + lengths
-        by_depth = np.argsort(depth.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(depth[by_depth], np.arange(1, LONGEST + 18))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # forward filtering, one position of all segments at a time
             if a < b:
                 arcs = by_depth[a:b]
-                np.add.at(alpha, to[arcs], alpha[back[arcs]] * weight[arcs])
-        order = np.argsort(to * 64 - lengths)  # a segment has fewer than 64 characters
-        back, to, piece = back[order], to[order], piece[order]
-        share = alpha[back] * weight[order] / alpha[to]
+                ends = to[arcs]
+                firsts = np.flatnonzero(np.append(True, ends[1:] != ends[:-1]))
+                alpha[ends[firsts]] = np.logaddexp.reduceat(alpha[back[arcs]] + ln_weight[arcs], firsts)
+        share = np.exp(alpha[back] + ln_weight - alpha[to])
         total = np.cumsum(share)
         new = np.append(True, to[1:] != to[:-1])
         base = (total - share)[new][np.cumsum(new) - 1]
@@ -176,11 +180,16 @@ class Lattices:
         seg = self.numbers(found)
         unknown = np.flatnonzero(seg < 0)
         new = list(dict.fromkeys([found[i] for i in unknown.tolist()]))
-        if len(self.number) + len(new) > KEPT:
+        if self.cdf.n > KEPT:
             self.forget()
             unknown, new = np.arange(len(found)), list(dict.fromkeys(found))
-        for at in range(0, len(new), ADDED):
-            self.add(new[at : at + ADDED])
+        pending, size = [], 0
+        for k, segment in enumerate(new, 1):
+            pending.append(segment)
+            size += len(segment)
+            if size >= ADDED or k == len(new):
+                self.add(pending)
+                pending, size = [], 0
         seg[unknown] = self.numbers([found[i] for i in unknown.tolist()])
         node, start = self.end.used[seg], self.start.used[seg]
         first, cdf, back, named = self.first.used, self.cdf.used, self.back.used, self.piece.used
@@ -233,7 +242,8 @@ def seed_of(key: str, seed: int) -> np.uint64:
 
 
 def encode_texts(keys: list, texts: list[str | None], known: Lattices, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pieces of consecutive texts in order and how many each text has, about ``LOCKSTEP`` segments at a time."""
+    """Pieces of consecutive texts in order and how many each text has, some ``LOCKSTEP`` segments or ``LOCKSTEP_CHARS`` at a time."""
+    chars = 0
     found: list[str] = []
     counts: list[int] = []
     seeds: list[np.ndarray] = []
@@ -247,10 +257,12 @@ def encode_texts(keys: list, texts: list[str | None], known: Lattices, seed: int
         own = SEGMENT.findall(" " + text) if text else []
         found.extend(own)
         counts.append(len(own))
+        chars += len(text or "")
         seeds.append(mix(seed_of(key, seed) + np.arange(len(own), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-        if len(found) >= LOCKSTEP:
+        if len(found) >= LOCKSTEP or chars >= LOCKSTEP_CHARS:
             yield drawn()
             found.clear(), counts.clear(), seeds.clear()
+            chars = 0
     if counts:
         yield drawn()
 
