@@ -14,13 +14,14 @@ that either fingerprint fills, an estimate of the Jaccard similarity of the two
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.text import chunks_for, mix
+from scriptoria.llm.text import mix
 
 SLOTS, LEVELS, FROM_LEVEL = 64, 6, 2
 EMPTY = "----"
@@ -155,7 +156,7 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     least = -(1 << 63)
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n = chunks_for(d, "text", chunk_bytes)
+    n = max(12, math.ceil((d.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) / chunk_bytes))
     shares = [i / n for i in range(1, n)]
     cut = d.agg(F.max("key").alias("top"), F.percentile_approx("key", shares, max(10_000, 20 * n)).alias("at")).first()
     bounds = sorted({cut["top"], *(cut["at"] or [])} - {None}, reverse=True)

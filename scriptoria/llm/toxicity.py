@@ -163,11 +163,10 @@ def score(docs: DataFrame, fitted: dict, text_col: str = "text", out_col: str =
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", label_col: str = "toxic", text_col: str = "text") -> DataFrame:
-    """text, label of at most ``train_docs`` rows: labels are thinned by a hash of the id before the join,
-    and what is left has a proven bound, so it is broadcast and ``docs`` is read without a shuffle."""
+    """text, label of at most ``train_docs`` labels: those of the least hashes of their ids, chosen before the join,
+    so that what is broadcast has a proven bound and ``docs`` is read without a shuffle."""
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("label_id").isNotNull())
-    n = known.count()
-    share = min(1.0, train_docs / max(n, 1))
-    known = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(train_docs)
+    # the rows of the least hashes, so that reruns fit the same; of equal hashes and ids any order is the same rows
+    known = known.orderBy(F.xxhash64("label_id"), "label_id", "label").limit(train_docs)
     texts = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"))
     return texts.join(F.broadcast(known), F.col("own_id") == F.col("label_id")).select("text", "label")

@@ -107,11 +107,33 @@ def test_quality_order_never_changes_verdicts(odd):
 
 
 def test_licences(spark):
-    mit = licences.KNOWN_TEXTS["MIT"][0]
-    texts = [mit, "Copyright (c) 2019 Jane Doe\n" + mit.upper().replace(",", ""), mit + " but not quite", None, ""]
+    mit, isc = licences.KNOWN_TEXTS["MIT"][0], licences.KNOWN_TEXTS["ISC"][0]
+    texts = [mit, "Copyright (c) 2019 Jane Doe\n" + mit.upper().replace(",", ""), mit + " but not quite", None, "", "Copyright Jane Doe\n\n" + mit.replace("\n\n", " "), "# a comment in front of it: Copyright 2001 by some holder\n" + isc]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["licence"] for r in licences.scan_licences(docs).collect()}
-    assert got == {0: "MIT", 1: "MIT", 2: None, 3: None, 4: None}
+    assert got == {0: "MIT", 1: "MIT", 2: None, 3: None, 4: None, 5: "MIT", 6: "ISC"}
+
+
+def test_notices_inside_texts(spark):
+    bsd = licences.KNOWN_TEXTS["BSD-3-Clause"][0].split("\n\n")[3]
+    wrapped = " ".join(bsd.split()[:9]) + "\n   " + " ".join(bsd.split()[9:])
+    texts = ["A story.\nReleased under the MIT licence.\nIts end, licensed under CC BY-NC 4.0", f"Code.\n\n{wrapped}\n\nMore.", "no licence here", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["licence"], r["n_notices"], r["notices"]) for r in licences.scan_licences(docs).collect()}
+    assert got == {0: (None, 1, "MIT"), 1: (None, 1, "BSD-3-Clause"), 2: (None, 0, ""), 3: (None, 0, "")}
+
+
+def test_every_known_text_hints():
+    import re
+
+    assert all(re.search(licences.HINT, t.lower()) for _, t, _ in licences.known_texts())
+
+
+def test_registry_of_files(spark, tmp_path):
+    (tmp_path / "Some-1.0").write_text("Copyright (c) 1999 Nobody\n\nThis licence is\n  the licence of Nobody.")
+    known = licences.registry_of_files(spark, str(tmp_path))
+    docs = spark.createDataFrame([(1, "this LICENSE is the license of nobody")], "doc_id long, text string")
+    assert licences.scan_licences(docs, known).first()["licence"] == "Some-1.0"
 
 
 def test_mixing_positions_follow_the_schedule(spark):

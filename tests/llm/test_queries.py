@@ -10,7 +10,7 @@ from collections import Counter
 
 import pytest
 
-from scriptoria.llm import fingerprint, queries
+from scriptoria.llm import fingerprint, queries, toxicity
 from tests.compare import same_rows
 
 SQL = queries.oracle_sql()
@@ -163,3 +163,14 @@ def test_op10_is_the_librarys_count(spark, sf_dir, docs):
     for k, t in docs.items():
         n = len(sp.encode(t or ""))
         assert (rows[k]["n_bytes"], rows[k]["n_tokens"], rows[k]["over_limit"]) == (len((t or "").encode()), n, n > 4096)
+
+
+def test_op6_factorization_against_a_double_loop():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    model = {"w0": np.array([0.3]), "w": rng.normal(size=40), "v": rng.normal(size=(40, 8))}
+    for found in ([], [3], [1, 7, 30], list(range(0, 40, 3))):
+        z = model["w0"][0] + sum(model["w"][i] for i in found)
+        z += sum(float(model["v"][i] @ model["v"][j]) for i in found for j in found if i < j)
+        assert toxicity.value(model, found) == pytest.approx(1 / (1 + math.exp(-min(max(z, -30), 30))))
