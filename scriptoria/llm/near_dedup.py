@@ -269,15 +269,20 @@ def _text_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float)
 
     # copies first: a text's digest stands for it, and its least id represents it
     signed = d.select("id", digest_of("text").alias("digest"), F.octet_length("text").cast("long").alias("bytes"), signature("text").alias("sig")).checkpoint()
-    texts = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
+    distinct = signed.groupBy("digest").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"), F.first("bytes").alias("bytes"))
     # a node is named by its least id, unless that is null or the least id of another text with a lesser digest
     own = F.shiftrightunsigned(F.xxhash64("digest"), 2).bitwiseOR(F.lit(UNNAMED))
     of_id = Window.partitionBy(F.coalesce("rep", own)).orderBy("digest")
-    nodes = texts.withColumn("id", F.when(F.col("rep").isNotNull() & (F.row_number().over(of_id) == 1), F.col("rep")).otherwise(own)).checkpoint()
+    nodes = distinct.withColumn("id", F.when(F.col("rep").isNotNull() & (F.row_number().over(of_id) == 1), F.col("rep")).otherwise(own)).checkpoint()
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("sig", k * 2 * ROWS + 1, F.lit(2 * ROWS))))
     member = nodes.select("id", F.explode(bands).alias("band"))
     shared_bands = member.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     member = member.join(shared_bands, "band").checkpoint()
+    # signatures and texts of what stands in any bucket with another, moved once for all rounds
+    ids = member.select("id").distinct()
+    sigs = nodes.select("id", "sig", "bytes").join(ids, "id").checkpoint()
+    wanted = nodes.select("id", "digest", "rep").join(ids, "id")
+    texts = _texts_of(d, wanted).checkpoint()
 
     classes = nodes.select("id", F.col("id").alias("cls")).checkpoint()
     for search in (_star, _star, _across):
@@ -286,7 +291,7 @@ def _text_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float)
         parts = m.groupBy("band", "cls").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
         size = F.struct("n", -F.col("cls"))
         mains = parts.groupBy("band").agg(F.max_by("cls", size).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("band", "main")
-        links = search(d, nodes, m.join(mains, "band"), shared, threshold).checkpoint()
+        links = search(m.join(mains, "band"), sigs, texts, shared, threshold).checkpoint()
         if links.limit(1).count():
             cls = classes.select(F.col("id").alias("k"), F.col("cls").alias("c"))
             of = links.join(cls, F.col("pivot") == F.col("k")).select("id", F.col("c").alias("a")).join(cls, F.col("id") == F.col("k")).select("a", F.col("c").alias("b"))
@@ -306,15 +311,15 @@ def _agreeing(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series((u == v).sum(1).astype(np.int32))
 
 
-def _texts_of(d: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text for the distinct ``ids`` (id): of all copies of a text only the row that names it is moved."""
+def _texts_of(d: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, text of ``nodes`` (id, digest, rep): of all copies of a text only the row that names it counts."""
     key = F.coalesce(F.col("id"), F.lit(NO_ID)).alias("key")
-    wanted = nodes.join(ids, "id").select(F.col("id").alias("node"), "digest", F.coalesce("rep", F.lit(NO_ID)).alias("key"))
+    wanted = nodes.select(F.col("id").alias("node"), "digest", F.coalesce("rep", F.lit(NO_ID)).alias("key"))
     rows = d.select("text", digest_of("text").alias("digest"), key).join(wanted.hint("shuffle_hash"), ["digest", "key"])
     return rows.groupBy(F.col("node").alias("id")).agg(F.first("text").alias("text"))
 
 
-def _star(d: DataFrame, nodes: DataFrame, members: DataFrame, shared, threshold: float) -> DataFrame:
+def _star(members: DataFrame, sigs: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
     """Links (pivot, id) of the members (band, id, cls, main) to one pivot of their bucket, across classes.
 
     The pivot is the least id outside the main class. At first all classes are of one member, so the main
@@ -326,12 +331,11 @@ def _star(d: DataFrame, nodes: DataFrame, members: DataFrame, shared, threshold:
     of = members.select(F.col("id").alias("p"), F.col("cls").alias("p_cls"), F.col("band").alias("p_band"))
     pivots = pivots.join(of, (F.col("band") == F.col("p_band")) & (F.col("pivot") == F.col("p"))).select("band", "pivot", "p_cls")
     pairs = members.join(pivots, "band").filter(F.col("p_cls") != F.col("cls")).select("pivot", "id").distinct()
-    sig = nodes.select("id", "sig")
+    sig = sigs.select("id", "sig")
     both = pairs.join(sig, "id").join(sig.select(F.col("id").alias("pivot"), F.col("sig").alias("p_sig")), "pivot")
     near = both.withColumn("agree", _agreeing("sig", "p_sig")).filter(F.col("agree") >= AGREE).select("pivot", "id").checkpoint()
-    text = _texts_of(d, nodes, near.select(F.explode(F.array("pivot", "id")).alias("id")).distinct())
     # members first, then pivots: a hot pivot's text meets its members' in a join that AQE splits
-    met = near.join(text.select("id", F.col("text").alias("a")), "id").join(text.select(F.col("id").alias("pivot"), F.col("text").alias("b")), "pivot")
+    met = near.join(texts.select("id", F.col("text").alias("a")), "id").join(texts.select(F.col("id").alias("pivot"), F.col("text").alias("b")), "pivot")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -342,7 +346,7 @@ def _star(d: DataFrame, nodes: DataFrame, members: DataFrame, shared, threshold:
     return met.select("pivot", "id", "a", "b").mapInPandas(verify, "pivot long, id long")
 
 
-def _across(d: DataFrame, nodes: DataFrame, members: DataFrame, shared, threshold: float) -> DataFrame:
+def _across(members: DataFrame, sigs: DataFrame, texts: DataFrame, shared, threshold: float) -> DataFrame:
     """All links (pivot, id) across classes in the buckets of ``members`` (band, id, cls, main).
 
     Members outside the main class are guests; all members meet all guests of their bucket. Members and
@@ -350,7 +354,7 @@ def _across(d: DataFrame, nodes: DataFrame, members: DataFrame, shared, threshol
     of text, and a group has one block of either; small buckets share a group. Groups first compare
     signatures and name who takes part in any candidate pair; only those bring their texts.
     """
-    m = members.join(nodes.select("id", "sig", "bytes"), "id").withColumn("guest", F.col("cls") != F.col("main"))
+    m = members.join(sigs, "id").withColumn("guest", F.col("cls") != F.col("main"))
     count = lambda rows, total: F.greatest(F.ceil(rows / BLOCK), F.ceil(total / BLOCK_BYTES), F.lit(1)).cast("int")
     guest = F.col("guest")
     blocks = m.groupBy("band").agg(
@@ -390,8 +394,7 @@ def _across(d: DataFrame, nodes: DataFrame, members: DataFrame, shared, threshol
         return pd.DataFrame({"pivot": ids[g][j], "id": ids[~g][i], "cls": pdf["cls"].to_numpy(np.int64)[g][j]}).drop_duplicates(["id", "cls"])[["pivot", "id"]]
 
     part = own.unionByName(guests).groupBy(*keys).applyInPandas(taking_part, "pack long, row int, col int, band long, id long, cls long, guest boolean").checkpoint()
-    text = _texts_of(d, nodes, part.select("id").distinct())
-    return part.join(text, "id").groupBy(*keys).applyInPandas(links, "pivot long, id long").distinct()
+    return part.join(texts, "id").groupBy(*keys).applyInPandas(links, "pivot long, id long").distinct()
 
 
 def _meeting(pdf: pd.DataFrame, guest: np.ndarray) -> np.ndarray:

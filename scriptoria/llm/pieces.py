@@ -30,7 +30,7 @@ from scriptoria.llm.token_count import META, check_cuts, model
 
 SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 #: Arcs that a worker keeps; segments, and characters, that are sampled together; characters whose lattices are built together.
-KEPT, LOCKSTEP, LOCKSTEP_CHARS, ADDED = 3_000_000, 60_000, 1_000_000, 200_000
+KEPT, LOCKSTEP, LOCKSTEP_CHARS, ADDED = 1_000_000, 60_000, 1_000_000, 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
