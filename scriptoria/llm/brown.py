@@ -29,21 +29,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.text import by_bucket, chunks_for, shared_folder, split_words, with_chunk
+from scriptoria.llm.text import by_bucket, chunks_for, hash_bytes, mix, shared_folder, split_words, with_chunk
 
 #: Commonest words with a unit of their own, suffix groups, classes.
 TOP, SUFFIXES, CLASSES = 512, 512, 64
 UNITS = TOP + SUFFIXES
 #: The end token; no word holds a space.
 END = b" "
+END_HASH = np.uint64(0x5851F42D4C957F2D)
 #: Pseudo-count of class frequencies in a transition.
 KAPPA = 2.0
-#: Distinct words and tokens after which a chunk of the training text is closed.
-MOST_WORDS, MOST_TOKENS = 60_000, 1_000_000
+#: Characters after which a chunk of the training text is closed; its distinct words then mostly have numbers of 16 bits.
+CHUNK_CHARS = 700_000
+#: Counts up to which what they add to the likelihood is looked up.
+MOST_TABLED = 16
 #: Rounds in which every word may move.
 ROUNDS = 3
 #: Context codes of a word: classes before it, classes after it, itself.
@@ -54,12 +56,24 @@ def tokens(text: str | None) -> list[bytes]:
     return [w.lower() for w in split_words(text)] + [END]
 
 
+def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens of all texts in order: hash and suffix group; and how many tokens each text has."""
+    h, sizes, data, starts, ends = hash_bytes([t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts])
+    tail = np.zeros(len(h), np.uint64)
+    for k in range(3):
+        at = ends - 1 - k
+        tail |= np.where(at >= starts, data[np.maximum(at, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
+    groups = (mix(tail + np.uint64(5)) >> np.uint64(32)) % np.uint64(SUFFIXES)
+    upto = np.cumsum(sizes)
+    return np.insert(h, upto, END_HASH), np.insert(groups.astype(np.uint16), upto, 0), sizes + 1
+
+
 def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+    return int(END_HASH) if word == END else int(hash_bytes([word])[0][0])
 
 
 def suffix_group(word: bytes) -> int:
-    return xxhash.xxh32_intdigest(word[-3:], seed=5) % SUFFIXES
+    return int(token_hashes([word.decode("utf-8", "surrogatepass")])[1][0])
 
 
 def _kept(frame: DataFrame) -> DataFrame:
@@ -69,12 +83,13 @@ def _kept(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-class _Numbers(dict):
-    """Word -> place in order of first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = len(self)
-        return len(self) - 1
+def _dropped(frame: DataFrame) -> None:
+    """Deletes what ``_kept`` wrote, once nothing that is still to run reads it."""
+    files = frame.inputFiles()
+    if files:
+        jvm, context = frame.sparkSession.sparkContext._jvm, frame.sparkSession.sparkContext._jsc
+        folder = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(context.hadoopConfiguration()).delete(folder, True)
 
 
 def encode(texts: DataFrame) -> DataFrame:
@@ -84,31 +99,24 @@ def encode(texts: DataFrame) -> DataFrame:
         from pyspark import TaskContext
 
         chunk = TaskContext.get().partitionId() << 32
-        number, flat = _Numbers(), []
-
-        def packed() -> pd.DataFrame:
-            words = list(number)
-            h = np.fromiter(map(word_hash, words), np.uint64, len(words))
-            g = np.fromiter(map(suffix_group, words), np.uint16, len(words))
-            order = np.argsort(h, kind="stable")
-            place = np.empty(len(words), np.uint32)
-            place[order] = np.arange(len(words))
-            seq = place[np.array(flat, np.uint32)]
-            seq = seq.astype(np.uint16) if len(words) <= 1 << 16 else seq
-            return pd.DataFrame({"chunk": [chunk], "hashes": [h[order].tobytes()], "groups": [g[order].tobytes()], "seq": [seq.tobytes()], "width": [seq.itemsize]})
 
+        def packed(own: list[str | None]) -> pd.DataFrame:
+            h, groups, _ = token_hashes(own)
+            h, first, seq = np.unique(h, return_index=True, return_inverse=True)
+            seq = np.append(np.searchsorted(h, END_HASH), seq).astype(np.uint16 if len(h) <= 1 << 16 else np.uint32)
+            return pd.DataFrame({"chunk": [chunk], "hashes": [h.tobytes()], "groups": [groups[first].tobytes()], "seq": [seq.tobytes()], "width": [seq.itemsize]})
+
+        pending, size = [], 0
         for pdf in batches:
             for text in pdf["text"]:
-                if not flat:
-                    flat.append(number[END])
-                flat.extend(map(number.__getitem__, tokens(text)))
-                if len(number) > MOST_WORDS or len(flat) > MOST_TOKENS:
-                    yield packed()
+                pending.append(text)
+                size += len(text or "")
+                if size >= CHUNK_CHARS:
+                    yield packed(pending)
                     chunk += 1
-                    number.clear()
-                    flat.clear()
-        if flat:
-            yield packed()
+                    pending, size = [], 0
+        if pending:
+            yield packed(pending)
 
     return texts.mapInPandas(pack, "chunk long, hashes binary, groups binary, seq binary, width int")
 
@@ -296,10 +304,14 @@ def class_contexts(encoded: DataFrame, state: DataFrame, n_buckets: int) -> Data
         ends = np.append(0, np.cumsum(sizes))[cuts]
         codes = (at % width).astype(np.uint8)
         full = np.flatnonzero(np.diff(cuts))
+        # most counts fit a byte; 255 stands for the next of the others
+        small, large = np.minimum(ns, 255).astype(np.uint8), np.append(0, np.cumsum(ns >= 255))[ends]
+        others = ns[ns >= 255].astype(np.uint32)
         return pd.DataFrame(
             {
                 "bucket": full, "hashes": [h[cuts[b] : cuts[b + 1]].tobytes() for b in full], "sizes": [sizes[cuts[b] : cuts[b + 1]].astype(np.uint8).tobytes() for b in full],
-                "codes": [codes[ends[b] : ends[b + 1]].tobytes() for b in full], "ns": [ns[ends[b] : ends[b + 1]].astype(np.uint32).tobytes() for b in full],
+                "codes": [codes[ends[b] : ends[b + 1]].tobytes() for b in full], "ns": [small[ends[b] : ends[b + 1]].tobytes() for b in full],
+                "others": [others[large[b] : large[b + 1]].tobytes() for b in full],
             }
         )
 
@@ -310,7 +322,9 @@ def class_contexts(encoded: DataFrame, state: DataFrame, n_buckets: int) -> Data
         for x in parts.itertuples(index=False):
             word = np.searchsorted(h, np.frombuffer(x.hashes, np.uint64))
             key.append(np.repeat(word, np.frombuffer(x.sizes, np.uint8)) * width + np.frombuffer(x.codes, np.uint8))
-            ns.append(np.frombuffer(x.ns, np.uint32).astype(np.int64))
+            n = np.frombuffer(x.ns, np.uint8).astype(np.int64)
+            n[n == 255] = np.frombuffer(x.others, np.uint32)
+            ns.append(n)
         key, ns = np.concatenate(key), np.concatenate(ns)
         order = np.argsort(key, kind="stable")
         key, ns = key[order], ns[order]
@@ -326,7 +340,7 @@ def class_contexts(encoded: DataFrame, state: DataFrame, n_buckets: int) -> Data
 
     asked = encoded.select("chunk", "hashes").mapInPandas(ask, "bucket int, chunk long, asked binary")
     answers = asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(_classes, "chunk long, bucket int, classes binary")
-    parts = encoded.select("chunk", "hashes", "seq", "width").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(count, "bucket int, hashes binary, sizes binary, codes binary, ns binary")
+    parts = encoded.select("chunk", "hashes", "seq", "width").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(count, "bucket int, hashes binary, sizes binary, codes binary, ns binary, others binary")
     schema = "bucket int, hashes binary, counts binary, classes binary, sizes binary, codes binary, ns binary, g binary"
     return state.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInPandas(add, schema)
 
@@ -354,6 +368,8 @@ def best_classes(cls: np.ndarray, sizes: np.ndarray, codes: np.ndarray, ns: np.n
     out = cls.astype(np.int64)
     ends = np.append(0, np.cumsum(sizes.astype(np.int64)))
     left, right, diag = g.sum(1), g.sum(0), np.diag(g)
+    # what n more in a cell add, for the usual small n
+    tables = {f: np.stack([_xlogx(x + n) - _xlogx(x) for n in range(1, MOST_TABLED + 1)]) for f, x in ((AFTER, g.T), (BEFORE, g))}
     lo = 0
     while lo < len(cls):
         # words up to a bound of contexts, one at least
@@ -368,15 +384,22 @@ def best_classes(cls: np.ndarray, sizes: np.ndarray, codes: np.ndarray, ns: np.n
         for from_, matrix, mine, other in ((AFTER, g.T, r, c), (BEFORE, g, c, r)):
             at = np.flatnonzero((code >= from_) & (code < from_ + CLASSES))
             w, k, m = word[at], code[at] - from_, n[at, None]
-            base = matrix[k]  # of each class with class k
             home = a[w] == k  # the word has left its class on both sides
-            base[home] -= other[w[home]]
-            base[np.arange(len(at)), a[w]] -= mine[w, k]
-            base[home, k[home]] -= own[w[home]]
+            few = np.minimum(n[at], MOST_TABLED).astype(np.int64)
+            more = tables[from_][few - 1, k]
+            # from the class it leaves the word takes its own contexts
+            left_over = np.maximum(matrix[k, a[w]] - mine[w, k], 0)
+            more[np.arange(len(at)), a[w]] = _xlogx(left_over + n[at]) - _xlogx(left_over)
+            direct = np.flatnonzero(home | (n[at] > MOST_TABLED))
+            base, j = matrix[k[direct]], home[direct]  # of each class with class k
+            base[j] -= other[w[direct][j]]
+            base[np.arange(len(direct)), a[w[direct]]] -= mine[w[direct], k[direct]]
+            base[j, k[direct][j]] -= own[w[direct][j]]
             np.maximum(base, 0, out=base)
+            more[direct] = _xlogx(base + m[direct]) - _xlogx(base)
             first = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.empty(0, np.int64)
             if len(first):
-                gain[w[first]] += np.add.reduceat(_xlogx(base + m) - _xlogx(base), first)
+                gain[w[first]] += np.add.reduceat(more, first)
         d = np.tile(diag, (hi - lo, 1))
         d[each, a] = np.maximum(d[each, a] - r[each, a] - c[each, a] - own, 0)
         gain += _xlogx(d + r + c + own[:, None]) - _xlogx(d + r) - _xlogx(d + c) + _xlogx(d)
@@ -404,15 +427,19 @@ def word_classes(encoded: DataFrame, state: DataFrame, n_buckets: int, rounds: i
     best, found = None, []
     for k in range(rounds + 1):
         contexts = _kept(class_contexts(encoded, state, n_buckets))
+        _dropped(state)
         g = class_bigrams(contexts)
         found.append(likelihood(g))
-        if best is None or found[-1] > max(found[:-1]):
-            best = contexts.select("bucket", "hashes", "counts", "classes"), g
+        better = best is None or found[-1] > max(found[:-1])
+        last, best = (best, (contexts, g)) if better else (None, best)
         if k < rounds:
             state = _kept(_moved(contexts, g))
+        for old in (last and last[0], None if better else contexts):
+            if old:
+                _dropped(old)
         # shuffles of a finished round are dropped when the driver collects the plans that made them
         encoded.sparkSession.sparkContext._jvm.System.gc()
-    return *best, found
+    return best[0].select("bucket", "hashes", "counts", "classes"), best[1], found
 
 
 def train(texts: DataFrame) -> tuple[dict, DataFrame]:
@@ -425,7 +452,10 @@ def train(texts: DataFrame) -> tuple[dict, DataFrame]:
     top_rows = table.select(F.inline("top")).orderBy(F.desc("c"), "h").limit(TOP).collect()
     top = np.array([r["h"] for r in top_rows], np.int64).view(np.uint64)
     of = exchange(unit_bigrams(encoded, top))
-    state, n, found = word_classes(encoded, _kept(_seed(table, top, of)), n_buckets)
+    seed = _kept(_seed(table, top, of))
+    _dropped(table)
+    state, n, found = word_classes(encoded, seed, n_buckets)
+    _dropped(encoded)
     types = np.zeros(CLASSES)
     for r in state.mapInPandas(_class_sizes, "c int, k long").groupBy("c").agg(F.sum("k").alias("k")).collect():
         types[r["c"]] = r["k"]
@@ -448,15 +478,6 @@ def _class_sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"c": np.arange(CLASSES), "k": total})
 
 
-def _distinct(docs: pd.DataFrame) -> tuple[list[list[bytes]], dict[bytes, int], np.ndarray]:
-    """Tokens by document, words numbered in order of their hash, and the hashes."""
-    found = [tokens(t) for t in docs["_text"]]
-    words = list({w for ws in found for w in ws})
-    h = np.fromiter(map(word_hash, words), np.uint64, len(words))
-    order = np.argsort(h, kind="stable")
-    return found, {words[i]: k for k, i in enumerate(order.tolist())}, h[order]
-
-
 def _asked(h: np.ndarray, chunk: int, n: int) -> pd.DataFrame:
     _, cuts = by_bucket(h, n)
     full = np.flatnonzero(np.diff(cuts))
@@ -464,7 +485,7 @@ def _asked(h: np.ndarray, chunk: int, n: int) -> pd.DataFrame:
 
 
 def _ask(docs: pd.DataFrame, n: int) -> pd.DataFrame:
-    return _asked(_distinct(docs)[2], int(docs["chunk"].iloc[0]), n)
+    return _asked(np.unique(token_hashes(docs["_text"].tolist())[0]), int(docs["chunk"].iloc[0]), n)
 
 
 def _answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -489,26 +510,23 @@ def _score(docs: pd.DataFrame, answers: pd.DataFrame, model: dict) -> pd.DataFra
     extra = docs.drop(columns=["_text", "chunk"])
     if not len(docs):
         return extra.assign(n_tokens=[], n_known=[], train_tokens=[], base_score=[], score=[])
-    found, number, h = _distinct(docs)
+    h, groups, sizes = token_hashes(docs["_text"].tolist())
+    h, first, seq = np.unique(h, return_index=True, return_inverse=True)
     answers = answers.sort_values("bucket")  # buckets are ranges of hashes, and so are the parts
     count = np.concatenate([np.frombuffer(x, np.int64) for x in answers["counts"]]).astype(float)
     cls = np.concatenate([np.frombuffer(x, np.uint8) for x in answers["classes"]]).astype(np.int64)
-    known = (count > 0).tolist()
-    for w, k in number.items():
-        if not known[k]:
-            cls[k] = model["unseen"][suffix_group(w)]
+    cls = np.where(count > 0, cls, model["unseen"][groups[first]])
     size, d = model["size"][cls], model["discount"]
     emit = np.log10(np.where(count > 0, np.maximum(count - d, 1e-9), model["free"][cls] + 1.0) / (size + 1.0))
     base = np.log10((count + 1.0) / (model["n"] + model["types"] + 1.0))
-    end = cls[number[END]]
-    rows = []
-    for ws in found:
-        at = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
-        c = cls[at]
-        before = np.append(end, c[:-1])
-        rows.append((len(at), int((count[at] > 0).sum()), float(base[at].sum()), float(emit[at].sum() + model["step"][before, c].sum())))
-    a, b, base_score, score = zip(*rows, strict=True)
-    return extra.assign(n_tokens=a, n_known=b, train_tokens=model["n"], base_score=base_score, score=score)
+    c = cls[seq]
+    before = np.append(cls[np.searchsorted(h, END_HASH)], c[:-1])  # the token before a text is the end of another
+    starts = np.cumsum(sizes) - sizes
+    summed = lambda x: np.add.reduceat(x, starts)
+    return extra.assign(
+        n_tokens=sizes, n_known=summed((count > 0)[seq].astype(np.int64)), train_tokens=model["n"], base_score=summed(base[seq]),
+        score=summed(emit[seq] + model["step"][before, c]),
+    )
 
 
 def score(docs: DataFrame, model: dict, counts: DataFrame, text_col: str = "text") -> DataFrame:

@@ -59,13 +59,18 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 def hash_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts in order, and how many words each text has.
+    """64-bit hashes of all words of all texts in order, and how many words each text has."""
+    return hash_bytes([t.encode("utf-8", "surrogatepass") if t else b"" for t in texts])[:2]
+
+
+def hash_bytes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``hash_texts``; also all bytes together, and where words start and end in them.
 
     A word's hash is a polynomial of random values of its bytes, so it is a difference of prefix sums.
     """
-    raw = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     if not raw:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        none = np.empty(0, np.int64)
+        return np.empty(0, np.uint64), none, np.empty(0, np.uint8), none, none
     data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
     edge = np.diff(_IS_SPACE[data], prepend=True, append=True).nonzero()[0]
     starts, ends = edge[::2], edge[1::2]
@@ -82,7 +87,7 @@ def hash_texts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum(_BYTE[data[lo:hi]] * up[: hi - lo], out=prefix[1:])
         out[i:j] = (prefix[ends[i:j] - lo] - prefix[starts[i:j] - lo]) * down[starts[i:j] - lo]
         i = j
-    return mix(out), sizes
+    return mix(out), sizes, data, starts, ends
 
 
 def split_words(text: str | None) -> list[bytes]:
