@@ -275,8 +275,21 @@ def _answered(asked: DataFrame, state: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(_answer, "chunk long, bucket int, counts binary, classes binary")
 
 
+def _steps(places: np.ndarray) -> bytes:
+    """Ascending places as what each adds to the one before, in 16 bits if all fit."""
+    steps = np.diff(places, prepend=0)
+    return steps.astype(np.uint16 if steps.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+
+
+def _places(steps: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(steps, np.uint16 if len(steps) == 2 * n else np.uint32), dtype=np.int64)
+
+
 def _classes(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-    return _answer(asked, held)[["chunk", "bucket", "classes"]]
+    """Classes of known words, and their places among the words of the bucket."""
+    h, k = np.frombuffer(held["hashes"].iloc[0], np.uint64), np.frombuffer(held["classes"].iloc[0], np.uint8)
+    at = [np.searchsorted(h, np.frombuffer(x, np.uint64)) for x in asked["asked"]]
+    return asked[["chunk", "bucket"]].assign(classes=[k[x].tobytes() for x in at], places=[_steps(x) for x in at])
 
 
 def class_contexts(encoded: DataFrame, state: DataFrame, n_buckets: int) -> DataFrame:
@@ -289,29 +302,31 @@ def class_contexts(encoded: DataFrame, state: DataFrame, n_buckets: int) -> Data
                 yield _asked(np.frombuffer(x.hashes, np.uint64), x.chunk, n_buckets)
 
     def count(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        x = chunk.iloc[0]
-        h, seq = np.frombuffer(x["hashes"], np.uint64), _seq(x["seq"], x["width"])
-        cls = np.concatenate([np.frombuffer(c, np.uint8) for c in answers.sort_values("bucket")["classes"]]).astype(np.int64)
+        # hashes ascend and buckets are ranges of them, so a chunk's words stand in order of their buckets
+        x, answers = chunk.iloc[0], answers.sort_values("bucket")
+        seq = _seq(x["seq"], x["width"])
+        cls = np.frombuffer(b"".join(answers["classes"]), np.uint8).astype(np.int64)
+        n_words = len(cls)
+        cuts = np.append(0, np.cumsum([len(c) for c in answers["classes"]]))
         left, right, width = seq[:-1], seq[1:], ITSELF + 1
         own = left == right
         code = np.where(own, ITSELF, BEFORE + cls[left])
-        total = np.bincount(right * width + code, minlength=len(h) * width)
-        total += np.bincount((left * width + AFTER + cls[right])[~own], minlength=len(h) * width)
+        total = np.bincount(right * width + code, minlength=n_words * width)
+        total += np.bincount((left * width + AFTER + cls[right])[~own], minlength=n_words * width)
         at = np.flatnonzero(total)
         word, ns = at // width, total[at]
-        sizes = np.bincount(word, minlength=len(h))
-        order, cuts = by_bucket(h, n_buckets)  # hashes ascend, and so the order is theirs
+        sizes = np.bincount(word, minlength=n_words)
         ends = np.append(0, np.cumsum(sizes))[cuts]
         codes = (at % width).astype(np.uint8)
-        full = np.flatnonzero(np.diff(cuts))
+        parts = range(len(answers))
         # most counts fit a byte; 255 stands for the next of the others
         small, large = np.minimum(ns, 255).astype(np.uint8), np.append(0, np.cumsum(ns >= 255))[ends]
         others = ns[ns >= 255].astype(np.uint32)
         return pd.DataFrame(
             {
-                "bucket": full, "hashes": [h[cuts[b] : cuts[b + 1]].tobytes() for b in full], "sizes": [sizes[cuts[b] : cuts[b + 1]].astype(np.uint8).tobytes() for b in full],
-                "codes": [codes[ends[b] : ends[b + 1]].tobytes() for b in full], "ns": [small[ends[b] : ends[b + 1]].tobytes() for b in full],
-                "others": [others[large[b] : large[b + 1]].tobytes() for b in full],
+                "bucket": answers["bucket"].to_numpy(), "places": answers["places"].to_numpy(), "sizes": [sizes[cuts[b] : cuts[b + 1]].astype(np.uint8).tobytes() for b in parts],
+                "codes": [codes[ends[b] : ends[b + 1]].tobytes() for b in parts], "ns": [small[ends[b] : ends[b + 1]].tobytes() for b in parts],
+                "others": [others[large[b] : large[b + 1]].tobytes() for b in parts],
             }
         )
 
@@ -320,7 +335,7 @@ def class_contexts(encoded: DataFrame, state: DataFrame, n_buckets: int) -> Data
         width = ITSELF + 1
         key, ns = [], []
         for x in parts.itertuples(index=False):
-            word = np.searchsorted(h, np.frombuffer(x.hashes, np.uint64))
+            word = _places(x.places, len(x.sizes))
             key.append(np.repeat(word, np.frombuffer(x.sizes, np.uint8)) * width + np.frombuffer(x.codes, np.uint8))
             n = np.frombuffer(x.ns, np.uint8).astype(np.int64)
             n[n == 255] = np.frombuffer(x.others, np.uint32)
@@ -339,8 +354,8 @@ def class_contexts(encoded: DataFrame, state: DataFrame, n_buckets: int) -> Data
         return held[["bucket", "hashes", "counts", "classes"]].assign(sizes=[sizes.tobytes()], codes=[code.astype(np.uint8).tobytes()], ns=[ns.tobytes()], g=[g.tobytes()])
 
     asked = encoded.select("chunk", "hashes").mapInPandas(ask, "bucket int, chunk long, asked binary")
-    answers = asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(_classes, "chunk long, bucket int, classes binary")
-    parts = encoded.select("chunk", "hashes", "seq", "width").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(count, "bucket int, hashes binary, sizes binary, codes binary, ns binary, others binary")
+    answers = asked.groupBy("bucket").cogroup(state.groupBy("bucket")).applyInPandas(_classes, "chunk long, bucket int, classes binary, places binary")
+    parts = encoded.select("chunk", "seq", "width").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(count, "bucket int, places binary, sizes binary, codes binary, ns binary, others binary")
     schema = "bucket int, hashes binary, counts binary, classes binary, sizes binary, codes binary, ns binary, g binary"
     return state.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInPandas(add, schema)
 
