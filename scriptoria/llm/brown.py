@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.text import by_bucket, chunks_for, hash_bytes, mix, shared_folder, split_words, with_chunk
+from scriptoria.llm.text import by_bucket, chunks_for, hash_bytes, mix, release, shared_folder, split_words, with_chunk
 
 #: Commonest words with a unit of their own, suffix groups, classes.
 TOP, SUFFIXES, CLASSES = 512, 512, 64
@@ -453,7 +453,7 @@ def word_classes(encoded: DataFrame, state: DataFrame, n_buckets: int, rounds: i
             if old:
                 _dropped(old)
         # shuffles of a finished round are dropped when the driver collects the plans that made them
-        encoded.sparkSession.sparkContext._jvm.System.gc()
+        release(encoded.sparkSession)
     return best[0].select("bucket", "hashes", "counts", "classes"), best[1], found
 
 

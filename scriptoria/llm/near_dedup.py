@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from scriptoria.llm.text import hash_texts, mix, shared_folder, unique_hashes, window_hashes
+from scriptoria.llm.text import hash_texts, mix, release, shared_folder, unique_hashes, window_hashes
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 21, 6
@@ -224,6 +224,7 @@ def _contract(classes: DataFrame, links: DataFrame) -> DataFrame:
     while True:
         stepped = step(step(label.select("v", "l"))).checkpoint()
         label = stepped.select("v", "l")
+        release(classes.sparkSession)
         if not stepped.filter(F.col("l") != F.col("old")).limit(1).count():
             return classes.join(label, F.col("cls") == F.col("v"), "left").select("id", F.coalesce("l", "cls").alias("cls"))
 
@@ -283,6 +284,8 @@ def _text_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float)
     sigs = nodes.select("id", "sig", "bytes").join(ids, "id").checkpoint()
     wanted = nodes.select("id", "digest", "rep").join(ids, "id")
     texts = _texts_of(d, wanted).checkpoint()
+    del shared_bands, ids, wanted, distinct
+    release(spark)
 
     classes = nodes.select("id", F.col("id").alias("cls")).checkpoint()
     for search in (_star, _star, _across):
@@ -296,6 +299,9 @@ def _text_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float)
             cls = classes.select(F.col("id").alias("k"), F.col("cls").alias("c"))
             of = links.join(cls, F.col("pivot") == F.col("k")).select("id", F.col("c").alias("a")).join(cls, F.col("id") == F.col("k")).select("a", F.col("c").alias("b"))
             classes = _contract(classes, of.filter("a <> b").distinct()).checkpoint()
+            del cls, of
+        del m, parts, mains, links
+        release(spark)
     return signed.select("id", "digest"), nodes.select("id", "digest", "rep").join(classes, "id").select("digest", "rep", F.col("id").alias("node"), "cls")
 
 

@@ -5,6 +5,7 @@ A word is a maximal run of characters other than space and U+0009..U+000D.
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable
 
@@ -160,3 +161,9 @@ def shared_folder(spark) -> None:
 
         folder = tempfile.mkdtemp(prefix="spark-")
     spark.sparkContext.setCheckpointDir(folder)
+
+
+def release(spark) -> None:
+    """Shuffle and checkpoint files of plans that nothing refers to any more go when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
