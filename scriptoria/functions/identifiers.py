@@ -72,15 +72,16 @@ def key_base(authors: Column, year: Column) -> Column:
 
 
 def key_suffix(n: Column) -> Column:
-    """0 -> '', 1 -> a, 26 -> z, 27 -> aa: bijective base 26, up to three letters."""
-    letter = lambda k: F.chr(F.lit(97) + k.cast("int"))
-    m1, m2, m3 = n - 1, n - 27, n - 703
-    return (
-        F.when(n <= 0, F.lit(""))
-        .when(n <= 26, letter(m1))
-        .when(n <= 702, F.concat(letter(F.floor(m2 / 26)), letter(m2 % 26)))
-        .otherwise(F.concat(letter(F.floor(m3 / 676)), letter(F.floor(m3 / 26) % 26), letter(m3 % 26)))
-    )
+    """0 -> '', 1 -> a, 26 -> z, 27 -> aa: bijective base 26, of any length."""
+    start = F.struct(n.cast("long").alias("left"), F.lit("").alias("out"))
+
+    def step(a: Column, _: Column) -> Column:
+        below = a["left"] - 1
+        letter = F.chr(F.lit(97) + (below % 26).cast("int"))
+        return F.when(a["left"] <= 0, a).otherwise(F.struct(F.floor(below / 26).cast("long").alias("left"), F.concat(letter, a["out"]).alias("out")))
+
+    # fourteen letters number more than 2**63 keys
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda a: a["out"])
 
 
 def partial_date(text: Column) -> Column:

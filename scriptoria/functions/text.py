@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,9 +31,32 @@ def excerpt(text: Column, longest: int = 300) -> Column:
     return F.when(F.length(t) > longest, F.concat(F.rtrim(F.substring(t, 1, longest)), F.lit("…"))).otherwise(t)
 
 
+def _decomposed() -> tuple[str, str]:
+    """Letters whose compatibility decomposition is one letter and marks, and these letters."""
+    pairs = []
+    for c in map(chr, range(0x80, 0xFFFE)):
+        parts = [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)]
+        if len(parts) == 1 and parts[0] != c:
+            pairs.append((c, parts[0]))
+    return "".join(c for c, _ in pairs), "".join(x for _, x in pairs)
+
+
+_MARKED, _BARE = _decomposed()
+#: Letters that decompose to several.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ"}
+
+
+def bare_letters(text: Column) -> Column:
+    """Letters without their marks, compatibility forms as plain letters; a decomposed mark stays for the caller to drop."""
+    t = F.translate(text, _MARKED, _BARE)
+    for whole, letters in LIGATURES.items():
+        t = F.replace(t, F.lit(whole), F.lit(letters))
+    return t
+
+
 def fold_title(title: Column) -> Column:
-    """Lower case without punctuation, one space between words. Marks of decomposed letters go with the punctuation."""
-    t = F.regexp_replace(F.lower(strip(F.coalesce(title, F.lit("")))), r"[^\p{L}\p{N}_\s]", "")
+    """Lower case, letters without marks, no punctuation, one space between words."""
+    t = F.regexp_replace(F.lower(strip(bare_letters(F.coalesce(title, F.lit(""))))), r"[^\p{L}\p{N}_\s]", "")
     return F.regexp_replace(t, r"\s+", " ")
 
 

@@ -8,23 +8,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Where a chunk may end, best first.
-SEPARATORS = ("\n\n", "\n", ". ", " ")
+#: After these a chunk may end.
+SEPARATORS = ("\n\n", ".\n", ". ", "! ", "? ")
 SIZE, OVERLAP, LEAST = 800, 150, 50
 
 
 def cut(text: str, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> list[str]:
-    """Chunks of at most ``size`` characters that end at the last best separator of their second half."""
+    """Chunks of at most ``size`` characters that end behind the last separator in their second half, or else where they are full."""
     out, start = [], 0
     while start < len(text):
         end = min(start + size, len(text))
         if end < len(text):
-            half = start + size // 2
+            found = -1
             for s in SEPARATORS:
-                at = text.rfind(s, half, end)
-                if at >= 0:
-                    end = at + len(s)
-                    break
+                at = text.rfind(s, start + size // 2, end)
+                found = at + len(s) if at > found else found
+            end = found if found > start else end
         part = text[start:end].strip()
         if len(part) > least:
             out.append(part)

@@ -5,18 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptoria.session import checkpoint_folder
 
-def paths(tree: DataFrame, most: int = 20) -> DataFrame:
+
+def paths(tree: DataFrame) -> DataFrame:
     """id, path (array of names from the root), root, depth, for a tree (id, name, parent); rows of a cycle are left out.
 
-    One join a level. A level without rows ends the loop; trees are shallow and levels are counted by a limit of one row.
+    One join a level, whatever the depth; each level is kept, so that the next does not compute those above again.
+    A level without rows ends the loop; the rows of a cycle hang below no root and are never reached.
     """
+    checkpoint_folder(tree.sparkSession)
     level = tree.filter(F.col("parent").isNull()).select("id", F.array("name").alias("path"), F.col("id").alias("root"), F.lit(0).alias("depth"))
     every = level
     below = tree.filter(F.col("parent").isNotNull()).select(F.col("id").alias("child"), F.col("name").alias("child_name"), "parent")
-    for depth in range(1, most):
+    depth = 0
+    while True:
+        depth += 1
         up = level.select(F.col("id").alias("parent"), "path", "root")
-        level = below.join(up, "parent").select(F.col("child").alias("id"), F.concat("path", F.array("child_name")).alias("path"), "root", F.lit(depth).alias("depth"))
+        level = below.join(up, "parent").select(F.col("child").alias("id"), F.concat("path", F.array("child_name")).alias("path"), "root", F.lit(depth).alias("depth")).checkpoint()
         if not level.limit(1).count():
             break
         every = every.unionByName(level)
@@ -28,13 +34,16 @@ def subtree(tree: DataFrame, top: str) -> DataFrame:
     return descendants(tree).filter(F.col("ancestor") == top).select("id")
 
 
-def descendants(tree: DataFrame, most: int = 20) -> DataFrame:
+def descendants(tree: DataFrame) -> DataFrame:
     """ancestor, id for every node and each of its descendants, itself included."""
     level = tree.select(F.col("id").alias("ancestor"), "id")
     every = level
     down = tree.filter(F.col("parent").isNotNull()).select(F.col("parent").alias("p"), F.col("id").alias("c"))
-    for _ in range(most):
-        level = level.join(down, F.col("id") == F.col("p")).select("ancestor", F.col("c").alias("id"))
+    # a row of a cycle would be its own descendant for ever: only what hangs below a root takes part
+    rooted = paths(tree.select("id", F.col("id").alias("name"), "parent")).select(F.col("id").alias("c"))
+    down = down.join(rooted, "c")
+    while True:
+        level = level.join(down, F.col("id") == F.col("p")).select("ancestor", F.col("c").alias("id")).checkpoint()
         if not level.limit(1).count():
             break
         every = every.unionByName(level)

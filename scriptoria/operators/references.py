@@ -2,38 +2,57 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptoria.functions.text import word_set
+from scriptoria.functions.text import strip, word_set
+
+
+#: What a line with one of these words and perhaps a section number is, the heading of a reference section.
+HEADINGS = (
+    r"References|Bibliography|Literatur(?:verzeichnis)?|Quellenverzeichnis|Literaturliste|Cited\s+Works|Works\s+Cited|Bibliographie|"
+    r"Referenzen|Quellen|Literature|Sources|Bibliograf[ií]a"
+)
+#: A mark, what it counts and the most that all of its kind count on a page.
+MARKS = ((r"10\.\d{4,}/", 2.0, 10.0), (r"\[\d{1,3}\]", 1.5, 10.0), (r"\((?:19|20)\d{2}\)", 1.0, 8.0), (r"(?i)et\s+al\.", 1.5, 6.0))
 
 
 def page_score(text: Column) -> Column:
-    """How much a page looks like references: DOIs, [n] markers, years, "et al." and mostly short lines."""
-    n = lambda p, most: F.least(F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0))), F.lit(most))
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    short = F.size(F.filter(lines, lambda x: (F.length(x) > 20) & (F.length(x) < 300)))
-    layout = F.when((F.size(lines) > 5) & (short > 0.5 * F.size(lines)), 3.0).otherwise(0.0)
-    return 2.0 * n(r"10\.\d{4,}/", 10) + 1.5 * n(r"\[\d+\]", 10) + 1.0 * n(r"\b(?:19|20)\d{2}\b", 8) + 1.5 * n(r"et al\.", 6) + layout
+    """How much a page looks like references: DOIs, [n] markers, years in parentheses, "et al." and mostly short lines."""
+    marks = [F.least(F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0))) * F.lit(each), F.lit(most)) for p, each, most in MARKS]
+    lines = F.split(strip(text), "\n")
+    short = F.size(F.filter(lines, lambda x: F.length(strip(x)).between(21, 299)))
+    return reduce(add, marks) + F.when((F.size(lines) > 5) & (short > 0.5 * F.size(lines)), 3.0).otherwise(0.0)
 
 
 def section(pages: DataFrame, least: float = 1.5) -> DataFrame:
-    """paper_id, page of the reference pages: from the last page with a heading while the score holds;
-    without one, the last cluster of high pages in the last two fifths; else the last three pages. pages: paper_id, page, text."""
+    """paper_id, page (from 1) of the reference pages. pages: paper_id, page, text.
+
+    A heading starts it: the first one in the second half, else the last one; the pages behind it belong to it
+    while their score is ``least`` or more. Without a heading, in three pages or more, if one of the last two
+    fifths scores 5: from the start of the last cluster of pages that score 4, two apart at most, to the end.
+    Else the last three pages.
+    """
     w = Window.partitionBy("paper_id")
-    p = pages.withColumns({"score": page_score(F.col("text")), "n": F.max("page").over(w)})
-    heading = F.col("text").rlike(r"(?im)^\s*(?:\d+\.?\s*)?(references|bibliography|literatur(?:verzeichnis)?)\s*$")
-    p = p.withColumn("start", F.max(F.when(heading, F.col("page"))).over(w))
+    p = pages.withColumns({"score": page_score(F.col("text")), "n": F.max("page").over(w), "at": F.col("page") - 1})
+    heading = F.col("text").rlike(rf"(?im)^\s*(?:\d+(?:\.\d+)*\.?\s+)?(?:{HEADINGS})\s*$")
+    behind = F.min(F.when(heading & (F.col("at") >= F.floor(F.col("n") / 2)), F.col("page"))).over(w)
+    p = p.withColumn("start", F.coalesce(behind, F.max(F.when(heading, F.col("page"))).over(w)))
     p = p.withColumn("stop", F.min(F.when((F.col("page") > F.col("start")) & (F.col("score") < least), F.col("page"))).over(w))
-    late = F.col("page") > 0.6 * F.col("n")
-    p = p.withColumns({"top": F.max(F.when(late, F.col("score"))).over(w), "high": late & (F.col("score") >= 4)})
-    gap = F.col("page") - F.max(F.when(F.col("high"), F.col("page"))).over(w.orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
-    p = p.withColumn("island", F.sum((F.col("high") & (F.coalesce(gap, F.lit(99)) > 2)).cast("int")).over(w.orderBy("page").rowsBetween(Window.unboundedPreceding, 0)))
-    p = p.withColumn("last", F.max(F.when(F.col("high"), F.col("island"))).over(w))
-    by_heading = F.col("start").isNotNull() & (F.col("page") >= F.col("start")) & (F.col("stop").isNull() | (F.col("page") < F.col("stop")))
-    by_score = F.col("start").isNull() & (F.col("top") >= 5) & F.col("high") & (F.col("island") == F.col("last"))
-    rest = F.col("start").isNull() & (F.coalesce("top", F.lit(0.0)) < 5) & (F.col("page") > F.col("n") - 3)
-    return p.filter(by_heading | by_score | rest).select("paper_id", "page", F.when(F.col("start").isNotNull(), "heading").when(F.col("top") >= 5, "score").otherwise("last").alias("rule"))
+    late = (F.col("n") >= 3) & (F.col("at") >= F.floor(F.col("n") * 0.6))
+    p = p.withColumns({"top": F.max(F.when(late, F.col("score"))).over(w), "high": F.coalesce(late & (F.col("score") >= 4), F.lit(False))})
+    before = F.max(F.when(F.col("high"), F.col("page"))).over(w.orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
+    p = p.withColumn("opens", F.col("high") & (F.col("page") - F.coalesce(before, F.lit(-2)) > 2))
+    p = p.withColumn("cluster", F.max(F.when(F.col("opens"), F.col("page"))).over(w))
+    scored = F.coalesce(F.col("top") >= 5, F.lit(False))
+    titled = F.col("start").isNotNull()
+    by_heading = titled & (F.col("page") >= F.col("start")) & (F.col("stop").isNull() | (F.col("page") < F.col("stop")))
+    by_score = ~titled & scored & (F.col("page") >= F.col("cluster"))
+    rest = ~titled & ~scored & (F.col("page") > F.col("n") - 3)
+    return p.filter(by_heading | by_score | rest).select("paper_id", "page", F.when(titled, "heading").when(scored, "score").otherwise("last").alias("rule"))
 
 
 def usage(refs: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -54,10 +73,10 @@ def usage(refs: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def _range(part: Column) -> Column:
-    """"3-5" as 3, 4, 5; a single number as itself; at most a hundred numbers."""
+    """"3-5" as 3, 4, 5; a single number as itself; of a longer range its first hundred."""
     ends = F.transform(F.split(F.trim(part), r"\s*[-–]\s*"), lambda x: x.try_cast("int"))
     a, z = F.get(ends, F.lit(0)), F.coalesce(F.get(ends, F.size(ends) - 1), F.get(ends, F.lit(0)))
-    return F.when(a.isNull() | (z < a) | (z - a > 100), F.array().cast("array<int>")).otherwise(F.sequence(a, z))
+    return F.when(a.isNull() | (z < a), F.array().cast("array<int>")).otherwise(F.sequence(a, F.least(z, a + 99)))
 
 
 def plausible(title: Column, text: Column, longest: int = 5000) -> Column:

@@ -18,7 +18,7 @@ PAPERS = f"""papers AS (
     CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'f' || doc_id || '.pdf' END AS filename, text
   FROM documents)"""
 KEY = r"CASE WHEN authors = '' THEN 'Unknown' ELSE regexp_replace(trim(split_part(authors, ',', 1)), '[^\p{L}\p{N}_]', '', 'g') END || coalesce(nullif(year, 0)::VARCHAR, 'XXXX')"
-FOLD = rf"trim(regexp_replace(regexp_replace(lower(trim(title, {BLANKS})), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
+FOLD = rf"trim(regexp_replace(regexp_replace(lower(trim(strip_accents(title), {BLANKS})), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:

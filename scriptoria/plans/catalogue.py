@@ -46,7 +46,7 @@ def resolve_keys(spark, sf_dir):
     return C.resolve(papers(spark, sf_dir), ASKED).select("pos", "id", "title").orderBy("pos")
 
 
-@query("cite_key_alloc", "W7 C8 A20", f"""
+@query("cite_key_alloc", "W7", f"""
 WITH {PAPERS}, b AS (SELECT id, {KEY} AS base FROM papers), n AS (SELECT id, base, row_number() OVER (PARTITION BY base ORDER BY id) - 1 AS n FROM b)
 SELECT id, base || CASE WHEN n = 0 THEN '' WHEN n <= 26 THEN chr((96 + n)::INT) ELSE chr((97 + (n - 27) // 26)::INT) || chr((97 + (n - 27) % 26)::INT) END AS cite_key FROM n""")
 def cite_key_alloc(spark, sf_dir):
@@ -116,7 +116,7 @@ def missing_fields(spark, sf_dir):
     return C.missing_fields(r).select("id", "type", F.array_join("missing", ", ").alias("missing"))
 
 
-@query("refresh_scope", "P13 Z1 Z2 X8", f"""
+@query("refresh_scope", "P13 Z1", f"""
 WITH {PAPERS} SELECT id, array_to_string(list_filter([CASE WHEN year = 0 THEN 'year' END, CASE WHEN doi = '' THEN 'doi' END, CASE WHEN filename = '' THEN 'file' END], lambda x: x IS NOT NULL), ',') AS gaps, (doi = '' AND id % 7 <> 0) AS discover
 FROM papers WHERE year = 0 OR doi = '' OR filename = ''""")
 def refresh_scope(spark, sf_dir):
@@ -161,7 +161,7 @@ def orphan_files(spark, sf_dir):
     return orphan.unionByName(named.join(listed, "name", "left_anti").select(F.lit("missing").alias("kind"), "name", F.lit("error").alias("severity")))
 
 
-@query("findings_by_severity", "A17 W10 A16", f"""
+@query("findings_by_severity", "A17 W10", f"""
 WITH {PAPERS} SELECT venue, count(*) FILTER (doi = '') AS info, count(*) FILTER (year = 0) AS warning, count(*) FILTER (filename = '') AS error FROM papers GROUP BY venue""")
 def findings_by_severity(spark, sf_dir):
     p = papers(spark, sf_dir)

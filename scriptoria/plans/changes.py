@@ -24,7 +24,7 @@ FIELDS = ["title", "venue", "doi"]
 _PLAIN = lambda c: rf"lower(trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g')))"
 
 
-@query("fills_conflicts", "C3 D11", f"""
+@query("fills_conflicts", "C3", f"""
 WITH {PAPERS}, f AS (SELECT id, CASE WHEN id % 2 = 0 THEN replace(title, 'e', 'E') ELSE title || ' x' END AS title, CASE WHEN id % 3 = 0 THEN '' ELSE venue END AS venue, '10.1/' || id AS doi FROM papers),
 l AS (SELECT f.id, u.field, u.stored, u.found FROM papers p JOIN f USING (id), LATERAL (VALUES ('title', p.title, f.title), ('venue', p.venue, f.venue), ('doi', p.doi, f.doi)) AS u(field, stored, found))
 SELECT id, field, stored, found, CASE WHEN {_PLAIN('stored')} = '' THEN 'fill' ELSE 'conflict' END AS kind FROM l
@@ -47,7 +47,7 @@ def review_rows(spark, sf_dir):
 CHANGES = Fixture("id long, year int, pub_date string, old_year int, old_date string", [(1, 2001, None, 1999, "1999-05"), (2, None, "2010-02-03", 2009, "2009"), (3, 1999, None, 1990, "1999-01-01"), (4, None, None, 2000, None), (5, 2005, "", None, None)])
 
 
-@query("write_rules", "C4 C2", f"""
+@query("write_rules", "C4", f"""
 SELECT id, coalesce(try_cast(substr(pub_date, 1, 4) AS INT), year, old_year) AS year,
   CASE WHEN coalesce(pub_date, '') <> '' THEN pub_date WHEN year IS NOT NULL AND try_cast(substr(old_date, 1, 4) AS INT) <> year THEN '' ELSE old_date END AS pub_date FROM {CHANGES.sql}""")
 def write_rules(spark, sf_dir):

@@ -12,7 +12,7 @@ from scriptoria.session import table
 PATHS = "p AS (SELECT id, name AS path, id AS root, 0 AS depth FROM tree WHERE parent IS NULL UNION ALL SELECT t.id, p.path || ' / ' || t.name, p.root, p.depth + 1 FROM tree t JOIN p ON t.parent = p.id)"
 
 
-@query("tree_paths", "G10 F24", f"WITH RECURSIVE {TREE}, {PATHS} SELECT id, path, root, depth FROM p")
+@query("tree_paths", "G10", f"WITH RECURSIVE {TREE}, {PATHS} SELECT id, path, root, depth FROM p")
 def tree_paths(spark, sf_dir):
     return G.paths(tree(spark, sf_dir)).withColumn("path", F.array_join("path", " / "))
 
@@ -41,7 +41,7 @@ def edge_dedup(spark, sf_dir):
     return e.join(nodes.withColumnRenamed("id", "source"), "source", "left_semi").join(nodes.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
 
 
-@query("bfs_depth", "G1 G5 G6", f"""
+@query("bfs_depth", "G1", f"""
 WITH RECURSIVE {EDGES}, f AS (SELECT source, target FROM edges QUALIFY row_number() OVER (PARTITION BY source ORDER BY target) <= 4),
 r AS (SELECT unnest([1, 2, 3]) AS id, 0 AS depth UNION SELECT f.target, r.depth + 1 FROM r JOIN f ON f.source = r.id WHERE r.depth < 3)
 SELECT id, min(depth) AS depth FROM r GROUP BY id""")
@@ -62,7 +62,7 @@ def co_citation(spark, sf_dir):
     return G.cocited(edges(spark, sf_dir))
 
 
-@query("doi_collapse", "G3 W12", f"""
+@query("doi_collapse", "G3", f"""
 WITH {EDGES}, m AS (SELECT p_partkey AS id, min(p_partkey) OVER (PARTITION BY CASE WHEN p_partkey % 3 = 0 THEN 'd' || (p_partkey % 60) ELSE 'own' || p_partkey END) AS o FROM part)
 SELECT DISTINCT s.o AS source, t.o AS target FROM edges JOIN m s ON s.id = source JOIN m t ON t.id = target WHERE s.o <> t.o""")
 def doi_collapse(spark, sf_dir):

@@ -45,7 +45,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("id", F.round("score", 4).alias("score"), "rank")
 
 
-@query("bm25_best_chunk_per_doc", "W3 S8 R6", f"""
+@query("bm25_best_chunk_per_doc", "W3 S8", f"""
 WITH {terms_sql("item_id = 1")},
 pool AS (SELECT doc_id * 100000 + i AS id, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) WHERE trim(line) <> ''),
 {bm25_sql("pool", "terms", "scored")},
@@ -109,7 +109,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fuse([semantic, lexical], 20)
 
 
-@query("hybrid_mode", "R4 R5 R7", HYBRID + """
+@query("hybrid_mode", "R4 R5", HYBRID + """
 , fused AS (SELECT id, round(raw, 6) AS score, row_number() OVER (ORDER BY raw DESC, seen) AS rank FROM summed QUALIFY rank <= 10)
 SELECT CASE WHEN (SELECT count(*) FROM semantic) = 0 THEN 'bm25' WHEN (SELECT count(*) FROM lexical) = 0 THEN 'semantic' ELSE 'hybrid' END AS mode, id, score, rank FROM fused""")
 def hybrid_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +152,7 @@ def last_n_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumn("place", place).filter("place <= 6").select("conv_id", "turn", "role")
 
 
-@query("embedding_text", "R11 R12 X8", """
+@query("embedding_text", "R11 R12", """
 WITH d AS (SELECT doc_id, trim(split_part(text, chr(10), 1)) AS title, lang, source, text FROM documents)
 SELECT doc_id, substr(title, 1, 200) || CASE WHEN coalesce(lang, '') <> '' OR coalesce(source, '') <> '' THEN ' (' || concat_ws(', ', nullif(lang, ''), nullif(source, '')) || ')' ELSE '' END AS header, length(substr(text, 1, 1500)) AS substitute_length FROM d""")
 def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,3 +23,17 @@ def session(master: str = "local[*]", partitions: int = 8, memory: str = "8g") -
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpoint_folder(spark: SparkSession) -> None:
+    """The cluster's spark.checkpoint.dir stays; only where none is set, as in tests in one process, a local one is made."""
+    if spark.sparkContext.getCheckpointDir():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext.setCheckpointDir(folder)

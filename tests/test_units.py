@@ -116,3 +116,54 @@ def test_facade(spark, sf_dir):
     assert lib.search_papers("src1").count() > 0 and lib.statistics().first()["n"] > 0
     with pytest.raises(PermissionError):
         lib.create_by_doi(["10.1/x"])
+
+
+def test_key_suffixes_of_any_length(spark):
+    from scriptoria.functions.identifiers import key_suffix
+
+    def plain(n):
+        out = ""
+        while n > 0:
+            n, k = divmod(n - 1, 26)
+            out = chr(97 + k) + out
+        return out
+
+    ns = [0, 1, 26, 27, 52, 702, 703, 18_278, 18_279, 475_254, 475_255, 10**9]
+    rows = spark.createDataFrame([(n,) for n in ns], "n long").select("n", key_suffix(F.col("n")).alias("s")).collect()
+    assert {r["n"]: r["s"] for r in rows} == {n: plain(n) for n in ns}
+
+
+def test_titles_fold_marks_and_ligatures(spark):
+    import re
+    import unicodedata
+
+    from scriptoria.functions.text import fold_title
+
+    titles = ["Café  noir!", "Café noir", "ﬁnal Ångström", "Straße", "Łódź ½", "  Ｗｉｄｅ  ", "naïve—Bayes"]
+    got = [r["t"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(titles)], "i int, t string").orderBy("i").select(fold_title(F.col("t")).alias("t")).collect()]
+    plain = [re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", unicodedata.normalize("NFKD", t).lower().strip())) for t in titles]
+    assert [g for i, g in enumerate(got) if i != 4] == [p for i, p in enumerate(plain) if i != 4]
+    assert got[0] == got[1] == "cafe noir"
+
+
+def test_chunks_end_behind_the_last_separator():
+    from scriptoria.operators.chunks import cut
+
+    text = "a" * 450 + "\n\n" + "b" * 198 + "! " + "c" * 400
+    assert len(cut(text)[0]) == len("a" * 450 + "\n\n" + "b" * 198 + "!")
+    assert len(cut("x" * 2000)[0]) == 800  # neither blanks nor lone line feeds end a chunk
+
+
+def test_page_scores_cap_weighted_sums(spark):
+    from scriptoria.operators.references import page_score
+
+    pages = ["10.1000/a " * 8, "[1234] [12]", "2001 (2001)", "ET  AL. et al."]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, p string").orderBy("i").select(page_score(F.col("p")).alias("s")).collect()
+    assert [r["s"] for r in rows] == [10.0, 1.5, 1.0, 3.0]
+
+
+def test_trees_of_any_depth(spark):
+    from scriptoria.operators import graph
+
+    tree = spark.createDataFrame([(str(i), f"n{i}", str(i - 1) if i else None) for i in range(24)] + [("x", "x", "y"), ("y", "y", "x")], "id string, name string, parent string")
+    assert graph.paths(tree).agg(F.max("depth"), F.count("*")).first() == (23, 24)
