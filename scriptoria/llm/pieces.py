@@ -30,7 +30,7 @@ from scriptoria.llm.token_count import META, check_cuts, model
 
 SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 #: Arcs that a worker keeps; segments, and characters, that are sampled together; characters whose lattices are built together.
-KEPT, LOCKSTEP, LOCKSTEP_CHARS, ADDED = 1_000_000, 60_000, 1_000_000, 200_000
+KEPT, LOCKSTEP, LOCKSTEP_CHARS, ADDED = 3_000_000, 60_000, 1_000_000, 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -302,6 +302,7 @@ def encode(docs: DataFrame, path: str, key: Column | str = "doc_id", text_col: s
             for i, n in encode_texts(keys.to_pylist(), texts.to_pylist(), known, seed):
                 ids.append(i), sizes.append(n)
             yield _lists(ids, sizes)
+        known.forget()  # the worker lives on, for tasks that need the memory
 
     return docs.withColumn(out_col, of(_key(key), F.col(text_col)))
 
@@ -323,6 +324,7 @@ def encode_checked(docs: DataFrame, path: str, key: Column | str = "doc_id", tex
                 same.extend(back == (text or "") for back, text in zip(decode_texts(i, n, known.pieces), whole[len(same) :], strict=False))
                 ids.append(i), sizes.append(n)
             yield pa.StructArray.from_arrays([_lists(ids, sizes), pa.array(same, pa.bool_())], ["piece_ids", "lossless"])
+        known.forget()  # the worker lives on, for tasks that need the memory
 
     # called so that a filter on lossless is not planned as a second run of the function
     coded = docs.withColumn("piece_ids", of.asNondeterministic()(_key(key), F.col(text_col)))
