@@ -1,4 +1,9 @@
-"""A corpus made ready for training: quality, near-dedup, substring dedup, mixing, piece encoding."""
+"""A corpus made ready for training: quality, near-dedup, substring dedup, mixing, piece encoding.
+
+Every stage takes rows with nulls in any column, ids that are null or repeated, repeated rows and empty tables:
+rows, not ids, are what is kept, copied or dropped. A null text is empty, so the quality stage drops it; a null
+source is a source of its own, the last. Columns other than those of ``documents`` are not passed on.
+"""
 
 from __future__ import annotations
 
@@ -41,7 +46,8 @@ def queue_digest():
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time a document is trained, in training order."""
+    """A row for each time a document is trained. The part files hold them in training order, which is the result of
+    the curriculum; a column for it would not be one of ``documents``."""
     plan = mixing.plan_mix(docs, digest=queue_digest(), carry=tuple(COLUMNS))
     timed = plan.select("row.*", F.explode("positions").alias("position"))
     return timed.orderBy("position", "doc_id").select(*COLUMNS)
@@ -61,7 +67,7 @@ STAGES = [
     ("pieces", pieces_stage),
 ]
 
-#: Sampling and iteration are beyond SQL; the tests hold run() against a brute-force version.
+#: Sampling and iteration are beyond SQL; the tests hold each stage's result to what it promises, row by row.
 ORACLE_SQL = None
 
 
