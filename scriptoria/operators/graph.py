@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.session import checkpoint_folder
@@ -88,8 +88,16 @@ def collapse(edges: DataFrame, names: DataFrame) -> DataFrame:
     return b.select(F.coalesce("s", "source").alias("source"), F.coalesce("t", "target").alias("target")).filter("source <> target").distinct()
 
 
+def _node(title: Column) -> Column:
+    return F.concat(F.lit("ref_"), F.substring(F.sha2(F.lower(F.trim(title)), 256), 1, 12))
+
+
 def unmatched_titles(refs: DataFrame) -> DataFrame:
-    """key, node id, title (of the first reference), sources (ascending), n: references without a paper, by folded title."""
-    key = F.lower(F.trim("title"))
-    g = refs.filter(F.col("matched").isNull()).groupBy(key.alias("key")).agg(F.min_by("title", "ref_id").alias("title"), F.array_sort(F.collect_list("source")).alias("sources"))
-    return g.select("key", F.concat(F.lit("ref_"), F.substring(F.sha2("key", 256), 1, 12)).alias("node"), "title", "sources", F.size("sources").alias("n"))
+    """key, node id, title (of the first reference), n: references without a paper, by folded title."""
+    g = refs.filter(F.col("matched").isNull()).groupBy(F.lower(F.trim("title")).alias("key")).agg(F.min_by("title", "ref_id").alias("title"), F.count(F.lit(1)).alias("n"))
+    return g.select("key", _node(F.col("key")).alias("node"), "title", "n")
+
+
+def unmatched_sources(refs: DataFrame) -> DataFrame:
+    """node, ref_id, source: a row for each reference without a paper, repeated sources kept."""
+    return refs.filter(F.col("matched").isNull()).select(_node(F.col("title")).alias("node"), "ref_id", "source")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,11 +92,62 @@ def match(refs: DataFrame, library: DataFrame) -> DataFrame:
     return refs.select("ref_id").join(exact.unionByName(fuzzy), "ref_id", "left")
 
 
+#: Rows of a block of items, and of a part of the library, that one group scores.
+BLOCK, PART = 500, 5000
+BINS = 64
+
+
+def _bags(texts: list[str]) -> np.ndarray:
+    """How often each character stands in each text, characters dealt to bins: sums of minima never fall short of
+    the longest common subsequence."""
+    out = np.zeros((len(texts), BINS), dtype=np.int32)
+    for row, t in zip(out, texts, strict=True):
+        if t:
+            row += np.bincount(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) % BINS, minlength=BINS).astype(np.int32)
+    return out
+
+
+def best_of_part(item: str, texts: list[str], sets: list[set[str]], bags: np.ndarray, sizes: np.ndarray, ids: list, k: int) -> list[tuple[float, object]]:
+    """The ``k`` best (-score, id) by token-set ratio, equal scores by id; texts are scored in order of a bound that
+    no score exceeds, until the bound is below the k-th best."""
+    words = set(item.split())
+    whole = " ".join(sorted(words))
+    bound = 200.0 * np.minimum(bags, _bags([whole])[0]).sum(axis=1) / np.maximum(sizes + len(whole), 1)
+    for j, other in enumerate(sets):
+        both = words & other
+        if both:  # the common words are the start of both sides, so their ratio to either is known
+            common = sum(map(len, both)) + len(both) - 1
+            bound[j] = max(bound[j], 200.0 * common / (common + min(len(whole), int(sizes[j]))))
+    found: list[tuple[float, object]] = []
+    for j in np.argsort(-bound, kind="stable"):
+        if len(found) == k and bound[j] < -found[-1][0] - 1e-9:
+            break
+        found = sorted([*found, (-token_set_ratio(item, texts[j]), ids[j])])[:k]
+    return found
+
+
 def ranked(items: DataFrame, library: DataFrame, k: int = 3, suggest: float = 70.0) -> DataFrame:
-    """item_id, id, score, rank, suggested: the best ``k`` papers by token-set ratio among those that share a word. items: item_id, name."""
-    a = items.select("item_id", F.explode(T.word_set(T.fold_title(F.col("name")))).alias("word"), T.fold_title(F.col("name")).alias("r"))
-    b = library.select("id", F.explode(T.word_set(T.fold_title(F.col("title")))).alias("word"), T.fold_title(F.col("title")).alias("t"))
-    s = _scored(a.join(b, "word").select("item_id", "id", "r", "t").distinct(), "r", "t", token_set_ratio)
+    """item_id, id, score, rank, suggested: the best ``k`` papers of the whole library by token-set ratio. items: item_id, name.
+
+    Items, a query set, meet the library block by block: each part of the library is scored against each block of
+    items and gives on the ``k`` best of an item only. Empty tables give no rows, a null name or title is empty.
+    """
+    blocks, parts = (max(1, math.ceil(d.count() / n)) for d, n in ((items, BLOCK), (library, PART)))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    a = items.select("item_id", T.fold_title(F.col("name")).alias("r"), dealt("item_id", blocks).alias("block"), every(parts).alias("part"))
+    b = library.select("id", T.fold_title(F.col("title")).alias("t"), dealt("id", parts).alias("part"), every(blocks).alias("block"))
+
+    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        texts, ids = right["t"].tolist(), right["id"].tolist()
+        sets = [set(t.split()) for t in texts]
+        joined = [" ".join(sorted(s)) for s in sets]
+        bags, sizes = _bags(joined), np.array([len(t) for t in joined], dtype=np.int64)
+        rows = [(i, j, -s) for i, r in zip(left["item_id"], left["r"], strict=True) for s, j in best_of_part(r, texts, sets, bags, sizes, ids, k)]
+        return pd.DataFrame(rows, columns=["item_id", "id", "score"])
+
+    kind = {f.name: f.dataType.simpleString() for f in [*items.schema, *library.schema]}
+    s = a.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInPandas(score, f"item_id {kind['item_id']}, id {kind['id']}, score double")
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "id"))
     return s.withColumn("rank", place).filter(F.col("rank") <= k).select("item_id", "id", F.round("score", 2).alias("score"), "rank", ((F.col("rank") == 1) & (F.col("score") >= suggest)).alias("suggested"))
 

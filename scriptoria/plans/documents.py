@@ -60,8 +60,9 @@ def fuzzy_token_sort(spark, sf_dir):
 
 @query("ranked_candidates", "J20")
 def ranked_candidates(spark, sf_dir):
+    """Every paper whose id is divisible by 100, by its whole title, against all papers."""
     p = papers(spark, sf_dir)
-    return M.ranked(p.filter("id % 50 = 1").select(F.col("id").alias("item_id"), F.substring("title", 1, 60).alias("name")), p.filter("id % 7 = 1"))
+    return M.ranked(p.filter("id % 100 = 0").select(F.col("id").alias("item_id"), F.col("title").alias("name")), p)
 
 
 SCORES = Fixture("file string, id long, score double", [("a", 1, 0.9), ("a", 2, 0.8), ("b", 1, 0.95), ("b", 2, 0.2), ("c", 2, 0.8), ("c", 3, 0.1), ("d", 1, 0.3)])

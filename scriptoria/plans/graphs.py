@@ -33,20 +33,20 @@ def subtree_members(spark, sf_dir):
     return table(spark, sf_dir, "customer").withColumn("id", F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).join(below, "id", "left_semi").select(F.col("c_custkey").alias("paper_id"))
 
 
-@query("edge_dedup", "G4 J23", f"WITH {EDGES} SELECT source, target FROM edges WHERE source <= 500 AND target <= 500")
+@query("edge_dedup", "G4 J23", f"WITH {EDGES} SELECT source, target FROM edges WHERE source IN (SELECT p_partkey FROM part) AND target IN (SELECT p_partkey FROM part)")
 def edge_dedup(spark, sf_dir):
     """Edges of which both ends are nodes."""
     e = edges(spark, sf_dir)
-    nodes = table(spark, sf_dir, "part").filter("p_partkey <= 500").select(F.col("p_partkey").alias("id"))
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     return e.join(nodes.withColumnRenamed("id", "source"), "source", "left_semi").join(nodes.withColumnRenamed("id", "target"), "target", "left_semi").select("source", "target")
 
 
 @query("bfs_depth", "G1", f"""
-WITH RECURSIVE {EDGES}, f AS (SELECT source, target FROM edges QUALIFY row_number() OVER (PARTITION BY source ORDER BY target) <= 4),
+WITH RECURSIVE {EDGES}, f AS (SELECT source, target FROM edges QUALIFY row_number() OVER (PARTITION BY source ORDER BY target) <= 30),
 r AS (SELECT unnest([1, 2, 3]) AS id, 0 AS depth UNION SELECT f.target, r.depth + 1 FROM r JOIN f ON f.source = r.id WHERE r.depth < 3)
 SELECT id, min(depth) AS depth FROM r GROUP BY id""")
 def bfs_depth(spark, sf_dir):
-    return G.bfs(edges(spark, sf_dir), spark.createDataFrame([(1,), (2,), (3,)], "id long"), 3, 4)
+    return G.bfs(edges(spark, sf_dir), spark.createDataFrame([(1,), (2,), (3,)], "id long"), 3)
 
 
 @query("node_types", "G2 G8", f"""
@@ -70,18 +70,30 @@ def doi_collapse(spark, sf_dir):
     return G.collapse(edges(spark, sf_dir), names)
 
 
-@query("unmatched_refs", "G7 A12", """
-WITH r AS (SELECT o_orderkey AS ref_id, o_custkey AS source, CASE WHEN o_orderkey % 2 = 0 THEN ' ' || upper(o_orderpriority) ELSE o_orderpriority END AS title FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey < 400),
-g AS (SELECT lower(trim(title)) AS key, arg_min(title, ref_id) AS title, list(source ORDER BY source) AS sources FROM r GROUP BY 1)
-SELECT key, 'ref_' || substr(sha256(key), 1, 12) AS node, title, array_to_string(sources, ',') AS sources, len(sources) AS n FROM g""")
+UNMATCHED = """r AS (SELECT o_orderkey AS ref_id, o_custkey AS source, CASE WHEN o_orderkey % 2 = 0 THEN ' ' || upper(o_orderpriority) ELSE o_orderpriority END || ' ' || o_orderdate::DATE AS title FROM orders WHERE o_orderkey % 3 <> 0)"""
+
+
+def _refs(spark, sf_dir):
+    """References of customers; every third one has its paper."""
+    priority = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" "), F.upper("o_orderpriority"))).otherwise(F.col("o_orderpriority"))
+    title = F.concat(priority, F.lit(" "), F.to_date("o_orderdate").cast("string"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ref_id"), F.col("o_custkey").alias("source"), title.alias("title"), F.when(F.col("o_orderkey") % 3 == 0, 1).alias("matched"))
+
+
+@query("unmatched_refs", "G7 A12", f"""
+WITH {UNMATCHED} SELECT lower(trim(title)) AS key, 'ref_' || substr(sha256(lower(trim(title))), 1, 12) AS node, arg_min(title, ref_id) AS title, count(*) AS n FROM r GROUP BY 1""")
 def unmatched_refs(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey < 400")
-    title = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" "), F.upper("o_orderpriority"))).otherwise(F.col("o_orderpriority"))
-    r = o.select(F.col("o_orderkey").alias("ref_id"), F.col("o_custkey").alias("source"), title.alias("title"), F.when(F.col("o_orderkey") % 3 == 0, 1).alias("matched"))
-    return G.unmatched_titles(r).withColumn("sources", F.array_join(F.col("sources").cast("array<string>"), ","))
+    return G.unmatched_titles(_refs(spark, sf_dir))
+
+
+@query("unmatched_ref_sources", "G7 A12", f"WITH {UNMATCHED} SELECT 'ref_' || substr(sha256(lower(trim(title))), 1, 12) AS node, ref_id, source FROM r")
+def unmatched_ref_sources(spark, sf_dir):
+    """Who cites each of these nodes, a row a reference: a title that many cite is no list in one row."""
+    return G.unmatched_sources(_refs(spark, sf_dir))
 
 
-@query("doi_map_join", "J12 J10", f"WITH {PAPERS} SELECT a.id, b.id AS same FROM papers a JOIN papers b ON a.doi = b.doi AND a.doi <> '' WHERE a.id % 9 = 0")
+@query("doi_map_join", "J12 J10", f"WITH {PAPERS}, w AS (SELECT doi, min(id) AS work FROM papers WHERE doi <> '' GROUP BY doi) SELECT id, work FROM papers JOIN w USING (doi)")
 def doi_map_join(spark, sf_dir):
+    """Each paper with the one work of its DOI: papers that share a DOI all get it."""
     p = papers(spark, sf_dir).filter("doi <> ''").select("id", "doi")
-    return p.filter("id % 9 = 0").join(p.select(F.col("id").alias("same"), "doi"), "doi").select("id", "same")
+    return p.join(p.groupBy("doi").agg(F.min("id").alias("work")), "doi").select("id", "work")

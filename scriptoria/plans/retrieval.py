@@ -136,11 +136,11 @@ def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bm25_corpus_stats", "A10", f"""
 WITH t AS (SELECT doc_id, {TOKENS} AS t FROM documents)
-SELECT term, count(DISTINCT doc_id) AS df, (SELECT count(*) FROM t) AS n, (SELECT round(avg(len(t)), 6) FROM t) AS mean_length FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY term HAVING df >= 20""")
+SELECT term, count(DISTINCT doc_id) AS df, (SELECT count(*) FROM t) AS n, (SELECT round(avg(len(t)), 6) FROM t) AS mean_length FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY term""")
 def bm25_corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "documents").select(T.tokens(F.col("text")).alias("t"))
     stats = t.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.size("t")), 6).alias("mean_length"))
-    df = t.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter("df >= 20")
+    df = t.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.crossJoin(F.broadcast(stats)).select("term", "df", "n", "mean_length")
 
 

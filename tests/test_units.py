@@ -167,3 +167,21 @@ def test_trees_of_any_depth(spark):
 
     tree = spark.createDataFrame([(str(i), f"n{i}", str(i - 1) if i else None) for i in range(24)] + [("x", "x", "y"), ("y", "y", "x")], "id string, name string, parent string")
     assert graph.paths(tree).agg(F.max("depth"), F.count("*")).first() == (23, 24)
+
+
+def test_ranked_is_the_best_of_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["river", "rivers", "lake", "delta", "the", "of", "study", "studies", "ebb", "flow"]
+    title = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))
+    shelf = [(i, title()) for i in range(60)] + [(60, None), (61, ""), (62, "xyz")]
+    asked = [(i, title()) for i in range(15)] + [(15, ""), (16, "zzz")]
+    matching.BLOCK, matching.PART, kept = 4, 10, (matching.BLOCK, matching.PART)
+    try:
+        got = matching.ranked(spark.createDataFrame(asked, "item_id long, name string"), spark.createDataFrame(shelf, "id long, title string")).collect()
+    finally:
+        matching.BLOCK, matching.PART = kept
+    want = {}
+    for i, name in asked:
+        best = sorted((-matching.token_set_ratio(name, t or ""), j) for j, t in shelf)[:3]
+        want |= {(i, rank): (j, round(-s, 2)) for rank, (s, j) in enumerate(best, 1)}
+    assert {(r["item_id"], r["rank"]): (r["id"], round(r["score"], 2)) for r in got} == want
