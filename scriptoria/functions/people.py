@@ -122,3 +122,10 @@ def joined(found: Column) -> Column:
 
 def last_names(found: Column) -> Column:
     return F.transform(found, lambda p: p["last"])
+
+
+def reads_as_organisation(name: Column) -> Column:
+    """``is_organisation`` as a column expression."""
+    words = F.filter(F.split(F.lower(name), r"\s+"), lambda w: (w != "") & ~w.isin(*PARTICLES))
+    marked = name.rlike(rf"(?U)(?<!\w)(?:(?iu:{ORGANISATION_WORDS})|{LEGAL_FORMS})(?!\w)")
+    return name.rlike(r"^\{.*\}$") | (~name.contains(",") & (name != "") & (marked | (F.size(words) > MOST_WORDS)))

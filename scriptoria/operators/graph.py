@@ -101,3 +101,30 @@ def unmatched_titles(refs: DataFrame) -> DataFrame:
 def unmatched_sources(refs: DataFrame) -> DataFrame:
     """node, ref_id, source: a row for each reference without a paper, repeated sources kept."""
     return refs.filter(F.col("matched").isNull()).select(_node(F.col("title")).alias("node"), "ref_id", "source")
+
+
+def prefetch(edges: DataFrame, most: int = 100) -> DataFrame:
+    """target, n: works to fetch for a graph's first level: all that two or more sources cite, and, up to ``most``
+    in all, others in order of their id."""
+    n = edges.groupBy("target").agg(F.count_distinct("source").alias("n"))
+    shared = n.filter("n >= 2")
+    held = F.broadcast(shared.agg(F.count(F.lit(1)).alias("held")))  # one row
+    others = n.filter("n < 2").orderBy("target").limit(most).withColumn("place", F.row_number().over(Window.orderBy("target")))  # at most ``most`` rows
+    return shared.unionByName(others.crossJoin(held).filter(F.col("place") <= most - F.col("held")).select("target", "n"))
+
+
+def seeded(refs: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+    """source, target, title: references of the seeds; one to a node outside them keeps only that node's title, as an
+    external neighbour, and goes if the node has none. refs: source, target; nodes: id, title; seeds: id."""
+    s = seeds.select("id").distinct()
+    own = refs.join(s.withColumnRenamed("id", "source"), "source", "left_semi")
+    met = own.join(s.select(F.col("id").alias("target"), F.lit(True).alias("inside")), "target", "left").join(nodes.select(F.col("id").alias("target"), "title"), "target", "left")
+    outside = F.col("inside").isNull()
+    return met.filter(~outside | (F.coalesce("title", F.lit("")) != "")).select("source", F.when(~outside, F.col("target")).alias("target"), F.when(outside, F.col("title")).alias("title"))
+
+
+def first_of_work(ranked: DataFrame) -> DataFrame:
+    """The most cited row of each work: of a DOI, or of a folded title where there is none. ranked: id, doi, title, cited."""
+    key = F.coalesce(F.nullif("doi", F.lit("")), F.nullif(F.lower("title"), F.lit("")))
+    best = ranked.withColumn("k", key).filter("k is not null").groupBy("k").agg(F.min_by(F.struct("id", "doi", "title", "cited"), F.struct(-F.col("cited"), "id")).alias("b"))
+    return best.select("b.*")

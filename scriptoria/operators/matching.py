@@ -92,6 +92,17 @@ def match(refs: DataFrame, library: DataFrame) -> DataFrame:
     return refs.select("ref_id").join(exact.unionByName(fuzzy), "ref_id", "left")
 
 
+def rematch(unmatched: DataFrame, new: DataFrame) -> DataFrame:
+    """ref_id, matched_id of the references without a paper that an item just added answers."""
+    return match(unmatched, new).filter("matched_id is not null").select("ref_id", "matched_id", "strategy")
+
+
+def analyse(items: DataFrame, library: DataFrame) -> DataFrame:
+    """ref_id, matched_id, strategy, has_file: what an import would meet. items as refs of ``match``; library: id, doi, title, filename."""
+    files = library.select(F.col("id").alias("matched_id"), (F.coalesce("filename", F.lit("")) != "").alias("has_file"))
+    return match(items, library).join(files, "matched_id", "left").select("ref_id", "matched_id", "strategy", F.coalesce("has_file", F.lit(False)).alias("has_file"))
+
+
 #: Rows of a block of items, and of a part of the library, that one group scores.
 BLOCK, PART = 500, 5000
 BINS = 64

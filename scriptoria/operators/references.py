@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,3 +85,23 @@ def plausible(title: Column, text: Column, longest: int = 5000) -> Column:
     w = word_set(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}_\s]", " "))
     head = word_set(F.regexp_replace(F.lower(F.substring(text, 1, longest)), r"[^\p{L}\p{N}_\s]", " "))
     return (F.size(w) == 0) | (2 * F.size(F.array_intersect(w, head)) >= F.size(w))
+
+
+def cut_lines(text: str, longest: int) -> list[str]:
+    """Pieces of at most ``longest`` characters that end behind a line feed where one is in reach; together the text."""
+    out, at = [], 0
+    while len(text) - at > longest:
+        end = text.rfind("\n", at + 1, at + longest) + 1 or at + longest
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]] if at < len(text) or not out else out
+
+
+def pieces(texts: DataFrame, id_col: str, text_col: str, longest: int = 15_000) -> DataFrame:
+    """id, piece, text: reference texts in pieces of whole lines; a null text is one empty piece."""
+
+    @F.pandas_udf("array<string>")
+    def cut(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: cut_lines(t, longest))
+
+    return texts.select(F.col(id_col).alias("id"), F.posexplode(cut(F.coalesce(text_col, F.lit("")))).alias("piece", "text"))

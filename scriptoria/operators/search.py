@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.operators import retrieval as R
@@ -21,3 +21,20 @@ def hybrid(pool: DataFrame, terms: DataFrame, vectors: DataFrame | None, query:
     has = semantic.agg((F.count(F.lit(1)) > 0).alias("s")).crossJoin(lexical.agg((F.count(F.lit(1)) > 0).alias("l")))
     mode = F.when(~F.col("s"), F.lit("bm25")).when(~F.col("l"), F.lit("semantic")).otherwise(F.lit("hybrid"))
     return R.fuse([semantic, lexical], k).crossJoin(F.broadcast(has)).select(mode.alias("mode"), "id", "score", "rank")
+
+
+#: Words of the starts of a passage that are looked for, the longest first; a start shorter than this is no place.
+STARTS, LEAST_START = (12, 8, 5), 16
+
+
+def locate(passage: Column, page: Column) -> Column:
+    """The longest start of the passage that stands on the page, folded, if it stands there once; else null. Line-end
+    hyphens of the page are closed. One that stands there more often is no answer, nor is any shorter one."""
+    flat = lambda t: F.trim(F.regexp_replace(F.replace(F.coalesce(t, F.lit("")), F.lit("\u00ad"), F.lit("")), r"\s+", " "))
+    words, on = F.split(flat(passage), " "), F.lower(flat(F.regexp_replace(page, r"-\s*\n\s*", "")))
+    out = F.lit(None).cast("string")
+    for n in reversed(STARTS):
+        start = F.array_join(F.slice(words, 1, n), " ")
+        times = (F.length(on) - F.length(F.replace(on, F.lower(start), F.lit("")))) / F.greatest(F.length(start), F.lit(1))
+        out = F.when((F.length(start) < LEAST_START) | (times == 0), out).when(times == 1, start)
+    return out
