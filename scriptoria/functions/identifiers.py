@@ -15,6 +15,8 @@ ARXIV_PATTERNS = (
     r"(?i)arxiv\.org/(?:abs|pdf)/(\d{4}\.\d{4,5}(?:v\d+)?)", r"(?i)arXiv[:\s]+(\d{4}\.\d{4,5}(?:v\d+)?)",
     r"(?i)arxiv\.org/(?:abs|pdf)/([\w.-]+/\d{7}(?:v\d+)?)", r"(?i)arXiv[:\s]+([\w.-]+/\d{7}(?:v\d+)?)",
 )
+XMP_DOI = r'(?i)<(?:prism:doi|crossmark:DOI|pdfx:doi)>\s*(?:doi:|https?://(?:dx\.)?doi\.org/)?(10\.\d{4,9}/[^\s"<>]+)\s*<'
+ANY_DOI = r'10\.\d{4,9}/[^\s"<>]+'
 YEAR = r"\b(19[9]\d|20[0-2]\d)\b"
 ISO_DATE = r"^(\d{4})(?:[-/.](\d{1,2})(?:[-/.](\d{1,2}))?)?[-/.]*(?:[T ].*)?$"
 
@@ -53,6 +55,13 @@ def labelled_doi(text: Column, longest: int = 12_000) -> Column:
     return F.nullif(doi_trimmed(first_match(head, (LABELLED_DOI,))), F.lit(""))
 
 
+def metadata_doi(xmp: Column, *fields: Column) -> Column:
+    """The DOI that a file's own metadata names: in the packet's DOI elements, else in the first of the fields that has one; else null."""
+    tagged = F.regexp_extract(F.coalesce(xmp, F.lit("")), XMP_DOI, 1)
+    found = [doi_trimmed(tagged), *[doi_trimmed(F.regexp_extract(F.coalesce(f, F.lit("")), ANY_DOI, 0)) for f in fields]]
+    return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
+
+
 def isbn_in_text(text: Column) -> Column:
     return F.translate(first_match(text, ISBN_PATTERNS), "- ", "")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import identifiers as I
 from scriptoria.functions import text as T
+from scriptoria.session import checkpoint_folder
 
 LEAST_SCORE, LEAST_LENGTH = 85, 10
 
@@ -180,3 +181,23 @@ def greedy(scored: DataFrame) -> DataFrame:
             return done if done is not None else pairs
         done = pairs if done is None else done.unionByName(pairs)
         left = cut(left.join(pairs.select("file"), "file", "left_anti").join(pairs.select("id"), "id", "left_anti"))
+
+
+def in_order(choices: DataFrame) -> DataFrame:
+    """file, id, tier, score: one-to-one, files in sorted order, each takes its first choice of what is left (least
+    tier, then best score, then least id). choices: file, id, tier, score.
+
+    A file may take its first choice as soon as no earlier file still has it among its choices; all such files
+    take theirs at once, which is what going file by file gives. The first file left can always choose.
+    """
+    checkpoint_folder(choices.sparkSession)
+    wish = F.struct("tier", (-F.col("score")).alias("s"), "id")
+    left = choices.groupBy("file", "id").agg(F.min(F.struct("tier", (-F.col("score")).alias("s"))).alias("c")).select("file", "id", F.col("c.tier").alias("tier"), (-F.col("c.s")).alias("score")).checkpoint()
+    done = None
+    while done is None or left.limit(1).count():
+        first = left.groupBy("file").agg(F.min(wish).alias("w")).select("file", F.col("w.id").alias("id"), F.col("w.tier").alias("tier"), (-F.col("w.s")).alias("score"))
+        earliest = left.groupBy("id").agg(F.min("file").alias("file"))
+        pairs = first.join(earliest, ["id", "file"]).select("file", "id", "tier", "score").checkpoint()
+        done = pairs if done is None else done.unionByName(pairs)
+        left = left.join(pairs.select("file"), "file", "left_anti").join(pairs.select("id"), "id", "left_anti").checkpoint()
+    return done

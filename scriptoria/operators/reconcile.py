@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.functions import identifiers as I
+
 
 def unpivot(rows: DataFrame, fields: list[str], name: str = "value") -> DataFrame:
     """id, field, value (text) of the named columns."""
@@ -82,3 +84,26 @@ def stale_model(levels: list[DataFrame], model: str) -> DataFrame:
 def undo(rows: DataFrame, run_id: int) -> DataFrame:
     """``rows`` without what a run created (column run_id, null for none)."""
     return rows.filter(~F.col("run_id").eqNullSafe(F.lit(run_id)))
+
+
+#: The item types of the library.
+ITEM_TYPES = ("article", "book", "chapter", "conference", "thesis", "report", "preprint", "webpage", "standard", "patent", "dataset", "software", "misc")
+
+
+def clean_records(found: DataFrame, longest: int = 5000) -> DataFrame:
+    """``found`` without what may not be written: unknown item types, dates that are none or, of publication, of
+    another year than the record's; years as numbers; abstracts cut. '' (a year: null) is no value."""
+    out = found
+    for date in ("pub_date", "accessed"):
+        if date in found.columns:
+            out = out.withColumn(date, I.partial_date(F.col(date)))
+    rules = {
+        "year": I.year_number(F.col("year").cast("string")) if "year" in found.columns else None,
+        "item_type": F.when(F.trim("item_type").isin(*ITEM_TYPES), F.trim("item_type")).otherwise(""),
+        "abstract": F.substring(F.trim(F.coalesce("abstract", F.lit(""))), 1, longest) if "abstract" in found.columns else None,
+    }
+    out = out.withColumns({k: v for k, v in rules.items() if k in found.columns})
+    if {"year", "pub_date"} <= set(found.columns):
+        other = F.col("year").isNotNull() & (I.year_number(F.col("pub_date")) != F.col("year"))
+        out = out.withColumn("pub_date", F.when(other, "").otherwise(F.col("pub_date")))
+    return out

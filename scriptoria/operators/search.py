@@ -38,3 +38,25 @@ def locate(passage: Column, page: Column) -> Column:
         times = (F.length(on) - F.length(F.replace(on, F.lower(start), F.lit("")))) / F.greatest(F.length(start), F.lit(1))
         out = F.when((F.length(start) < LEAST_START) | (times == 0), out).when(times == 1, start)
     return out
+
+
+def within(pool: DataFrame, terms: DataFrame, vectors: DataFrame, query: DataFrame, ids: DataFrame, k: int = 8) -> DataFrame:
+    """mode, id, score, rank: one-stage search in what a reader chose (ids: id). Both rankings are of the whole
+    choice, whose size the reader bounds; their statistics are the choice's own. Without vectors lexical alone,
+    without lexical hits semantic alone. pool: doc_id, text; vectors: id, vector."""
+    chosen = ids.select("id").distinct()
+    texts, known = pool.join(chosen.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), vectors.join(chosen, "id", "left_semi")
+    most = max(1, chosen.count())
+    lexical, semantic = R.top(R.bm25(texts, terms), most), R.cosine_rank(known, query, most)
+    if not known.limit(1).count():
+        return lexical.filter(F.col("rank") <= k).select(F.lit("bm25").alias("mode"), "id", "score", "rank")
+    if not lexical.limit(1).count():
+        return semantic.filter(F.col("rank") <= k).select(F.lit("semantic").alias("mode"), "id", "score", "rank")
+    return R.fuse([semantic, lexical], k).select(F.lit("hybrid").alias("mode"), "id", "score", "rank")
+
+
+def semantic_or_lexical(semantic: DataFrame | None, lexical: DataFrame) -> DataFrame:
+    """mode, id: the semantic list, also an empty one; the lexical list only where there is none at all (None: no vectors of the model)."""
+    if semantic is None:
+        return lexical.select(F.lit("lexical").alias("mode"), "id")
+    return semantic.select(F.lit("semantic").alias("mode"), "id")

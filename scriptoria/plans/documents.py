@@ -73,6 +73,15 @@ def greedy_assignment(spark, sf_dir):
     return M.greedy(SCORES.frame(spark))
 
 
+CHOICES = Fixture("file string, id long, tier int, score double", [("a", 1, 1, 0.9), ("a", 2, 1, 0.8), ("b", 1, 0, 1.0), ("b", 2, 2, 0.9), ("c", 2, 1, 0.9), ("c", 3, 1, 0.9), ("d", 1, 0, 1.0)])
+
+
+@query("folder_assignment", "J14", "SELECT * FROM (VALUES ('a', 1, 1, 0.9::DOUBLE), ('b', 2, 2, 0.9::DOUBLE), ('c', 3, 1, 0.9::DOUBLE)) AS v(file, id, tier, score)")
+def folder_assignment(spark, sf_dir):
+    """Files in sorted order, each by DOI (tier 0), else its titles (1), else its name (2), among the items left."""
+    return M.in_order(CHOICES.frame(spark))
+
+
 NAMES = Fixture("id long, names string", [(9, "Novák, Petr, Lind, Eva"), (10, "de la Cruz, Ana María"), (11, "Anna Berg, Carl Dahl, Eva Falk"), (12, "Bureau of Land and Water"), (13, "Institute of Rivers, Holm, J.-P."), (14, "{Holm, Berg and Partners}; Dahl, C."), (1, "Doe, Jane; Roe, Richard"), (2, "Jane Doe and Richard van Roe"), (3, "{World Health Organization}"), (4, "Jane Doe, Richard Roe"), (5, "Doe, Jane"), (6, ""), (7, None), (8, "Plato")])
 
 
@@ -99,6 +108,15 @@ def ris_parse(spark, sf_dir):
     return B.parse_ris(RIS.frame(spark)).select("file", "record", "type", get("TI").alias("title"), get("AU").alias("authors"), F.substring(get("PY"), 1, 4).try_cast("int").alias("year"))
 
 
+@query("ris_items", "S13", f"WITH {PAPERS} SELECT id::VARCHAR AS file, 'T' || id AS title, 'A, B; C, D' AS authors, 2001 AS year, 'J' AS journal, 'KW' AS other FROM papers WHERE id % 2 = 0")
+def ris_items(spark, sf_dir):
+    """A file a paper; every second record has no title and goes."""
+    n = F.col("id").cast("string")
+    text = F.concat(F.lit("TY  - JOUR\nA1  - C, D\nAU  - A, B\nY1  - May 2001/\nJF  - J\nKW  - k\n"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("T1  - T"), n, F.lit("\n"))).otherwise(""), F.lit("ER  - "))
+    got = B.ris_items(B.parse_ris(papers(spark, sf_dir).select(n.alias("file"), text.alias("text"))))
+    return got.select("file", "title", F.array_join("authors", "; ").alias("authors"), "year", "journal", F.array_join(F.map_keys("other"), ",").alias("other"))
+
+
 @query("ris_export", "K2", f"""
 WITH {PAPERS} SELECT id, 'TY  - JOUR' || chr(10) || 'AU  - ' || trim(authors) || chr(10) || CASE WHEN title <> '' THEN 'TI  - ' || title || chr(10) ELSE '' END || CASE WHEN year > 0 THEN 'PY  - ' || year || '///' || chr(10) ELSE '' END
   || CASE WHEN venue <> '' THEN 'JO  - ' || venue || chr(10) ELSE '' END || CASE WHEN doi <> '' THEN 'DO  - ' || doi || chr(10) ELSE '' END || 'ER  - ' AS ris FROM papers""")

@@ -268,3 +268,19 @@ def rematch_new(spark, sf_dir):
     p = papers(spark, sf_dir).filter("doi <> ''")
     new = p.agg(F.max_by(F.struct("id", "doi", "title"), "id").alias("n")).select("n.*")
     return M.rematch(p.select(F.col("id").alias("ref_id"), "doi", F.lit("").alias("title")), new)
+
+
+@query("clean_records", "C2", f"""
+WITH {PAPERS} SELECT id, nullif(year, 0) AS year, CASE WHEN id % 3 = 0 OR id % 3 = 1 AND year > 0 AND year <> 2000 THEN '' WHEN id % 3 = 1 THEN '2000-05' ELSE coalesce(nullif(year, 0), 1999)::VARCHAR END AS pub_date,
+  CASE WHEN id % 2 = 0 THEN 'patent' ELSE '' END AS item_type FROM papers""")
+def clean_records(spark, sf_dir):
+    date = F.when(F.col("id") % 3 == 0, "2000-02-30").when(F.col("id") % 3 == 1, "2000/5").otherwise(F.coalesce(F.nullif("year", F.lit(0)), F.lit(1999)).cast("string"))
+    return C.clean_records(papers(spark, sf_dir).select("id", "year", date.alias("pub_date"), F.when(F.col("id") % 2 == 0, " patent ").otherwise("poem").alias("item_type")))
+
+
+@query("metadata_dois", "F5", f"WITH {PAPERS} SELECT id, CASE WHEN id % 3 = 0 THEN '10.1234/x(' || id || ')' WHEN id % 3 = 1 THEN '10.5678/s' || id END AS doi FROM papers")
+def metadata_dois(spark, sf_dir):
+    n, k = F.col("id").cast("string"), F.col("id") % 3
+    xmp = F.when(k == 0, F.concat(F.lit("<x><prism:doi> doi:10.1234/x("), n, F.lit(")</prism:doi></x>")))
+    subject = F.when(k < 2, F.concat(F.lit("Rivers 3 (2020). doi:10.5678/s"), n, F.lit("., p. 1")))
+    return papers(spark, sf_dir).select("id", I.metadata_doi(xmp, F.lit(None).cast("string"), subject).alias("doi"))

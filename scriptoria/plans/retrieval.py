@@ -120,6 +120,18 @@ def hybrid_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hybrid(table(spark, sf_dir, "documents"), terms(spark, sf_dir), e, q, 10)
 
 
+@query("chosen_search", "R6 R7", f"""
+WITH {terms_sql("item_id = 0")}, pool AS (SELECT doc_id AS id, text FROM documents WHERE lang = 'en'), {bm25_sql("pool", "terms", "scored")}
+SELECT 'bm25' AS mode, id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 8""")
+def chosen_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search in the English documents, of which the model asked for has no vectors; the tests hold the other modes."""
+    from scriptoria.operators.search import within
+
+    e, q = _vectors(spark, sf_dir)
+    d = table(spark, sf_dir, "documents")
+    return within(d, terms(spark, sf_dir), e.filter("false"), q, d.filter("lang = 'en'").select(F.col("doc_id").alias("id")))
+
+
 @query("search_context", "R8 P18", f"""
 WITH {terms_sql("item_id = 2")},
 lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page, unnest(string_split(text, chr(10))) AS text FROM documents),

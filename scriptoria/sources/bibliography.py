@@ -75,6 +75,23 @@ def parse_ris(files: DataFrame) -> DataFrame:
     return g.select("file", "record", F.get(F.try_element_at("tags", F.lit("TY")), F.lit(0)).alias("type"), "tags")
 
 
+#: Tags of a RIS record by column, the first that is there counts.
+RIS_TAGS = {"title": ("TI", "T1", "CT", "BT"), "authors": ("AU", "A1", "A2", "A3", "A4"), "year": ("PY", "Y1", "DA"), "journal": ("JO", "JF", "JA", "T2"), "abstract": ("AB", "N2"), "doi": ("DO",), "publisher": ("PB",), "isbn": ("SN",)}
+
+
+def ris_items(records: DataFrame) -> DataFrame:
+    """Records of ``parse_ris`` with a title, as columns; other holds the tags that no column covers. Authors are of all
+    author tags, in the order of tags; the year is the first run of four digits."""
+    none = F.array().cast("array<string>")
+    values = lambda tags: F.concat(*[F.coalesce(F.try_element_at("tags", F.lit(t)), none) for t in tags])
+    first = lambda n: F.coalesce(F.get(F.filter(values(RIS_TAGS[n]), lambda v: v != ""), F.lit(0)), F.lit(""))
+    years = F.filter(F.transform(values(RIS_TAGS["year"]), lambda v: F.regexp_extract(v, r"(\d{4})", 1)), lambda y: y != "")
+    known = [t for tags in RIS_TAGS.values() for t in tags] + ["TY", "ER"]
+    plain = [first(n).alias(n) for n in ("journal", "abstract", "doi", "publisher", "isbn")]
+    out = records.select("file", "record", "type", first("title").alias("title"), values(RIS_TAGS["authors"]).alias("authors"), F.get(years, F.lit(0)).cast("int").alias("year"), *plain, F.map_filter("tags", lambda k, _: ~k.isin(*known)).alias("other"))
+    return out.filter("title <> ''")
+
+
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """file, text: whole files of a folder, searched recursively."""
     t = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).text(path)

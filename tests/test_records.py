@@ -95,3 +95,32 @@ def test_prefetch_fills_up_to_the_bound(spark):
     e = spark.createDataFrame([(s, t) for t in range(10) for s in range(2 if t < 3 else 1)], "source long, target long")
     assert sorted(r["target"] for r in graph.prefetch(e, 5).collect()) == [0, 1, 2, 3, 4]
     assert sorted(r["target"] for r in graph.prefetch(e, 2).collect()) == [0, 1, 2]
+
+
+def test_files_choose_in_order(spark):
+    rng = random.Random(4)
+    rows = [(f"f{i:02}", j, rng.randint(0, 2), round(rng.random(), 2)) for i in range(15) for j in range(12) if rng.random() < 0.4]
+    want, taken = set(), set()
+    for f in sorted({r[0] for r in rows}):
+        open_ones = sorted((t, -s, j) for g, j, t, s in rows if g == f and j not in taken)
+        if open_ones:
+            t, s, j = open_ones[0]
+            taken.add(j)
+            want.add((f, j, t, -s))
+    frame = spark.createDataFrame(rows, "file string, id long, tier int, score double")
+    assert {tuple(r) for r in matching.in_order(frame).collect()} == want
+    assert matching.in_order(frame.filter("false")).count() == 0
+
+
+def test_search_in_what_was_chosen(spark):
+    pool = spark.createDataFrame([(1, "river delta"), (2, "river"), (3, "lake"), (4, "river river")], "doc_id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (3, [0.9, 0.1]), (4, [0.0, 1.0])], "id long, vector array<double>")
+    q, ids = spark.createDataFrame([([1.0, 0.0],)], "vector array<double>"), spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    run = lambda word, v, i: [(r["mode"], r["id"]) for r in search.within(pool, spark.createDataFrame([(word, 1)], "term string, qtf int"), v, q, i).orderBy("rank").collect()]
+    assert run("delta", vectors, ids) == [("hybrid", 1), ("hybrid", 3)]
+    assert run("nowhere", vectors, ids) == [("semantic", 1), ("semantic", 3)]
+    assert run("delta", vectors.filter("false"), ids) == [("bm25", 1)]
+    assert run("delta", vectors, ids.filter("false")) == []
+    none, some = vectors.filter("false").select("id"), vectors.select("id")
+    assert search.semantic_or_lexical(none, some).count() == 0
+    assert {r["mode"] for r in search.semantic_or_lexical(None, some).collect()} == {"lexical"}
