@@ -114,6 +114,21 @@ def people(text: Column) -> Column:
     return parsed(text)
 
 
+def split_holders(text: str | None) -> list[tuple[str, str, bool]]:
+    """Names between semicolons only, since commas and "and" belong to firms; a word of organisations makes one of a name with a comma too."""
+    parts = [p for p in _cut(" ".join((text or "").split()), ";") if p]
+    firm = lambda p: not _BRACED.fullmatch(p) and _ORGANISATION.search(p)
+    return [(p, "", True) if firm(p) else parse_person(p) for p in parts]
+
+
+def holders(text: Column) -> Column:
+    @F.pandas_udf(PEOPLE)
+    def parsed(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(("last", "given", "org"), h, strict=True)) for h in split_holders(t)])
+
+    return parsed(text)
+
+
 def joined(found: Column) -> Column:
     """Back to one string."""
     one = lambda p: F.when(p["org"], F.concat(F.lit("{"), p["last"], F.lit("}"))).when(p["given"] == "", p["last"]).otherwise(F.concat(p["last"], F.lit(", "), p["given"]))

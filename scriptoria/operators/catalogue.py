@@ -119,3 +119,9 @@ def assignments(proposed: DataFrame, known: DataFrame) -> DataFrame:
     ok = proposed.filter(~F.isnan("confidence") & F.col("confidence").isNotNull() & (F.abs("confidence") < F.lit(float("inf"))))
     first = ok.join(known.select(F.col("id").alias("category_id")), "category_id", "left_semi").groupBy("paper_id", "category_id").agg(F.min_by("confidence", "pos").alias("c"))
     return first.select("paper_id", "category_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "c")).alias("confidence"))
+
+
+def project_keys(members: DataFrame) -> DataFrame:
+    """project, key, place: the distinct keys of each project's papers in order of id. members: project, id, key."""
+    first = members.filter("key <> ''").groupBy("project", "key").agg(F.min("id").alias("id"))
+    return first.select("project", "key", F.row_number().over(Window.partitionBy("project").orderBy("id")).alias("place"))

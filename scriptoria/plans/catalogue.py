@@ -108,7 +108,7 @@ def _empty(f: str) -> str:
 _MISSING = " ".join(f"WHEN '{t}' THEN list_filter([{', '.join(f"CASE WHEN {' AND '.join(map(_empty, g.split('|')))} THEN '{g}' END" for g in needs)}], lambda x: x IS NOT NULL)" for t, needs in C.REQUIRED.items())
 
 
-@query("missing_fields", "P10 P11 P12", f"""
+@query("missing_fields", "P10", f"""
 WITH t AS (SELECT *, CASE WHEN NOT ({_empty('school')}) THEN 'thesis' WHEN NOT ({_empty('venue')}) THEN 'article' WHEN NOT ({_empty('publisher')}) THEN 'book' WHEN NOT ({_empty('url')}) THEN 'webpage' ELSE 'article' END AS type FROM {RECORDS.sql})
 SELECT id, type, array_to_string(CASE type {_MISSING} END, ', ') AS missing FROM t""")
 def missing_fields(spark, sf_dir):
