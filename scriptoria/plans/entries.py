@@ -11,6 +11,7 @@ from scriptoria.operators import catalogue as C
 from scriptoria.plans.base import KEY, PAPERS, keyed, papers
 from scriptoria.plans.registry import query
 from scriptoria.session import checkpoint_folder, table
+from scriptoria.sources import attachments as A
 from scriptoria.sources import entries as E
 from scriptoria.sources import rdf, snapshot
 
@@ -131,3 +132,17 @@ def backup_manifest(spark, sf_dir):
 WITH {PAPERS}, k AS (SELECT venue AS project, {KEY} AS key, min(id) AS first FROM papers GROUP BY ALL) SELECT project, key, row_number() OVER (PARTITION BY project ORDER BY first) AS place FROM k WHERE key <> ''""")
 def project_keys(spark, sf_dir):
     return C.project_keys(keyed(papers(spark, sf_dir)).select(F.col("venue").alias("project"), "id", F.col("base").alias("key")))
+
+
+@query("attachments", "S16", f"""
+WITH {PAPERS}, s AS (SELECT id, 'files/f' || id || '.pdf' AS own, filename FROM papers)
+SELECT id, 1 AS place, CASE id % 3 WHEN 0 THEN 'Full Text:' || own || ':application/pdf' WHEN 1 THEN own ELSE 'file:///lib/' || own END AS spec, CASE WHEN filename <> '' THEN '/lib/' || own END AS path FROM s
+UNION ALL SELECT id, 2, own, NULL FROM s WHERE id % 3 = 2 AND filename = ''""")
+def attachments(spark, sf_dir):
+    """Fields in three dialects against the library's files; every third names its file twice."""
+    p = papers(spark, sf_dir)
+    own = F.concat(F.lit("files/f"), F.col("id").cast("string"), F.lit(".pdf"))
+    k = F.col("id") % 3
+    field = F.when(k == 0, F.concat(F.lit("Full Text:"), own, F.lit(":application/pdf"))).when(k == 1, own).otherwise(F.concat(F.lit("file:///lib/"), own, F.lit("; "), own))
+    files = p.filter("filename <> ''").select(F.concat(F.lit("/lib/files/"), F.col("filename")).alias("path"))
+    return A.resolve(p.select("id", field.alias("field"), F.lit("/lib").alias("base")), files)

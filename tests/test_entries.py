@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scriptoria.functions import item_types as Y
 from scriptoria.functions.people import split_holders
 from scriptoria.session import checkpoint_folder
+from scriptoria.sources import attachments as A
 from scriptoria.sources import entries as E
 from scriptoria.sources import rdf, snapshot
 
@@ -83,3 +84,16 @@ def test_snapshot_notices_a_change(spark, tmp_path):
     assert {r["name"]: (r["items"], r.intact) for r in snapshot.verify(kept, snapshot.manifest(spark, folder, ["a", "b"])).collect()} == {"a": (10, True), "b": (0, True)}
     spark.range(1).select(F.col("id")).write.mode("append").parquet(f"{folder}/a")
     assert [r.intact for r in snapshot.verify(kept, snapshot.manifest(spark, folder, ["a", "b"])).orderBy("name").collect()] == [False, True]
+
+
+def test_attachment_readings():
+    assert A.candidates("Name:C\\:/x.pdf:PDF")[:2] == ["C\\:/x.pdf", "C:/x.pdf"]
+    assert A.candidates(r"N:Q\\:\\\\a.pdf:PDF")[2] == r"Q:\a.pdf"
+    assert A.candidates("file:///C:/a%20b.pdf") == ["C:/a b.pdf"] and A.candidates("file:///a.pdf") == ["/a.pdf"]
+    assert A.candidates("a:b") == ["b", "a", "a:b"] and A.candidates("x.pdf") == ["x.pdf"] and A.candidates(" ") == []
+
+
+def test_attachments_resolved(spark):
+    fields = spark.createDataFrame([(1, r"D\;x:a\;b.pdf:PDF; ../l/a;b.pdf;gone.pdf", "/l"), (2, None, "/l"), (3, "", None)], "id long, field string, base string")
+    got = A.resolve(fields, spark.createDataFrame([("/l/a;b.pdf",), ("/l/b.pdf",)], "path string")).orderBy("place").collect()
+    assert [tuple(r) for r in got] == [(1, 1, r"D\;x:a\;b.pdf:PDF", "/l/a;b.pdf"), (1, 2, "../l/a", None), (1, 3, "b.pdf", "/l/b.pdf"), (1, 4, "gone.pdf", None)]
