@@ -107,3 +107,22 @@ def clean_records(found: DataFrame, longest: int = 5000) -> DataFrame:
         other = F.col("year").isNotNull() & (I.year_number(F.col("pub_date")) != F.col("year"))
         out = out.withColumn("pub_date", F.when(other, "").otherwise(F.col("pub_date")))
     return out
+
+
+#: Names of custom fields that are notes.
+NOTES_NAMES = ("notes", "note", "notizen", "notiz")
+
+
+def notes_backfill(papers: DataFrame, fields: DataFrame, values: DataFrame, done: DataFrame) -> DataFrame:
+    """All papers, with the values of the one text field named like notes behind their own notes, a blank line between.
+
+    Nothing moves if several fields have such names or ``done``, the marker table, has a row: the one-off work is not
+    repeated. papers: id, notes, ...; fields: field_id, name, field_type; values: paper_id, field_id, value (one a paper).
+    """
+    own = lambda c: F.trim(F.coalesce(c, F.lit("")), F.lit(" \t\n\x0b\f\r"))
+    named = fields.filter((F.col("field_type") == "text") & F.lower(own(F.col("name"))).isin(*NOTES_NAMES))
+    # one row at most, whatever the tables hold
+    only = named.agg(F.count(F.lit(1)).alias("n"), F.first("field_id").alias("field_id")).crossJoin(done.agg(F.count(F.lit(1)).alias("done"))).filter("n = 1 and done = 0").select("field_id")
+    moved = values.join(only, "field_id").select(F.col("paper_id").alias("id"), own(F.col("value")).alias("_moved")).filter("_moved <> ''")
+    both = F.concat_ws("\n\n", F.nullif(own(F.col("notes")), F.lit("")), F.col("_moved"))
+    return papers.join(moved, "id", "left").withColumn("notes", F.when(F.col("_moved").isNotNull(), both).otherwise(F.col("notes"))).drop("_moved")

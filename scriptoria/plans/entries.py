@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import item_types as Y
 from scriptoria.operators import catalogue as C
+from scriptoria.operators import reconcile as R
 from scriptoria.plans.base import KEY, PAPERS, keyed, papers
 from scriptoria.plans.registry import query
 from scriptoria.session import checkpoint_folder, table
@@ -146,3 +147,14 @@ def attachments(spark, sf_dir):
     field = F.when(k == 0, F.concat(F.lit("Full Text:"), own, F.lit(":application/pdf"))).when(k == 1, own).otherwise(F.concat(F.lit("file:///lib/"), own, F.lit("; "), own))
     files = p.filter("filename <> ''").select(F.concat(F.lit("/lib/files/"), F.col("filename")).alias("path"))
     return A.resolve(p.select("id", field.alias("field"), F.lit("/lib").alias("base")), files)
+
+
+@query("notes_backfill", "C8", f"""
+WITH {PAPERS}, v AS (SELECT doc_id AS id, max(quality)::VARCHAR AS q FROM labels GROUP BY 1)
+SELECT id, CASE WHEN q IS NULL THEN CASE WHEN id % 2 = 0 THEN ' own ' ELSE '' END WHEN id % 2 = 0 THEN 'own' || chr(10) || chr(10) || q ELSE q END AS notes FROM papers LEFT JOIN v USING (id)""")
+def notes_backfill(spark, sf_dir):
+    """A custom field of quality marks, named like notes, moves into the notes of all papers."""
+    p = papers(spark, sf_dir).select("id", F.when(F.col("id") % 2 == 0, " own ").otherwise("").alias("notes"))
+    v = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("paper_id")).agg(F.max("quality").cast("string").alias("value")).withColumn("field_id", F.lit(1))
+    fields = spark.createDataFrame([(1, " Notes ", "text"), (2, "Notes", "progress"), (3, "Other", "text")], "field_id int, name string, field_type string")
+    return R.notes_backfill(p, fields, v, spark.createDataFrame([], "key string"))

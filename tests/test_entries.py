@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import item_types as Y
 from scriptoria.functions.people import split_holders
+from scriptoria.operators import reconcile as R
 from scriptoria.session import checkpoint_folder
 from scriptoria.sources import attachments as A
 from scriptoria.sources import entries as E
@@ -97,3 +98,13 @@ def test_attachments_resolved(spark):
     fields = spark.createDataFrame([(1, r"D\;x:a\;b.pdf:PDF; ../l/a;b.pdf;gone.pdf", "/l"), (2, None, "/l"), (3, "", None)], "id long, field string, base string")
     got = A.resolve(fields, spark.createDataFrame([("/l/a;b.pdf",), ("/l/b.pdf",)], "path string")).orderBy("place").collect()
     assert [tuple(r) for r in got] == [(1, 1, r"D\;x:a\;b.pdf:PDF", "/l/a;b.pdf"), (1, 2, "../l/a", None), (1, 3, "b.pdf", "/l/b.pdf"), (1, 4, "gone.pdf", None)]
+
+
+def test_notes_move_once_and_never_by_guess(spark):
+    p = spark.createDataFrame([(1, "a"), (2, None)], "id long, notes string")
+    one = spark.createDataFrame([(7, "Notiz", "text"), (8, "Notes", "choice")], "field_id int, name string, field_type string")
+    v = spark.createDataFrame([(1, 7, " b "), (2, 7, " "), (2, 8, "x")], "paper_id long, field_id int, value string")
+    fresh, done = spark.createDataFrame([], "key string"), spark.createDataFrame([("k",)], "key string")
+    notes = lambda f, d: [r.notes for r in R.notes_backfill(p, f, v, d).orderBy("id").collect()]
+    assert notes(one, fresh) == ["a\n\nb", None]
+    assert notes(one, done) == notes(one.withColumn("field_type", F.lit("text")), fresh) == ["a", None]
