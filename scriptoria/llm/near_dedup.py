@@ -206,7 +206,7 @@ def document_frequencies(texts: DataFrame, n_docs: int) -> Idf:
     return Idf(n_docs, heavy)
 
 
-def _contract(classes: DataFrame, links: DataFrame) -> DataFrame:
+def contract(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``classes`` (id, cls) after ``links`` (a, b of classes): every class gets the least of its component.
 
     A step takes the least label of all neighbours, then that label's label; both shrink distances, so the
@@ -298,7 +298,7 @@ def _text_classes(docs: DataFrame, id_col: str, text_col: str, threshold: float)
         if links.limit(1).count():
             cls = classes.select(F.col("id").alias("k"), F.col("cls").alias("c"))
             of = links.join(cls, F.col("pivot") == F.col("k")).select("id", F.col("c").alias("a")).join(cls, F.col("id") == F.col("k")).select("a", F.col("c").alias("b"))
-            classes = _contract(classes, of.filter("a <> b").distinct()).checkpoint()
+            classes = contract(classes, of.filter("a <> b").distinct()).checkpoint()
             del cls, of
         del m, parts, mains, links
         release(spark)

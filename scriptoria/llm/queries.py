@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.llm import brown, fingerprint, licences, mixing, near_dedup, pieces, quality, substrings, token_count, toxicity
+from scriptoria.llm import brown, fingerprint, lexical, licences, merkle, mixing, near_dedup, pieces, quality, simhash, substrings, token_count, toxicity
 from scriptoria.llm.sql import ORACLES
 
 #: Name of the piece model that the queries use; ``public_tokenizers.path`` gives its place.
@@ -88,6 +89,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    values = [F.col(c) for c in merkle.COLUMNS[:-1]]
+    tampered = F.when(crc_mod("doc_id", 5) == 0, merkle.leaf(*values, lowered))
+    leaves = documents(spark, sf_dir).select("doc_id", "source", merkle.leaf(*values, F.col("text")).alias("leaf"), tampered.alias("tampered"))
+    proven = merkle.prove(leaves).withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("positions"), F.col("siblings")))
+    proof = F.sha2(F.array_join("siblings", ""), 256)
+    return proven.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(documents(spark, sf_dir))
+    return found.withColumn("fingerprint", F.lpad(F.lower(F.hex("fingerprint")), 16, "0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -100,6 +120,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_token_counts": op10_token_counts,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_merkle": op12_merkle,
+        "op13_simhash": op13_simhash,
     }
 
 

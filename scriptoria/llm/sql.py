@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from scriptoria.llm import licences, mixing
+import string
+
+from scriptoria.llm import lexical, licences, merkle, mixing
 
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 #: string_split at runs of spaces, without the empty ends.
@@ -92,4 +94,82 @@ SELECT doc_id, length(canonical)::BIGINT AS n_canonical, sha256(canonical) AS di
 FROM docs LEFT JOIN known ON known.digest = sha256(docs.canonical) AND known.whole LEFT JOIN notices USING (rid)
 """
 
-ORACLES = {"op3_mixing": OP3, "op4_quality": OP4, "op7_licences": OP7}
+LOWER = f"translate({{}}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(LOWER.format("coalesce(text, '')"))
+
+OP11 = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {TERMS} AS t FROM documents),
+totals AS (SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM docs),
+asked AS (SELECT DISTINCT iid, item_id, unnest(t) AS term FROM (SELECT row_number() OVER () AS iid, item_id, {TERMS} AS t FROM benchmark)),
+posts AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM posts, totals GROUP BY term, n_docs),
+impacts AS (
+  SELECT rid, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(t)::BIGINT * n_docs) // n_terms))) AS impact
+  FROM posts JOIN weights USING (term) JOIN docs USING (rid), totals
+),
+scores AS (SELECT iid, item_id, rid, sum(impact)::BIGINT AS score FROM asked JOIN impacts USING (term) GROUP BY ALL HAVING score > 0),
+ranked AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores JOIN docs USING (rid))
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= {lexical.TOP}
+"""
+
+
+#: Unsigned CRC-32 of a value's decimal text, bit by bit.
+CRC = (
+    "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)), "
+    "lambda c, b: list_reduce(list_concat([xor(c, b)], list_transform(range(8), lambda k: 0::BIGINT)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR))::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree(name: str, leaves: str) -> str:
+    """Nodes (level, g, i, digest, n) of the trees over ``leaves`` (g, i, digest, n)."""
+    return f"""{name} AS (
+  SELECT 0 AS level, g, i, digest, n FROM {leaves}
+  UNION ALL
+  SELECT level + 1, g, i // {merkle.RUN}, sha256(string_agg(digest, '' ORDER BY i)), (n + {merkle.RUN - 1}) // {merkle.RUN} FROM {name} WHERE n > 1 GROUP BY level, g, i // {merkle.RUN}, n
+)"""
+
+
+def _way(name: str, start: str, tree: str) -> str:
+    """(rid, level, g, i, digest, proof) of ``start`` (rid, g, i, digest, proof) up ``tree``: the last level holds the top."""
+    return f"""{name} AS (
+  SELECT rid, 0 AS level, g, i, digest, proof FROM {start}
+  UNION ALL
+  SELECT w.rid, w.level + 1, w.g, w.i // {merkle.RUN}, sha256(string_agg(CASE WHEN t.i = w.i THEN w.digest ELSE t.digest END, '' ORDER BY t.i)),
+    w.proof || coalesce(string_agg(t.digest, '' ORDER BY t.i) FILTER (t.i <> w.i), '')
+  FROM {name} w JOIN {tree} t ON t.level = w.level AND t.g = w.g AND t.i // {merkle.RUN} = w.i // {merkle.RUN} WHERE t.n > 1 GROUP BY w.rid, w.level, w.g, w.i, w.digest, w.proof
+)"""
+
+
+OP12 = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, source, {_field("source")} AS g, {_leaf("text")} AS leaf, CASE WHEN tampered THEN {_leaf(LOWER.format("text"))} ELSE {_leaf("text")} END AS given
+  FROM (SELECT *, {CRC.format("doc_id")} % 5 = 0 AS tampered FROM documents)
+),
+leaves AS MATERIALIZED (
+  SELECT rid, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS digest, count(*) OVER (PARTITION BY g) AS n, given FROM docs
+),
+{_tree("trees", "leaves")},
+nodes AS MATERIALIZED (SELECT * FROM trees),
+tops AS (SELECT DISTINCT g, source, digest AS subroot FROM nodes JOIN docs USING (g) WHERE n = 1),
+groups AS MATERIALIZED (SELECT '' AS g, g AS own, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, subroot AS digest, count(*) OVER () AS n FROM tops),
+{_tree("over", "groups")},
+upper AS MATERIALIZED (SELECT * FROM over),
+begin AS (SELECT rid, g, i, given AS digest, '' AS proof FROM leaves),
+{_way("ways", "begin", "nodes")},
+half AS (SELECT rid, g AS own, arg_max(digest, level) AS digest, arg_max(proof, level) AS proof FROM ways GROUP BY ALL),
+again AS (SELECT rid, groups.g, groups.i, half.digest, half.proof FROM half JOIN groups USING (own)),
+{_way("ends", "again", "upper")},
+done AS (SELECT rid, arg_max(digest, level) AS folded_root, arg_max(proof, level) AS proof FROM ends GROUP BY ALL)
+SELECT doc_id, leaf, groups.digest AS subroot, root, sha256(proof) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM docs JOIN done USING (rid) JOIN groups ON groups.own = docs.g, (SELECT digest AS root FROM upper WHERE n = 1)
+"""
+
+ORACLES = {"op3_mixing": OP3, "op4_quality": OP4, "op7_licences": OP7, "op11_lexical_search": OP11, "op12_merkle": OP12}
