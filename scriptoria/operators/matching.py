@@ -1,9 +1,8 @@
-"""Fuzzy matches of references to papers: exact DOI, else the best token-sort ratio among blocked candidates."""
+"""Matches of references to papers: exact DOI, else the best token-sort ratio of titles; ranking by token-set ratio; assignments."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,36 +11,14 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import identifiers as I
 from scriptoria.functions import text as T
+from scriptoria.operators.fuzzy import best_titles, common_length
 from scriptoria.session import checkpoint_folder
 
-LEAST_SCORE, LEAST_LENGTH = 85, 10
-
-
-def common_length(a: str, b: str) -> int:
-    """Length of the longest common subsequence, a word of bits a step."""
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | (1 << i)
-    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for c in b:
-        hit = row & where.get(c, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
-
-
 def ratio(a: str, b: str) -> float:
     total = len(a) + len(b)
     return 100.0 * 2 * common_length(a, b) / total if total else 100.0
 
 
-def sorted_tokens(text: str) -> str:
-    return " ".join(sorted(text.split()))
-
-
-def token_sort_ratio(a: str, b: str) -> float:
-    return ratio(sorted_tokens(a), sorted_tokens(b))
-
-
 def token_set_ratio(a: str, b: str) -> float:
     """The best ratio among common words, and common words with each side's own."""
     x, y = set(a.split()), set(b.split())
@@ -54,32 +31,6 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(ratio(both, with_left) if both else 0.0, ratio(both, with_right) if both else 0.0, ratio(with_left, with_right))
 
 
-def _scored(pairs: DataFrame, a: str, b: str, how) -> DataFrame:
-    @F.pandas_udf("double")
-    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            yield pd.Series([how(u, v) for u, v in zip(x, y, strict=True)], dtype="float64")
-
-    return pairs.withColumn("score", score(a, b))
-
-
-def candidates(refs: DataFrame, library: DataFrame) -> DataFrame:
-    """ref_id, id, r, t: pairs that may reach 85: of lengths with 2 min / (m + n) >= 0.85, which loses none, and
-    with one of the rarer half of the reference's words in common, which keeps common words from meeting
-    everything. A pair in which every rarer word is misspelt is not found.
-    """
-    r = refs.select("ref_id", T.fold_title(F.col("title")).alias("r")).filter(F.length("r") >= LEAST_LENGTH)
-    t = library.select("id", T.fold_title(F.col("title")).alias("t")).filter(F.length("t") >= LEAST_LENGTH)
-    rw = r.select("ref_id", "r", F.explode(T.word_set(F.col("r"))).alias("word"))
-    tw = t.select("id", "t", F.explode(T.word_set(F.col("t"))).alias("word"))
-    df = tw.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    rare = Window.partitionBy("ref_id").orderBy("df", "word")
-    half = F.greatest(F.lit(1), F.ceil(F.size(T.word_set(F.col("r"))) / 2))
-    rw = rw.join(df, "word").withColumn("place", F.row_number().over(rare)).filter(F.col("place") <= half)
-    close = 2 * F.least(F.length("r"), F.length("t")) >= 0.85 * (F.length("r") + F.length("t"))
-    return rw.select("ref_id", "r", "word").join(tw, "word").filter(close).select("ref_id", "id", "r", "t").distinct()
-
-
 def match(refs: DataFrame, library: DataFrame) -> DataFrame:
     """ref_id, matched_id, confidence, strategy (doi, title or null). refs: ref_id, doi, title; library: id, doi, title.
 
@@ -87,9 +38,8 @@ def match(refs: DataFrame, library: DataFrame) -> DataFrame:
     by_doi = refs.select("ref_id", I.doi_key(F.col("doi")).alias("d")).filter("d <> ''").join(library.select("id", F.lower("doi").alias("d")), "d")
     exact = by_doi.groupBy("ref_id").agg(F.min("id").alias("matched_id")).select("ref_id", "matched_id", F.lit(1.0).alias("confidence"), F.lit("doi").alias("strategy"))
     rest = refs.join(exact.select("ref_id"), "ref_id", "left_anti")
-    scored = _scored(candidates(rest, library), "r", "t", token_sort_ratio).filter(F.col("score") >= LEAST_SCORE)
-    best = scored.groupBy("ref_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "id")).alias("b"))
-    fuzzy = best.select("ref_id", F.col("b.id").alias("matched_id"), F.round(-F.col("b.s") / 100, 3).alias("confidence"), F.lit("title").alias("strategy"))
+    best = best_titles(rest, library)
+    fuzzy = best.select("ref_id", "matched_id", F.round(F.col("score") / 100, 3).alias("confidence"), F.lit("title").alias("strategy"))
     return refs.select("ref_id").join(exact.unionByName(fuzzy), "ref_id", "left")
 
 

@@ -49,13 +49,18 @@ def citation_usage(spark, sf_dir):
     return R.usage(REFS.frame(spark), BODIES.frame(spark))
 
 
-PROBES = Fixture("ref_id long, doi string, title string", [(1, "https://doi.org/10.5555/w.3", ""), (2, "", "rivers of study the A large delta"), (3, None, "nothing like it at all"), (4, "", "A study of the large delta river")])
-SHELF = Fixture("id long, doi string, title string", [(1, "10.5555/W.3", "x"), (2, "10.5555/W.3", "y"), (3, "", "A study of the large delta rivers"), (4, "", "Short")])
+def title_probes(spark, sf_dir):
+    """ref_id, doi, title: every paper whose id is divisible by 100, its title cited with its words in another order
+    and its letters 'h' left out; of every third also its DOI as a link."""
+    p = papers(spark, sf_dir).filter("id % 100 = 0")
+    moved = F.array_join(F.reverse(F.split(F.regexp_replace("title", "h", ""), " ")), " ")
+    return p.select(F.col("id").alias("ref_id"), F.when(F.col("id") % 9 == 0, F.concat(F.lit("https://doi.org/"), F.col("doi"))).otherwise("").alias("doi"), moved.alias("title"))
 
 
-@query("fuzzy_token_sort", "J13", "SELECT * FROM (VALUES (1, 1, 1.0::DOUBLE, 'doi'), (2, 3, 1.0::DOUBLE, 'title'), (3, NULL, NULL, NULL), (4, 3, 0.985::DOUBLE, 'title')) AS v(ref_id, matched_id, confidence, strategy)")
+@query("fuzzy_token_sort", "J13")
 def fuzzy_token_sort(spark, sf_dir):
-    return M.match(PROBES.frame(spark), SHELF.frame(spark))
+    """The probes against all papers."""
+    return M.match(title_probes(spark, sf_dir), papers(spark, sf_dir))
 
 
 @query("ranked_candidates", "J20")
