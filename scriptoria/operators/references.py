@@ -1,4 +1,4 @@
-"""Reference sections, page scores and citations of references in a text."""
+"""Reference sections and page scores."""
 
 from __future__ import annotations
 
@@ -56,30 +56,6 @@ def section(pages: DataFrame, least: float = 1.5) -> DataFrame:
     return p.filter(by_heading | by_score | rest).select("paper_id", "page", F.when(titled, "heading").when(scored, "score").otherwise("last").alias("rule"))
 
 
-def usage(refs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """doc_id, ref_index, how: numeric, author_year, title or null. refs: doc_id, ref_index, author (last name), year, title; bodies: doc_id, body.
-
-    Numeric markers count only where three or more distinct ones stand in the body; a lone [1] of one digit is
-    no marker (the pattern asks for two characters), as in the library that this follows.
-    """
-    marks = F.regexp_extract_all("body", F.lit(r"\[(\d[\d,\s\-–]+)\]"), F.lit(1))
-    numbers = F.flatten(F.transform(marks, lambda m: F.flatten(F.transform(F.split(m, ","), _range))))
-    b = bodies.withColumn("numbers", F.array_distinct(numbers)).withColumn("numeric", F.size("numbers") >= 3)
-    j = refs.join(b, "doc_id")
-    near = F.concat(F.lit("(?i)"), F.regexp_replace("author", r"([^\p{L}\p{N}])", r"\\$1"), F.lit(r"[^.\n]{0,40}\(?"), F.col("year").cast("string"))
-    words = F.slice(F.filter(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"), lambda x: x != ""), 1, 4)
-    phrase = F.contains(F.regexp_replace(F.lower("body"), r"[^\p{L}\p{N}]+", " "), F.array_join(words, " "))
-    how = F.when(F.col("numeric") & F.array_contains("numbers", F.col("ref_index")), "numeric").when((F.col("author") != "") & F.regexp("body", near), "author_year").when((F.size(words) == 4) & phrase, "title")
-    return j.select("doc_id", "ref_index", how.alias("how"))
-
-
-def _range(part: Column) -> Column:
-    """"3-5" as 3, 4, 5; a single number as itself; of a longer range its first hundred."""
-    ends = F.transform(F.split(F.trim(part), r"\s*[-–]\s*"), lambda x: x.try_cast("int"))
-    a, z = F.get(ends, F.lit(0)), F.coalesce(F.get(ends, F.size(ends) - 1), F.get(ends, F.lit(0)))
-    return F.when(a.isNull() | (z < a), F.array().cast("array<int>")).otherwise(F.sequence(a, F.least(z, a + 99)))
-
-
 def plausible(title: Column, text: Column, longest: int = 5000) -> Column:
     """Half of a title's words stand in the beginning of the text; a title without words is plausible."""
     w = word_set(F.regexp_replace(F.lower(title), r"[^\p{L}\p{N}_\s]", " "))

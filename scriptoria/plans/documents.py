@@ -40,15 +40,6 @@ def reference_section(spark, sf_dir):
     return R.section(REF_PAGES.frame(spark))
 
 
-REFS = Fixture("doc_id long, ref_index int, author string, year int, title string", [(1, 1, "Doe", 2001, "A study of rivers and lakes"), (1, 2, "Roe", 1999, "Other things"), (1, 12, "Poe", 1845, "The raven"), (2, 1, "Doe", 2001, "A study of rivers and lakes"), (2, 2, "Nobody", 1900, "Unused work of nobody at all")])
-BODIES = Fixture("doc_id long, body string", [(1, "As [12, 2] and [10-11] show. Doe (2001) agrees."), (2, "In a study of rivers, and lakes nothing [1].")])
-
-
-@query("citation_usage", "T4 A18 F14", "SELECT * FROM (VALUES (1, 1, 'author_year'), (1, 2, 'numeric'), (1, 12, 'numeric'), (2, 1, 'title'), (2, 2, NULL)) AS v(doc_id, ref_index, how)")
-def citation_usage(spark, sf_dir):
-    return R.usage(REFS.frame(spark), BODIES.frame(spark))
-
-
 def title_probes(spark, sf_dir):
     """ref_id, doi, title: every paper whose id is divisible by 100, its title cited with its words in another order
     and its letters 'h' left out; of every third also its DOI as a link."""
