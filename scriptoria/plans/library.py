@@ -6,7 +6,7 @@ import importlib
 
 from scriptoria.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("catalogue", "changes", "citing", "documents", "duplicates", "entries", "graphs", "identifiers", "records", "retrieval")
+MODULES = ("annotations", "catalogue", "changes", "citing", "documents", "duplicates", "entries", "graphs", "identifiers", "records", "retrieval")
 
 
 def _load() -> None:
