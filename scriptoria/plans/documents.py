@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from scriptoria.functions import identifiers as I
 from scriptoria.functions import people as P
 from scriptoria.operators import chunks as K
 from scriptoria.operators import matching as M
 from scriptoria.operators import references as R
 from scriptoria.plans.base import KEY, PAPERS, keyed, papers
 from scriptoria.plans.registry import Fixture, query
-from scriptoria.session import table
+from scriptoria.session import checkpoint_folder, table
 from scriptoria.sources import bibliography as B
+from scriptoria.sources import record_files as RF
 from scriptoria.streaming import feeds
 
 
@@ -87,21 +91,46 @@ def people_split(spark, sf_dir):
     return found.select("id", P.joined(F.col("p")).alias("people"), F.size("p").alias("n"))
 
 
-BIB = Fixture("file string, text string", [("a.bib", '@Article{doe01,\n author = {Doe, Jane and Roe, R.},\n title = {A {Great} Study},\n year = 2001, journal = "J of X", doi = {10.1/A}}\n@comment{x, y}\n@book{, title={no key}}\n@misc{k2, date = {1999-05}, title = {T}}'), ("b.bib", "")])
-
-
-@query("bibtex_parse", "S9 F22", "SELECT * FROM (VALUES ('a.bib', 'doe01', 'article', 'A Great Study', 'Doe, Jane; Roe, R.', 2001, '10.1/a', 'J of X'), ('a.bib', 'k2', 'misc', 'T', '', 1999, '', '')) AS v(file, key, entry_type, title, authors, year, doi, venue)")
-def bibtex_parse(spark, sf_dir):
-    return B.parse_bibtex(BIB.frame(spark)).drop("fields")
+def written(spark, rows, name):
+    """A folder that driver and executors share, with the rows' one column as lines of text files."""
+    checkpoint_folder(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    rows.write.text(folder)
+    return folder
 
 
-RIS = Fixture("file string, text string", [("a.ris", "TY  - JOUR\nAU  - Doe, J.\nAU  - Roe, R.\nTI  - A long\n title\nPY  - 2001///\nER  - \nstray\nTY  - BOOK\nTI  - B\nER  - "), ("b.ris", "nothing")])
+#: Small parts, so that files of any size are read in several.
+SPLIT = 20_000
+_CLEAN = rf"regexp_replace({{c}}, '[{{{{}}}}\"\\]', '', 'g')"
+_RUN = r"trim(regexp_replace({c}, '[ \t\n\x0b\f\r]+', ' ', 'g'))"
 
 
-@query("ris_parse", "S11 S12", "SELECT * FROM (VALUES ('a.ris', 1, 'JOUR', 'A long title', 'Doe, J.; Roe, R.', 2001), ('a.ris', 2, 'BOOK', 'B', '', NULL)) AS v(file, record, type, title, authors, year)")
-def ris_parse(spark, sf_dir):
-    get = lambda n: F.array_join(F.coalesce(F.try_element_at("tags", F.lit(n)), F.array().cast("array<string>")), "; ")
-    return B.parse_ris(RIS.frame(spark)).select("file", "record", "type", get("TI").alias("title"), get("AU").alias("authors"), F.substring(get("PY"), 1, 4).try_cast("int").alias("year"))
+@query("bibtex_files", "S9 F22", f"""
+WITH {PAPERS}, k AS (SELECT *, 'k' || id AS key, {_CLEAN.format(c='title')} AS t FROM papers)
+SELECT key, CASE WHEN id % 3 = 0 THEN 'book' ELSE 'article' END AS entry_type, {_RUN.format(c="t")} AS title, 'Doe, Jane' || CASE WHEN id % 2 = 0 THEN '; Roe, R.' ELSE '' END AS authors, nullif(year, 0)::INT AS year, lower(doi) AS doi, venue FROM k""")
+def bibtex_files(spark, sf_dir):
+    """An entry a paper, written to files and read in parts: values in braces, in quotes and bare."""
+    p = papers(spark, sf_dir)
+    n, title = F.col("id").cast("string"), F.regexp_replace("title", r'[{}"\\]', "")
+    kind = F.when(F.col("id") % 3 == 0, "@Book{").otherwise("@article{")
+    quoted = F.when(F.col("id") % 5 == 0, F.concat(F.lit('"{'), title, F.lit('}"'))).otherwise(F.concat(F.lit("{"), title, F.lit("}")))
+    authors = F.concat(F.lit("{Doe, Jane"), F.when(F.col("id") % 2 == 0, " and Roe, R.").otherwise(""), F.lit("}"))
+    entry = F.concat(kind, F.lit("k"), n, F.lit(",\n title = "), quoted, F.lit(",\n author = "), authors, F.lit(",\n year = "), F.when(F.col("year") > 0, F.col("year").cast("string")).otherwise("{}"), F.lit(", doi = {"), "doi", F.lit("},\n journal = {"), "venue", F.lit("}\n}\n@comment{k, no = {entry}}"))
+    found = RF.read_records(spark, "bibtex", written(spark, p.select(entry), "bibtex"), SPLIT)
+    return B.bibtex_columns(found).drop("fields", "file")
+
+
+@query("ris_files", "S11 S12", f"""
+WITH {PAPERS}
+SELECT 'JOUR' AS type, {_RUN.format(c="title || ' ' || 'v' || id")} AS title, CASE WHEN id % 2 = 0 THEN 'Doe, J.; Roe, R.' ELSE 'Doe, J.' END AS authors, CASE WHEN year > 0 THEN year END::INT AS year, CASE WHEN doi = '' THEN '' ELSE lower(doi) END AS doi FROM papers""")
+def ris_files(spark, sf_dir):
+    """A record a paper, written to files and read in parts: long titles over two lines, DOIs as links."""
+    p = papers(spark, sf_dir)
+    n = F.col("id").cast("string")
+    record = F.concat(F.lit("TY  - JOUR\nAU  - Doe, J.\n"), F.when(F.col("id") % 2 == 0, "AU  - Roe, R.\n").otherwise(""), F.lit("TI  - "), "title", F.lit("\n  v"), n, F.lit("\nPY  - "), F.when(F.col("year") > 0, F.concat(F.col("year").cast("string"), F.lit("///"))).otherwise(""), F.lit("\nDO  - "), F.when(F.col("doi") != "", F.concat(F.lit("https://doi.org/"), "doi")).otherwise(""), F.lit("\nER  - \nstray line"))
+    found = RF.read_records(spark, "ris", written(spark, p.select(record), "ris"), SPLIT)
+    get = lambda t: F.array_join(F.coalesce(F.try_element_at("tags", F.lit(t)), F.array().cast("array<string>")), "; ")
+    return found.select("type", get("TI").alias("title"), get("AU").alias("authors"), F.substring(get("PY"), 1, 4).try_cast("int").alias("year"), I.doi_key(get("DO")).alias("doi"))
 
 
 @query("ris_items", "S13", f"WITH {PAPERS} SELECT id::VARCHAR AS file, 'T' || id AS title, 'A, B; C, D' AS authors, 2001 AS year, 'J' AS journal, 'KW' AS other FROM papers WHERE id % 2 = 0")

@@ -2,59 +2,26 @@
 
 from __future__ import annotations
 
-import re
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions.fields import page_range, tex
 from scriptoria.functions.people import joined, people
-
-ENTRY = re.compile(r"@(\w+)\s*\{\s*([^,\s{}]*)\s*,", re.S)
-FIELD = re.compile(r"\s*([\w-]+)\s*=\s*")
-
-
-def bibtex_entries(text: str) -> list[dict]:
-    """Entries with a key: entry_type, key and fields; values in braces, quotes or bare, braces inside dropped."""
-    out = []
-    for m in ENTRY.finditer(text or ""):
-        kind, key, at = m[1].lower(), m[2], m.end()
-        if not key or kind in ("comment", "string", "preamble"):
-            continue
-        fields: dict[str, str] = {}
-        while f := FIELD.match(text, at):
-            at = f.end()
-            if at >= len(text):
-                break
-            start = at
-            if text[at] in '{"':
-                close, depth = ("}" if text[at] == "{" else '"'), 0
-                while at < len(text):
-                    depth += (text[at] == "{") - (text[at] == "}")
-                    if text[at] == close and at > start and depth == 0:
-                        break
-                    at += 1
-                value, at = text[start + 1 : at], at + 1
-            else:
-                while at < len(text) and text[at] not in ",}\n":
-                    at += 1
-                value = text[start:at]
-            fields[f[1].lower()] = " ".join(value.replace("{", "").replace("}", "").split())
-            while at < len(text) and text[at] in " \t\r\n,":
-                at += 1
-        out.append({"entry_type": kind, "key": key, "fields": fields})
-    return out
-
+from scriptoria.sources.record_files import bibtex_entries
 
 def parse_bibtex(files: DataFrame) -> DataFrame:
     """file, key, entry_type, title, authors, year, doi, venue, fields. files: file, text (whole)."""
 
     @F.pandas_udf("array<struct<entry_type:string,key:string,fields:map<string,string>>>")
     def entries(texts: pd.Series) -> pd.Series:
-        return texts.map(bibtex_entries)
+        return texts.map(lambda t: list(bibtex_entries(t)))
+
+    return bibtex_columns(files.select("file", F.explode(entries("text")).alias("e")).select("file", "e.*"))
+
 
-    e = files.select("file", F.explode(entries("text")).alias("e")).select("file", "e.*")
+def bibtex_columns(e: DataFrame) -> DataFrame:
+    """file, key, entry_type, title, authors, year, doi, venue, fields of entries (file, key, entry_type, fields)."""
     get = lambda *names: F.coalesce(*[F.try_element_at("fields", F.lit(n)) for n in names], F.lit(""))
     year = F.substring(get("year", "date"), 1, 4).try_cast("int")
     return e.select("file", "key", "entry_type", get("title").alias("title"), joined(people(get("author"))).alias("authors"), year.alias("year"), F.lower(get("doi")).alias("doi"), get("journal", "journaltitle", "booktitle").alias("venue"), "fields")
