@@ -9,12 +9,14 @@ stands in that queue is a cumulative demand, and inverting the source's cumulati
 
 gives the position at which it is trained. Range-sorting by position makes the training order.
 
-A hot source is not one task: its queue is cut into ``BUCKETS`` digest ranges whose totals are summed
+A hot source is not one task: its queue is cut into digest ranges whose totals are summed
 first, so that running sums are taken within (source, range) and offset by the ranges before.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +26,9 @@ from scriptoria.llm.text import n_words
 WEIGHTS, SHARE, PASSES = (5, 2, 1), 1.5, 2.0
 #: Tilts dealt to sources in order: early, even, late.
 TILTS = (-0.5, 0.0, 0.5)
-#: Digest ranges of a source's queue, as hexadecimal digits of the digest: 16 ** 3.
-DIGITS = 3
+#: Least digest ranges of a source's queue, as hexadecimal digits of the digest: 16 ** 3; rows that carry texts along make
+#: more of them, of about ``RANGE_BYTES`` if all are of one source.
+DIGITS, RANGE_BYTES = 3, 64 << 20
 
 
 def _dealt(index: Column, values: tuple) -> Column:
@@ -75,8 +78,12 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         (F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) if digest is None else digest).alias("digest"),
         *([F.struct(*carry).alias("row")] if carry else []),
     )
+    digits = DIGITS
+    if carry:
+        total = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+        digits = max(DIGITS, round(math.log(max(total / RANGE_BYTES, 1), 16)))
     # md5 ties only for repeated ids; size settles those, and equal rows are interchangeable
-    d = d.withColumns({"bucket": F.substring("digest", 1, DIGITS), "no_source": F.col("source").isNull(), "source": F.coalesce("source", F.lit(""))})
+    d = d.withColumns({"bucket": F.substring("digest", 1, digits), "no_source": F.col("source").isNull(), "source": F.coalesce("source", F.lit(""))})
     keys = ["no_source", "source"]
     buckets = d.drop("row").groupBy(*keys, "bucket").agg(F.sum("size").alias("bucket_size"))
     sizes = buckets.groupBy(*keys).agg(F.sum("bucket_size").alias("source_size"))
