@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,16 +48,31 @@ def queue_digest():
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time a document is trained. The part files hold them in training order, which is the result of
-    the curriculum; a column for it would not be one of ``documents``."""
+    the curriculum; a column for it would not be one of ``documents``, so the last stage reads it off the files."""
     plan = mixing.plan_mix(docs, digest=queue_digest(), carry=tuple(COLUMNS))
     timed = plan.select("row.*", F.explode("positions").alias("position"))
     return timed.orderBy("position", "doc_id").select(*COLUMNS)
 
 
+def with_place(docs: DataFrame) -> DataFrame:
+    """``docs`` with train_part, train_row (long): the number of the part file that holds a row, and its place in it.
+
+    Spark reads files in any order and packs small ones together, so only what the files themselves say tells the
+    order in which they were written. Of rows that come from no files, the partition and the place in it.
+    """
+    try:
+        number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).try_cast("long")
+        return docs.select(*COLUMNS, number.alias("train_part"), F.col("_metadata.row_index").alias("train_row"))
+    except AnalysisException:
+        at = F.monotonically_increasing_id()
+        return docs.select(*COLUMNS, F.shiftright(at, 33).alias("train_part"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("train_row"))
+
+
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts as sampled piece ids; only what decodes to the very text is passed on, which is every text."""
-    coded = pieces.encode_checked(docs, tokenizer_path())
-    return coded.filter("lossless").select(*COLUMNS, "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"))
+    """Texts as sampled piece ids, with their place in the training order (by train_part, then train_row); only what decodes
+    to the very text is passed on, which is every text."""
+    coded = pieces.encode_checked(with_place(docs), tokenizer_path())
+    return coded.filter("lossless").select(*COLUMNS, "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), "train_part", "train_row")
 
 
 STAGES = [
