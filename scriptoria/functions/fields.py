@@ -132,9 +132,13 @@ def tags(text: Column) -> Column:
 
 
 def file_name(authors: Column, year: Column, title: Column) -> Column:
-    first = F.when(authors == "", "Unknown").otherwise(F.replace(F.trim(F.get(F.split(authors, ","), F.lit(0))), F.lit(" "), F.lit("")))
-    words = F.filter(F.split(F.regexp_replace(title, r"[^\p{L}\p{N}\s]", ""), r"\s+"), lambda w: w != "")
-    return F.concat(F.concat_ws("_", F.coalesce(F.nullif(year, F.lit(0)).cast("string"), F.lit("XXXX")), first, F.array_join(F.slice(words, 1, 5), "_")), F.lit(".pdf"))
+    """year_author_title.pdf: the first author's letters and digits, the title's first five words; a word of hyphens counts, but
+    hyphens and marks go."""
+    known = F.coalesce(authors, F.lit(""))
+    first = F.when(known == "", "Unknown").otherwise(F.regexp_replace(F.get(F.split(known, ","), F.lit(0)), r"[^\p{L}\p{N}_]", ""))
+    words = F.filter(F.split(F.regexp_replace(F.coalesce(title, F.lit("Untitled")), r"[^\p{L}\p{N}_\s-]", ""), r"\s+"), lambda w: w != "")
+    short = F.regexp_replace(F.array_join(F.slice(words, 1, 5), "_"), "-", "")
+    return F.concat(F.concat_ws("_", F.coalesce(F.nullif(year, F.lit(0)).cast("string"), F.lit("XXXX")), first, short), F.lit(".pdf"))
 
 
 def page_range(pages: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.functions import identifiers as I
+from scriptoria.functions.fields import same_value
 
 
 def unpivot(rows: DataFrame, fields: list[str], name: str = "value") -> DataFrame:
@@ -25,12 +26,31 @@ def answer(asked: DataFrame, found: DataFrame, sources: list[str]) -> DataFrame:
 
 
 def compare(stored: DataFrame, found: DataFrame, fields: list[str], fill_only: tuple[str, ...] = ()) -> DataFrame:
-    """id, field, stored, found, kind: fill where nothing is stored, conflict where both differ beyond case and spaces."""
+    """id, field, stored, found, kind: fill where nothing is stored (a year of 0 is none), conflict where both say
+    something else by the field's own rule (``same_value``). Fields of ``fill_only`` are never in conflict.
+
+    A found pub_date of another year than the stored one is dropped, as the year carries that conflict; one that fills an
+    item without a year fills the year too, unless a year was found.
+    """
     s, f = unpivot(stored, fields, "stored"), unpivot(found, fields, "found")
-    plain = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
-    both = f.join(s, ["id", "field"]).filter(plain("found") != "")
-    kind = F.when(plain("stored") == "", "fill").when((plain("stored") != plain("found")) & ~F.col("field").isin(*fill_only), "conflict")
-    return both.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    field = F.col("field")
+    empty = lambda c: (F.trim(F.coalesce(c, F.lit("")), F.lit(" \t\n\x0b\f\r")) == "") | ((field == "year") & (F.coalesce(c, F.lit("0")) == "0"))
+    both = f.join(s, ["id", "field"]).filter(~empty(F.col("found")))
+    dated = {"year", "pub_date"} <= set(fields)
+    if dated:
+        own = stored.select(F.col("id").alias("_id"), F.nullif(F.col("year").cast("int"), F.lit(0)).alias("_year"))
+        other = (field == "pub_date") & F.col("_year").isNotNull() & ~I.year_number(F.col("found")).eqNullSafe(F.col("_year"))
+        both = both.join(own, F.col("id") == F.col("_id")).filter(~other)
+    same = F.lit(None).cast("boolean")
+    for name in fields:
+        same = F.when(field == name, F.coalesce(same_value(name, F.col("stored"), F.col("found")), F.lit(False))).otherwise(same)
+    kind = F.when(empty(F.col("stored")), "fill").when(~same & ~field.isin(*fill_only), "conflict")
+    out = both.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    if dated:
+        years = out.filter("field = 'year'").select(F.col("id").alias("_has"))
+        follow = out.filter("field = 'pub_date' and kind = 'fill' and _year is null").join(years, F.col("id") == F.col("_has"), "left_anti")
+        out = out.unionByName(follow.withColumns({"field": F.lit("year"), "stored": F.lit(None).cast("string"), "found": I.year_number(F.col("found")).cast("string")}))
+    return out.select("id", "field", "stored", "found", "kind")
 
 
 def write_rules(changes: DataFrame) -> DataFrame:

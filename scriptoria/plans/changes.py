@@ -13,26 +13,39 @@ ASKED = Fixture("id long, identifier string", [(1, "10.1/a"), (2, "10.1/b"), (3,
 FOUND = Fixture("id long, source string", [(1, "second"), (1, "first"), (2, "third"), (5, "unknown"), (3, "first")])
 
 
-@query("source_precedence", "C1 X9", f"""
+@query("source_precedence", "C1", f"""
 WITH b AS (SELECT id, arg_min(source, list_position(['first', 'second', 'third'], source)) AS source FROM {FOUND.sql} WHERE source IN ('first', 'second', 'third') GROUP BY id)
 SELECT id, CASE WHEN coalesce(trim(identifier), '') <> '' THEN source END AS source, CASE WHEN coalesce(trim(identifier), '') = '' THEN 'no_identifier' WHEN source IS NULL THEN 'not_found' ELSE 'found' END AS status FROM {ASKED.sql} LEFT JOIN b USING (id)""")
 def source_precedence(spark, sf_dir):
     return R.answer(ASKED.frame(spark), FOUND.frame(spark), ["first", "second", "third"])
 
 
-FIELDS = ["title", "venue", "doi"]
-_PLAIN = lambda c: rf"lower(trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g')))"
+FIELDS = ["title", "venue", "doi", "isbn", "pages", "year", "pub_date"]
+_FOLDED = lambda c: rf"rtrim(lower(trim(regexp_replace(coalesce({c}, ''), '\s+', ' ', 'g'))), ' .')"
 
 
 @query("fills_conflicts", "C3", f"""
-WITH {PAPERS}, f AS (SELECT id, CASE WHEN id % 2 = 0 THEN replace(title, 'e', 'E') ELSE title || ' x' END AS title, CASE WHEN id % 3 = 0 THEN '' ELSE venue END AS venue, '10.1/' || id AS doi FROM papers),
-l AS (SELECT f.id, u.field, u.stored, u.found FROM papers p JOIN f USING (id), LATERAL (VALUES ('title', p.title, f.title), ('venue', p.venue, f.venue), ('doi', p.doi, f.doi)) AS u(field, stored, found))
-SELECT id, field, stored, found, CASE WHEN {_PLAIN('stored')} = '' THEN 'fill' ELSE 'conflict' END AS kind FROM l
-WHERE {_PLAIN('found')} <> '' AND ({_PLAIN('stored')} = '' OR ({_PLAIN('stored')} <> {_PLAIN('found')} AND field <> 'venue'))""")
+WITH {PAPERS}, f AS (
+  SELECT id, CASE WHEN id % 2 = 0 THEN replace(title, 'e', 'E') || ' .' ELSE title || ' x' END AS title, CASE WHEN id % 3 = 0 THEN '' ELSE upper(venue) END AS venue, CASE WHEN id % 6 = 0 THEN 'http://dx.doi.org/' || lower(doi) ELSE '10.1/' || id END AS doi,
+    CASE id % 4 WHEN 0 THEN '97812' WHEN 1 THEN '978-1-3, 978-1-2' ELSE '97813' END AS isbn, CASE WHEN id % 5 = 0 THEN '3–10' ELSE '3 – 9' END AS pages, CASE WHEN id % 20 = 0 THEN 1999 ELSE 0 END::VARCHAR AS year, CASE WHEN id % 3 = 0 THEN (1980 + id % 45) || '-05' ELSE '1970-01' END AS pub_date FROM papers),
+l AS (SELECT f.id, nullif(p.year, 0) AS own, u.field, u.stored, u.found, u.same FROM papers p JOIN f USING (id), LATERAL (VALUES
+  ('title', p.title, f.title, {_FOLDED('p.title')} = {_FOLDED('f.title')}), ('venue', p.venue, f.venue, true), ('doi', p.doi, f.doi, p.id % 6 = 0), ('isbn', '978-1-2', f.isbn, p.id % 4 < 2), ('pages', CASE WHEN p.id % 7 = 0 THEN NULL ELSE '3--9' END, f.pages, p.id % 5 <> 0),
+  ('year', p.year::VARCHAR, f.year, p.year::VARCHAR = f.year), ('pub_date', '', f.pub_date, false)) AS u(field, stored, found, same)),
+k AS (SELECT *, CASE WHEN trim(coalesce(stored, '')) = '' OR field = 'year' AND stored = '0' THEN 'fill' WHEN NOT same THEN 'conflict' END AS kind FROM l
+  WHERE trim(found) <> '' AND NOT (field = 'year' AND found = '0') AND NOT (field = 'pub_date' AND own IS NOT NULL AND own <> coalesce(try_cast(substr(found, 1, 4) AS INT), 0))),
+o AS (SELECT id, field, stored, found, kind, own FROM k WHERE kind IS NOT NULL)
+SELECT id, field, stored, found, kind FROM o
+UNION ALL SELECT id, 'year', NULL, substr(found, 1, 4), 'fill' FROM o WHERE field = 'pub_date' AND own IS NULL AND id NOT IN (SELECT id FROM o WHERE field = 'year')""")
 def fills_conflicts(spark, sf_dir):
-    p = papers(spark, sf_dir)
-    f = p.select("id", F.when(F.col("id") % 2 == 0, F.replace("title", F.lit("e"), F.lit("E"))).otherwise(F.concat("title", F.lit(" x"))).alias("title"), F.when(F.col("id") % 3 == 0, "").otherwise(F.col("venue")).alias("venue"), F.concat(F.lit("10.1/"), F.col("id").cast("string")).alias("doi"))
-    return R.compare(p, f, FIELDS, ("venue",)).select("id", "field", "stored", "found", "kind")
+    """Every paper against a found record: spellings of the same, other values, dates of the same and of other years."""
+    i, n = F.col("id"), F.col("id").cast("string")
+    p = papers(spark, sf_dir).select("id", "title", "venue", "doi", F.lit("978-1-2").alias("isbn"), F.when(i % 7 == 0, None).otherwise(F.lit("3--9")).alias("pages"), "year", F.lit("").alias("pub_date"))
+    f = p.select(
+        "id", F.when(i % 2 == 0, F.concat(F.replace("title", F.lit("e"), F.lit("E")), F.lit(" ."))).otherwise(F.concat("title", F.lit(" x"))).alias("title"), F.when(i % 3 == 0, "").otherwise(F.upper("venue")).alias("venue"),
+        F.when(i % 6 == 0, F.concat(F.lit("http://dx.doi.org/"), F.lower("doi"))).otherwise(F.concat(F.lit("10.1/"), n)).alias("doi"), F.when(i % 4 == 0, "97812").when(i % 4 == 1, "978-1-3, 978-1-2").otherwise("97813").alias("isbn"),
+        F.when(i % 5 == 0, "3–10").otherwise("3 – 9").alias("pages"), F.when(i % 20 == 0, 1999).otherwise(0).alias("year"), F.when(i % 3 == 0, F.concat((1980 + i % 45).cast("string"), F.lit("-05"))).otherwise("1970-01").alias("pub_date"),
+    )
+    return R.compare(p, f, FIELDS, ("venue",))
 
 
 @query("review_rows", "C5", f"""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scriptoria.functions import fields as X
 from scriptoria.functions import identifiers as I
 from scriptoria.functions import text as T
+from scriptoria.plans.base import PAPERS, papers
 from scriptoria.plans.registry import Fixture, literal, query
 from scriptoria.session import table
 
@@ -89,14 +90,24 @@ def tag_normalize(spark, sf_dir):
     return TAGS.frame(spark).select("id", F.array_join(X.tags(F.col("tags")), "|").alias("tags"))
 
 
-PAGES = Fixture("id long, pages string, title string, authors string, year int", [(1, "12-19", "A long title of more than five words", "Doe, Jane", 2001), (2, "3 – 4", "Über", "", 0), (3, "7", "x", "van Beek, Ko; Roe, R", None)])
+_NAME = r"regexp_replace({c}, '[^\p{{L}}\p{{N}}_]', '', 'g')"
+_PEOPLE = "CASE id % 4 WHEN 0 THEN 'O''Brien-' || coalesce(lang, 'X') || ' Ü., Jo' WHEN 1 THEN '' WHEN 2 THEN 'van der Berg' || id ELSE authors END"
+_LONG = "CASE WHEN id % 3 = 0 THEN replace(title, ' ', ' - ') WHEN id % 3 = 1 THEN 'non-linear_x: ' || title ELSE title END"
 
 
-@query("file_name", "F11", f"""
-SELECT id, coalesce(nullif(year, 0)::VARCHAR, 'XXXX') || '_' || CASE WHEN authors = '' THEN 'Unknown' ELSE replace(trim(split_part(authors, ',', 1)), ' ', '') END || '_' || array_to_string(list_filter(string_split_regex(regexp_replace(title, '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+'), lambda x: x <> '')[1:5], '_') || '.pdf' AS name,
-  regexp_replace(pages, '\\s*[-–—]+\\s*', '--', 'g') AS pages FROM {PAGES.sql}""")
+@query("file_name", "F11", rf"""
+WITH {PAPERS.replace("AS venue,", "AS venue, lang,")}, p AS (SELECT id, year, {_PEOPLE} AS authors, {_LONG} AS title, (id % 50) || ['-', ' – ', '--', ' '][(id % 4 + 1)::INT] || (id % 50 + 9) AS pages FROM papers)
+SELECT id, coalesce(nullif(year, 0)::VARCHAR, 'XXXX') || '_' || CASE WHEN authors = '' THEN 'Unknown' ELSE {_NAME.format(c="split_part(authors, ',', 1)")} END || '_' ||
+  replace(array_to_string(list_filter(string_split_regex(regexp_replace(title, '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '\s+'), lambda x: x <> '')[1:5], '_'), '-', '') || '.pdf' AS name, regexp_replace(pages, '\s*[-–—]+\s*', '--', 'g') AS pages FROM p""")
 def file_name(spark, sf_dir):
-    return PAGES.frame(spark).select("id", X.file_name(F.col("authors"), F.col("year"), F.col("title")).alias("name"), X.page_range(F.col("pages")).alias("pages"))
+    """All papers, with authors of marks, hyphens and several words, and titles whose words are parted by hyphens."""
+    i = F.col("id")
+    p = papers(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
+    authors = F.when(i % 4 == 0, F.concat(F.lit("O'Brien-"), F.coalesce("lang", F.lit("X")), F.lit(" Ü., Jo"))).when(i % 4 == 1, "").when(i % 4 == 2, F.concat(F.lit("van der Berg"), i.cast("string"))).otherwise(F.col("authors"))
+    title = F.when(i % 3 == 0, F.replace("title", F.lit(" "), F.lit(" - "))).when(i % 3 == 1, F.concat(F.lit("non-linear_x: "), "title")).otherwise(F.col("title"))
+    between = F.get(F.array(*map(F.lit, ("-", " – ", "--", " "))), (i % 4).cast("int"))
+    pages = F.concat((i % 50).cast("string"), between, (i % 50 + 9).cast("string"))
+    return p.select("id", X.file_name(authors, F.col("year"), title).alias("name"), X.page_range(pages).alias("pages"))
 
 
 @query("html_text", "F23", r"""
