@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from scriptoria.operators import calls, chunks
+from scriptoria.operators import calls, chunks, vectors
 from scriptoria.plans.registry import query
 from scriptoria.session import checkpoint_folder, table
 from scriptoria.streaming import feeds, intake, stateful
@@ -69,3 +69,18 @@ def counted(texts: list[str]) -> list[int]:
 SELECT doc_id AS id, CASE WHEN contains(coalesce(text, ''), '!') THEN NULL ELSE length(coalesce(text, '')) END AS answer, CASE WHEN contains(coalesce(text, ''), '!') THEN 'ValueError: refused' END AS error FROM documents""")
 def batched_calls(spark, sf_dir):
     return calls.answered(table(spark, sf_dir, "documents"), counted, "long", "doc_id").select("id", "answer", "error")
+
+
+@query("vectors_by_model", "S4 R14", """
+WITH v AS (SELECT vec_id AS id, 'm' || (label % 4) AS model, len(embedding) AS n FROM embeddings)
+SELECT id, model, n, model = 'm0' AS anew FROM v WHERE model IN ('m0', 'm3') OR model = 'm1' AND id % 2 = 1""")
+def vectors_by_model(spark, sf_dir):
+    """All vectors under four models: one written anew, one purged of every second id, one purged whole, one left alone."""
+    path = folder(spark, "vectors")
+    e = table(spark, sf_dir, "embeddings")
+    v = e.select(F.col("vec_id").alias("id"), F.concat(F.lit("m"), (F.col("label") % 4).cast("string")).alias("model"), "embedding", F.lit(False).alias("anew"))
+    vectors.put(v, path)
+    vectors.put(v.filter("model = 'm0'").withColumn("anew", F.lit(True)), path)
+    vectors.purge(spark, path, "m1", v.filter("id % 2 = 0").select("id"))
+    vectors.purge(spark, path, "m2")
+    return spark.read.parquet(path).select("id", "model", F.size("embedding").cast("long").alias("n"), "anew")
