@@ -84,8 +84,3 @@ def merge(papers: DataFrame, mapping: DataFrame) -> DataFrame:
         F.col("keeper").alias("id"), F.array_distinct(F.flatten(F.transform("r", lambda x: x["tags"]))).alias("tags"),
         F.array_join(F.filter(F.transform("r", lambda x: x["notes"]), lambda n: n != ""), "\n").alias("notes"), "date_added", F.coalesce(F.get(files, F.lit(0)), F.lit("")).alias("filename"),
     )
-
-
-def rekey(children: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
-    """``children`` re-pointed from dead papers to their keepers, each row once."""
-    return children.join(mapping, F.col(column) == F.col("dead"), "left").withColumn(column, F.coalesce("keep", column)).drop("dead", "keep").distinct()

@@ -15,6 +15,7 @@ from scriptoria.plans.base import KEY, PAPERS, keyed, papers
 from scriptoria.plans.registry import Fixture, query
 from scriptoria.session import checkpoint_folder, table
 from scriptoria.sources import bibliography as B
+from scriptoria.sources import csv_files
 from scriptoria.sources import record_files as RF
 from scriptoria.streaming import feeds
 
@@ -176,3 +177,28 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k""")
 def event_sessions(spark, sf_dir):
     return feeds.sessions(table(spark, sf_dir, "events"))
+
+
+_CELL = r"CASE WHEN regexp_matches({c}, '^[=+@\t\r]') THEN chr(39) || {c} ELSE {c} END"
+_QUOTED = lambda c: rf"""CASE WHEN regexp_matches({_CELL.format(c=c)}, '[,"\r\n]') THEN '"' || replace({_CELL.format(c=c)}, '"', '""') || '"' ELSE {_CELL.format(c=c)} END"""
+
+
+@query("csv_files", "K3 F26", f"""
+WITH {PAPERS}, p AS (SELECT id::VARCHAR AS id, CASE id % 7 WHEN 0 THEN '=' || title WHEN 1 THEN title || ', "x"' WHEN 2 THEN '@' || title WHEN 3 THEN '-' || title ELSE title END AS title, authors, coalesce(nullif(year, 0)::VARCHAR, '') AS year, CASE WHEN filename = '' THEN 'no' ELSE 'yes' END AS has_pdf,
+  CASE WHEN id % 2 = 0 THEN 'v' || id ELSE '' END AS shelf, CASE WHEN id % 3 = 0 THEN '+1' ELSE '' END AS title_2 FROM papers)
+SELECT concat_ws(',', {', '.join(_QUOTED(c) for c in ("id", "title", "authors", "year", "has_pdf", "shelf", "title_2"))}) AS line FROM p""")
+def csv_export(spark, sf_dir):
+    """All papers with two custom fields, written to files and read back line by line without the headers."""
+    i = F.col("id")
+    p = papers(spark, sf_dir)
+    title = F.when(i % 7 == 0, F.concat(F.lit("="), "title")).when(i % 7 == 1, F.concat("title", F.lit(', "x"'))).when(i % 7 == 2, F.concat(F.lit("@"), "title")).when(i % 7 == 3, F.concat(F.lit("-"), "title")).otherwise(F.col("title"))
+    sheet = p.select("id", title.alias("title"), "authors", F.nullif("year", F.lit(0)).alias("year"), F.when(F.col("filename") == "", "no").otherwise("yes").alias("has_pdf"))
+    values = p.filter(i % 2 == 0).select(i.alias("paper_id"), F.lit(1).alias("field_id"), F.concat(F.lit("v"), i.cast("string")).alias("value")).unionByName(p.filter(i % 3 == 0).select(i.alias("paper_id"), F.lit(2).alias("field_id"), F.lit("+1").alias("value")))
+    fields = spark.createDataFrame([(2, "Title", 2), (1, "shelf", 1)], "field_id int, name string, position int")
+    full = csv_files.with_custom_fields(sheet, fields, values)
+    checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/csv-{uuid.uuid4().hex}"
+    csv_files.write_csv(full, full.columns, path)
+    lines = spark.read.option("lineSep", "\r\n").text(path)
+    head = csv_files.header(full.columns)  # Spark may or may not have taken the byte order mark off
+    return lines.filter(~F.col("value").isin(head, csv_files.MARK + head)).select(F.col("value").alias("line"))
