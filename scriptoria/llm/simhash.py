@@ -95,7 +95,8 @@ def turns(at: int, length: int, limit: int = LIMIT) -> np.ndarray:
 
 
 def keyed(prints: DataFrame, length: int, limit: int = LIMIT) -> DataFrame:
-    """``prints`` (fp, at: array<int> of segments) as key, at, fp, guest: a row under its own key and, as a guest, under those it asks."""
+    """``prints`` (fp, at: a bit for each segment that chains may begin with) as key, at, fp, guest: a row under its own key
+    and, as a guest, under those it asks."""
     ring = range(limit + 1)
     asked = [turns(at, length, limit) for at in ring]
     whole = [np.uint64(chain_masks(at, length, limit)[-1]) for at in ring]
