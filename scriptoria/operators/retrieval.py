@@ -43,9 +43,13 @@ def cosine(a: Column, b: Column) -> Column:
 
 def cosine_rank(vectors: DataFrame, query: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
     """id, score, rank: scores rounded to four places first, ties by id. ``query``: one row, vector."""
+    return top(cosine_scores(vectors, query, id_col, vector_col), k)
+
+
+def cosine_scores(vectors: DataFrame, query: DataFrame, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """id, score (to four places) of every row."""
     q = query.select(F.col("vector").alias("_q"))
-    scored = vectors.crossJoin(F.broadcast(q)).select(F.col(id_col).alias("id"), F.round(cosine(F.col(vector_col), F.col("_q")), 4).alias("score"))
-    return top(scored, k)
+    return vectors.crossJoin(F.broadcast(q)).select(F.col(id_col).alias("id"), F.round(cosine(F.col(vector_col), F.col("_q")), 4).alias("score"))
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -66,10 +70,38 @@ def fuse(rankings: list[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
     return best.select("id", F.round("raw", 6).alias("score"), place.alias("rank"))
 
 
-def best_of_group(ranked: DataFrame, group_col: str) -> DataFrame:
-    """The best-ranked row of each group, ranked anew."""
-    best = ranked.groupBy(group_col).agg(F.min_by("score", "rank").alias("score"), F.min("rank").alias("first"))
-    return best.select(F.col(group_col).alias("id"), "score", F.row_number().over(Window.orderBy("first")).alias("rank"))
+def places(scored: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, rank of the given ids among all of ``scored`` (id, score; by score, then id); ids without a score have none.
+
+    No ranking is sorted: the few ids' keys go to every task as one row, each row counts below which of them it falls,
+    and the counts, one a key at most, are added up. ``ids`` is small, as its keys are one array.
+    """
+    key = F.struct((-F.col("score")).alias("s"), "id")
+    found = scored.join(F.broadcast(ids.select("id")), "id", "left_semi").select(key.alias("k"))
+    marks = found.agg(F.sort_array(F.collect_list("k")).alias("marks"))  # one row
+    before = F.size(F.filter("marks", lambda m: m <= key))  # the keys from here on have this row before them
+    counts = scored.crossJoin(F.broadcast(marks)).groupBy(before.alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    keys = marks.select(F.posexplode("marks").alias("j", "k")).join(counts, "j", "left")
+    rank = F.sum(F.coalesce("n", F.lit(0))).over(Window.orderBy("j").rowsBetween(Window.unboundedPreceding, 0)) + 1
+    return keys.select(F.col("k.id").alias("id"), rank.alias("rank"))
+
+
+def fuse_whole(scores: list[DataFrame], k: int, constant: int = RRF_K) -> DataFrame:
+    """id, score, rank: reciprocal rank fusion of whole rankings (id, score; ids unique and not null), exact and without
+    sorting any of them as a whole.
+
+    Of m rankings, what stands in none of their first m * (constant + k) - constant places sums to less than
+    1 / (constant + k), and k ids have that much or more, unless no ranking is as long and these places are all there is. So the heads hold
+    the k best, and only the exact places of what stands in another's head are looked for (``places``).
+    """
+    depth = len(scores) * (constant + k) - constant
+    heads = [top(s.select("id", "score"), depth).select("id", "rank") for s in scores]
+    every = heads[0].select("id")
+    for h in heads[1:]:
+        every = every.unionByName(h.select("id"))
+    every = every.distinct()  # at most depth rows a ranking
+    ranks = [h.unionByName(places(s.select("id", "score"), every.join(F.broadcast(h), "id", "left_anti"))) for s, h in zip(scores, heads)]
+    return fuse(ranks, k, constant)
 
 
 def two_stage(groups: DataFrame, members: DataFrame, query: DataFrame, k_groups: int = 20, k: int = 10) -> DataFrame:

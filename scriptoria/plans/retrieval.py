@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
 from scriptoria.operators import retrieval as R
+from scriptoria.operators import search as S
+from scriptoria.plans.base import TITLE
 from scriptoria.plans.registry import query
 from scriptoria.session import table
 
@@ -47,15 +49,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bm25_best_chunk_per_doc", "W3 S8", f"""
 WITH {terms_sql("item_id = 1")},
-pool AS (SELECT doc_id * 100000 + i AS id, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) WHERE trim(line) <> ''),
+pool AS (SELECT {{'d': doc_id, 'i': i}} AS id, line AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents) WHERE trim(line) <> ''),
 {bm25_sql("pool", "terms", "scored")},
-best AS (SELECT id // 100000 AS id, max(score) AS score FROM scored GROUP BY ALL)
+best AS (SELECT id.d AS id, max(score) AS score FROM scored GROUP BY ALL)
 SELECT id, round(score, 4) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM best QUALIFY rank <= 20""")
 def bm25_best_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines are the chunks; documents rank by their best one."""
     chunks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text")).filter(F.trim("text") != "")
-    scored = R.bm25(chunks.withColumn("chunk_id", F.col("doc_id") * 100_000 + F.col("i")), terms(spark, sf_dir, 1), "chunk_id")
-    best = scored.groupBy(F.floor(F.col("id") / 100_000).alias("id")).agg(F.max("score").alias("score"))
+    scored = R.bm25(chunks.withColumn("chunk_id", F.struct("doc_id", "i")), terms(spark, sf_dir, 1), "chunk_id")
+    best = scored.groupBy(F.col("id.doc_id").alias("id")).agg(F.max("score").alias("score"))
     return R.top(best, 20).select("id", F.round("score", 4).alias("score"), "rank")
 
 
@@ -135,13 +137,13 @@ def chosen_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("search_context", "R8 P18", f"""
 WITH {terms_sql("item_id = 2")},
 lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS page, unnest(string_split(text, chr(10))) AS text FROM documents),
-pool AS (SELECT doc_id * 100000 + page AS id, text FROM lines WHERE trim(text) <> ''), {bm25_sql("pool", "terms", "scored")},
+pool AS (SELECT {{'d': doc_id, 'i': page}} AS id, text FROM lines WHERE trim(text) <> ''), {bm25_sql("pool", "terms", "scored")},
 hits AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 30),
-g AS (SELECT id // 100000 AS paper_id, min(rank) AS first, list_sort(list(DISTINCT id % 100000)) AS pages, arg_min(text, rank) AS text FROM hits JOIN pool USING (id) GROUP BY ALL)
+g AS (SELECT id.d AS paper_id, min(rank) AS first, list_sort(list(DISTINCT id.i)) AS pages, arg_min(text, rank) AS text FROM hits JOIN pool USING (id) GROUP BY ALL)
 SELECT row_number() OVER (ORDER BY first) AS number, paper_id, array_to_string(pages, ',') AS pages, substr(text, 1, 300) AS preview FROM g""")
 def search_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("page", "text")).filter(F.trim("text") != "")
-    chunks = chunks.withColumn("id", F.col("doc_id") * 100_000 + F.col("page"))
+    chunks = chunks.withColumn("id", F.struct("doc_id", "page"))
     hits = R.top(R.bm25(chunks, terms(spark, sf_dir, 2), "id"), 30)
     return R.context(chunks.join(F.broadcast(hits.select("id", "rank")), "id").select("rank", F.col("doc_id").alias("paper_id"), "page", "text"))
 
@@ -173,3 +175,75 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = F.concat_ws(", ", F.nullif("lang", F.lit("")), F.nullif("source", F.lit("")))
     header = F.concat(title, F.when(both != "", F.concat(F.lit(" ("), both, F.lit(")"))).otherwise(F.lit("")))
     return table(spark, sf_dir, "documents").select("doc_id", header.alias("header"), F.length(F.substring("text", 1, 1500)).alias("substitute_length"))
+
+
+LADDER = f"""
+WITH {terms_sql("item_id = 3")},
+lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS text FROM documents),
+chunks AS (SELECT {{'p': doc_id, 'c': i}} AS id, doc_id, i, text FROM lines WHERE trim(text) <> ''),
+q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 7),
+near AS (SELECT doc_id AS id, {cosine_sql("embedding", "q.v")} AS score FROM documents JOIN embeddings ON vec_id = doc_id, q),"""
+
+
+def fused_sql(semantic: str, lexical: str, name: str, k: int) -> str:
+    """CTEs ending in ``name`` (id, score, rank) from whole rankings (id, score)."""
+    return f"""
+{name}_r AS (SELECT id, 0 AS l, row_number() OVER (ORDER BY score DESC, id) AS r FROM {semantic} UNION ALL SELECT id, 1, row_number() OVER (ORDER BY score DESC, id) FROM {lexical}),
+{name}_s AS (SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 12) AS raw, min({{'l': l, 'r': r}}) AS seen FROM {name}_r GROUP BY id),
+{name} AS (SELECT id, round(raw, 6) AS score, row_number() OVER (ORDER BY raw DESC, seen) AS rank FROM {name}_s QUALIFY rank <= {k})"""
+
+
+def _best_sql(scored: str, k: int) -> str:
+    return f"SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM {scored} QUALIFY rank <= {k}"
+
+
+def _shelf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, str]:
+    """Papers, their lines as chunks, vectors of papers (not of all) and of chunks (two of three), the query's vector and text."""
+    d = table(spark, sf_dir, "documents")
+    papers = d.select(F.col("doc_id").alias("id"), T.title_of(F.col("text")).alias("title"), F.col("text").alias("abstract"))
+    chunks = d.select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("chunk_id", "text")).filter(F.trim("text") != "")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    n = F.broadcast(e.agg(F.count(F.lit(1)).alias("n")))  # one row
+    keyed = chunks.filter("chunk_id % 3 <> 2").crossJoin(n).select("paper_id", "chunk_id", ((F.col("paper_id") * 31 + F.col("chunk_id")) % F.col("n")).alias("id"))
+    q = table(spark, sf_dir, "benchmark").filter("item_id = 3").select("text").first()
+    return papers, chunks, e, keyed.join(e, "id").drop("id"), e.filter("id = 7").select("vector"), q["text"] if q else ""
+
+
+def _steps(answers: dict[str, DataFrame]) -> DataFrame:
+    every = None
+    for step, found in answers.items():
+        found = found.select(F.lit(step).alias("step"), "*")
+        every = found if every is None else every.unionByName(found)
+    return every
+
+
+@query("paper_search", "R4", f"""{LADDER}
+whole AS (SELECT doc_id AS id, {TITLE} || chr(10) || coalesce(text, '') AS text FROM documents WHERE coalesce(text, '') <> ''), {bm25_sql("whole", "terms", "plain")},
+{bm25_sql("chunks", "terms", "passages")}, best AS (SELECT id.p AS id, max(score) AS score FROM passages GROUP BY 1), {fused_sql("near", "best", "fused", 20)},
+lexical AS ({_best_sql("plain", 20)}), semantic AS ({_best_sql("near", 20)})
+SELECT 'whole' AS step, 'hybrid' AS mode, '' AS note, * FROM fused
+UNION ALL SELECT c.c, 'bm25', c.n, lexical.* FROM lexical, (VALUES ('no model', ''), ('no vectors', 'no_vectors'), ('not embedded', 'not_embedded')) AS c(c, n)
+UNION ALL SELECT 'no words', 'semantic', '', * FROM semantic""")
+def paper_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of the ladder over all documents; a query of marks alone has no words."""
+    papers, chunks, e, _, v, q = _shelf(spark, sf_dir)
+    ask = lambda text, vectors, query: S.search_papers(papers, chunks, text, vectors, query, 20)
+    return _steps({"whole": ask(q, e, v), "no model": ask(q, None, v), "no vectors": ask(q, e.filter("false"), v), "not embedded": ask(q, e, None), "no words": ask("?!", e, v), "blank": ask(" ", e, v)})
+
+
+@query("passage_search", "R5", f"""{LADDER}
+papers20 AS (SELECT id FROM near ORDER BY score DESC, id LIMIT 20),
+ranked AS (SELECT c.id, {cosine_sql("embedding", "q.v")} AS score FROM chunks c JOIN papers20 n ON n.id = doc_id JOIN embeddings ON vec_id = (doc_id * 31 + i) % (SELECT count(*) FROM embeddings), q WHERE i % 3 <> 2),
+pool AS (SELECT * FROM chunks WHERE doc_id IN (SELECT id.p FROM ranked)), {bm25_sql("pool", "terms", "within")}, {fused_sql("ranked", "within", "fused", 20)},
+{bm25_sql("chunks", "terms", "passages")}, lexical AS ({_best_sql("passages", 20)}), semantic AS ({_best_sql("ranked", 20)}),
+found AS (
+  SELECT 'whole' AS step, 'hybrid' AS mode, '' AS note, * FROM fused
+  UNION ALL SELECT c.c, 'bm25', c.n, lexical.* FROM lexical, (VALUES ('no model', ''), ('no index', 'no_index'), ('not embedded', 'not_embedded')) AS c(c, n)
+  UNION ALL SELECT 'no words', 'semantic', '', * FROM semantic)
+SELECT step, mode, note, id.p AS paper_id, id.c AS chunk_id, score, rank FROM found""")
+def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of the ladder over all lines of all documents."""
+    papers, chunks, e, ce, v, q = _shelf(spark, sf_dir)
+    ask = lambda text, vectors, parts, query: S.search_passages(papers, chunks, text, vectors, parts, query, 20)
+    found = _steps({"whole": ask(q, e, ce, v), "no model": ask(q, None, ce, v), "no index": ask(q, e, ce.filter("false"), v), "not embedded": ask(q, e, ce, None), "no words": ask("?!", e, ce, v), "blank": ask("", e, ce, v)})
+    return found.select("step", "mode", "note", "id.*", "score", "rank")
