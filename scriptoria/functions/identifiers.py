@@ -93,6 +93,11 @@ def key_suffix(n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda a: a["out"])
 
 
+def suffix_number(letters: Column) -> Column:
+    """The number that ``key_suffix`` writes so: '' -> 0, a -> 1, z -> 26, aa -> 27."""
+    return F.aggregate(F.filter(F.split(letters, ""), lambda c: c != ""), F.lit(0).cast("long"), lambda n, c: n * 26 + F.ascii(c) - 96)
+
+
 def partial_date(text: Column) -> Column:
     """An ISO date as precise as given; '' for anything else and for days that don't exist."""
     t = F.trim(F.coalesce(text, F.lit("")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import identifiers as I
 from scriptoria.functions import text as T
+from scriptoria.operators.running import running_sum
 
 
 def lookup(papers: DataFrame, q: str, key_col: str = "key", limit: int = 20, offset: int = 0) -> DataFrame:
@@ -26,17 +27,19 @@ def resolve(papers: DataFrame, ids: list[int]) -> DataFrame:
 def allocate_keys(papers: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """id, cite_key: base, then a, b, .. z, aa for the later ids of one base. ``taken``: cite_key of others, skipped.
 
-    Suffix numbers that are taken are counted per base, so all bases are served in parallel."""
-    p = papers.withColumn("base", I.key_base(F.col("authors"), F.col("year")))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("id")) - 1
-    if taken is None:
-        return p.select("id", F.concat("base", I.key_suffix(n)).alias("cite_key"))
-    wanted = p.select("id", "base", n.alias("n"))
-    most = taken.count()  # so many suffixes at most are skipped in one base
-    room = wanted.groupBy("base").agg(F.max("n").alias("top")).select("base", F.explode(F.sequence(F.lit(0), F.col("top") + F.lit(most))).alias("k"))
-    free = room.withColumn("cite_key", F.concat("base", I.key_suffix(F.col("k")))).join(taken.select("cite_key"), "cite_key", "left_anti")
-    free = free.withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("k")) - 1)
-    return wanted.join(free, ["base", "n"]).select("id", "cite_key")
+    A base ends in a digit or X, so a taken key tells its base and number. Before the j-th taken number t of a base (from 0)
+    lie t - j free ones, so a paper's n-th place moves on by the taken numbers with t - j <= n: one running count over
+    papers and taken keys together. Ids are unique; no base, however common, is one window.
+    """
+    p = running_sum(papers.select("id", I.key_base(F.col("authors"), F.col("year")).alias("base")), "n", F.lit(1), ["base"], "id").withColumn("n", F.col("n") - 1)
+    if taken is not None:
+        split = lambda group: F.regexp_extract("cite_key", r"(?s)^(.*?)([a-z]{0,13})$", group)
+        t = taken.filter("cite_key is not null").select(split(1).alias("base"), I.suffix_number(split(2)).alias("t")).distinct()
+        t = t.join(p.select("base").distinct(), "base", "left_semi")
+        t = running_sum(t, "j", F.lit(1), ["base"], "t").select(F.lit(None).cast(p.schema["id"].dataType).alias("id"), "base", (F.col("t") - F.col("j") + 1).alias("n"), F.lit(1).alias("held"))
+        both = t.unionByName(p.select("id", "base", "n", F.lit(0).alias("held"))).withColumn("free_first", 1 - F.col("held"))
+        p = running_sum(both, "moved", F.col("held"), ["base"], "n", "free_first").filter("held = 0").withColumn("n", F.col("n") + F.col("moved"))
+    return p.select("id", F.concat("base", I.key_suffix(F.col("n"))).alias("cite_key"))
 
 
 def summary(collections: DataFrame, items: DataFrame, papers: DataFrame, archived: str = "false") -> DataFrame:

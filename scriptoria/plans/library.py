@@ -6,7 +6,7 @@ import importlib
 
 from scriptoria.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("annotations", "catalogue", "changes", "citing", "documents", "duplicates", "entries", "graphs", "identifiers", "records", "retrieval", "shelves", "streams")
+MODULES = ("annotations", "catalogue", "changes", "citing", "documents", "duplicates", "entries", "graphs", "identifiers", "intake", "records", "retrieval", "shelves", "streams")
 
 
 def _load() -> None:
