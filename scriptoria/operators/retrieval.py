@@ -18,15 +18,17 @@ def query_terms(texts: DataFrame, text_col: str = "text") -> DataFrame:
 def bm25(pool: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """id, score (> 0, to ten decimals, so that the order of summing decides no tie) of the pool's texts; N, mean length and frequencies are those of the pool.
 
-    Only postings of query terms are made: the query is broadcast (a query text's words) and texts meet it
-    in the scan, so what is shuffled is (text, term) pairs of query terms.
+    The texts are split once: the query is broadcast (a query text's words) and texts meet it in the scan, so what is shuffled is (text,
+    term) pairs of query terms and one row a text, by which N and the mean length are counted. Frequencies and
+    scores both read that one shuffle; a filter on terms above it would make two of it, hence none.
     """
-    t = pool.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t")).withColumn("len", F.size("t"))
-    stats = t.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    p = t.select("id", "len", F.explode("t").alias("term")).join(F.broadcast(terms), "term")
+    t = pool.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("t"))
+    p = t.select("id", F.size("t").alias("len"), F.explode(F.array_append("t", F.lit(""))).alias("term")).join(F.broadcast(terms), "term", "left").filter("qtf is not null or term = ''")
     p = p.groupBy("id", "term", "len", "qtf").agg(F.count(F.lit(1)).alias("tf"))
-    df = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    p = p.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # stats is one row, df a row a query term
+    of_text = lambda v: F.sum(F.when(F.col("qtf").isNull(), v))
+    facts = p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), of_text(F.col("tf")).alias("texts"), of_text(F.col("len") * F.col("tf")).alias("words"))
+    facts = facts.agg(F.map_from_entries(F.collect_list(F.struct("term", "df"))).alias("dfs"), F.max("texts").alias("n"), (F.max("words") / F.max("texts")).alias("mean"))
+    p = p.crossJoin(F.broadcast(facts)).withColumn("df", F.try_element_at("dfs", F.col("term")))  # one row, a query's words
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return p.groupBy("id").agg(F.round(F.sum(part), 10).alias("score")).filter("score > 0")
