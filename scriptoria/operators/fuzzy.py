@@ -11,10 +11,12 @@ characters of the reference are dropped and I = n - K are put in. This gives fil
 * prefix: of the T, at least T - L stand among the reference's trigrams without its L most frequent ones, so
   only the postings of the rarer ones are read.
 
-Titles so short that T is not positive are compared with all titles of a fitting length. What is left is scored exactly.
+Titles so short that T is not positive are compared with all titles of a fitting length. What is left is scored exactly, many titles
+at once (``common``), those that have most characters in common first.
 
-The library is dealt by bands of length, and large bands by a hash, into parts of bounded size; references, a query
-set, come in blocks to the parts of their own band and its neighbours. A part gives one row a reference.
+Equal titles are one, the least id's, and equal references too. The library is dealt by bands of length, and large bands
+by a hash, into parts of bounded size; references, a query set, come in blocks to the parts of their own band and its
+neighbours. A part gives one row a reference.
 """
 
 from __future__ import annotations
@@ -26,9 +28,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.operators.common import Texts
+
 GRAM, LEAST, LEAST_LENGTH = 3, 85, 10
-#: Titles of a part of the library, and references of a block.
-PART, BLOCK = 20_000, 5_000
+#: Titles of a part of the library, references of a block, and the most tasks that their groups are dealt to.
+PART, BLOCK, TASKS = 20_000, 1_000, 2_000
+#: Candidates scored at once: few at first, as near copies end the search.
+CHUNKS = (64, 2048)
 
 
 def sorted_words(text: Column) -> Column:
@@ -61,7 +67,8 @@ class Titles:
     def __init__(self, texts: list[str], ids: list):
         order = sorted(range(len(texts)), key=lambda i: (len(texts[i]), ids[i]))
         self.texts, self.ids = [texts[i] for i in order], [ids[i] for i in order]
-        self.size = np.array([len(t) for t in self.texts], np.int64)
+        self.chars = Texts(self.texts)
+        self.size = self.chars.size
         grams = [trigrams(t) for t in self.texts]
         count = np.array([len(g) for g in grams], np.int64)
         code = np.concatenate(grams) if grams else np.empty(0, np.int64)
@@ -101,14 +108,24 @@ class Titles:
         return a + np.union1d(open_, np.flatnonzero((need > 0) & (count >= need - spare)))
 
     def best(self, ref: str, least: int = LEAST) -> tuple[float, object] | None:
-        """Score and id of the best title of ``least`` or more, the least id among equals."""
-        found = None
-        for j in self.candidates(ref, least):
-            total = len(ref) + int(self.size[j])
-            score = 200.0 * common_length(ref, self.texts[j]) / total
-            if score >= least and (found is None or (-score, self.ids[j]) < (-found[0], found[1])):
-                found = score, self.ids[j]
-        return found
+        """Score and id of the best title of ``least`` or more, the least id among equals: candidates are scored many at once, in order
+        of a bound that no score exceeds, until it is below the best score."""
+        at = self.candidates(ref, least)
+        bound = 200.0 * self.chars.shared(ref)[at] / (len(ref) + self.size[at])
+        at, bound = at[bound >= least], bound[bound >= least]
+        order = np.argsort(-bound, kind="stable")
+        found, done, chunk = None, 0, CHUNKS[0]
+        while done < len(order) and (found is None or bound[order[done]] >= -found[0]):
+            some = order[done : done + chunk]
+            if found is not None:
+                some = some[bound[some] >= -found[0]]
+            done, chunk, which = done + chunk, CHUNKS[1], at[some]
+            score = 200.0 * self.chars.common(ref, which) / (len(ref) + self.size[which])
+            high = score.max()
+            if high >= least:
+                here = -float(high), min(self.ids[j] for j in which[score == high])
+                found = here if found is None else min(found, here)
+        return (-found[0], found[1]) if found else None
 
 
 def best_titles(refs: DataFrame, library: DataFrame, least: int = LEAST) -> DataFrame:
@@ -119,27 +136,30 @@ def best_titles(refs: DataFrame, library: DataFrame, least: int = LEAST) -> Data
     """
     width = math.log((200 - least) / least) + 1e-6
     band = lambda c: F.floor(F.log(F.length(c).cast("double")) / F.lit(width)).cast("int")
-    r = refs.filter(F.length(F.trim("title")) >= LEAST_LENGTH).select("ref_id", sorted_words(F.col("title")).alias("r")).filter("r <> ''")
-    t = library.select(F.col("id").alias("matched_id"), sorted_words(F.col("title")).alias("t")).filter("t <> ''").withColumn("t_band", band("t"))
+    asked = refs.filter(F.length(F.trim("title")) >= LEAST_LENGTH).select("ref_id", sorted_words(F.col("title")).alias("r")).filter("r <> ''").distinct()
+    r = asked.select("r").distinct()
+    t = library.select("id", sorted_words(F.col("title")).alias("t")).filter("t <> ''").groupBy("t").agg(F.min("id").alias("matched_id")).withColumn("t_band", band("t"))
     # a few dozen bands: as many as the logarithm of the longest title
     parts = {x["t_band"]: math.ceil(x["count"] / PART) for x in t.groupBy("t_band").count().collect()}
     kind = {f.name: f.dataType.simpleString() for f in [*refs.schema, *library.schema]}
-    schema = f"ref_id {kind['ref_id']}, matched_id {kind['id']}, score double"
     if not parts:
-        return refs.sparkSession.createDataFrame([], schema)
+        return refs.sparkSession.createDataFrame([], f"ref_id {kind['ref_id']}, matched_id {kind['id']}, score double")
     blocks = max(1, math.ceil(r.count() / BLOCK))
     n_parts = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
     near = F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: band("r") + k), lambda b: F.coalesce(n_parts[b], F.lit(0)) > 0)
-    r = r.select("ref_id", "r", F.explode(near).alias("r_band"), F.pmod(F.xxhash64("ref_id"), F.lit(blocks)).alias("r_block"))
+    r = r.select("r", F.explode(near).alias("r_band"), F.pmod(F.xxhash64("r"), F.lit(blocks)).alias("r_block"))
     r = r.select("*", F.explode(F.sequence(F.lit(0), n_parts[F.col("r_band")] - 1)).alias("r_part"))
-    t = t.withColumn("t_part", F.pmod(F.xxhash64("matched_id"), n_parts[F.col("t_band")]).cast("int"))
+    t = t.withColumn("t_part", F.pmod(F.xxhash64("t"), n_parts[F.col("t_band")]).cast("int"))
     t = t.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("t_block"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         titles = Titles(right["t"].tolist(), right["matched_id"].tolist()) if len(left) and len(right) else None
-        rows = [(i, b[1], b[0]) for i, x in zip(left["ref_id"], left["r"], strict=True) if titles and (b := titles.best(x, least))] if len(left) else []
-        return pd.DataFrame(rows, columns=["ref_id", "matched_id", "score"])
-
-    found = r.groupBy("r_band", "r_part", "r_block").cogroup(t.groupBy("t_band", "t_part", "t_block")).applyInPandas(score, schema)
-    best = found.groupBy("ref_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "matched_id")).alias("b"))
-    return best.select("ref_id", F.col("b.matched_id").alias("matched_id"), (-F.col("b.s")).alias("score"))
+        rows = [(x, b[1], b[0]) for x in left["r"] if (b := titles.best(x, least))] if titles else []
+        return pd.DataFrame(rows, columns=["r", "matched_id", "score"])
+
+    n = min(blocks * sum(parts.values()), TASKS)
+    r, t = r.repartition(n, "r_band", "r_part", "r_block"), t.repartition(n, "t_band", "t_part", "t_block")  # else small groups share a task, and these take long
+    found = r.groupBy("r_band", "r_part", "r_block").cogroup(t.groupBy("t_band", "t_part", "t_block")).applyInPandas(score, f"r string, matched_id {kind['id']}, score double")
+    best = found.groupBy("r").agg(F.min(F.struct((-F.col("score")).alias("s"), "matched_id")).alias("b"))
+    of_ref = asked.join(best, "r").groupBy("ref_id").agg(F.min("b").alias("b"))
+    return of_ref.select("ref_id", F.col("b.matched_id").alias("matched_id"), (-F.col("b.s")).alias("score"))

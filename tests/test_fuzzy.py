@@ -99,3 +99,25 @@ def test_odd_titles(spark):
     assert sorted((r["ref_id"], r["matched_id"], r["score"]) for r in fuzzy.best_titles(refs, lib).collect()) == [(4, 4, 100.0), (5, 5, 100.0)]
     assert fuzzy.best_titles(refs, lib.limit(0)).collect() == []
     assert fuzzy.best_titles(refs.limit(0), lib).collect() == []
+
+
+def test_many_texts_at_once_and_few_scored_singly(monkeypatch):
+    """Numbers of 63 bits carry over; equal to a text at a time; equal titles are scored once and no title a text at a time."""
+    import numpy as np
+
+    from scriptoria.operators.common import Texts
+
+    rng = random.Random(3)
+    made = lambda n: "".join(rng.choice("abc dé𝔘") for _ in range(n))
+    texts = [made(rng.randint(0, 150)) for _ in range(200)]
+    chars = Texts(texts)
+    for n in (0, 1, 62, 63, 64, 126, 127, 190):
+        a = made(n)
+        want = [fuzzy.common_length(a, t) for t in texts]
+        assert list(chars.common(a, np.arange(200))) == want and (chars.shared(a) >= want).all()
+    base = [made(60) for _ in range(40)]
+    titles = fuzzy.Titles([b[1:] + rng.choice("abc") for b in base for _ in range(3)], list(range(120)))
+    want = [best_of_all(b, list(zip(titles.ids, titles.texts))) for b in base]
+    monkeypatch.setattr(fuzzy, "CHUNKS", (1, 2))
+    monkeypatch.setattr(fuzzy, "common_length", None)
+    assert [(-f[0], f[1]) for b in base if (f := titles.best(b))] == [w for w in want if w]
