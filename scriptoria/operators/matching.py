@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import identifiers as I
 from scriptoria.functions import text as T
-from scriptoria.operators.fuzzy import best_titles, common_length
+from scriptoria.operators.common import FULL, LIMB, Texts, lengths
+from scriptoria.operators.fuzzy import TASKS, best_titles, common_length
 from scriptoria.session import checkpoint_folder
 
 def ratio(a: str, b: str) -> float:
@@ -54,64 +56,121 @@ def analyse(items: DataFrame, library: DataFrame) -> DataFrame:
     return match(items, library).join(files, "matched_id", "left").select("ref_id", "matched_id", "strategy", F.coalesce("has_file", F.lit(False)).alias("has_file"))
 
 
-#: Rows of a block of items, and of a part of the library, that one group scores.
-BLOCK, PART = 500, 5000
-BINS = 64
-
-
-def _bags(texts: list[str]) -> np.ndarray:
-    """How often each character stands in each text, characters dealt to bins: sums of minima never fall short of
-    the longest common subsequence."""
-    out = np.zeros((len(texts), BINS), dtype=np.int32)
-    for row, t in zip(out, texts, strict=True):
-        if t:
-            row += np.bincount(np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) % BINS, minlength=BINS).astype(np.int32)
-    return out
-
-
-def best_of_part(item: str, texts: list[str], sets: list[set[str]], bags: np.ndarray, sizes: np.ndarray, ids: list, k: int) -> list[tuple[float, object]]:
-    """The ``k`` best (-score, id) by token-set ratio, equal scores by id; texts are scored in order of a bound that
-    no score exceeds, until the bound is below the k-th best."""
-    words = set(item.split())
-    whole = " ".join(sorted(words))
-    bound = 200.0 * np.minimum(bags, _bags([whole])[0]).sum(axis=1) / np.maximum(sizes + len(whole), 1)
-    for j, other in enumerate(sets):
-        both = words & other
-        if both:  # the common words are the start of both sides, so their ratio to either is known
-            common = sum(map(len, both)) + len(both) - 1
-            bound[j] = max(bound[j], 200.0 * common / (common + min(len(whole), int(sizes[j]))))
-    found: list[tuple[float, object]] = []
-    for j in np.argsort(-bound, kind="stable"):
-        if len(found) == k and bound[j] < -found[-1][0] - 1e-9:
-            break
-        found = sorted([*found, (-token_set_ratio(item, texts[j]), ids[j])])[:k]
-    return found
+#: Texts of a block of items, and rows of a part of the library, that one group scores.
+BLOCK, PART = 500, 20_000
+#: Titles scored at once: few at first, as near copies end the search.
+CHUNKS = (256, 8192)
+
+
+class Shelf:
+    """Folded titles, each with its ids, for searches by token-set ratio of one item against all of them at once."""
+
+    def __init__(self, rows: Iterable[tuple[str, object]]):
+        ids: dict[str, list] = {}
+        for t, i in rows:
+            ids.setdefault(t, []).append(i)
+        self.ids = [sorted(v) for v in ids.values()]
+        self.least = sorted(i for v in self.ids for i in v)
+        words = [sorted(set(t.split())) for t in ids]
+        self.texts = Texts([" ".join(w) for w in words])
+        flat = [x for w in words for x in w]
+        number = {w: n for n, w in enumerate(dict.fromkeys(flat))}
+        of = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
+        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        last = np.cumsum([len(w) for w in words], dtype=np.int64) - 1
+        taken = np.fromiter(map(len, flat), np.int64, len(flat)) + 1  # a word has the space behind it
+        taken[last[[len(w) > 0 for w in words]]] -= 1
+        self.word = np.repeat(of, taken)  # of each character of all texts
+        by_word = np.argsort(of, kind="stable")
+        cut = np.searchsorted(of[by_word], np.arange(len(number) + 1))
+        self.where = {w: (n, owner[by_word[cut[n] : cut[n + 1]]]) for w, n in number.items()}
+
+    def best(self, item: str, k: int) -> list[tuple[float, object]]:
+        """The ``k`` best (-score, id), equal scores by id; titles are scored in order of a bound that no score exceeds, until it
+        is below the k-th best."""
+        words = sorted(set(item.split()))
+        if not words:  # nothing scores
+            return [(-0.0, i) for i in self.least[:k]]
+        whole, size = " ".join(words), self.texts.size
+        both, has, common = np.zeros(len(size), np.int64), np.zeros((len(words), len(size)), bool), np.zeros(len(self.where) + 1, bool)
+        for i, w in enumerate(words):
+            if w in self.where:
+                n, at = self.where[w]
+                both[at] += len(w) + 1
+                has[i, at] = common[n] = True
+        shared = both > 0
+        both -= shared
+        # the common words are the start of both sides, so their ratio to either is known
+        known = np.where(shared, 100.0 * 2 * both / np.maximum(both + np.minimum(size, len(whole)), 1), 0.0)
+        known[shared & ((both == len(whole)) | (both == size))] = 100.0
+        bound = np.where(size > 0, np.maximum(known, 100.0 * 2 * self.texts.shared(whole) / (size + len(whole))), 0.0)
+        order, found, done, chunk = np.argsort(-bound, kind="stable"), [], 0, CHUNKS[0]
+        while done < len(order) and (len(found) < k or bound[order[done]] >= -found[-1][0] - 1e-9):
+            some = order[done : done + chunk]
+            if len(found) == k:
+                some = some[bound[some] >= -found[-1][0] - 1e-9]
+            done, chunk, score = done + chunk, CHUNKS[1], known[some]
+            open_ = np.flatnonzero((score < 100) & (size[some] > 0))
+            rest = self._rest(words, whole, has, common, some[open_])
+            score[open_] = np.maximum(score[open_], 100.0 * 2 * (both[some[open_]] + shared[some[open_]] + rest) / (size[some[open_]] + len(whole)))
+            least = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else -1.0
+            found = sorted([*found, *((-float(s), i) for s, j in zip(score, some, strict=True) if s >= least for i in self.ids[j])])[:k]
+        return found
+
+    def _rest(self, words: list[str], whole: str, has: np.ndarray, common: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The longest common subsequence of the item's own words and the own words of each of the titles ``which``."""
+        texts, out, table = self.texts, np.zeros(len(which), np.int64), self.texts.places(whole)
+        begin = np.cumsum([0, *[len(w) + 1 for w in words]])
+        space, no_letter = np.searchsorted(texts.letters, ord(" ")), len(texts.letters)
+
+        def parts(bits: int) -> list[tuple[int, np.uint64]]:
+            return [(n, np.uint64(x)) for n in range(len(table)) if (x := bits >> LIMB * n & int(FULL))]
+
+        spans = [(parts((1 << len(w)) - 1 << int(b)), parts(1 << int(b) + len(w))) for w, b in zip(words, begin, strict=False)]
+        for piece in texts.pieces(which):
+            grid = texts.grid(which[piece], lambda source: common[self.word[source]])
+            kept = grid[:, ::-1] != no_letter
+            last = grid.shape[1] - 1 - kept.argmax(axis=1)  # of the own words the last ends without a space
+            row = np.flatnonzero(kept.any(axis=1) & (grid[np.arange(len(grid)), last] == space))
+            grid[row, last[row]] = no_letter
+            keep, later = np.full((len(table), len(piece)), FULL), np.zeros(len(piece), bool)
+            for i in range(len(words) - 1, -1, -1):
+                own = ~has[i, which[piece]]
+                for stays, span in ((own, spans[i][0]), (own & later, spans[i][1])):
+                    for n, bits in span:
+                        keep[n, ~stays] &= ~bits
+                later |= own
+            out[piece] = lengths(table, np.ascontiguousarray(grid.T), keep)
+        return out
 
 
 def ranked(items: DataFrame, library: DataFrame, k: int = 3, suggest: float = 70.0) -> DataFrame:
     """item_id, id, score, rank, suggested: the best ``k`` papers of the whole library by token-set ratio. items: item_id, name.
 
-    Items, a query set, meet the library block by block: each part of the library is scored against each block of
-    items and gives on the ``k`` best of an item only. Empty tables give no rows, a null name or title is empty.
+    Equal names are one text, and of equal titles only the ``k`` least ids can count. The texts, a query set, meet the titles block by
+    block: each part of the library is scored against each block of texts and gives on the ``k`` best of a text only. Empty tables
+    give no rows, a null name or title is empty.
     """
-    blocks, parts = (max(1, math.ceil(d.count() / n)) for d, n in ((items, BLOCK), (library, PART)))
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    a = items.select("item_id", T.fold_title(F.col("name")).alias("r"), dealt("item_id", blocks).alias("block"), every(parts).alias("part"))
-    b = library.select("id", T.fold_title(F.col("title")).alias("t"), dealt("id", parts).alias("part"), every(blocks).alias("block"))
+    named = items.select("item_id", T.fold_title(F.col("name")).alias("r"))
+    a, of_title = named.select("r").distinct(), Window.partitionBy("t").orderBy("id")
+    b = library.select("id", T.fold_title(F.col("title")).alias("t")).withColumn("n", F.row_number().over(of_title)).filter(F.col("n") <= k).select("id", "t")
+    blocks, parts = (max(1, math.ceil(d.count() / n)) for d, n in ((a, BLOCK), (b, PART)))
+    a = a.select("r", dealt("r", blocks).alias("block"), every(parts).alias("part"))
+    b = b.select("id", "t", dealt("t", parts).alias("part"), every(blocks).alias("block"))
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        texts, ids = right["t"].tolist(), right["id"].tolist()
-        sets = [set(t.split()) for t in texts]
-        joined = [" ".join(sorted(s)) for s in sets]
-        bags, sizes = _bags(joined), np.array([len(t) for t in joined], dtype=np.int64)
-        rows = [(i, j, -s) for i, r in zip(left["item_id"], left["r"], strict=True) for s, j in best_of_part(r, texts, sets, bags, sizes, ids, k)]
-        return pd.DataFrame(rows, columns=["item_id", "id", "score"])
+        shelf = Shelf(zip(right["t"], right["id"], strict=True)) if len(left) and len(right) else None
+        rows = [(r, j, -s) for r in left["r"] for s, j in shelf.best(r, k)] if shelf else []
+        return pd.DataFrame(rows, columns=["r", "id", "score"])
 
     kind = {f.name: f.dataType.simpleString() for f in [*items.schema, *library.schema]}
-    s = a.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInPandas(score, f"item_id {kind['item_id']}, id {kind['id']}, score double")
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "id"))
-    return s.withColumn("rank", place).filter(F.col("rank") <= k).select("item_id", "id", F.round("score", 2).alias("score"), "rank", ((F.col("rank") == 1) & (F.col("score") >= suggest)).alias("suggested"))
+    a, b = (d.repartition(min(blocks * parts, TASKS), "block", "part") for d in (a, b))  # else small groups share a task, and these take long
+    s = a.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInPandas(score, f"r string, id {kind['id']}, score double")
+    place = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id"))
+    best = s.withColumn("rank", place("r")).filter(F.col("rank") <= k)
+    return named.join(best, "r").select("item_id", "id", F.round("score", 2).alias("score"), "rank", ((F.col("rank") == 1) & (F.col("score") >= suggest)).alias("suggested"))
 
 
 def greedy(scored: DataFrame) -> DataFrame:

@@ -121,3 +121,17 @@ def test_many_texts_at_once_and_few_scored_singly(monkeypatch):
     monkeypatch.setattr(fuzzy, "CHUNKS", (1, 2))
     monkeypatch.setattr(fuzzy, "common_length", None)
     assert [(-f[0], f[1]) for b in base if (f := titles.best(b))] == [w for w in want if w]
+
+
+def test_shelf_equals_all_pairs(monkeypatch):
+    """The best by token-set ratio, own words at the end of either side or of none, empty texts too; no title is scored singly."""
+    rng = random.Random(4)
+    shelf_words = ["".join(rng.choice("abdé𝔘") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+    made = lambda: " ".join(rng.choice(shelf_words) for _ in range(rng.choice([0, 1, 2, 5, 20, 60])))
+    rows = [(made(), i) for i in range(200)] + [("", 7000), ("a b", 1), ("a b", 0)]
+    items = ["", "a b", *[made() for _ in range(30)], *[t + " zz" for t, _ in rows[:30]]]
+    want = [sorted((-M.token_set_ratio(x, t), i) for t, i in rows)[:3] for x in items]
+    monkeypatch.setattr(M, "CHUNKS", (7, 50))
+    monkeypatch.setattr(M, "token_set_ratio", None)
+    shelf = M.Shelf(rows)
+    assert [shelf.best(x, 3) for x in items] == want
