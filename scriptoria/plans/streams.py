@@ -34,8 +34,7 @@ WITH first AS (SELECT min(doc_id) AS id, any_value(coalesce(text, '')) AS text F
 SELECT id, sha256(text) AS file_hash, length(text) AS n, 4 AS steps FROM first""")
 def stream_intake(spark, sf_dir):
     """All documents as a stream of files: one paper a text, its chunks, and what is derived from either."""
-    schema = table(spark, sf_dir, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir).select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    stream = feeds.table_stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     root = folder(spark, "intake")
     intake.run(stream, root, f"{root}-checkpoint", STEPS)
     papers = spark.read.parquet(f"{root}/papers").select("id", "file_hash")

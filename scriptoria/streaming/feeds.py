@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def events_stream(spark: SparkSession, folder: str, pattern: str = "events.parquet") -> DataFrame:
-    schema = spark.read.parquet(f"{folder}/{pattern}").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark takes no other kind of time
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The table ``<folder>/<name>.parquet`` as a stream, be it one file or a folder of part files."""
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")  # as a pattern: a plain path must be a folder
+
+
+def events_stream(spark: SparkSession, folder: str, name: str = "events") -> DataFrame:
+    return table_stream(spark, folder, name).withColumn("ts", F.col("ts").cast("timestamp"))  # a watermark takes no other kind of time
 
 
 def window_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:

@@ -143,3 +143,17 @@ def test_batches_are_filled_across_pieces(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
     assert [r["answer"][0] for r in sorted(got, key=lambda r: r["id"])] == [50.0] * 100 + [23.0] * 23
     assert all(r["answer"][1] == (0.0 if r["id"] % 10 == 0 else 1.0) and r["error"] is None and r["calls"] == 1 for r in got)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stream_intake_of_a_folder_of_part_files(spark, sf_dir, tmp_path, parts):
+    """A table of Spark's own writing is a folder; stream_intake found no file in it."""
+    from scriptoria.plans import library
+    from scriptoria.streaming import feeds
+
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20)
+    rows.repartition(parts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows.write.parquet(str(tmp_path / "documents.parquet2"))  # another table
+    found = library.queries()["stream_intake"](spark, str(tmp_path))
+    assert found.count() == rows.select(F.coalesce("text", F.lit(""))).distinct().count()
+    assert feeds.table_stream(spark, sf_dir, "documents").isStreaming
