@@ -57,7 +57,7 @@ def bare_letters(text: Column) -> Column:
 def fold_title(title: Column) -> Column:
     """Lower case, letters without marks, no punctuation, one space between words."""
     t = F.regexp_replace(F.lower(strip(bare_letters(F.coalesce(title, F.lit(""))))), r"[^\p{L}\p{N}_\s]", "")
-    return F.regexp_replace(t, r"\s+", " ")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))  # what ends in punctuation behind a blank
 
 
 def word_set(text: Column) -> Column:

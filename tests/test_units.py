@@ -145,6 +145,13 @@ def test_titles_fold_marks_and_ligatures(spark):
     assert got[0] == got[1] == "cafe noir"
 
 
+def test_titles_that_end_in_lone_punctuation_are_one_group(spark):
+    from scriptoria.operators.dedup import doi_and_title_groups
+
+    p = spark.createDataFrame([(1, "", "A study of rivers ."), (2, "", "a study of rivers"), (3, "", ". A study of rivers")], "id long, doi string, title string")
+    assert [(r["key"], r["ids"]) for r in doi_and_title_groups(p).collect()] == [("a study of rivers", [1, 2, 3])]
+
+
 def test_chunks_end_behind_the_last_separator():
     from scriptoria.operators.chunks import cut
 
