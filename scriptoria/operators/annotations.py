@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from scriptoria.operators.components import components
 from scriptoria.session import checkpoint_folder
@@ -15,17 +17,73 @@ SAME_LINE = 3.0
 CELL_WIDTH, CELL_HEIGHT = 100.0, 24.0
 #: Marks that a task joins together.
 PACK = 2000
+#: Marks of a document that is walked through in one piece.
+LARGEST = 100_000
 
 
-def homes(marks: DataFrame) -> DataFrame:
+def homes(marks: DataFrame, largest: int = LARGEST) -> DataFrame:
     """doc, xref, home: the mark that starts the thread a mark belongs to. marks: doc, xref, irt (what it answers), grouped.
 
-    Pointer jumping: in every round each mark learns the answer of the one it points to, so a thread of n replies takes
-    log2(n) rounds. A mark without a parent that is there, and a grouped one, is its own home; so is every mark of a loop,
-    and answers to it hang on it. Loops are found as what unsettled marks point to after as many steps as there
-    are of them, cut, and the rest is jumped anew. (doc, xref) is taken to be unique; a null xref answers for itself only.
+    A mark without a parent that is there, and a grouped one, is its own home; so is every mark of a loop, and answers to
+    it hang on it. (doc, xref) is taken to be unique; a null xref answers for itself only.
+    """
+    return _resolved(marks, [], largest).select("doc", "xref", "home")
+
+
+def _resolved(marks: DataFrame, of: list[str], largest: int = LARGEST) -> DataFrame:
+    """The marks with home, and of a grouped one the columns ``of`` of what it answers as p_...
+
+    A document of at most ``largest`` marks is walked through in one piece, so its marks move once; of larger ones
+    the marks jump by joins.
     """
     checkpoint_folder(marks.sparkSession)
+    large = marks.groupBy("doc").count().filter(F.col("count") > largest).select(F.col("doc").alias("whole")).checkpoint()
+    kind = StructType([*marks.schema.fields, StructField("home", marks.schema["xref"].dataType), *[StructField(f"p_{c}", marks.schema[c].dataType) for c in of]])
+    if large.isEmpty():
+        return marks.groupBy("doc").applyInArrow(lambda t: _walked(t, of), kind)
+    small = marks.join(large, F.col("doc").eqNullSafe(F.col("whole")), "left_anti").groupBy("doc").applyInArrow(lambda t: _walked(t, of), kind)
+    rest = marks.join(large, F.col("doc").eqNullSafe(F.col("whole")), "left_semi")
+    answered = rest.select(F.col("doc").alias("d"), F.col("xref").alias("x"), *[F.col(c).alias(f"p_{c}") for c in of])
+    filled = rest.join(answered, (F.col("doc") == F.col("d")) & (F.col("irt") == F.col("x")) & F.coalesce("grouped", F.lit(False)), "left").drop("d", "x")
+    far = _far_homes(rest).select(F.col("doc").alias("d"), F.col("xref").alias("x"), "home")
+    return small.unionByName(filled.join(far, F.col("doc").eqNullSafe(F.col("d")) & F.col("xref").eqNullSafe(F.col("x"))).select(small.columns))
+
+
+def _walked(t: pa.Table, of: list[str]) -> pa.Table:
+    """One document's marks; each is passed once."""
+    xref, irt, grouped = (t[c].to_pylist() for c in ("xref", "irt", "grouped"))
+    there = t["doc"][0].as_py() is not None
+    at = {x: i for i, x in enumerate(xref) if x is not None and there}
+    answers = [at.get(u) for u in irt]
+    to = [None if g or x is None else u for g, x, u in zip(grouped, xref, answers, strict=True)]
+    home: list[int | None] = [None] * len(xref)
+    for start in range(len(xref)):
+        path, cur = [], start
+        while home[cur] is None and to[cur] is not None and to[cur] != cur:
+            home[cur] = -1
+            path.append(cur)
+            cur = to[cur]
+        if home[cur] is None:
+            home[cur] = cur
+        elif home[cur] == -1:  # a loop: its marks stand for themselves
+            for i in path[path.index(cur) :]:
+                home[i] = i
+        for i in path:
+            home[i] = home[cur] if home[i] == -1 else home[i]
+    # a mark without a name of its own has what it answers for a home, as far as that is there
+    names = [xref[h] if x is not None or g or u is None else xref[u] for h, x, g, u in zip(home, xref, grouped, answers, strict=True)]
+    primary = pa.array([u if g else None for g, u in zip(grouped, answers, strict=True)], pa.int64())
+    t = t.append_column("home", pa.array(names, t["xref"].type))
+    for c in of:
+        t = t.append_column(f"p_{c}", t[c].take(primary))
+    return t
+
+
+def _far_homes(marks: DataFrame) -> DataFrame:
+    """``homes`` by pointer jumping: in every round each mark learns the answer of the one it points to, so a thread of n
+    replies takes log2(n) rounds. Loops are found as what unsettled marks point to after as many steps as there are
+    of them, cut, and the rest is jumped anew.
+    """
     own = marks.select("doc", "xref", F.when(~F.coalesce("grouped", F.lit(False)), F.col("irt")).alias("irt"))
     there = marks.select(F.col("doc").alias("d"), F.col("xref").alias("x")).distinct()
     first = own.join(there, (F.col("doc") == F.col("d")) & (F.col("irt") == F.col("x")), "left").select("doc", "xref", F.coalesce("x", "xref").alias("up"))
@@ -62,13 +120,13 @@ def threads(marks: DataFrame) -> DataFrame:
     lacks from its primary; a reply without text is none.
     """
     blank = lambda c: F.nullif(F.coalesce(c, F.lit("")), F.lit(""))
-    primary = marks.select(F.col("doc").alias("d"), F.col("xref").alias("x"), blank(F.col("author")).alias("p_author"), blank(F.col("created")).alias("p_created"))
-    full = marks.join(primary, (F.col("doc") == F.col("d")) & (F.col("irt") == F.col("x")) & F.coalesce("grouped", F.lit(False)), "left")
-    full = full.select("doc", "xref", "seq", F.coalesce(blank(F.col("author")), "p_author").alias("author"), F.coalesce(blank(F.col("created")), "p_created").alias("created"), blank(F.col("comment")).alias("comment"))
-    found = full.join(homes(marks), ["doc", "xref"])
-    reply = F.struct("seq", "author", "created", F.col("comment").alias("text"))
-    replies = found.filter("xref <> home and comment is not null").groupBy("doc", F.col("home").alias("xref")).agg(F.array_sort(F.collect_list(reply)).alias("r"))
-    entries = found.filter("xref = home").drop("home").join(replies, ["doc", "xref"], "left")
+    own = _resolved(marks, ["author", "created"])
+    full = own.select("doc", "xref", "home", "seq", F.coalesce(blank(F.col("author")), blank(F.col("p_author"))).alias("author"), F.coalesce(blank(F.col("created")), blank(F.col("p_created"))).alias("created"), blank(F.col("comment")).alias("comment"))
+    first, reply = F.struct("seq", "author", "created", "comment"), F.struct("seq", "author", "created", F.col("comment").alias("text"))
+    # a thread is one group: its first mark and the answers with a text
+    used = full.filter("xref = home or comment is not null").filter("home is not null and xref is not null")
+    g = used.groupBy("doc", "home").agg(F.max(F.when(F.col("xref") == F.col("home"), first)).alias("e"), F.array_sort(F.collect_list(F.when(F.col("xref") != F.col("home"), reply))).alias("r"))
+    entries = g.filter("e is not null").select("doc", F.col("home").alias("xref"), "e.*", "r")
     kept = F.transform("r", lambda x: F.struct(x["author"].alias("author"), x["created"].alias("created"), x["text"].alias("text")))
     return entries.withColumn("replies", F.coalesce(kept, F.array().cast(f"array<struct<author:{_kind(marks, 'author')},created:{_kind(marks, 'created')},text:string>>"))).drop("r")
 

@@ -136,3 +136,24 @@ def test_reading_order_of_a_staircase(spark):
     got = A.reading_order(spark.createDataFrame(rows, "doc long, page long, id long, x0 double, y0 double")).collect()
     assert sorted((r["id"], r["line"], r["place"]) for r in got if r["page"] == 1) == plain_order([r[2:] for r in rows[:50]])
     assert sorted((r["id"], r["line"], r["place"]) for r in got if r["page"] == 2) == [(0, 1, 1), (1, 1, 2)]
+
+
+def test_homes_of_documents_in_one_piece_and_by_jumps(spark):
+    """A bound below a document's marks sends it through the joins; either way gives the same."""
+    rng = random.Random(5)
+    rows = [(d, x, rng.randrange(90) if rng.random() < 0.9 else None, rng.random() < 0.1) for d in range(6) for x in range(20 * d + 1)]
+    rows += [(None, 1, 2, False), (None, 2, None, False), (3, None, 5, False), (5, None, 999, False)]
+    marks = spark.createDataFrame(rows, "doc long, xref long, irt long, grouped boolean")
+    whole, jumped, mixed = (sorted(map(tuple, A.homes(marks, n).collect()), key=str) for n in (1000, 0, 50))
+    assert whole == jumped == mixed and len(whole) == len(rows)
+
+
+def test_threads_move_each_mark_a_few_times_only(spark):
+    """The plan deals the marks once by document and once by thread; it joins no marks to marks."""
+    rows = [(1, 1, None, False, 0, "a", "", ""), (1, 2, 1, True, 1, "", "t", "x"), (1, 3, 2, False, 2, "b", "u", "y"), (1, 4, 9, None, 3, None, None, None)]
+    marks = spark.createDataFrame(rows, "doc long, xref long, irt long, grouped boolean, seq long, author string, created string, comment string")
+    t = A.threads(marks)
+    plan = t._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+    got = {r["xref"]: (r["author"], r["created"], r["comment"], [tuple(x) for x in r["replies"]]) for r in t.collect()}
+    assert got == {1: ("a", None, None, []), 2: ("a", "t", "x", [("b", "u", "y")]), 4: (None, None, None, [])}
