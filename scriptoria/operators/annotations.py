@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -19,6 +19,8 @@ CELL_WIDTH, CELL_HEIGHT = 100.0, 24.0
 PACK = 2000
 #: Marks of a document that is walked through in one piece.
 LARGEST = 100_000
+#: Marks of one kind that are compared with each other.
+TOGETHER = 1000
 
 
 def homes(marks: DataFrame, largest: int = LARGEST) -> DataFrame:
@@ -178,26 +180,75 @@ def _overlap(a: list, b: list) -> bool:
     return False
 
 
-def double_marks(marks: DataFrame, boxes: DataFrame) -> DataFrame:
+def double_marks(marks: DataFrame, boxes: DataFrame, most: int = TOGETHER) -> DataFrame:
     """id, home: of marks over the same words the first in order (``seq``) is the home of the others.
 
     marks: id, seq, comment, like (struct of document, page, kind, colour, author: all must agree); boxes: id, x0, y0,
-    x1, y1. Marks whose comments differ stay apart, so who joins whom depends on the order; that is settled
-    mark by mark within each connected group of overlapping boxes, which nothing outside it can change.
+    x1, y1.
     """
-    group = components(overlapping(marks, boxes))
-    own = boxes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("x0", "y0", "x1", "y1"))).alias("boxes"))
-    rows = marks.join(group, "id").join(own, "id").select("id", "seq", "comment", "root", "boxes")
-    packs = max(1, rows.count() // PACK)
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        for _, g in pdf.sort_values(["root", "seq", "id"]).groupby("root", sort=False):
-            out += joined([{"id": i, "comment": c or "", "boxes": [dict(zip(("x0", "y0", "x1", "y1"), (q["x0"], q["y0"], q["x1"], q["y1"]), strict=True)) for q in b]} for i, c, b in zip(g["id"], g["comment"], g["boxes"], strict=True)])
-        return pd.DataFrame(out, columns=["id", "home"])
-
-    found = rows.withColumn("pack", F.pmod(F.xxhash64("root"), F.lit(packs))).groupBy("pack").applyInPandas(settle, "id long, home long")
-    return marks.select("id").join(found, "id", "left").select("id", F.coalesce("home", "id").alias("home"))
+    own = boxes.groupBy("id").agg(F.collect_list(F.struct("x0", "y0", "x1", "y1")).alias("boxes"))
+    return double_marks_of(marks.join(own, "id", "left"), most)
+
+
+def double_marks_of(marks: DataFrame, most: int = TOGETHER) -> DataFrame:
+    """As ``double_marks``, of marks with an array ``boxes``.
+
+    Marks whose comments differ stay apart, so who joins whom depends on the order; that is settled mark by mark among marks
+    of one kind, of which many kinds share a task. Where more than ``most`` marks may be of one kind it is settled within
+    each connected group of overlapping boxes, which nothing outside it can change.
+    """
+    rows = marks.select("id", "seq", "comment", "like", "boxes", F.xxhash64(F.to_json("like")).alias("of"))
+    sizes = rows.groupBy("of").count().agg(F.sum("count").alias("n"), F.max("count").alias("most")).first()
+    packs = max(1, (sizes["n"] or 0) // PACK)
+    if (sizes["most"] or 0) <= most:
+        return _settled(rows, F.col("like"), packs)
+    checkpoint_folder(marks.sparkSession)
+    large = rows.groupBy("of").count().filter(F.col("count") > most).select("of").checkpoint()
+    small, rest = rows.join(large, "of", "left_anti"), rows.join(large, "of", "left_semi")
+    group = components(overlapping(rest.select("id", "like"), rest.select("id", F.explode("boxes").alias("b")).select("id", "b.*")))
+    connected = rest.join(group, "id").withColumn("of", F.xxhash64("root"))
+    alone = rest.join(group, "id", "left_anti").select("id", F.col("id").alias("home"))
+    return _settled(small, F.col("like"), packs).unionByName(_settled(connected, F.struct("root"), packs)).unionByName(alone)
+
+
+def _settled(rows: DataFrame, kind: Column, packs: int) -> DataFrame:
+    """id, home: marks of one ``kind`` (a struct; a null one is of its own kind) joined in order, packs of kinds by the hash ``of``."""
+    id_kind = rows.schema["id"].dataType
+
+    def settle(t: pa.Table) -> pa.Table:
+        met = _met(t)
+        home = t["id"].to_numpy().copy() if not t["id"].null_count else np.array(t["id"].to_pylist(), object)
+        kinds: dict[str, list[dict]] = {}
+        for r in t.append_column("at", pa.array(np.arange(len(t)))).filter(pa.array(met)).to_pylist():
+            if r["kind"] is not None:
+                kinds.setdefault(str(r["kind"]), []).append({"seq": r["seq"], "of": r["id"], "id": r["at"], "comment": r["comment"] or "", "boxes": r["boxes"]})
+        for own in kinds.values():
+            for i, h in joined(sorted(own, key=lambda r: (r["seq"], r["of"]))):
+                home[i] = t["id"][h].as_py()
+        return pa.table({"id": t["id"], "home": pa.array(home, t["id"].type)})
+
+    packed = rows.select("id", "seq", "comment", "boxes", "of", kind.alias("kind"), F.pmod("of", F.lit(packs)).alias("pack"))
+    return packed.groupBy("pack").applyInArrow(settle, StructType([StructField("id", id_kind), StructField("home", id_kind)]))
+
+
+def _met(t: pa.Table) -> np.ndarray:
+    """Which marks (of, boxes) overlap another one with the same ``of``: boxes in order of their left ends, each with the next, the one after that and so on, as far as any reach."""
+    lists = t["boxes"].combine_chunks()
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    x0, y0, x1, y1 = (lists.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("x0", "y0", "x1", "y1"))
+    owner, of = np.repeat(np.arange(len(t)), sizes), np.repeat(t["of"].to_numpy(), sizes)
+    order = np.lexsort((x0, of))
+    x0, y0, x1, y1, owner, of = (v[order] for v in (x0, y0, x1, y1, owner, of))
+    out, left, step = np.zeros(len(t), bool), np.arange(len(order)), 0
+    while len(left):
+        step += 1
+        left = left[left + step < len(order)]
+        left = left[(of[left] == of[left + step]) & (x0[left + step] < x1[left])]
+        a, b = left, left + step
+        common = np.minimum(y1[a], y1[b]) - np.maximum(y0[a], y0[b])
+        hit = (x1[b] > x0[b]) & (owner[a] != owner[b]) & (common > 0.5 * np.maximum(0.1, np.minimum(y1[a] - y0[a], y1[b] - y0[b])))
+        out[owner[a[hit]]] = out[owner[b[hit]]] = True
+    return out
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:

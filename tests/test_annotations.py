@@ -157,3 +157,20 @@ def test_threads_move_each_mark_a_few_times_only(spark):
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
     got = {r["xref"]: (r["author"], r["created"], r["comment"], [tuple(x) for x in r["replies"]]) for r in t.collect()}
     assert got == {1: ("a", None, None, []), 2: ("a", "t", "x", [("b", "u", "y")]), 4: (None, None, None, [])}
+
+
+def test_double_marks_of_few_and_of_many_of_a_kind(spark):
+    """A bound below a kind's marks sends it through links and their components; either way gives the same."""
+    rng = random.Random(8)
+    box = lambda: (lambda x, y: {"x0": x, "y0": y, "x1": x + rng.choice([0.0, 20.0, 60.0]), "y1": y + 9.0})(float(rng.randrange(0, 200, 5)), float(rng.randrange(0, 60, 3)))
+    kinds = [None, *[{"page": rng.choice([None, 1, 2, 2, 2]), "kind": rng.choice(["h", "u"])} for _ in range(8)]]
+    rows = [(i, rng.randrange(100), rng.choice(["", "", None, "a", "b"]), rng.choice(kinds), [box() for _ in range(rng.randrange(4))]) for i in range(150)]
+    marks = spark.createDataFrame(rows, "id long, seq long, comment string, like struct<page:long,kind:string>, boxes array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    whole, linked, mixed = (sorted(map(tuple, A.double_marks_of(marks, n).collect())) for n in (1000, 0, 25))
+    assert whole == linked == mixed and len(whole) == 150 and any(i != h for i, h in whole)
+
+
+def test_double_marks_move_once_by_pack(spark, sf_dir):
+    """The plan deals the lines by their keys and the marks by pack; it joins nothing."""
+    plan = library.queries()["double_marks"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
