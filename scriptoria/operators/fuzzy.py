@@ -139,12 +139,13 @@ def best_titles(refs: DataFrame, library: DataFrame, least: int = LEAST) -> Data
     asked = refs.filter(F.length(F.trim("title")) >= LEAST_LENGTH).select("ref_id", sorted_words(F.col("title")).alias("r")).filter("r <> ''").distinct()
     r = asked.select("r").distinct()
     t = library.select("id", sorted_words(F.col("title")).alias("t")).filter("t <> ''").groupBy("t").agg(F.min("id").alias("matched_id")).withColumn("t_band", band("t"))
+    n_asked = r.count()
     # a few dozen bands: as many as the logarithm of the longest title
-    parts = {x["t_band"]: math.ceil(x["count"] / PART) for x in t.groupBy("t_band").count().collect()}
+    parts = {x["t_band"]: math.ceil(x["count"] / PART) for x in t.groupBy("t_band").count().collect()} if n_asked else {}
     kind = {f.name: f.dataType.simpleString() for f in [*refs.schema, *library.schema]}
     if not parts:
         return refs.sparkSession.createDataFrame([], f"ref_id {kind['ref_id']}, matched_id {kind['id']}, score double")
-    blocks = max(1, math.ceil(r.count() / BLOCK))
+    blocks = max(1, math.ceil(n_asked / BLOCK))
     n_parts = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
     near = F.filter(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: band("r") + k), lambda b: F.coalesce(n_parts[b], F.lit(0)) > 0)
     r = r.select("r", F.explode(near).alias("r_band"), F.pmod(F.xxhash64("r"), F.lit(blocks)).alias("r_block"))

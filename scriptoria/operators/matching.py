@@ -37,7 +37,8 @@ def match(refs: DataFrame, library: DataFrame) -> DataFrame:
     """ref_id, matched_id, confidence, strategy (doi, title or null). refs: ref_id, doi, title; library: id, doi, title.
 
     Titles are tried for references without a DOI match; the least id wins ties."""
-    by_doi = refs.select("ref_id", I.doi_key(F.col("doi")).alias("d")).filter("d <> ''").join(library.select("id", F.lower("doi").alias("d")), "d")
+    held = library.select("id", F.lower("doi").alias("d")).filter("d <> ''").groupBy("d").agg(F.min("id").alias("id"))  # many papers may have one DOI
+    by_doi = refs.select("ref_id", I.doi_key(F.col("doi")).alias("d")).filter("d <> ''").join(held, "d")
     exact = by_doi.groupBy("ref_id").agg(F.min("id").alias("matched_id")).select("ref_id", "matched_id", F.lit(1.0).alias("confidence"), F.lit("doi").alias("strategy"))
     rest = refs.join(exact.select("ref_id"), "ref_id", "left_anti")
     best = best_titles(rest, library)

@@ -135,3 +135,15 @@ def test_shelf_equals_all_pairs(monkeypatch):
     monkeypatch.setattr(M, "token_set_ratio", None)
     shelf = M.Shelf(rows)
     assert [shelf.best(x, 3) for x in items] == want
+
+
+def test_match_of_many_papers_with_one_doi(spark):
+    """Papers are brought to one a DOI before the join, so a DOI's references do not meet all its papers; no reference left, no titles."""
+    from scriptoria.operators import matching as M
+
+    papers = spark.createDataFrame([(i, "10.1/A", "a title of some length") for i in range(9, 3, -1)] + [(1, "", "no identifier at all"), (2, None, None)], "id long, doi string, title string")
+    refs = papers.filter("id > 3").withColumnRenamed("id", "ref_id")
+    found = M.match(refs, papers)
+    assert {(r["ref_id"], r["matched_id"], r["strategy"]) for r in found.collect()} == {(i, 4, "doi") for i in range(4, 10)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [d#" in plan and "FlatMapCoGroupsInPandas" not in plan
