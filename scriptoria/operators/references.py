@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import add
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions.text import strip, word_set
+from scriptoria.operators.batches import exploded
 
 
 #: What a line with one of these words and perhaps a section number is, the heading of a reference section.
@@ -76,8 +76,5 @@ def cut_lines(text: str, longest: int) -> list[str]:
 def pieces(texts: DataFrame, id_col: str, text_col: str, longest: int = 15_000) -> DataFrame:
     """id, piece, text: reference texts in pieces of whole lines; a null text is one empty piece."""
 
-    @F.pandas_udf("array<string>")
-    def cut(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda t: cut_lines(t, longest))
-
-    return texts.select(F.col(id_col).alias("id"), F.posexplode(cut(F.coalesce(text_col, F.lit("")))).alias("piece", "text"))
+    whole = texts.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("whole"))
+    return exploded(whole, "whole", lambda t: list(enumerate(cut_lines(t, longest))), "piece int, text string")
