@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.operators.batches import exploded
+
 #: After these a chunk may end.
 SEPARATORS = ("\n\n", ".\n", ". ", "! ", "? ")
 SIZE, OVERLAP, LEAST = 800, 150, 50
@@ -36,14 +35,9 @@ def cut(text: str, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST)
 def chunk(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
     """paper_id, chunk_index (running over the pages of a paper), page, chunk_text, token_count. pages: paper_id, page, text."""
 
-    @F.pandas_udf("array<string>")
-    def parts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda t: cut(t or "", size, overlap, least))
-
     from pyspark.sql import Window
 
-    rows = pages.select("paper_id", "page", F.posexplode(parts("text")).alias("k", "chunk_text"))
+    rows = exploded(pages.select("paper_id", "page", "text"), "text", lambda t: list(enumerate(cut(t or "", size, overlap, least))), "k int, chunk_text string")
     index = F.row_number().over(Window.partitionBy("paper_id").orderBy("page", "k")) - 1
     tokens = F.size(F.filter(F.split("chunk_text", r"\s+"), lambda w: w != ""))
     return rows.select("paper_id", index.alias("chunk_index"), "page", "chunk_text", tokens.alias("token_count"))
