@@ -7,16 +7,16 @@ from __future__ import annotations
 
 from xml.etree import ElementTree
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions.fields import html_text
 from scriptoria.functions.text import bare_letters
+from scriptoria.operators.batches import exploded
 from scriptoria.operators.graph import paths
 from scriptoria.session import checkpoint_folder
 
-ELEMENTS = "array<struct<id:int,parent:int,top:int,under:string,tag:string,about:string,resource:string,text:string,value:string>>"
+ELEMENTS = "id int, parent int, top int, under string, tag string, about string, resource string, text string, value string"
 #: Elements that are no items, and the entry types of item types and of elements.
 STRUCTURE = "Collection Attachment Memo Note Journal Series Periodical Person Organization Seq Bag Alt li".split()
 ITEM_TYPES = {
@@ -56,14 +56,8 @@ def _elements(text: str | None) -> list[tuple]:
 
 def elements(files: DataFrame) -> DataFrame:
     """A row an element. files: file, text (whole). Written once, since items and collections join it to itself."""
-    names = [part.split(":")[0] for part in ELEMENTS[len("array<struct<") : -2].split(",")]
-
-    @F.pandas_udf(ELEMENTS)
-    def parsed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(names, e, strict=True)) for e in _elements(t)])
-
     checkpoint_folder(files.sparkSession)
-    return files.select("file", F.explode(parsed("text")).alias("e")).select("file", "e.*").checkpoint()
+    return exploded(files.select("file", F.col("text").alias("whole")), "whole", _elements, ELEMENTS).checkpoint()
 
 
 def _ident(c: Column | str) -> Column:
