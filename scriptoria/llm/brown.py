@@ -292,6 +292,31 @@ def _classes(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
     return asked[["chunk", "bucket"]].assign(classes=[k[x].tobytes() for x in at], places=[_steps(x) for x in at])
 
 
+def chunk_contexts(seq: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word, code (ascending) and number of each class context of the words of ``seq``, whose classes are ``cls``."""
+    width = ITSELF + 1
+    # sorting short keys costs less than counting in a row of all codes for each word
+    kind = np.uint32 if len(cls) * width < 1 << 32 else np.int64
+    seq, of = seq.astype(kind), cls.astype(kind)[seq]
+    left, right = seq[:-1], seq[1:]
+    own = left == right
+    key = np.concatenate([right * kind(width) + np.where(own, kind(ITSELF), kind(BEFORE) + of[:-1]), (left * kind(width) + (kind(AFTER) + of[1:]))[~own]])
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    at = key[first]
+    return (at // kind(width)).astype(np.int64), (at % kind(width)).astype(np.uint8), np.diff(first, append=len(key))
+
+
+def summed(key: np.ndarray, ns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys ascending and their sums of ``ns`` (1 at least); key and number are sorted as one integer."""
+    bits = np.uint64(int(ns.max(initial=0)).bit_length())
+    both = key.astype(np.uint64) << bits | ns.astype(np.uint64)
+    both.sort()
+    key, ns = (both >> bits).astype(np.int64), (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, np.int64)
+    return key[at], np.add.reduceat(ns, at) if len(at) else ns
+
+
 def class_contexts(encoded: DataFrame, state: DataFrame, n_buckets: int) -> DataFrame:
     """A row a bucket: its words by class context (sizes, codes, ns, packed) under the classes of ``state``,
     and g, the bigrams from any class to the classes of its words."""
@@ -305,19 +330,12 @@ def class_contexts(encoded: DataFrame, state: DataFrame, n_buckets: int) -> Data
         # hashes ascend and buckets are ranges of them, so a chunk's words stand in order of their buckets
         x, answers = chunk.iloc[0], answers.sort_values("bucket")
         seq = _seq(x["seq"], x["width"])
-        cls = np.frombuffer(b"".join(answers["classes"]), np.uint8).astype(np.int64)
+        cls = np.frombuffer(b"".join(answers["classes"]), np.uint8)
         n_words = len(cls)
         cuts = np.append(0, np.cumsum([len(c) for c in answers["classes"]]))
-        left, right, width = seq[:-1], seq[1:], ITSELF + 1
-        own = left == right
-        code = np.where(own, ITSELF, BEFORE + cls[left])
-        total = np.bincount(right * width + code, minlength=n_words * width)
-        total += np.bincount((left * width + AFTER + cls[right])[~own], minlength=n_words * width)
-        at = np.flatnonzero(total)
-        word, ns = at // width, total[at]
+        word, codes, ns = chunk_contexts(seq, cls)
         sizes = np.bincount(word, minlength=n_words)
         ends = np.append(0, np.cumsum(sizes))[cuts]
-        codes = (at % width).astype(np.uint8)
         parts = range(len(answers))
         # most counts fit a byte; 255 stands for the next of the others
         small, large = np.minimum(ns, 255).astype(np.uint8), np.append(0, np.cumsum(ns >= 255))[ends]
@@ -340,11 +358,7 @@ def class_contexts(encoded: DataFrame, state: DataFrame, n_buckets: int) -> Data
             n = np.frombuffer(x.ns, np.uint8).astype(np.int64)
             n[n == 255] = np.frombuffer(x.others, np.uint32)
             ns.append(n)
-        key, ns = np.concatenate(key), np.concatenate(ns)
-        order = np.argsort(key, kind="stable")
-        key, ns = key[order], ns[order]
-        at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        key, ns = key[at], np.add.reduceat(ns, at)
+        key, ns = summed(np.concatenate(key), np.concatenate(ns))
         word, code = key // width, key % width
         g = np.zeros((CLASSES, CLASSES), np.int64)
         before, own = code < AFTER, code == ITSELF
@@ -385,6 +399,7 @@ def best_classes(cls: np.ndarray, sizes: np.ndarray, codes: np.ndarray, ns: np.n
     left, right, diag = g.sum(1), g.sum(0), np.diag(g)
     # what n more in a cell add, for the usual small n
     tables = {f: np.stack([_xlogx(x + n) - _xlogx(x) for n in range(1, MOST_TABLED + 1)]) for f, x in ((AFTER, g.T), (BEFORE, g))}
+    margins = [np.stack([_xlogx(x + n) - _xlogx(x) for n in range(MOST_TABLED + 1)]) for x in (left, right)]
     lo = 0
     while lo < len(cls):
         # words up to a bound of contexts, one at least
@@ -398,30 +413,41 @@ def best_classes(cls: np.ndarray, sizes: np.ndarray, codes: np.ndarray, ns: np.n
         gain = np.zeros((hi - lo, CLASSES))
         for from_, matrix, mine, other in ((AFTER, g.T, r, c), (BEFORE, g, c, r)):
             at = np.flatnonzero((code >= from_) & (code < from_ + CLASSES))
-            w, k, m = word[at], code[at] - from_, n[at, None]
+            if not len(at):
+                continue
+            w, k, m = word[at], code[at] - from_, n[at]
             home = a[w] == k  # the word has left its class on both sides
-            few = np.minimum(n[at], MOST_TABLED).astype(np.int64)
-            more = tables[from_][few - 1, k]
+            more = tables[from_][np.minimum(m, MOST_TABLED).astype(np.int64) - 1, k]
             # from the class it leaves the word takes its own contexts
-            left_over = np.maximum(matrix[k, a[w]] - mine[w, k], 0)
-            more[np.arange(len(at)), a[w]] = _xlogx(left_over + n[at]) - _xlogx(left_over)
-            direct = np.flatnonzero(home | (n[at] > MOST_TABLED))
-            base, j = matrix[k[direct]], home[direct]  # of each class with class k
-            base[j] -= other[w[direct][j]]
-            base[np.arange(len(direct)), a[w[direct]]] -= mine[w[direct], k[direct]]
-            base[j, k[direct][j]] -= own[w[direct][j]]
+            left_over = np.maximum(matrix[k, a[w]] - mine[w, k] - np.where(home, other[w, k] + own[w], 0), 0)
+            staying = _xlogx(left_over + m) - _xlogx(left_over)
+            many = m > MOST_TABLED
+            # at home the word's contexts on the other side are gone from each class's cell, where there are any
+            i, j = np.nonzero(other[w[few := np.flatnonzero(home & ~many)]])
+            i = few[i]
+            base = np.maximum(matrix[k[i], j] - other[w[i], j], 0)
+            more[i, j] = _xlogx(base + m[i]) - _xlogx(base)
+            direct = np.flatnonzero(many)
+            base, away = matrix[k[direct]], home[direct]  # of each class with class k
+            base[away] -= other[w[direct][away]]
             np.maximum(base, 0, out=base)
-            more[direct] = _xlogx(base + m[direct]) - _xlogx(base)
-            first = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.empty(0, np.int64)
-            if len(first):
-                gain[w[first]] += np.add.reduceat(more, first)
-        d = np.tile(diag, (hi - lo, 1))
-        d[each, a] = np.maximum(d[each, a] - r[each, a] - c[each, a] - own, 0)
-        gain += _xlogx(d + r + c + own[:, None]) - _xlogx(d + r) - _xlogx(d + c) + _xlogx(d)
-        for margin, total in ((left, r.sum(1) + own), (right, c.sum(1) + own)):
-            rest = np.tile(margin, (hi - lo, 1))
-            rest[each, a] = np.maximum(rest[each, a] - total, 0)
-            gain -= _xlogx(rest + total[:, None]) - _xlogx(rest)
+            more[direct] = _xlogx(base + m[direct, None]) - _xlogx(base)
+            more[np.arange(len(at)), a[w]] = staying
+            first = np.flatnonzero(np.append(True, w[1:] != w[:-1]))
+            gain[w[first]] += np.add.reduceat(more, first)
+        # a class's cell with itself is met from both sides: it differs only for contexts on both, or of the word with itself
+        i, j = np.nonzero((r > 0) & (c > 0) | (own > 0)[:, None])
+        d = diag[j]
+        d = np.where(j == a[i], np.maximum(d - r[i, j] - c[i, j] - own[i], 0), d)
+        gain[i, j] += _xlogx(d + r[i, j] + c[i, j] + own[i]) - _xlogx(d + r[i, j]) - _xlogx(d + c[i, j]) + _xlogx(d)
+        for margin, tabled, total in ((left, margins[0], r.sum(1) + own), (right, margins[1], c.sum(1) + own)):
+            rest = np.maximum(margin[a] - total, 0)
+            staying = _xlogx(rest + total) - _xlogx(rest)
+            more = tabled[np.minimum(total, MOST_TABLED).astype(np.int64)]
+            many = np.flatnonzero(total > MOST_TABLED)
+            more[many] = _xlogx(margin + total[many, None]) - _xlogx(margin)
+            more[each, a] = staying
+            gain -= more
         b = gain.argmax(1)
         out[lo:hi] = np.where(gain[each, b] > gain[each, a] + 1e-6, b, a)
         lo = hi

@@ -77,3 +77,31 @@ def test_best_classes_are_those_of_trying_all():
             of[w] = b
             tried.append(brown.likelihood(g(of)))
         assert tried[got[w]] == pytest.approx(max(tried), abs=1e-5)
+
+
+@pytest.mark.parametrize("own", [0.0, 0.3])
+def test_contexts_of_a_chunk_are_plain_counts_in_little_memory(own):
+    """Counted in the space of the tokens, not of all codes of each word, and as one by one."""
+    import tracemalloc
+
+    draw = np.random.default_rng(7)
+    seq = draw.integers(0, 50, 4000)
+    seq[1:] = np.where(draw.random(3999) < own, seq[:-1], seq[1:])
+    cls = draw.integers(0, brown.CLASSES, 50).astype(np.uint8)
+    seen: Counter = Counter()
+    for a, b in zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True):
+        if a == b:
+            seen[a, brown.ITSELF] += 1
+        else:
+            seen[b, brown.BEFORE + int(cls[a])] += 1
+            seen[a, brown.AFTER + int(cls[b])] += 1
+    word, code, n = brown.chunk_contexts(seq, cls)
+    assert list(zip(word.tolist(), code.tolist(), n.tolist(), strict=True)) == [(*k, v) for k, v in sorted(seen.items())]
+    key, total = brown.summed(np.tile(word * 129 + code, 3), np.concatenate([n, n, np.full(len(n), 1 << 31)]))
+    assert (key == word * 129 + code).all() and (total == 2 * n + (1 << 31)).all()
+    assert [len(x) for x in brown.summed(key[:0], n[:0])] == [len(x) for x in brown.chunk_contexts(np.zeros(1, np.int64), cls)[:2]] == [0, 0]
+    tracemalloc.start()
+    brown.chunk_contexts(np.arange(300_000), np.zeros(300_000, np.uint8))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # 310 MB as a row of all codes for each word
