@@ -180,9 +180,9 @@ def unit_bigrams(encoded: DataFrame, top: np.ndarray) -> np.ndarray:
                 a = _units(np.frombuffer(x.hashes, np.uint64), np.frombuffer(x.groups, np.uint16), top)[_seq(x.seq, x.width)]
                 total += np.bincount(a[:-1] * UNITS + a[1:], minlength=UNITS * UNITS)
         m = total.reshape(UNITS, UNITS)
-        for u in np.flatnonzero(m.any(1)):
-            at = np.flatnonzero(m[u])
-            yield pd.DataFrame({"u": [int(u)], "v": [at.astype(np.uint16).tobytes()], "n": [m[u][at].tobytes()]})
+        full = np.flatnonzero(m.any(1))
+        at = [np.flatnonzero(m[u]) for u in full]
+        yield pd.DataFrame({"u": full, "v": [a.astype(np.uint16).tobytes() for a in at], "n": [m[u][a].tobytes() for u, a in zip(full, at, strict=True)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(UNITS, np.int64)
