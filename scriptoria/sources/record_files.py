@@ -12,12 +12,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes of a part, and how much is read at a time behind its end.
 SPLIT_BYTES, STEP = 8 << 20, 1 << 16
+#: Tasks that many parts are dealt to at least; beyond that a task takes as many as make up ``SPLIT_BYTES``.
+LEAST_TASKS = 64
 
 ENTRY = re.compile(r"@(\w+)\s*\{\s*([^,\s{}]*)\s*,", re.S)
 FIELD = re.compile(r"\s*([\w-]+)\s*=\s*")
@@ -98,6 +101,27 @@ class Part(InputPartition):
     size: int
 
 
+@dataclass
+class Parts(InputPartition):
+    """Parts that one task reads, one after the other."""
+
+    parts: list[Part]
+
+
+def dealt(parts: list[Part]) -> list[Parts]:
+    """Successive parts together, so that tasks grow in number with the bytes of the files, however small the parts are."""
+    least = min(SPLIT_BYTES, sum(p.last - p.first for p in parts) // LEAST_TASKS)
+    out: list[Parts] = []
+    size = least
+    for p in parts:
+        if size >= least:
+            out.append(Parts([]))
+            size = 0
+        out[-1].parts.append(p)
+        size += p.last - p.first
+    return out
+
+
 def section(file, part: Part, begins: re.Pattern) -> tuple[int, bytes]:
     """Place and bytes of the records that begin in the part. ``begins`` matches from the line feed before a record on; a
     record at the start of the file needs none."""
@@ -131,23 +155,25 @@ class _Reader(DataSourceReader):
         self.path, self.split = options["path"], int(options.get("split_bytes", SPLIT_BYTES))
         self.begins, self.parse = re.compile(begins), parse
 
-    def partitions(self) -> list[Part]:
+    def partitions(self) -> list[Parts]:
         from pyarrow import fs
 
         system, path = fs.FileSystem.from_uri(self.path) if "://" in self.path or self.path.startswith("file:") else (fs.LocalFileSystem(), self.path)
         info = system.get_file_info(path)
         files = system.get_file_info(fs.FileSelector(path, recursive=True)) if info.type == fs.FileType.Directory else [info]
         files = sorted((f for f in files if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))), key=lambda f: f.path)
-        return [Part(f.path, a, min(a + self.split, f.size), f.size) for f in files for a in range(0, f.size, self.split)]
+        return dealt([Part(f.path, a, min(a + self.split, f.size), f.size) for f in files for a in range(0, f.size, self.split)])
 
-    def read(self, part: Part) -> Iterator[tuple]:
+    def read(self, task: Parts) -> Iterator[tuple]:
         from pyarrow import fs
 
         system = fs.FileSystem.from_uri(self.path)[0] if "://" in self.path or self.path.startswith("file:") else fs.LocalFileSystem()
-        with system.open_input_file(part.path) as f:
-            at, data = section(f, part, self.begins)
-        for n, row in enumerate(self.parse(data.decode("utf-8", "replace"))):
-            yield (part.path, at, n, *row)
+        for path, parts in groupby(task.parts, lambda p: p.path):
+            with system.open_input_file(path) as f:
+                for part in parts:
+                    at, data = section(f, part, self.begins)
+                    for n, row in enumerate(self.parse(data.decode("utf-8", "replace"))):
+                        yield (path, at, n, *row)
 
 
 class BibtexFiles(DataSource):

@@ -49,3 +49,24 @@ def test_read_in_one_and_in_many_parts(spark, tmp_path):
     assert rows(one) == rows(many) and len(rows(one)) == 4 * 43
     (tmp_path / "deep" / "c.ris").write_text(RIS)
     assert RF.read_records(spark, "ris", str(tmp_path / "deep" / "c.ris"), 100).count() == 43
+
+
+def test_small_parts_of_large_files_share_tasks(spark, tmp_path, monkeypatch):
+    """Tasks follow the bytes, not the parts; the rows and the places of their parts stay."""
+    (tmp_path / "a.bib").write_text("".join(f"@article{{k{i},\n title = {{Title {i}}}\n}}\n\n" for i in range(3000)))
+    (tmp_path / "b.bib").write_text(BIB)
+    many = RF.read_records(spark, "bibtex", str(tmp_path), 100)
+    assert many.rdd.getNumPartitions() <= 65  # a task a part: some 1,200
+    monkeypatch.setattr(RF, "LEAST_TASKS", 1 << 30)
+    single = RF._Reader({"path": str(tmp_path), "split_bytes": "100"}, rb"\n[ \t]*@\w+\s*\{", lambda text: ((e["entry_type"], e["key"], e["fields"]) for e in RF.bibtex_entries(text)))
+    tasks = single.partitions()
+    assert len(tasks) > 1000 and all(len(t.parts) == 1 for t in tasks)
+    key = lambda r: (r[0], r[1], r[2], r[3], r[4], sorted(r[5].items()))
+    assert sorted(key(tuple(r)) for r in many.collect()) == sorted(key(r) for t in tasks for r in single.read(t))
+
+
+def test_no_more_than_split_bytes_to_a_task(monkeypatch):
+    parts = [RF.Part("f", a, a + 10, 10_000) for a in range(0, 10_000, 10)]
+    monkeypatch.setattr(RF, "SPLIT_BYTES", 100)
+    found = RF.dealt(parts)
+    assert [len(t.parts) for t in found] == [10] * 100 and [p for t in found for p in t.parts] == parts and RF.dealt([]) == []
