@@ -12,11 +12,13 @@ from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: References of one automaton.
 BLOCK = 512
+#: Rows of a batch that is given on.
+ROWS = 8192
 #: A number list in brackets, and what a range in it looks like.
 NUMBERS, RANGE = re.compile(r"\[(\d[\d,\s\-–]+)\]"), re.compile(r"(\d+)\s*[-–]\s*(\d+)")
 #: Distinct numbers from which on a body counts as numbered, and the longest range that is read.
@@ -38,10 +40,16 @@ def last_names(people: Column) -> Column:
 def phrases(title: Column) -> Column:
     """Runs of three words of three letters or more, or of four if the title has more than six; of titles over 15 characters."""
     title = F.trim(F.coalesce(title, F.lit("")))
-    words = F.filter(F.split(F.lower(title), r"\s+"), lambda w: F.length(w) >= 3)
-    width = F.when(F.size(words) <= 6, 3).otherwise(4)
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
-    return F.when((F.length(title) > 15) & (F.size(words) >= width), runs).otherwise(F.array().cast("array<string>"))
+    # words are a value of a lambda, so that a title is split once and not for each run
+    split = F.filter(F.split(F.lower(title), r"\s+"), lambda w: F.length(w) >= 3)
+    none = F.array().cast("array<string>")
+
+    def runs(words: Column) -> Column:
+        width = F.when(F.size(words) <= 6, 3).otherwise(4)
+        some = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
+        return F.when(F.size(words) >= width, some).otherwise(none)
+
+    return F.when(F.length(title) > 15, F.get(F.transform(F.array(split), runs), F.lit(0))).otherwise(none)
 
 
 def cited_numbers(body: str) -> set[int]:
@@ -164,7 +172,7 @@ def how_cited(refs: list[dict], text: str) -> list[str | None]:
     for i in open_:
         for p in refs[i]["phrases"]:
             runs.setdefault(p, []).append(i)
-    for p in _hits(runs, re.sub(r"\s+", " ", body.low)):
+    for p in _hits(runs, " ".join(body.low.split()) if runs else ""):
         for i in runs[p]:
             how[i] = "title"
     return how
@@ -191,18 +199,25 @@ def usage(refs: DataFrame, bodies: DataFrame) -> DataFrame:
     in brackets or behind a word such as "see"; else if three or four words of its title stand together. References of
     documents without a body, or with a null one, are not cited. Long lists are split into blocks of ``BLOCK``.
     """
-    sizes = refs.groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     entry = F.struct(F.col("ref_index").cast("long").alias("ref_index"), last_names(F.col("authors")).alias("names"), F.col("year").cast("string").alias("year"), phrases(F.col("title")).alias("phrases"))
-    block = F.pmod(F.xxhash64("ref_index"), F.col("blocks"))
-    own = refs.join(sizes, "doc_id").groupBy("doc_id", block.alias("block")).agg(F.collect_list(entry).alias("refs"))
+    # numbered by document, so that blocks, too, are made where the one shuffle by document brought the references
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("ref_index"))
+    numbered = refs.select("doc_id", "ref_index", "authors", "year", "title", F.floor((place - 1) / BLOCK).alias("block"))
+    own = numbered.groupBy("doc_id", "block").agg(F.collect_list(entry).alias("refs"))
     met = own.join(bodies.select("doc_id", "body"), "doc_id", "left").select("doc_id", "refs", F.coalesce("body", F.lit("")).alias("body"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out: tuple[list, list, list] = ([], [], [])
             for i in range(len(batch)):
                 found = batch["refs"][i].as_py()
-                how = how_cited(found, batch["body"][i].as_py())
-                yield pa.RecordBatch.from_arrays([pa.array([batch["doc_id"][i].as_py()] * len(found), pa.int64()), pa.array([r["ref_index"] for r in found], pa.int64()), pa.array(how, pa.string())], ["doc_id", "ref_index", "how"])
+                out[0].extend([batch["doc_id"][i].as_py()] * len(found))
+                out[1].extend(r["ref_index"] for r in found)
+                out[2].extend(how_cited(found, batch["body"][i].as_py()))
+                # not a batch a document, which costs more than to look through it
+                if len(out[0]) >= ROWS or i + 1 == len(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "ref_index", "how"])
+                    out = ([], [], [])
 
     return met.select(F.col("doc_id").cast("long").alias("doc_id"), "refs", "body").mapInArrow(scan, "doc_id long, ref_index long, how string")
 

@@ -65,22 +65,29 @@ END AS how FROM p"""
 def made(spark, sf_dir):
     """refs (doc_id, ref_index, authors, year, title) and bodies (doc_id, body)."""
     d = table(spark, sf_dir, "documents").filter("text is not null")
-    names = F.filter(F.split("text", "[^a-zA-Z]+"), lambda x: F.length(x) >= 4)
-    d = d.select("doc_id", "text", names.alias("names"), F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w")).filter(F.size("names") >= 40)
+    names, w = F.filter(F.split("text", "[^a-zA-Z]+"), lambda x: F.length(x) >= 4), F.filter(F.split("text", r"\s+", 9 * PER_DOCUMENT + 12), lambda x: x != "")
+    # a generated row: a filter on the names themselves would be pushed down and split each text once more
+    d = d.select("doc_id", "text", F.inline(F.filter(F.array(F.struct(names.alias("names"), w.alias("w"))), lambda x: F.size(x["names"]) >= 40)))
+    year = lambda k: (1950 + (F.col("doc_id") * 7 + k * 11) % 70).cast("string")
+    at = lambda i: F.get("names", i % F.size("names"))
     # a row a reference first, so that its parts are computed from columns and once
     r = d.select("doc_id", "names", "w", F.explode(F.sequence(F.lit(1), F.lit(PER_DOCUMENT))).alias("k"))
-    k, at = F.col("k"), lambda i: F.get("names", i % F.size("names"))
-    year = (1950 + (F.col("doc_id") * 7 + k * 11) % 70).cast("string")
-    r = r.select("doc_id", "k", at(k * 13).alias("name"), at(k * 29 + 5).alias("second"), year.alias("year"), F.slice("w", k * 9 + 1, 9).alias("own"))
+    k = F.col("k")
+    r = r.select("doc_id", "k", at(k * 13).alias("name"), at(k * 29 + 5).alias("second"), year(k).alias("year"), F.slice("w", k * 9 + 1, 9).alias("own"))
     name, second = F.col("name"), F.col("second")
     authors = F.get(F.array(F.concat(name, F.lit(", A.; "), second, F.lit(", B.")), F.concat(F.lit("Ann "), name, F.lit(" and Bob "), second), F.concat(name, F.lit(", C.")), F.concat(F.lit("D. "), name)), k % 4)
     title = F.array_join(F.when(k % 2 == 0, F.col("own")).otherwise(F.reverse("own")), " ")
-    form = F.get(F.array(*map(F.lit, FORMS)), ((F.col("doc_id") + k) % len(FORMS)).cast("int"))
-    for mark, text in (("K", k.cast("string")), ("S", F.lit("{2}")), ("N", F.lit("{1}")), ("Y", F.col("year")), ("{1}", name), ("{2}", second)):
-        form = F.replace(form, F.lit(mark), text)
-    forms = r.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", form.alias("form")))), lambda x: x["form"]), "\n").alias("forms"))
+
+    def form(k):
+        out = F.get(F.array(*map(F.lit, FORMS)), ((F.col("doc_id") + k) % len(FORMS)).cast("int"))
+        for mark, text in (("K", k.cast("string")), ("S", F.lit("{2}")), ("N", F.lit("{1}")), ("Y", year(k)), ("{1}", at(k * 13)), ("{2}", at(k * 29 + 5))):
+            out = F.replace(out, F.lit(mark), text)
+        return out
+
+    # a body's forms stand in one row with its text, which so moves once and meets no rows of references here
+    forms = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(PER_DOCUMENT)), form), "\n")
     tail = F.when(F.col("doc_id") % 5 == 0, " [1, 3-5]").otherwise("")
-    bodies = d.select("doc_id", "text").join(forms, "doc_id").select("doc_id", F.concat("text", F.lit("\n"), "forms", tail).alias("body"))
+    bodies = d.select("doc_id", F.concat("text", F.lit("\n"), forms, tail).alias("body"))
     return r.select("doc_id", k.alias("ref_index"), authors.alias("authors"), "year", title.alias("title")), bodies
 
 

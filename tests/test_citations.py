@@ -53,3 +53,10 @@ def test_many_references_split_into_blocks(spark, monkeypatch):
     assert all((got[1, k] == "author_year") == (k % 3 == 0) for k in range(60))
     total = {r["doc_id"]: r.asDict() for r in C.summary(used).collect()}
     assert total[2] == {"doc_id": 2, "total": 1, "used_in_text": 0, "not_used_in_text": 1, "first_unused": 1}
+
+
+def test_texts_and_titles_are_split_once(spark):
+    assert str(C.phrases(F.col("t"))).count("split(") == 1
+    refs, bodies = (spark.createDataFrame([], s) for s in ("doc_id long, ref_index int, authors string, year int, title string", "doc_id long, body string"))
+    plan = C.usage(refs, bodies)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") <= 1  # references do not meet their own counts
