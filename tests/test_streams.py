@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,48 @@ def test_runs_over_several_batches_with_repeats_and_timers(spark, tmp_path):
     assert got == plain_runs(events)  # each run once; the last ones by the timer, when time went on
 
 
+def test_many_users_share_few_groups(spark, tmp_path):
+    """A user was a group of its own, and a group costs the same whatever it holds; also gaps of just the limit."""
+    rng = random.Random(5)
+    start = datetime(2024, 1, 1)
+    events = [(k, start + timedelta(minutes=rng.choice([rng.randrange(600), rng.random() * 600])), rng.randrange(-30, 200), rng.choice([0.25, None, -2.0])) for k in range(2000)]
+    events.sort(key=lambda e: e[1])
+    pieces = [events[:900], events[900:1300], events[1300:]]
+    schema = "event_id long, ts timestamp, user_id long, value double"
+    box, out, cp = (str(tmp_path / x) for x in ("box", "out", "cp"))
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    groups = []
+    for k, rows in enumerate([*pieces, [(-1, start + timedelta(days=3), 10**12, 1.0)]]):
+        drop(spark, box, f"part{k}", rng.sample(rows, len(rows)), schema)
+        q = stateful.user_runs(stream(spark, box, schema)).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", cp).trigger(availableNow=True).start()
+        q.awaitTermination()
+        groups += [o["numRowsUpdated"] for p in q.recentProgress for o in p["stateOperators"] if "WithState" in o["operatorName"]]
+    closed = spark.read.parquet(out).filter("closed").collect()
+    assert 0 < sum(groups) <= 2 * 4 * stateful.BUCKETS
+    got = sorted((r["user_id"], r["start"], r["stop"], r["n"], round(r["total"], 6)) for r in closed)
+    assert got == plain_runs(events)
+
+
+def test_runs_continued_at_once_are_those_of_a_loop():
+    """Also where an event comes before the run that is known."""
+    rng = random.Random(8)
+    for _ in range(60):
+        known = pd.DataFrame([(u, a := rng.randrange(100), a + rng.randrange(50), rng.randrange(1, 5), 0.5) for u in rng.sample(range(-4, 9), rng.randrange(6))], columns=["user_id", "start", "stop", "n", "total"])
+        known = known.astype({c: "float64" if c == "total" else "int64" for c in known.columns})
+        seen = pd.DataFrame([(k, rng.randrange(200), rng.randrange(-4, 9), rng.choice([0.25, None])) for k in range(rng.randrange(1, 40))], columns=["event_id", "at", "user_id", "value"])
+        open_runs, out = {r[0]: list(r) for r in known.itertuples(index=False)}, []
+        for e in seen.sort_values(["at", "event_id"]).itertuples():
+            run = open_runs.get(e.user_id)
+            if run is None or e.at - run[2] >= 20:
+                out += [(*run, True)] if run else []
+                run = open_runs[e.user_id] = [e.user_id, e.at, e.at, 0, 0.0]
+            run[1:] = [min(run[1], e.at), max(run[2], e.at), run[3] + 1, run[4] + (0.0 if pd.isna(e.value) else e.value)]
+        out += [(*open_runs[u], False) for u in set(seen["user_id"])]
+        given, after = stateful.continued(known, seen, 20)
+        assert sorted(given.itertuples(index=False, name=None)) == sorted(out)
+        assert sorted(after.itertuples(index=False, name=None)) == sorted(map(tuple, open_runs.values()))
+
+
 def test_calls_back_off_and_halve():
     waits: list[float] = []
     answer = lambda texts: [len(t) for t in texts]
