@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions.text import tokens
 from scriptoria.operators import retrieval as R
+from scriptoria.session import checkpoint_folder
 
 
 def hybrid(pool: DataFrame, terms: DataFrame, vectors: DataFrame | None, query: DataFrame | None, k: int = 10, depth: int = 50) -> DataFrame:
@@ -78,12 +79,13 @@ def search_papers(papers: DataFrame, chunks: DataFrame, q: str, vectors: DataFra
     BM25, both rankings whole, are fused. A blank ``q`` finds nothing. Vectors of papers that are not there, and chunks
     without an id or paper, are left out; null title or abstract is empty; k is at least 1; ties go to the lower id.
     """
-    k, terms = max(1, k), R.query_terms(papers.sparkSession.range(1).select(F.lit(q or "").alias("text")))
+    if not (q or "").strip():
+        return _nothing(papers)
+    k, terms = max(1, k), R.query_terms(papers.sparkSession.range(1).select(F.lit(q).alias("text")))
     known = None if vectors is None else vectors.join(papers.select("id"), "id", "left_semi")
-    blank = not (q or "").strip()
-    if blank or known is None or query is None or vectors.isEmpty():
+    if known is None or query is None or vectors.isEmpty():
         whole = papers.select("id", F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))).alias("text")).filter("text <> '\\n'")
-        note = "" if blank or vectors is None else "not_embedded" if query is None and not vectors.isEmpty() else "no_vectors"
+        note = "" if vectors is None else "not_embedded" if query is None and not vectors.isEmpty() else "no_vectors"
         return _answer(R.top(R.bm25(whole, terms, "id"), k), "bm25", note)
     there = _whole_chunks(chunks, papers)
     if not _met(there, terms):
@@ -100,24 +102,42 @@ def search_passages(papers: DataFrame, chunks: DataFrame, q: str, vectors: DataF
     of papers or of chunks, or without query vector: BM25 over all chunks, and the note says which. Near papers without
     any chunk vector: semantic, no rows. Tables as for ``search_papers``; chunk_vectors: paper_id, chunk_id, vector.
     """
-    k, terms = max(1, k), R.query_terms(papers.sparkSession.range(1).select(F.lit(q or "").alias("text")))
     every = chunks.filter("paper_id is not null and chunk_id is not null").select(F.struct("paper_id", "chunk_id").alias("id"), "paper_id", "chunk_id", "text")
-    indexed = vectors is not None and chunk_vectors is not None and not vectors.isEmpty() and not chunk_vectors.isEmpty()
-    blank = not (q or "").strip()
-    if blank or not indexed or query is None:
-        note = "" if blank or vectors is None else "not_embedded" if indexed else "no_index"
-        return _answer(R.top(R.bm25(every, terms, "id"), k), "bm25", note)
-    near = R.cosine_rank(vectors.join(papers.select("id"), "id", "left_semi"), query, n_papers).select(F.col("id").alias("paper_id"))
-    ranked = chunk_vectors.join(F.broadcast(near), "paper_id", "left_semi")  # n_papers rows
-    ranked = ranked.join(every.select("paper_id", "chunk_id"), ["paper_id", "chunk_id"], "left_semi").select(F.struct("paper_id", "chunk_id").alias("id"), "paper_id", "vector")
+    if not (q or "").strip():
+        return _nothing(every)
+    k, terms = max(1, k), R.query_terms(papers.sparkSession.range(1).select(F.lit(q).alias("text")))
+    lexical = lambda note: _answer(R.top(R.bm25(every, terms, "id"), k), "bm25", note)
+    if vectors is None or chunk_vectors is None:
+        return lexical("" if vectors is None else "no_index")
+    if query is None:
+        some = [r["id"] for r in vectors.select("id").filter("id is not null").limit(n_papers).collect()]
+        indexed = not chunk_vectors.filter(F.col("paper_id").isin(some)).isEmpty() or _indexed(vectors, chunk_vectors)
+        return lexical("not_embedded" if indexed else "no_index")
+    # the ids of n_papers papers, as values: with them tables are read where they lie, before texts are cut or joined
+    near = [r["id"] for r in R.cosine_rank(vectors.join(papers.select("id"), "id", "left_semi"), query, n_papers).collect()]
+    checkpoint_folder(papers.sparkSession)
+    stored = chunk_vectors.filter(F.col("paper_id").isin(near)).select("paper_id", "chunk_id", "vector").checkpoint()
+    if stored.isEmpty() and not _indexed(vectors, chunk_vectors):
+        return lexical("no_index")
+    own = every.filter(F.col("paper_id").isin(near)).checkpoint()
+    ranked = stored.join(own.select("paper_id", "chunk_id"), ["paper_id", "chunk_id"], "left_semi").select(F.struct("paper_id", "chunk_id").alias("id"), "paper_id", "vector")
     if ranked.isEmpty():
         return _answer(R.cosine_rank(ranked, query, k), "semantic")
-    pool = every.join(F.broadcast(ranked.select("paper_id").distinct()), "paper_id", "left_semi")
+    pool = own.join(F.broadcast(ranked.select("paper_id").distinct()), "paper_id", "left_semi")
     if not _met(pool, terms):
         return _answer(R.cosine_rank(ranked, query, k), "semantic")
     return _answer(R.fuse_whole([R.cosine_scores(ranked, query), R.bm25(pool, terms, "id")], k), "hybrid")
 
 
+def _nothing(rows: DataFrame) -> DataFrame:
+    """The answer to a blank text, for which no text is read. rows: id."""
+    return _answer(rows.filter("false").select("id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")), "bm25")
+
+
+def _indexed(vectors: DataFrame, chunk_vectors: DataFrame) -> bool:
+    return not vectors.isEmpty() and not chunk_vectors.isEmpty()
+
+
 def _whole_chunks(chunks: DataFrame, papers: DataFrame) -> DataFrame:
     """id (paper_id, chunk_id), text of the chunks of papers that are there."""
     c = chunks.filter("paper_id is not null and chunk_id is not null").join(papers.select(F.col("id").alias("paper_id")), "paper_id", "left_semi")

@@ -89,3 +89,24 @@ def test_passages(shelf):
     assert ask("sand", vectors, parts, None)[0] == ("bm25", "not_embedded", (1, 1))
     assert ask("sand", vectors, parts.filter("paper_id = 9"), query) == []
     assert ask("", vectors, parts, query) == []
+
+
+def test_texts_are_read_for_near_papers_only(spark, tmp_path):
+    """A blank text was ranked against all texts, and each step cut all chunks anew to find those of a few papers."""
+    put = lambda name, rows, schema: (spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}"), spark.read.parquet(f"{tmp_path}/{name}"))[1]
+    papers = put("papers", [(i, f"title {i}", "words") for i in range(9)], "id long, title string, abstract string")
+    chunks = put("chunks", [(i, c, f"common w{i} c{c}") for i in range(9) for c in range(3)], "paper_id long, chunk_id int, text string")
+    vectors = put("vectors", [(i, [1.0, float(i)]) for i in range(9)], "id long, vector array<double>")
+    parts = put("parts", [(i, c, [1.0, float(c)]) for i in range(9) for c in range(2)], "paper_id long, chunk_id int, vector array<double>")
+    one = spark.createDataFrame([([1.0, 0.0],)], "vector array<double>")
+    found = S.search_passages(papers, chunks, "w1 common", vectors, parts, one, 4, n_papers=2)
+    assert {(r["id"]["paper_id"], r["mode"]) for r in found.collect()} == {(0, "hybrid"), (1, "hybrid")}
+    assert found.inputFiles() == []  # what stands to be ranked has been taken out
+    for blank in (S.search_passages(papers, chunks, " ", vectors, parts, one), S.search_papers(papers, chunks, "\n", vectors, one)):
+        assert blank.inputFiles() == [] and blank.count() == 0
+    assert S.search_papers(papers, chunks, "", None, None).schema == S.search_papers(papers, chunks, "title", None, None).schema
+    ask = lambda v, p, x: S.search_passages(papers, chunks, "w1", v, p, x).select("mode", "note").distinct().collect()
+    assert ask(vectors, parts, None) == [("bm25", "not_embedded")] and ask(vectors, parts.filter("paper_id > 100"), None) == [("bm25", "no_index")]
+    assert ask(vectors.filter("false"), parts, None) == ask(vectors.filter("false"), parts, one) == ask(vectors, None, one) == [("bm25", "no_index")]
+    far = spark.createDataFrame([(77, [1.0, 0.0])], "id long, vector array<double>")  # of no paper: there are vectors, but nothing is near
+    assert ask(far, parts, None) == [("bm25", "not_embedded")] and ask(far, parts, one) == []
