@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.llm.text import mix
+from scriptoria.llm.text import give_back, mix
 from scriptoria.llm.token_count import META, check_cuts, model
 
 SEGMENT = re.compile(r"\n| *[^ \n]+| +")
@@ -302,11 +302,27 @@ def encode(docs: DataFrame, path: str, key: Column | str = "doc_id", text_col: s
             for i, n in encode_texts(keys.to_pylist(), texts.to_pylist(), known, seed):
                 ids.append(i), sizes.append(n)
             yield _lists(ids, sizes)
-        known.forget()  # the worker lives on, for tasks that need the memory
+        keys = texts = ids = sizes = i = n = None  # the worker lives on, for tasks that need the memory
+        known.forget()
+        give_back()
 
     return docs.withColumn(out_col, of(_key(key), F.col(text_col)))
 
 
+def _checked(batches: Iterator[tuple[pa.Array, pa.Array]], path: str, theta: float, seed: int) -> Iterator[pa.Array]:
+    known = lattices(path, theta)
+    for keys, texts in batches:
+        whole = texts.to_pylist()
+        ids, sizes, same = [], [], []
+        for i, n in encode_texts(keys.to_pylist(), whole, known, seed):
+            same.extend(back == (text or "") for back, text in zip(decode_texts(i, n, known.pieces), whole[len(same) :], strict=False))
+            ids.append(i), sizes.append(n)
+        yield pa.StructArray.from_arrays([_lists(ids, sizes), pa.array(same, pa.bool_())], ["piece_ids", "lossless"])
+    keys = texts = whole = ids = sizes = same = i = n = None  # the worker lives on, for tasks that need the memory
+    known.forget()
+    give_back()
+
+
 def encode_checked(docs: DataFrame, path: str, key: Column | str = "doc_id", text_col: str = "text", theta: float = 1.0, seed: int = 0) -> DataFrame:
     """``docs`` with piece_ids as ``encode`` gives them and lossless: whether they decode to the very text.
 
@@ -316,15 +332,7 @@ def encode_checked(docs: DataFrame, path: str, key: Column | str = "doc_id", tex
 
     @F.arrow_udf("struct<piece_ids:array<int>,lossless:boolean>")
     def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        known = lattices(path, theta)
-        for keys, texts in batches:
-            whole = texts.to_pylist()
-            ids, sizes, same = [], [], []
-            for i, n in encode_texts(keys.to_pylist(), whole, known, seed):
-                same.extend(back == (text or "") for back, text in zip(decode_texts(i, n, known.pieces), whole[len(same) :], strict=False))
-                ids.append(i), sizes.append(n)
-            yield pa.StructArray.from_arrays([_lists(ids, sizes), pa.array(same, pa.bool_())], ["piece_ids", "lossless"])
-        known.forget()  # the worker lives on, for tasks that need the memory
+        yield from _checked(batches, path, theta, seed)
 
     # called so that a filter on lossless is not planned as a second run of the function
     coded = docs.withColumn("piece_ids", of.asNondeterministic()(_key(key), F.col(text_col)))

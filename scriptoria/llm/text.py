@@ -5,11 +5,13 @@ A word is a maximal run of characters other than space and U+0009..U+000D.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def give_back() -> None:
+    """Free memory goes back to the system. Arrow and C keep what a task has used, and a worker that waits holds it while others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def fresh(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` does not have, whatever the case of its letters."""
     taken = {c.lower() for c in docs.columns}

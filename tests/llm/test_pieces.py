@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import math
+import os
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -54,3 +58,27 @@ def test_a_long_word_is_one_lattice(known):
         ends = np.cumsum([len(known.pieces.bytes_of[p]) for p in i])
         crossing += 33 not in ends  # the first byte is the space in front
     assert crossing
+
+
+def test_a_worker_that_is_done_keeps_little_memory():
+    """Workers that waited after the stage kept some 390 MB each, which an executor lacked in the stages after it."""
+    code = """
+import random, re
+import pyarrow as pa
+from scriptoria.llm import pieces
+from scriptoria.llm.queries import tokenizer_path
+held = lambda: sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+rng = random.Random(3)
+def batch(k):
+    texts = [" ".join("".join(rng.choices("abcdefghijklm", k=rng.randrange(3, 11))) for _ in range(150)) for _ in range(1500)]
+    return pa.array([str(i) for i in range(len(texts))]), pa.array(texts)
+pieces.lattices(tokenizer_path(), 1.0)
+before, most = held(), 0
+for out in pieces._checked(map(batch, range(2)), tokenizer_path(), 1.0, 0):
+    most = max(most, held())
+out = None
+print(before, most, held())
+"""
+    run = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2], env=os.environ | {"PYTHONPATH": str(Path(__file__).parents[2])})
+    before, most, after = map(float, run.stdout.split())
+    assert most > before + 150 and after < before + 60, (before, most, after)
