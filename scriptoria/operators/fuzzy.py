@@ -5,14 +5,13 @@ of m and n characters, have a common subsequence of K = ceil(s (m + n) / 200) ch
 characters of the reference are dropped and I = n - K are put in. This gives filters that lose no such pair:
 
 * length: K is at most the shorter length, so lengths differ by a factor of (200 - s) / s at most;
-* count: a dropped character spoils three trigrams, and one put in spoils two, so at least T = m - 2 - 3 D - 2 I
-  trigrams of the reference stand in the other title;
-* position: these stand at most D places earlier and I places later;
-* prefix: of the T, at least T - L stand among the reference's trigrams without its L most frequent ones, so
-  only the postings of the rarer ones are read.
+* count: texts have K characters in common at least, wherever they stand;
+* place: what is matched stands at most D places earlier or I places later, which is a band of the table of all
+  places that fits a number for texts of some 400 characters together;
+* end: a pair is left as soon as it has missed more than it may.
 
-Titles so short that T is not positive are compared with all titles of a fitting length. What is left is scored exactly, many titles
-at once (``common``), those that have most characters in common first.
+The first two are sums over whole arrays of titles; what is left is scored exactly, many references and titles at once
+(``common.in_band``); pairs that are too long for that are scored by the whole table.
 
 Equal titles are one, the least id's, and equal references too. The library is dealt by bands of length, and large bands
 by a hash, into parts of bounded size; references, a query set, come in blocks to the parts of their own band and its
@@ -28,13 +27,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptoria.operators.common import Texts
+from scriptoria.operators.common import BAND, Texts, columns, in_band
 
-GRAM, LEAST, LEAST_LENGTH = 3, 85, 10
+LEAST, LEAST_LENGTH = 85, 10
 #: Titles of a part of the library, references of a block, and the most tasks that their groups are dealt to.
-PART, BLOCK, TASKS = 20_000, 1_000, 2_000
-#: Candidates scored at once: few at first, as near copies end the search.
-CHUNKS = (64, 2048)
+PART, BLOCK, TASKS = 20_000, 8_000, 2_000
+#: References, and pairs of one with a title, that are scored at once; one reference's pairs are not parted.
+CHUNKS = (32, 1 << 15)
+#: Titles of more characters are scored by the whole table.
+LONGEST = 512
 
 
 def sorted_words(text: Column) -> Column:
@@ -55,77 +56,63 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-def trigrams(text: str) -> np.ndarray:
-    """A number for each run of three characters, in order; different runs have different numbers."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:] if len(c) >= GRAM else np.empty(0, np.int64)
-
-
 class Titles:
-    """Titles in order of length with the places of their trigrams."""
+    """Titles in order of length."""
 
     def __init__(self, texts: list[str], ids: list):
         order = sorted(range(len(texts)), key=lambda i: (len(texts[i]), ids[i]))
         self.texts, self.ids = [texts[i] for i in order], [ids[i] for i in order]
         self.chars = Texts(self.texts)
         self.size = self.chars.size
-        grams = [trigrams(t) for t in self.texts]
-        count = np.array([len(g) for g in grams], np.int64)
-        code = np.concatenate(grams) if grams else np.empty(0, np.int64)
-        by_code = np.argsort(code, kind="stable")  # within a trigram by title, thus by length
-        self.code, first = np.unique(code[by_code], return_index=True)
-        self.cut = np.append(first, len(code))
-        self.title = np.repeat(np.arange(len(grams)), count)[by_code]
-        self.place = (np.arange(len(code)) - np.repeat(np.cumsum(count) - count, count))[by_code]
+        self.letters = columns(self.chars, LONGEST)
 
-    def candidates(self, ref: str, least: int = LEAST) -> np.ndarray:
-        """Numbers of all titles that may reach ``least``; few others."""
+    def near(self, ref: str, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all titles that may reach ``least``, few others, and how many characters each needs in common for it."""
         m = len(ref)
         low, high = -(-least * m // (200 - least)), (200 - least) * m // least
         a, b = np.searchsorted(self.size, [low, high + 1])
         n = self.size[a:b]
-        common = -(-least * (m + n) // 200)
-        drop, put = m - common, n - common
-        need = m - GRAM + 1 - GRAM * drop - (GRAM - 1) * put
-        open_ = np.flatnonzero((need <= 0) & (drop >= 0) & (put >= 0))
-        if len(open_) == len(n):
-            return a + open_
-        code = trigrams(ref)
-        at = np.minimum(np.searchsorted(self.code, code), max(len(self.code) - 1, 0))
-        known = self.code[at] == code if len(self.code) else np.zeros(len(code), bool)
-        lo, hi = self.cut[at], np.where(known, self.cut[at + 1], self.cut[at])
-        least_need = int(need[need > 0].min())
-        spare = least_need - max(1, -(-least_need // 3))
-        rare = np.argsort(hi - lo, kind="stable")[: len(code) - spare]
-        titles, shifts = [], []
-        for k in rare:
-            s, e = lo[k] + np.searchsorted(self.title[lo[k] : hi[k]], [a, b])
-            titles.append(self.title[s:e] - a)
-            shifts.append(self.place[s:e] - k)
-        title, shift = np.concatenate(titles), np.concatenate(shifts)
-        near = (-drop[title] <= shift) & (shift <= put[title])
-        count = np.bincount(title[near], minlength=len(n))
-        return a + np.union1d(open_, np.flatnonzero((need > 0) & (count >= need - spare)))
+        need = -(-least * (m + n) // 200)
+        at = np.flatnonzero((self.chars.shared(ref, a, b) >= need) & (need <= np.minimum(n, m)))
+        return a + at, need[at]
+
+    def candidates(self, ref: str, least: int = LEAST) -> np.ndarray:
+        return self.near(ref, least)[0]
 
     def best(self, ref: str, least: int = LEAST) -> tuple[float, object] | None:
-        """Score and id of the best title of ``least`` or more, the least id among equals: candidates are scored many at once, in order
-        of a bound that no score exceeds, until it is below the best score."""
-        at = self.candidates(ref, least)
-        bound = 200.0 * self.chars.shared(ref)[at] / (len(ref) + self.size[at])
-        at, bound = at[bound >= least], bound[bound >= least]
-        order = np.argsort(-bound, kind="stable")
-        found, done, chunk = None, 0, CHUNKS[0]
-        while done < len(order) and (found is None or bound[order[done]] >= -found[0]):
-            some = order[done : done + chunk]
-            if found is not None:
-                some = some[bound[some] >= -found[0]]
-            done, chunk, which = done + chunk, CHUNKS[1], at[some]
-            score = 200.0 * self.chars.common(ref, which) / (len(ref) + self.size[which])
-            high = score.max()
-            if high >= least:
-                here = -float(high), min(self.ids[j] for j in which[score == high])
-                found = here if found is None else min(found, here)
-        return (-found[0], found[1]) if found else None
+        return self.best_of([ref], least)[0]
+
+    def best_of(self, refs: list[str], least: int = LEAST) -> list[tuple[float, object] | None]:
+        """Of each reference the score and id of the best title of ``least`` or more, the least id among equals."""
+        found: list[tuple[float, object] | None] = [None] * len(refs)
+        held, pairs = [], 0
+        for i, ref in enumerate(refs):
+            at, need = self.near(ref, least)
+            if len(at):
+                held.append((i, at, need))
+                pairs += len(at)
+            if held and (i + 1 == len(refs) or len(held) == CHUNKS[0] or pairs >= CHUNKS[1]):
+                self._score(refs, held, found)
+                held, pairs = [], 0
+        if held:
+            self._score(refs, held, found)
+        return found
+
+    def _score(self, refs: list[str], held: list[tuple[int, np.ndarray, np.ndarray]], found: list) -> None:
+        texts = [refs[i] for i, _, _ in held]
+        of = np.repeat(np.arange(len(held)), [len(at) for _, at, _ in held])
+        which, need = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+        both = np.array([len(t) for t in texts])[of] + self.size[which]
+        short = (both - 2 * need <= BAND) & (self.size[which] <= LONGEST)
+        common = np.zeros(len(which), np.int64)
+        common[short] = in_band(self.chars, self.letters, texts, of[short], which[short], need[short])
+        for r in np.unique(of[~short]):
+            at = np.flatnonzero(~short & (of == r))
+            common[at] = self.chars.common(texts[r], which[at])
+        for p in np.flatnonzero(common >= need):
+            i, here = held[of[p]][0], (200.0 * float(common[p]) / float(both[p]), self.ids[which[p]])
+            if found[i] is None or (-here[0], here[1]) < (-found[i][0], found[i][1]):
+                found[i] = here
 
 
 def best_titles(refs: DataFrame, library: DataFrame, least: int = LEAST) -> DataFrame:
@@ -155,7 +142,8 @@ def best_titles(refs: DataFrame, library: DataFrame, least: int = LEAST) -> Data
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         titles = Titles(right["t"].tolist(), right["matched_id"].tolist()) if len(left) and len(right) else None
-        rows = [(x, b[1], b[0]) for x in left["r"] if (b := titles.best(x, least))] if titles else []
+        asked = left["r"].tolist()
+        rows = [(x, b[1], b[0]) for x, b in zip(asked, titles.best_of(asked, least), strict=True) if b] if titles else []
         return pd.DataFrame(rows, columns=["r", "matched_id", "score"])
 
     n = min(blocks * sum(parts.values()), TASKS)

@@ -147,3 +147,42 @@ def test_match_of_many_papers_with_one_doi(spark):
     assert {(r["ref_id"], r["matched_id"], r["strategy"]) for r in found.collect()} == {(i, 4, "doi") for i in range(4, 10)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [d#" in plan and "FlatMapCoGroupsInPandas" not in plan
+
+
+def test_references_share_the_steps_of_scoring(monkeypatch):
+    """Pairs of many references are scored together, each in a band of one number; equal to all pairs, texts of any alphabet; only long texts take the whole table."""
+    from scriptoria.operators.common import Texts
+
+    rng = random.Random(11)
+
+    def edited(t, share):
+        c = list(t)
+        for _ in range(rng.randint(0, int(share * len(t)))):
+            at = rng.randrange(len(c) + 1)
+            if rng.random() < 0.5 and len(c) > 2:
+                del c[min(at, len(c) - 1)]
+            else:
+                c.insert(at, rng.choice("abcd é𝔘"))
+        return "".join(c)
+
+    base = ["".join(rng.choice("abcd é𝔘") for _ in range(rng.choice([1, 3, 16, 63, 64, 65, 120]))) for _ in range(70)]
+    texts = [edited(b, 0.2) for b in base for _ in range(4)] + ["", "a"]
+    refs = [*base, *[edited(b, 0.25) for b in base], *[edited(b, 0.9) for b in base], "ж" * 30]
+    titles = fuzzy.Titles(texts, list(range(len(texts))))
+    want = [best_of_all(r, [(i, t) for i, t in enumerate(texts)]) for r in refs]
+    want = [w and (-w[0], w[1]) for w in want]
+    assert sum(w is None for w in want) > 5 and sum(w is not None for w in want) > 70
+    with monkeypatch.context() as m:
+        m.setattr(Texts, "common", None)
+        assert titles.best_of(refs) == want
+        m.setattr(fuzzy, "CHUNKS", (3, 40))
+        assert titles.best_of(refs) == want
+    long = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (180, 200, 220, 511, 513, 900)]
+    titles = fuzzy.Titles([edited(t, 0.1) for t in long for _ in range(3)], list(range(18)))
+    pairs = list(zip(titles.ids, titles.texts))
+    got = titles.best_of(long)
+    assert got == [(-w[0], w[1]) for w in (best_of_all(r, pairs) for r in long)]
+    for least in (60, 100):
+        titles = fuzzy.Titles(texts, list(range(len(texts))))
+        want = [best_of_all(r, list(enumerate(texts)), least) for r in refs]
+        assert titles.best_of(refs, least) == [w and (-w[0], w[1]) for w in want]
