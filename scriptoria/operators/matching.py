@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -57,8 +58,8 @@ def analyse(items: DataFrame, library: DataFrame) -> DataFrame:
     return match(items, library).join(files, "matched_id", "left").select("ref_id", "matched_id", "strategy", F.coalesce("has_file", F.lit(False)).alias("has_file"))
 
 
-#: Texts of a block of items, and rows of a part of the library, that one group scores.
-BLOCK, PART = 500, 20_000
+#: Texts of a block of items, and rows of a part of the library, that one group scores; texts of a block where common words alone are counted.
+BLOCK, PART, WIDE = 500, 100_000, 8_000
 #: Titles scored at once: few at first, as near copies end the search.
 CHUNKS = (256, 8192)
 
@@ -69,58 +70,112 @@ class Shelf:
     def __init__(self, rows: Iterable[tuple[str, object]]):
         ids: dict[str, list] = {}
         for t, i in rows:
-            ids.setdefault(t, []).append(i)
-        self.ids = [sorted(v) for v in ids.values()]
-        self.least = sorted(i for v in self.ids for i in v)
-        words = [sorted(set(t.split())) for t in ids]
-        self.texts = Texts([" ".join(w) for w in words])
+            ids.setdefault(" ".join(sorted(set(t.split()))), []).append(i)  # the ratio knows sets of words only
+        self.titles = sorted(ids, key=len)
+        self.ids = [sorted(ids[t]) for t in self.titles]
+        self.place = np.empty(len(ids), np.int64)  # by the least id
+        self.place[sorted(range(len(ids)), key=lambda j: self.ids[j][0])] = np.arange(len(ids))
+        self.size = np.fromiter(map(len, self.titles), np.int32, len(ids))
+        words = [t.split() for t in self.titles]
+        self.words = np.fromiter(map(len, words), np.int64, len(ids))
         flat = [x for w in words for x in w]
         number = {w: n for n, w in enumerate(dict.fromkeys(flat))}
-        of = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
-        owner = np.repeat(np.arange(len(words)), [len(w) for w in words])
-        last = np.cumsum([len(w) for w in words], dtype=np.int64) - 1
-        taken = np.fromiter(map(len, flat), np.int64, len(flat)) + 1  # a word has the space behind it
-        taken[last[[len(w) > 0 for w in words]]] -= 1
-        self.word = np.repeat(of, taken)  # of each character of all texts
-        by_word = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[by_word], np.arange(len(number) + 1))
-        self.where = {w: (n, owner[by_word[cut[n] : cut[n + 1]]]) for w, n in number.items()}
-
-    def best(self, item: str, k: int) -> list[tuple[float, object]]:
-        """The ``k`` best (-score, id), equal scores by id; titles are scored in order of a bound that no score exceeds, until it
-        is below the k-th best."""
-        words = sorted(set(item.split()))
-        if not words:  # nothing scores
-            return [(-0.0, i) for i in self.least[:k]]
-        whole, size = " ".join(words), self.texts.size
-        both, has, common = np.zeros(len(size), np.int64), np.zeros((len(words), len(size)), bool), np.zeros(len(self.where) + 1, bool)
-        for i, w in enumerate(words):
-            if w in self.where:
-                n, at = self.where[w]
-                both[at] += len(w) + 1
-                has[i, at] = common[n] = True
+        self.of = np.fromiter(map(number.__getitem__, flat), np.int32, len(flat))
+        self.long = np.fromiter(map(len, number), np.int64, len(number))
+        by_word = np.argsort(self.of, kind="stable")
+        self.cut = np.append(0, np.cumsum(np.bincount(self.of, minlength=len(number)))).tolist()
+        self.owner, self.number = np.repeat(np.arange(len(words)), self.words)[by_word], number
+
+    @cached_property
+    def texts(self) -> Texts:
+        return Texts(self.titles)
+
+    @cached_property
+    def word(self) -> np.ndarray:
+        """The word of each character of all titles; a word has the space behind it."""
+        taken = self.long[self.of] + 1
+        taken[(np.cumsum(self.words) - 1)[self.words > 0]] -= 1
+        return np.repeat(self.of, taken)
+
+    def where(self, word: str) -> np.ndarray:
+        n = self.number.get(word)
+        return self.owner[:0] if n is None else self.owner[self.cut[n] : self.cut[n + 1]]
+
+    def _both(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each title the characters of the words it has in common, with spaces between, and whether there are any."""
+        both = np.zeros(len(self.size), np.int32)
+        for w in words:
+            both[self.where(w)] += len(w) + 1
         shared = both > 0
         both -= shared
-        # the common words are the start of both sides, so their ratio to either is known
-        known = np.where(shared, 100.0 * 2 * both / np.maximum(both + np.minimum(size, len(whole)), 1), 0.0)
-        known[shared & ((both == len(whole)) | (both == size))] = 100.0
-        bound = np.where(size > 0, np.maximum(known, 100.0 * 2 * self.texts.shared(whole) / (size + len(whole))), 0.0)
-        order, found, done, chunk = np.argsort(-bound, kind="stable"), [], 0, CHUNKS[0]
+        return both, shared
+
+    def _all_in(self, whole: str, both: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """Titles that have all of the item's words, or none but these: they score 100, and no other does."""
+        return np.flatnonzero(shared & ((both == len(whole)) | (both == self.size)))
+
+    def _known(self, whole: str, both: np.ndarray, shared: np.ndarray) -> np.ndarray:
+        """What the common words alone give: they are the start of both sides, so their ratio to either is known."""
+        known = np.where(shared, 100.0 * 2 * both / np.maximum(both + np.minimum(self.size, len(whole)), 1), 0.0)
+        known[self._all_in(whole, both, shared)] = 100.0
+        return known
+
+    def known(self, item: str, k: int) -> list[tuple[float, object]]:
+        """The ``k`` best (-score, id) by common words alone, equal scores by id: no score of these titles is less, and 100 is exact."""
+        words = sorted(set(item.split()))
+        whole, (both, shared) = " ".join(words), self._both(words)
+        at = self._all_in(whole, both, shared)
+        if len(at) >= k:
+            return self._first(np.full(len(at), 100.0), at, k)
+        known = self._known(whole, both, shared)
+        at = np.flatnonzero(known >= np.partition(known, len(known) - k)[len(known) - k]) if len(known) > k else np.arange(len(known))
+        return self._first(known[at], at, k)
+
+    def best(self, item: str, k: int, floor: float = 0.0) -> list[tuple[float, object]]:
+        """The ``k`` best (-score, id) of ``floor`` or more, equal scores by id.
+
+        The k-th best by common words alone is a floor, too. Titles are scored if their length and characters may reach it,
+        in order of a bound that no score exceeds, until it is below the k-th best.
+        """
+        words = sorted(set(item.split()))
+        whole, size, (both, shared) = " ".join(words), self.size, self._both(words)
+        known = self._known(whole, both, shared)
+        if len(known) > k:
+            floor = max(floor, float(np.partition(known, len(known) - k)[len(known) - k]))
+        low, high = len(whole) * floor / (200 - floor) - 1, len(whole) * (200 - floor) / floor + 1 if floor else np.inf
+        a, b = np.searchsorted(size, [low, high])
+        bound = known.copy()
+        if words:
+            bound[a:b] = np.maximum(known[a:b], np.where(size[a:b] > 0, 100.0 * 2 * self.texts.shared(whole, a, b) / (size[a:b] + len(whole)), 0.0))
+        order = np.flatnonzero(bound >= floor - 1e-9)
+        order = order[np.argsort(-bound[order], kind="stable")]
+        found, done, chunk = [], 0, CHUNKS[0]
         while done < len(order) and (len(found) < k or bound[order[done]] >= -found[-1][0] - 1e-9):
             some = order[done : done + chunk]
             if len(found) == k:
                 some = some[bound[some] >= -found[-1][0] - 1e-9]
             done, chunk, score = done + chunk, CHUNKS[1], known[some]
-            open_ = np.flatnonzero((score < 100) & (size[some] > 0))
-            rest = self._rest(words, whole, has, common, some[open_])
-            score[open_] = np.maximum(score[open_], 100.0 * 2 * (both[some[open_]] + shared[some[open_]] + rest) / (size[some[open_]] + len(whole)))
-            least = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else -1.0
-            found = sorted([*found, *((-float(s), i) for s, j in zip(score, some, strict=True) if s >= least for i in self.ids[j])])[:k]
+            open_ = np.flatnonzero((score < 100) & (bound[some] > score))
+            if len(open_):
+                rest = self._rest(words, whole, some[open_])
+                score[open_] = np.maximum(score[open_], 100.0 * 2 * (both[some[open_]] + shared[some[open_]] + rest) / (size[some[open_]] + len(whole)))
+            found = sorted([*found, *self._first(score, some, k)])[:k]
         return found
 
-    def _rest(self, words: list[str], whole: str, has: np.ndarray, common: np.ndarray, which: np.ndarray) -> np.ndarray:
+    def _first(self, score: np.ndarray, which: np.ndarray, k: int) -> list[tuple[float, object]]:
+        """The ``k`` best (-score, id) of titles; of these only the ``k`` best, by their least ids where scores are equal, have such rows."""
+        best = np.lexsort((self.place[which], -score))[:k]
+        return sorted((-float(score[j]), i) for j in best for i in self.ids[which[j]][:k])[:k]
+
+    def _rest(self, words: list[str], whole: str, which: np.ndarray) -> np.ndarray:
         """The longest common subsequence of the item's own words and the own words of each of the titles ``which``."""
         texts, out, table = self.texts, np.zeros(len(which), np.int64), self.texts.places(whole)
+        common, has, mark = np.zeros(len(self.number) + 1, bool), np.zeros((len(words), len(which)), bool), np.zeros(len(self.size), bool)
+        common[[self.number[w] for w in words if w in self.number]] = True
+        for i, w in enumerate(words):
+            mark[self.where(w)] = True
+            has[i] = mark[which]
+            mark[self.where(w)] = False
         begin = np.cumsum([0, *[len(w) + 1 for w in words]])
         space, no_letter = np.searchsorted(texts.letters, ord(" ")), len(texts.letters)
 
@@ -136,7 +191,7 @@ class Shelf:
             grid[row, last[row]] = no_letter
             keep, later = np.full((len(table), len(piece)), FULL), np.zeros(len(piece), bool)
             for i in range(len(words) - 1, -1, -1):
-                own = ~has[i, which[piece]]
+                own = ~has[i, piece]
                 for stays, span in ((own, spans[i][0]), (own & later, spans[i][1])):
                     for n, bits in span:
                         keep[n, ~stays] &= ~bits
@@ -149,28 +204,39 @@ def ranked(items: DataFrame, library: DataFrame, k: int = 3, suggest: float = 70
     """item_id, id, score, rank, suggested: the best ``k`` papers of the whole library by token-set ratio. items: item_id, name.
 
     Equal names are one text, and of equal titles only the ``k`` least ids can count. The texts, a query set, meet the titles block by
-    block: each part of the library is scored against each block of texts and gives on the ``k`` best of a text only. Empty tables
-    give no rows, a null name or title is empty.
+    block: each part of the library is scored against each block of texts and gives on the ``k`` best of a text only. First common words
+    alone are counted. Where ``k`` titles of the whole library have all words of a text, or none but these, that is the answer; else
+    the k-th best so far is a floor below which no part scores anything. Empty tables give no rows, a null name or title is empty.
     """
+    checkpoint_folder(items.sparkSession)
+    kind = {f.name: f.dataType.simpleString() for f in [*items.schema, *library.schema]}
     dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     named = items.select("item_id", T.fold_title(F.col("name")).alias("r"))
-    a, of_title = named.select("r").distinct(), Window.partitionBy("t").orderBy("id")
-    b = library.select("id", T.fold_title(F.col("title")).alias("t")).withColumn("n", F.row_number().over(of_title)).filter(F.col("n") <= k).select("id", "t")
-    blocks, parts = (max(1, math.ceil(d.count() / n)) for d, n in ((a, BLOCK), (b, PART)))
-    a = a.select("r", dealt("r", blocks).alias("block"), every(parts).alias("part"))
-    b = b.select("id", "t", dealt("t", parts).alias("part"), every(blocks).alias("block"))
-
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        shelf = Shelf(zip(right["t"], right["id"], strict=True)) if len(left) and len(right) else None
-        rows = [(r, j, -s) for r in left["r"] for s, j in shelf.best(r, k)] if shelf else []
-        return pd.DataFrame(rows, columns=["r", "id", "score"])
-
-    kind = {f.name: f.dataType.simpleString() for f in [*items.schema, *library.schema]}
-    a, b = (d.repartition(min(blocks * parts, TASKS), "block", "part") for d in (a, b))  # else small groups share a task, and these take long
-    s = a.groupBy("block", "part").cogroup(b.groupBy("block", "part")).applyInPandas(score, f"r string, id {kind['id']}, score double")
-    place = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), "id"))
-    best = s.withColumn("rank", place("r")).filter(F.col("rank") <= k)
+    of_title = Window.partitionBy("t").orderBy("id")
+    b = library.select("id", T.fold_title(F.col("title")).alias("t")).withColumn("n", F.row_number().over(of_title)).filter(F.col("n") <= k).select("id", "t").checkpoint()  # met twice
+    parts = max(1, math.ceil(b.count() / PART))
+
+    def met(a: DataFrame, block: int, best: Callable[[Shelf, str, float], list]) -> DataFrame:
+        """r, id, score, rank: the ``k`` best of ``a`` (r, floor) in all parts."""
+        blocks = max(1, math.ceil(a.count() / block))
+        left = a.select("r", "floor", dealt("r", blocks).alias("block"), every(parts).alias("part"))
+        right = b.select("id", "t", dealt("t", parts).alias("part"), every(blocks).alias("block"))
+
+        def score(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+            shelf = Shelf(zip(y["t"], y["id"], strict=True)) if len(x) and len(y) else None
+            rows = [(r, j, -s) for r, floor in zip(x["r"], x["floor"], strict=True) for s, j in best(shelf, r, floor)] if shelf else []
+            return pd.DataFrame(rows, columns=["r", "id", "score"])
+
+        left, right = (d.repartition(min(blocks * parts, TASKS), "block", "part") for d in (left, right))  # else small groups share a task, and these take long
+        s = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(score, f"r string, id {kind['id']}, score double")
+        place = F.row_number().over(Window.partitionBy("r").orderBy(F.desc("score"), "id"))
+        return s.withColumn("rank", place).filter(F.col("rank") <= k)
+
+    known = met(named.select("r", F.lit(0.0).alias("floor")).distinct(), WIDE, lambda shelf, r, floor: shelf.known(r, k)).checkpoint()
+    floors = known.groupBy("r").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("floor")).select("r", F.coalesce("floor", F.lit(0.0)).alias("floor"))
+    done = known.join(floors.filter("floor = 100").select("r"), "r", "left_semi")
+    best = done.unionByName(met(floors.filter("floor < 100"), BLOCK, lambda shelf, r, floor: shelf.best(r, k, floor)))
     return named.join(best, "r").select("item_id", "id", F.round("score", 2).alias("score"), "rank", ((F.col("rank") == 1) & (F.col("score") >= suggest)).alias("suggested"))
 
 

@@ -186,3 +186,26 @@ def test_references_share_the_steps_of_scoring(monkeypatch):
         titles = fuzzy.Titles(texts, list(range(len(texts))))
         want = [best_of_all(r, list(enumerate(texts)), least) for r in refs]
         assert titles.best_of(refs, least) == [w and (-w[0], w[1]) for w in want]
+
+
+def test_common_words_give_a_floor(monkeypatch):
+    """What common words alone give is never above the score, and is the answer where k titles have all words or none but these; a floor loses nothing at or above it."""
+    rng = random.Random(6)
+    shelf_words = ["".join(rng.choice("abdé𝔘") for _ in range(rng.randint(1, 5))) for _ in range(30)]
+    made = lambda n: " ".join(rng.choice(shelf_words) for _ in range(n))
+    rows = [(made(rng.choice([0, 1, 2, 3, 8, 20])), i) for i in range(150)] + [("a b", 900), ("b a a", 800)]
+    items = ["", "zz", "a b", *[made(n) for n in (1, 2, 4, 8, 16, 25) for _ in range(6)]]
+    shelf, whole = M.Shelf(rows), 0
+    for x in items:
+        want = sorted((-M.token_set_ratio(x, t), i) for t, i in rows)
+        score, known = {i: s for s, i in want}, shelf.known(x, 3)
+        assert len(known) == 3 and all(score[i] <= s + 1e-9 for s, i in known)
+        floor = -known[-1][0]
+        if floor == 100:
+            assert known == want[:3]
+            whole += 1
+        for f in (floor, -want[2][0], -want[1][0]):
+            assert [b for b in shelf.best(x, 3, f) if -b[0] >= f] == [b for b in want[:3] if -b[0] >= f]
+    assert 10 < whole < len(items)
+    monkeypatch.setattr(M.Shelf, "_rest", None)
+    assert [shelf.best("a b " + x, 1) for x in items] == [[min((-M.token_set_ratio("a b " + x, t), i) for t, i in rows)] for x in items]
