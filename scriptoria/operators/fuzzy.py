@@ -34,8 +34,8 @@ LEAST, LEAST_LENGTH = 85, 10
 PART, BLOCK, TASKS = 20_000, 8_000, 2_000
 #: References, and pairs of one with a title, that are scored at once; one reference's pairs are not parted.
 CHUNKS = (32, 1 << 15)
-#: Titles of more characters are scored by the whole table.
-LONGEST = 512
+#: Titles of more characters are scored by the whole table. Numbers that the tables of references scored at once hold, one reference aside.
+LONGEST, HELD = 512, 1 << 21
 
 
 def sorted_words(text: Column) -> Column:
@@ -65,6 +65,7 @@ class Titles:
         self.chars = Texts(self.texts)
         self.size = self.chars.size
         self.letters = columns(self.chars, LONGEST)
+        self.room = max(1, HELD // ((len(self.chars.letters) + 1) * (LONGEST + 2 * BAND)))  # references of short pairs have no more characters than that
 
     def near(self, ref: str, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all titles that may reach ``least``, few others, and how many characters each needs in common for it."""
@@ -91,7 +92,7 @@ class Titles:
             if len(at):
                 held.append((i, at, need))
                 pairs += len(at)
-            if held and (i + 1 == len(refs) or len(held) == CHUNKS[0] or pairs >= CHUNKS[1]):
+            if held and (i + 1 == len(refs) or len(held) == min(CHUNKS[0], self.room) or pairs >= CHUNKS[1]):
                 self._score(refs, held, found)
                 held, pairs = [], 0
         if held:
@@ -105,7 +106,9 @@ class Titles:
         both = np.array([len(t) for t in texts])[of] + self.size[which]
         short = (both - 2 * need <= BAND) & (self.size[which] <= LONGEST)
         common = np.zeros(len(which), np.int64)
-        common[short] = in_band(self.chars, self.letters, texts, of[short], which[short], need[short])
+        some, number = np.unique(of[short], return_inverse=True)
+        if len(some):
+            common[short] = in_band(self.chars, self.letters, [texts[i] for i in some], number, which[short], need[short])
         for r in np.unique(of[~short]):
             at = np.flatnonzero(~short & (of == r))
             common[at] = self.chars.common(texts[r], which[at])

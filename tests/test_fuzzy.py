@@ -209,3 +209,26 @@ def test_common_words_give_a_floor(monkeypatch):
     assert 10 < whole < len(items)
     monkeypatch.setattr(M.Shelf, "_rest", None)
     assert [shelf.best("a b " + x, 1) for x in items] == [[min((-M.token_set_ratio("a b " + x, t), i) for t, i in rows)] for x in items]
+
+
+def test_tables_of_references_are_bounded(monkeypatch):
+    """Neither a large alphabet nor a long reference makes large tables; what is found is that of all pairs."""
+    from scriptoria.operators import common
+
+    rng, sizes = random.Random(12), []
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    texts = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(90)]
+    long = "".join(rng.choice(letters) for _ in range(5000))
+    titles = fuzzy.Titles([*texts, long + "x"], list(range(91)))
+    refs = [long, *[t[2:] for t in texts[:40]]]
+
+    def windows(of, some):
+        table = windows_of(of, some)
+        sizes.append(table.size)
+        return table
+
+    windows_of = common.windows
+    monkeypatch.setattr(common, "windows", windows)
+    got = titles.best_of(refs)
+    assert [g[1] for g in got] == [90, *range(40)] and got[0][0] == 200.0 * 5000 / 10001
+    assert sizes and max(sizes) <= fuzzy.HELD
